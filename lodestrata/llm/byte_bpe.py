@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: Encoded pieces and tested pairs that a worker keeps at once; each memo is emptied when full.
 MEMO_PIECES = 300_000
 MEMO_PAIRS = 1_000_000
@@ -167,6 +169,7 @@ class ByteBPE:
     """Encodes and decodes columns. path: a .tiktoken file that the driver can read; pattern: what cuts the pieces."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
+        ship(spark)
         with open(path, "rb") as f:
             self._raw = spark.sparkContext.broadcast(f.read())  # a vocabulary file: of fixed size
         self.pattern = pattern
