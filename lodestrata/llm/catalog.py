@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup
+from . import byte_bpe, exact_dedup, secrets
 from .common import documents
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, scanned once for each distinct content."""
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("path"), "text")
+    ledger = secrets.BlobLedger(spark)
+    ledger.update(docs)
+    return secrets.digest_columns(ledger.findings(docs))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -29,8 +37,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_exact_dedup": op9_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
+    return {
+        "op7_secret_scan": op7_secret_scan,
+        "op9_exact_dedup": op9_exact_dedup,
+        "op10_byte_bpe": op10_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.SQL}
+    return {"op7_secret_scan": secrets.SQL, "op9_exact_dedup": exact_dedup.SQL}

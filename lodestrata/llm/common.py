@@ -67,6 +67,11 @@ def hex_digest(column: Column) -> Column:
     return F.sha2(column, 256)
 
 
+def count_kind(spans: Column, kind: str) -> Column:
+    """How many of array<struct<kind,start,end>> are of kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def joined_spans(spans: Column) -> Column:
     """array<struct<kind,start,end>> as kind:start:end, comma-joined."""
     return F.array_join(
