@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, secrets
+from . import byte_bpe, exact_dedup, pii, secrets
 from .common import documents
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.digest_columns(pii.spans(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, scanned once for each distinct content."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").alias("path"), "text")
@@ -38,6 +43,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_pii": op6_pii,
         "op7_secret_scan": op7_secret_scan,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_byte_bpe": op10_byte_bpe,
