@@ -11,6 +11,7 @@ Pieces are cut from texts by a pattern, and recur; each Python worker keeps a bo
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 
-#: Encoded pieces and tested pairs that a worker keeps at once; each memo is emptied when full.
-MEMO_PIECES = 300_000
+#: Encoded pieces in each of two generations, and tested pairs, that a worker keeps at once.
+MEMO_PIECES = 150_000
 MEMO_PAIRS = 1_000_000
 
 
@@ -35,28 +36,76 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        #: Every ending of a token, with the token it is or -1: what to look for before a prefix's end.
+        self._endings: dict[bytes, int] = {}
+        for token, rank in ranks.items():
+            self._endings[token] = rank
+            for i in range(1, len(token)):
+                self._endings.setdefault(token[i:], -1)
         self._pairs: dict[int, bool] = {}
+        self._edges: dict[int, dict[int, list]] = {-1: {}, 0: {}}
         self._whole: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[int]:
-        """Plain merging by rank, leftmost first: the definition that pairs are tested against."""
+        """Plain merging by rank, leftmost first: the definition that the rest is tested against."""
+        return [self.ranks[p] for p in self._merge(data, 1)]
+
+    def _merge(self, data: bytes, least: int) -> list[bytes]:
+        """Merges until no pair has a rank or only least parts are left."""
         parts = [data[i : i + 1] for i in range(len(data))]
         ranks = self.ranks
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = min((ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
             if best == 1 << 62:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        return parts
 
     def follows(self, left: int, right: int) -> bool:
-        """Whether right can stand after left: the two bytes strings together encode to these two tokens."""
+        """Whether right can stand after left: their bytes together encode to these two tokens."""
         key = left << 32 | right
         found = self._pairs.get(key)
         if found is None:
             if len(self._pairs) >= MEMO_PAIRS:
                 self._pairs.clear()
-            found = self._pairs[key] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+            found = self._pairs[key] = self._meets(left, right)
+        return found
+
+    def _meets(self, left: int, right: int) -> bool:
+        """No merge across the border comes before the merges on both sides that would use up its parts."""
+        ends, starts = self._edge(left, -1), self._edge(right, 0)
+        if not ends or not starts:
+            return self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+        rank = self.ranks.get
+        for a, a_made, a_used in ends:
+            for b, b_made, b_used in starts:
+                across = rank(a + b)
+                if across is not None:
+                    when = max(across, a_made, b_made)
+                    if when < a_used and when <= b_used:  # of equal ranks the leftmost pair is merged first
+                        return False
+        return True
+
+    def _edge(self, token: int, side: int) -> list[tuple[bytes, int, int]]:
+        """What stands at token's right (-1) or left (0) edge while it is merged: bytes, and the ranks at which they are
+        made and used up. Empty if ranks along the edge don't rise, so that they can't serve as times."""
+        found = self._edges[side].get(token)
+        if found is None:
+            data, used, found = self.tokens[token], 1 << 62, []
+            while True:
+                made = self.ranks[data] if len(data) > 1 else -1
+                if made >= used:
+                    found = []
+                    break
+                found.append((data, made, used))
+                if len(data) == 1:
+                    break
+                parts = self._merge(data, 2)
+                if len(parts) != 2:
+                    found = []
+                    break
+                data, used = parts[side], made
+            self._edges[side][token] = found
         return found
 
     def starts(self, token: int) -> bool:
@@ -68,15 +117,26 @@ class Vocabulary:
 
     def last_tokens(self, data: bytes, last: list[int], start: int = 0, stop: int | None = None) -> None:
         """Fills last[i], the token that ends data[: i + 1], for start <= i < stop; what precedes start is right."""
-        ranks, follows, longest = self.ranks, self.follows, self.longest
+        endings, known, follows = self._endings.get, self._pairs.get, self.follows
         for end in range(start + 1, (len(data) if stop is None else stop) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = ranks.get(data[begin:end])
-                if token is not None and (follows(last[begin - 1], token) if begin else self.starts(token)):
-                    last[end - 1] = token
+            begin = end - 1
+            while begin >= 0:
+                token = endings(data[begin:end])
+                if token is None:
+                    if begin == end - 1:
+                        raise ValueError(f"byte {begin} of a piece is not in the vocabulary")
                     break
-            else:
-                raise ValueError(f"no token ends the prefix of {end} bytes; a byte is not in the vocabulary")
+                if token >= 0:
+                    if not begin:
+                        if self.starts(token):
+                            last[end - 1] = token
+                    else:
+                        left = last[begin - 1]
+                        fits = known(left << 32 | token)
+                        if follows(left, token) if fits is None else fits:
+                            last[end - 1] = token
+                            break
+                begin -= 1
 
     def unwound(self, last: list[int]) -> list[int]:
         ids, end = [], len(last)
@@ -126,21 +186,30 @@ class PieceEncoder:
 
 
 class _Memo(dict):
-    """Piece to its ids as little-endian 32-bit integers."""
+    """Piece to its ids as little-endian 32-bit integers: the pieces met since the last change of generations, and the
+    generation before, from which a piece that is met again is taken over."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = pack(self.vocabulary.encode_piece(piece.encode()))
+            if len(piece) > 64:
+                return found
         if len(self) >= MEMO_PIECES:
+            self.older = dict(self)
             self.clear()
-        ids = self.vocabulary.encode_piece(piece.encode())
-        found = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(piece) <= 64:
-            self[piece] = found
+        self[piece] = found
         return found
 
 
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class TextEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
