@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, pii, secrets
+from . import byte_bpe, exact_dedup, pii, secrets, simhash
 from .common import documents
 
 
@@ -25,6 +25,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(ledger.findings(docs))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate component."""
+    return simhash.near_duplicates(documents(spark, sf_dir)).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -45,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_pii": op6_pii,
         "op7_secret_scan": op7_secret_scan,
+        "op8_simhash_dedup": op8_simhash_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_byte_bpe": op10_byte_bpe,
     }
