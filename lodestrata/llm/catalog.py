@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, pii, secrets, simhash
+from . import byte_bpe, exact_dedup, language, pii, secrets, simhash
 from .common import documents
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows that are not held out."""
+    docs = documents(spark, sf_dir)
+    trees = language.train(docs.where(~language.held_out()))
+    held = docs.select("doc_id", language.held_out().alias("held_out"), "text")
+    return language.identify(held, trees).drop("text")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.digest_columns(pii.spans(documents(spark, sf_dir).select("doc_id", "text")))
@@ -50,6 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_language_id": op5_language_id,
         "op6_pii": op6_pii,
         "op7_secret_scan": op7_secret_scan,
         "op8_simhash_dedup": op8_simhash_dedup,
