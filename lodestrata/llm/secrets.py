@@ -106,18 +106,17 @@ class BlobLedger:
     def update(self, docs: DataFrame) -> None:
         """Scans the pairs of docs' blobs and the rules' versions that the ledger lacks, each once."""
         versions = self.versions(docs)
-        first = versions.groupBy("blob").agg(F.min("path").alias("path"))
+        first = versions.groupBy("blob").agg(F.min("path").alias("path"), F.count("*").alias("n"))
         rules = F.array(*[F.lit(r.key) for r in self.rules])
         if self.updates:
             seen = self.read().groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-            todo = first.join(seen, "blob", "left").withColumn("todo", F.array_except(rules, F.coalesce("seen", F.array().cast("array<string>"))))
+            none = F.array().cast("array<string>")
+            todo = first.join(seen, "blob", "left").withColumn("todo", F.array_except(rules, F.coalesce("seen", none)))
         else:
             todo = first.withColumn("todo", rules)
-        todo = written(todo.where(F.size("todo") > 0).select("blob", "path", "todo"), "todo")
-        self.scanned = todo.count()
-        keys = todo.select(F.col("blob").alias("b"), F.col("path").alias("p"), "todo")
-        keys = F.broadcast(keys) if self.scanned <= BROADCAST_ROWS else keys
-        texts = versions.join(keys, (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("p")))
+        blobs = written(todo.select("blob", "path", "n", "todo"), "todo")
+        todo = blobs.where(F.size("todo") > 0)
+        texts = self._texts(versions, blobs, todo, rules)
         found = texts.select(
             "blob",
             F.array(
@@ -134,6 +133,26 @@ class BlobLedger:
         self.updates += 1
         rows.select("blob", "x.rule", "x.spans").write.mode("overwrite").parquet(f"{self.path}/update={self.updates}")
 
+    def _texts(self, versions: DataFrame, blobs: DataFrame, todo: DataFrame, rules: Column) -> DataFrame:
+        """blob, text and todo of one version of each blob in todo. Texts are shuffled only if both what is to be
+        scanned and what is to be left out are too many rows to broadcast."""
+        full = F.size("todo") == F.size(rules)
+        rows, self.scanned, part = blobs.agg(
+            F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.size("todo") > 0), F.count_if(~full & (F.size("todo") > 0))
+        ).first()
+        same = (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("p"))
+        if self.scanned > BROADCAST_ROWS and not part and rows - self.scanned <= BROADCAST_ROWS:
+            shared = blobs.where((F.col("n") > 1) | ~full).select(
+                F.col("blob").alias("b"), F.col("path").alias("first"), full.alias("scan")
+            )
+            others = versions.join(F.broadcast(shared), F.col("blob") == F.col("b")).where(
+                ~(F.col("scan") & F.col("path").eqNullSafe(F.col("first")))
+            )
+            rest = written(others.select("b", F.col("path").alias("p")).distinct(), "known")
+            return versions.join(F.broadcast(rest), same, "left_anti").withColumn("todo", rules)
+        keys = todo.select(F.col("blob").alias("b"), F.col("path").alias("p"), "todo")
+        return versions.join(F.broadcast(keys) if self.scanned <= BROADCAST_ROWS else keys, same)
+
     def findings(self, docs: DataFrame) -> DataFrame:
         """docs' path with spans: array<struct<kind,start,end>> by start, then rule as listed."""
         kinds = F.create_map(*[F.lit(x) for i, r in enumerate(self.rules) for x in (r.key, i)])
