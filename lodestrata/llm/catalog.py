@@ -8,8 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language, pii, secrets, simhash
-from .common import documents
+from . import byte_bpe, exact_dedup, language, pii, secrets, simhash, toxicity
+from .common import documents, table
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from labelled rows that are not held out."""
+    docs, held = documents(spark, sf_dir), toxicity.held_out()
+    model = toxicity.train(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
+    scored = toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +66,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity,
         "op5_language_id": op5_language_id,
         "op6_pii": op6_pii,
         "op7_secret_scan": op7_secret_scan,
