@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language, pii, secrets, simhash, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, language, pii, secrets, simhash, toxicity
 from .common import documents, table
 
 
@@ -20,6 +20,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds within its error budget."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("matches"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the rows that are not held out."""
     docs = documents(spark, sf_dir)
@@ -67,6 +74,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
+        "op4_decontaminate": op4_decontaminate,
         "op5_language_id": op5_language_id,
         "op6_pii": op6_pii,
         "op7_secret_scan": op7_secret_scan,
