@@ -1,7 +1,68 @@
-"""A corpus pipeline of five stages; filled in below as operators land."""
-STAGES = []
+"""A corpus pipeline of five stages over `documents`.
+
+Each stage takes what its predecessor kept, written as Parquet and read again: language identification (documents
+without a letter go), exact deduplication, SimHash near-deduplication (the smallest doc_id of each group stays),
+benchmark decontamination (documents that hold an item go), and byte-level BPE. All but the last return the columns of
+documents. SQL cannot express the first stage, so there is no oracle; a test compares with brute force.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.llm import byte_bpe, decontaminate, exact_dedup, language, simhash
+from lodestrata.llm.common import documents, table, without_ids, written
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have a language; null, empty and letterless texts go. Learned from the labelled rows of docs."""
+    found = language.identify(docs, language.train(docs), to="_language", score="_score")
+    return found.where(F.col("_language") != language.UNDETERMINED).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are equal but for their white space, the one with the smallest doc_id."""
+    return without_ids(docs, exact_dedup.exact_duplicates(docs).where("not kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints are linked, the one with the smallest doc_id."""
+    return without_ids(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), to="_matches")
+    return found.where(F.size("_matches") == 0).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian 32-bit integers), and whether they decode to the text."""
+    bpe = byte_bpe.ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text")))
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        "ids",
+        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("exact"),
+    )
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact),
+    ("simhash_dedup", near),
+    ("decontaminate", clean),
+    ("byte_bpe", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
