@@ -28,14 +28,14 @@ from ..runtime import ship
 from .common import fold, written
 
 #: Labelled documents that are learned from: this many with label 1, and twice as many with label 0.
-POSITIVES = 800
-LANDMARKS, COMMON = 64, 32
+POSITIVES = 600
+LANDMARKS, COMMON, LEADS = 48, 24, 300
 DECAY = 0.9
 SEGMENT_WORDS = 24
 ROUNDS = 4
 PENALTY = 1e-3
 #: Characters that are scored at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 GAPS = list(product((1, 2), repeat=3))
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -199,46 +199,57 @@ class ToxicityModel:
 
 
 def _landmarks(texts: list[str], labels: np.ndarray, n: int, common: int) -> list[str]:
-    """Words and word beginnings of 4 to 10 letters: first those that positives have and negatives lack, then common ones."""
-    held: list[Counter[str]] = [Counter(), Counter()]
-    for text, label in zip(texts, labels):
-        found = set()
-        for word in set(text.translate(_FOLD).split()):
-            found.update(word[:k] for k in range(4, min(len(word), 10) + 1))
-        held[int(label)].update(found)
+    """Words and word beginnings of 4 to 10 letters: first those that positives have and negatives lack, then common ones.
+
+    Longer beginnings are counted only where their first four letters are among the LEADS that positives prefer most.
+    """
     positives, negatives = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
 
+    def counted(lengths: range, leads: set[str] | None) -> list[Counter[str]]:
+        held: list[Counter[str]] = [Counter(), Counter()]
+        for text, label in zip(texts, labels):
+            found = set()
+            for word in set(text.translate(_FOLD).split()):
+                if leads is None or word[:4] in leads:
+                    found.update(word[:k] for k in lengths if k <= len(word))
+            held[int(label)].update(found)
+        return held
+
     def gain(word: str) -> float:
         here, there = held[1][word] / positives, held[0][word] / negatives
-        return here * np.log((here + 1e-4) / (there + 1e-4)) if here > there else 0.0
+        return here * np.log((here + 1e-4) / (there + 1e-4)) if here > there and held[1][word] >= 3 else 0.0
 
+    held = counted(range(4, 5), None)
+    usual = [w for w, _ in sorted(held[0].items(), key=lambda x: (-x[1], x[0]))[:common]]
+    leads = sorted(held[1], key=lambda w: (-gain(w), w))[:LEADS]
+    held = counted(range(4, 11), set(leads))
     picked: list[str] = []
     for word in sorted(held[1], key=lambda w: (-gain(w), -len(w), w)):
-        if len(picked) == n or held[1][word] < 3 or gain(word) <= 0:
+        if len(picked) == n or gain(word) <= 0:
             break
         if not any(p.startswith(word) and held[1][word] < 1.5 * held[1][p] or word.startswith(p) for p in picked):
             picked.append(word)
-    for word, _ in sorted(held[0].items(), key=lambda x: (-x[1], x[0])):
-        if common == 0:
-            break
-        if word not in picked:
-            picked.append(word)
-            common -= 1
-    return picked
+    return picked + [w for w in usual if w not in picked]
 
 
-def _machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float) -> np.ndarray:
-    """Weights and bias of a linear SVM with squared hinge loss, by Newton steps."""
-    x = np.concatenate([z, np.ones((len(z), 1), z.dtype)], axis=1)
-    w, ridge = np.zeros(x.shape[1]), penalty * cost.sum() * np.eye(x.shape[1])
+def _machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float, start: np.ndarray | None) -> np.ndarray:
+    """Weights and bias of a linear SVM with squared hinge loss, by Newton steps from start; rows without cost don't count."""
+    m = z.shape[1] + 1
+    w, ridge = np.zeros(m) if start is None else start, penalty * cost.sum() * np.eye(m)
     ridge[-1, -1] *= 1e-3
-    for step in range(15):
-        on = y * (x @ w) < 1
-        xc = x[on] * cost[on, None].astype(x.dtype)
-        new = np.linalg.solve((xc.T @ x[on]).astype(float) + ridge, (xc.T @ y[on].astype(x.dtype)).astype(float))
+    for step in range(10):
+        gram, right = ridge.copy(), np.zeros(m)
+        for lo in range(0, len(z), 1 << 14):
+            part = slice(lo, lo + (1 << 14))
+            on = (y[part] * (z[part] @ w[:-1] + w[-1]) < 1) & (cost[part] > 0)
+            x = np.concatenate([z[part][on], np.ones((on.sum(), 1), z.dtype)], axis=1)
+            weighed = x * cost[part][on, None].astype(z.dtype)
+            gram += weighed.T @ x
+            right += weighed.T @ y[part][on]
+        new = np.linalg.solve(gram, right)
         if np.abs(new - w).max() < 1e-5:
             break
-        w = 0.5 * w + 0.5 * new if step > 8 else new
+        w = 0.5 * w + 0.5 * new if step > 5 else new
     return w
 
 
@@ -274,24 +285,24 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Toxi
     values, vectors = np.linalg.eigh(phi.T @ phi)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     mapped, owner = [], []
-    for at in range(0, len(texts), 200):
-        batch = Batch(texts[at : at + 200])
+    for at in range(0, len(texts), 100):
+        batch = Batch(texts[at : at + 100])
         place, entry, weight = batch.occurrences(known)
         k_nm = np.zeros((len(batch.documents), len(words)))
         by = np.argsort(entry, kind="stable")
         place, entry, weight = place[by], entry[by], weight[by]
-        for lo in range(0, len(place), 1 << 16):
-            part = slice(lo, lo + (1 << 16))
+        for lo in range(0, len(place), 1 << 14):
+            part = slice(lo, lo + (1 << 14))
             np.add.at(k_nm, batch.segments[place[part]], weight[part, None] * phi[entry[part]])
         mapped.append((k_nm @ root).astype(np.float32))
         owner.append(batch.documents + at)
     z, owner = np.concatenate(mapped), np.concatenate(owner)
-    sure = y[owner] > 0
+    del mapped
+    sure, w = y[owner] > 0, None
     for _ in range(ROUNDS):
-        use = sure | (y[owner] == 0)
-        side = np.where(sure, 1.0, -1.0)[use]
-        cost = np.where(side > 0, 0.5 / max(1, sure.sum()), 0.5 / max(1, (y[owner] == 0).sum())) * use.sum()
-        w = _machine(z[use], side, cost, PENALTY)
+        clean = y[owner] == 0
+        cost = (sure / max(1, sure.sum()) + clean / max(1, clean.sum())) * len(z) / 2
+        w = _machine(z, np.where(sure, 1.0, -1.0), cost, PENALTY, w)
         got = z @ w[:-1] + w[-1]
         best = np.full(len(y), -np.inf)
         np.maximum.at(best, owner, got)
