@@ -1,12 +1,13 @@
-"""Makes this package importable in the executors' Python workers."""
+"""Sessions' shared storage, and the package's sources for the executors' Python workers."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,25 @@ def ship(spark: SparkSession) -> None:
             z.write(source, source.relative_to(root.parent))
     context.addPyFile(str(to))
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; set here only where it is unset."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-"))
+        found = context.getCheckpointDir()
+    return found
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = path or fresh_path(spark, tag)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
