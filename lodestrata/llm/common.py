@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..runtime import fresh_path, shared_dir, ship, written
+
+__all__ = ["fresh_path", "shared_dir", "ship", "written"]
+
+#: Bytes of a column that are worked on at once in Python.
+PART_BYTES = 4 << 20
 #: The six ASCII white-space characters as a Java and Python character class.
 ASCII_SPACE = r"[ \t\n\x0B\f\r]+"
 #: Rows up to which a two-column key table (at most about 100 bytes a row) is broadcast.
@@ -24,26 +32,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; set here only where it is unset."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-"))
-        found = context.getCheckpointDir()
-    return found
-
+def with_mapped(
+    docs: DataFrame, source: str, ddl: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]]
+) -> DataFrame:
+    """docs with new columns (ddl) that are computed from the column source, in Python, over Arrow batches.
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    make is called once in each task; what it returns gets a part of source at a time and gives the new columns. Parts
+    are of about PART_BYTES, so that neither they nor what is made of them grow with the size of a batch.
+    """
+    ship(docs.sparkSession)
+    new = T.StructType.fromDDL(ddl)
+    at, schema = docs.columns.index(source), T.StructType([*docs.schema, *new])
 
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            column = batch.column(at)
+            rows = max(1, batch.num_rows * PART_BYTES // max(1, column.nbytes))
+            for start in range(0, max(1, batch.num_rows), rows):
+                part = batch.slice(start, rows)
+                made = [x.cast(k) for x, k in zip(compute(part.column(at)), kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], schema.names)
 
-def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = path or fresh_path(spark, tag)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kinds = [to_arrow_type(f.dataType) for f in new]
+    return docs.mapInArrow(mapped, schema)
 
 
 def sized(keys: DataFrame, rows: int | None = None) -> DataFrame:
@@ -63,8 +75,17 @@ def fold(key: Column | str, n: int) -> Column:
     return F.crc32((F.col(key) if isinstance(key, str) else key).cast("string").cast("binary")) % n
 
 
-def hex_digest(column: Column) -> Column:
-    return F.sha2(column, 256)
+def hashed_sample(rows: DataFrame, group: str, n: int, key: str = "doc_id") -> DataFrame:
+    """At most n rows of each group (of which there must be few): those whose keys have the smallest hashes.
+
+    Rows are first thinned by a threshold on the hash that leaves about twice n of each group, so that what is ranked
+    together does not grow with the table.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 31)) / float(1 << 31)
+    thin = rows.join(F.broadcast(counts), group).where(place * F.col("_n") < 2 * n + 50).drop("_n")
+    ranked = thin.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key)))
+    return ranked.where(F.col("_rank") <= n).drop("_rank")
 
 
 def count_kind(spans: Column, kind: str) -> Column:

@@ -17,9 +17,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..runtime import ship
+from .common import with_mapped
 
 ERROR_RATE = 0.06
 #: Characters of items in a block.
@@ -165,7 +164,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", to: str =
     Places are code points of the text as it is, end exclusive; of each item the nearest passage is given. Null and
     empty texts and items match nothing; repeated items are searched once, and rows of an item_id with several texts each.
     """
-    ship(docs.sparkSession)
     out = docs.withColumn(to, F.array().cast(MATCHES))
     for block in _blocks(benchmark):
         out = _matched(out, block, text, to, rate)
@@ -174,18 +172,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", to: str =
 
 def _matched(docs: DataFrame, block: list[tuple[int, str]], text: str, to: str, rate: float) -> DataFrame:
     items = docs.sparkSession.sparkContext.broadcast(block)  # of at most BLOCK_CHARACTERS and one item
-    kept = docs.withColumn("_in", F.col(text).cast("string"))
-    schema = T.StructType([*kept.drop("_in").schema, *T.StructType.fromDDL(f"_found {MATCHES}")])
-    names = schema.names
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int32())]))
 
-    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         matcher = Matcher(items.value, rate)
-        for batch in batches:
-            rows = [
-                [dict(zip(("item_id", "start", "end", "distance"), m)) for m in matcher.find(t.as_py())]
-                for t in batch.column(batch.num_columns - 1)
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], names)
-
-    return kept.mapInArrow(searched, schema).withColumn(to, F.concat(to, "_found")).drop("_found")
+
+        def searched(texts: pa.Array) -> list[pa.Array]:
+            rows = ([dict(zip(("item_id", "start", "end", "distance"), m)) for m in matcher.find(t.as_py())] for t in texts)
+            return [pa.array(list(rows), kind)]
+
+        return searched
+
+    return with_mapped(docs, text, f"_found {MATCHES}", make).withColumn(to, F.concat(to, "_found")).drop("_found")

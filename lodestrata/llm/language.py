@@ -13,16 +13,12 @@ Texts are lower-cased first. Learned from at most `rows_per_language` whole text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..runtime import ship
-from .common import fold, written
+from .common import fold, hashed_sample, with_mapped, written
 
 UNDETERMINED = "und"
 #: Whole labelled texts that are learned from, of each language.
@@ -31,7 +27,7 @@ ROWS_PER_LANGUAGE = 200
 LANGUAGES = 64
 ORDER = 4
 #: Bytes times languages that are scored at once.
-BLOCK = 1 << 23
+BLOCK = 1 << 21
 
 
 class ContextTrees:
@@ -166,9 +162,8 @@ def train(
     """
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= rows_per_language)
-    chosen = written(chosen.join(F.broadcast(most.select("lang")), "lang").select("doc_id", "lang").distinct(), "labelled")
+    known = rows.select("doc_id", "lang").join(F.broadcast(most.select("lang")), "lang")
+    chosen = written(hashed_sample(known, "lang", rows_per_language).select("doc_id", "lang").distinct(), "labelled")
     texts: dict[str, set[str]] = {}
     # chosen has at most languages * rows_per_language rows
     for r in rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").toLocalIterator():
@@ -178,21 +173,13 @@ def train(
 
 def identify(docs: DataFrame, trees: ContextTrees, text: str = "text", to: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and its score."""
-    spark = docs.sparkSession
-    ship(spark)
-    model = spark.sparkContext.broadcast(trees)  # bounded by the rows that were learned from
-    kept = docs.withColumn("_in", F.col(text).cast("string"))
-    schema = T.StructType([*kept.drop("_in").schema, T.StructField(to, T.StringType()), T.StructField(score, T.DoubleType())])
-    names = schema.names
-
-    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, scores = model.value.predict(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names
-            )
-
-    return kept.mapInArrow(predicted, schema)
+    model = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the rows that were learned from
+
+    def predicted(texts: pa.Array) -> list[pa.Array]:
+        langs, scores = model.value.predict(texts.to_pylist())
+        return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+
+    return with_mapped(docs, text, f"`{to}` string, `{score}` double", lambda: predicted)
 
 
 def held_out() -> Column:

@@ -12,16 +12,13 @@ its check digits, that a cue word announces). Spans are code points, end exclusi
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..runtime import ship
-from .common import count_kind, joined_spans
+from .common import count_kind, joined_spans, with_mapped
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban")
@@ -179,20 +176,13 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 def spans(docs: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
     """docs with their spans; null and empty texts have none."""
-    ship(docs.sparkSession)
-    kept = docs.withColumn("_in", F.col(text).cast("string"))
-    schema = T.StructType([*kept.drop("_in").schema, *T.StructType.fromDDL(f"`{to}` {SPANS}")])
-    names = schema.names
-
-    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            rows = []
-            for t in batch.column(batch.num_columns - 1):
-                rows.append([{"kind": k, "start": a, "end": b} for k, a, b in find(t.as_py() or "")])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], names)
-
-    return kept.mapInArrow(scanned, schema)
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def found(texts: pa.Array) -> list[pa.Array]:
+        rows = ([{"kind": k, "start": a, "end": b} for k, a, b in find(t.as_py() or "")] for t in texts)
+        return [pa.array(list(rows), kind)]
+
+    return with_mapped(docs, text, f"`{to}` {SPANS}", lambda: found)
 
 
 def redacted(text: Column, found: Column) -> Column:

@@ -20,10 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..runtime import ship
-from .common import connected_components, salted_lookup, written
+from .common import connected_components, salted_lookup, with_mapped, written
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -56,17 +55,11 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> DataFrame:
     """docs with their fingerprint as a signed long."""
-    ship(docs.sparkSession)
-    kept = docs.withColumn("_in", F.col(text).cast("string"))
-    schema = T.StructType([*kept.drop("_in").schema, T.StructField(to, T.LongType())])
-    names = schema.names
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(t.as_py()) for t in batch.column(batch.num_columns - 1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names)
+    def marked(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array(np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64))]
 
-    return kept.mapInArrow(marked, schema)
+    return with_mapped(docs, text, f"`{to}` bigint", lambda: marked)
 
 
 def block_keys(fp: Column, bits: int, blocks: int) -> Column:

@@ -15,17 +15,14 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..runtime import ship
-from .common import fold, written
+from .common import fold, hashed_sample, with_mapped, written
 
 #: Labelled documents that are learned from: this many with label 1, and twice as many with label 0.
 POSITIVES = 600
@@ -332,9 +329,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> Tox
     """A model of docs (doc_id, text) with labels (doc_id, toxic): at most positives documents with label 1 and twice as
     many with label 0, those with the smallest hashes of their ids. Null labels and texts don't count."""
     marked = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = marked.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= 2 * positives)
-    chosen = written(ranked.where(f"toxic = 0 or rank <= {positives}").select("doc_id", "toxic"), "labelled")
+    some = hashed_sample(marked.where("toxic = 1"), "toxic", positives).union(hashed_sample(marked.where("toxic = 0"), "toxic", 2 * positives))
+    chosen = written(some.select("doc_id", "toxic"), "labelled")
     share = marked.agg(F.avg("toxic")).first()[0]
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
     # chosen has at most 3 * positives rows
@@ -344,19 +340,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> Tox
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", to: str = "score") -> DataFrame:
     """docs with their toxicity from 0 to 1; a null text scores as an empty one."""
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # of fixed size
-    kept = docs.withColumn("_in", F.col(text).cast("string"))
-    schema = T.StructType([*kept.drop("_in").schema, T.StructField(to, T.DoubleType())])
-    names = schema.names
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = shared.value.scores(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], names)
-
-    return kept.mapInArrow(scored, schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+
+    def scored(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array(shared.value.scores(texts.to_pylist()), pa.float64())]
+
+    return with_mapped(docs, text, f"`{to}` double", lambda: scored)
 
 
 def held_out() -> Column:
