@@ -43,7 +43,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian 32-bit integers), and whether they decode to the text."""
     bpe = byte_bpe.ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text")))
+    coded = bpe.round_trip(docs.select("doc_id", "text"))
     return coded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).alias("n_tokens"),

@@ -12,18 +12,16 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..runtime import ship
+from .common import with_mapped
 
 #: Encoded pieces in each of two generations, and tested pairs, that a worker keeps at once.
 MEMO_PIECES = 150_000
-MEMO_PAIRS = 1_000_000
+MEMO_PAIRS = 300_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -238,7 +236,6 @@ class ByteBPE:
     """Encodes and decodes columns. path: a .tiktoken file that the driver can read; pattern: what cuts the pieces."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
-        ship(spark)
         with open(path, "rb") as f:
             self._raw = spark.sparkContext.broadcast(f.read())  # a vocabulary file: of fixed size
         self.pattern = pattern
@@ -247,32 +244,33 @@ class ByteBPE:
         """docs with ids: token ids as little-endian 32-bit integers in one binary; null counts as the empty text."""
         raw, pattern = self._raw, self.pattern
 
-        def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def make():
             encode = _encoder(raw.value, pattern).encode
-            for batch in batches:
-                texts = batch.column(batch.num_columns - 1)
-                yield _with(batch, pa.array([encode(t.as_py() or "") for t in texts], pa.binary()), names)
+            return lambda texts: [pa.array([encode(t.as_py() or "") for t in texts], pa.binary())]
 
-        kept = docs.withColumn("_in", F.col(text).cast("string"))
-        schema = kept.drop("_in").schema.add(ids, "binary")
-        names = schema.names
-        return kept.mapInArrow(encoded, schema)
+        return with_mapped(docs, text, f"`{ids}` binary", make)
+
+    def round_trip(self, docs: DataFrame, text: str = "text", ids: str = "ids", data: str = "decoded") -> DataFrame:
+        """docs with ids and the bytes decoded from them, in one pass: each core needs one Python worker, not two."""
+        raw, pattern = self._raw, self.pattern
+
+        def make():
+            coder = _encoder(raw.value, pattern)
+
+            def both(texts: pa.Array) -> list[pa.Array]:
+                coded = [coder.encode(t.as_py() or "") for t in texts]
+                return [pa.array(coded, pa.binary()), pa.array(map(coder.decode, coded), pa.binary())]
+
+            return both
+
+        return with_mapped(docs, text, f"`{ids}` binary, `{data}` binary", make)
 
     def decode(self, docs: DataFrame, ids: str = "ids", data: str = "decoded") -> DataFrame:
         """docs with data: the bytes that the ids stand for."""
         raw, pattern = self._raw, self.pattern
 
-        def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def make():
             decode = _encoder(raw.value, pattern).decode
-            for batch in batches:
-                found = batch.column(batch.num_columns - 1)
-                yield _with(batch, pa.array([decode(i.as_py() or b"") for i in found], pa.binary()), names)
-
-        kept = docs.withColumn("_in", F.col(ids))
-        schema = kept.drop("_in").schema.add(data, "binary")
-        names = schema.names
-        return kept.mapInArrow(decoded, schema)
-
+            return lambda column: [pa.array([decode(i.as_py() or b"") for i in column], pa.binary())]
 
-def _with(batch: pa.RecordBatch, new: pa.Array, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns[:-1], new], names)
+        return with_mapped(docs, ids, f"`{data}` binary", make)

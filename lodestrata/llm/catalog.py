@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, language, pii, secrets, simhash, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, language, paragraphs, pii, secrets, simhash, toxicity
 from .common import documents, table
 
 
@@ -20,6 +20,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of every document that repeat an earlier one."""
+    found = paragraphs.repeated_paragraphs(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("removed").cast("long").alias("n_removed"),
+        "removed",
+        F.array_sort(F.array_distinct("removed.keep_id")).alias("keep_ids"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document holds within its error budget."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -62,7 +74,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and their decoded bytes, as digests."""
     bpe = byte_bpe.ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
+    coded = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"))
     return coded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
@@ -74,6 +86,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
+        "op3_paragraph_dedup": op3_paragraph_dedup,
         "op4_decontaminate": op4_decontaminate,
         "op5_language_id": op5_language_id,
         "op6_pii": op6_pii,
