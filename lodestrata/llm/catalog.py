@@ -8,10 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, language, paragraphs, pii, secrets, simhash, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, language, paragraphs, pii, secrets, simhash, suffixes, toxicity
 from .common import documents, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 100-byte strings that start earlier."""
+    found = suffixes.remove_repeats(documents(spark, sf_dir))
+    size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        size.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from labelled rows that are not held out."""
     docs, held = documents(spark, sf_dir), toxicity.held_out()
@@ -85,6 +98,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_paragraph_dedup": op3_paragraph_dedup,
         "op4_decontaminate": op4_decontaminate,
