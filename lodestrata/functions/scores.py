@@ -74,8 +74,9 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         return counts.select(c, (F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2.0).alias(f"r{c}"))
 
     both = rows.join(ranks("x"), "x").join(ranks("y"), "y")
-    rho = F.corr("rx", "ry")
-    return both.agg(F.count("*").alias("n"), F.coalesce(F.when(F.isnan(rho), 0.0).otherwise(rho), F.lit(0.0)).alias("rho"))
+    spread = F.stddev_pop("rx") * F.stddev_pop("ry")
+    rho = F.try_divide(F.covar_pop("rx", "ry"), spread)
+    return both.agg(F.count("*").alias("n"), F.coalesce(rho, F.lit(0.0)).alias("rho"))
 
 
 def contains_ci(column: Column, text: str) -> Column:
