@@ -39,12 +39,10 @@ def hotspots(
     weight = decay(F.col("ts"), as_of, half_life_days, kind)
     churn = (
         lines.join(g.touches.withColumn("w", weight), "path")
+        .groupBy("root", "hash")  # a commit has one author, so only authors are left to be told apart below
+        .agg(F.first("author_email").alias("author_email"), F.sum("w").alias("w"))
         .groupBy("root")
-        .agg(
-            F.countDistinct("hash").alias("commit_count"),
-            F.sum("w").alias("recent"),
-            F.countDistinct("author_email").alias("author_count"),
-        )
+        .agg(F.count("*").alias("commit_count"), F.sum("w").alias("recent"), F.countDistinct("author_email").alias("author_count"))
         .where(F.col("commit_count") >= min_commits)
     )
     small = g.small_touches(max_files_per_commit)
