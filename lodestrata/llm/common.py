@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +17,7 @@ from ..runtime import fresh_path, shared_dir, ship, written
 __all__ = ["fresh_path", "shared_dir", "ship", "written"]
 
 #: Bytes of a column that are worked on at once in Python.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 #: The six ASCII white-space characters as a Java and Python character class.
 ASCII_SPACE = r"[ \t\n\x0B\f\r]+"
 #: Rows up to which a two-column key table (at most about 100 bytes a row) is broadcast.
@@ -32,13 +34,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def given_back(mapped: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """mapped, which at a task's end returns the memory that its allocators hold: the worker process goes on living, and
+    what it keeps is missing to the executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from mapped(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only the GNU library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def with_mapped(
-    docs: DataFrame, source: str, ddl: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]]
+    docs: DataFrame,
+    source: str,
+    ddl: str,
+    make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+    done: Callable[[], None] = lambda: None,
 ) -> DataFrame:
     """docs with new columns (ddl) that are computed from the column source, in Python, over Arrow batches.
 
     make is called once in each task; what it returns gets a part of source at a time and gives the new columns. Parts
-    are of about PART_BYTES, so that neither they nor what is made of them grow with the size of a batch.
+    are of about PART_BYTES, so that neither they nor what is made of them grow with the size of a batch. done is called
+    at a task's end, to give back what the worker process, which goes on living, would else keep.
     """
     ship(docs.sparkSession)
     new = T.StructType.fromDDL(ddl)
@@ -46,16 +68,19 @@ def with_mapped(
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
-            column = batch.column(at)
-            rows = max(1, batch.num_rows * PART_BYTES // max(1, column.nbytes))
-            for start in range(0, max(1, batch.num_rows), rows):
-                part = batch.slice(start, rows)
-                made = [x.cast(k) for x, k in zip(compute(part.column(at)), kinds)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], schema.names)
+        try:
+            for batch in batches:
+                column = batch.column(at)
+                rows = max(1, batch.num_rows * PART_BYTES // max(1, column.nbytes))
+                for start in range(0, max(1, batch.num_rows), rows):
+                    part = batch.slice(start, rows)
+                    made = [x.cast(k) for x, k in zip(compute(part.column(at)), kinds)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *made], schema.names)
+        finally:
+            done()
 
     kinds = [to_arrow_type(f.dataType) for f in new]
-    return docs.mapInArrow(mapped, schema)
+    return docs.mapInArrow(given_back(mapped), schema)
 
 
 def sized(keys: DataFrame, rows: int | None = None) -> DataFrame:

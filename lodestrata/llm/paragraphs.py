@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import connected_components, salted_lookup, sized, with_mapped, written
+from .common import connected_components, given_back, salted_lookup, sized, with_mapped, written
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 LONG_LINE = 50
@@ -168,26 +168,30 @@ def jaccard_links(keys: list[int], sets: list[np.ndarray], least: float = SIMILA
     return links
 
 
-def _near_links(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """Links (a, b) of keys k1 between distinct paragraphs that share a band and are similar."""
-    banded = units.select("k1", F.explode("bands").alias("band"))
+def _members(units: DataFrame) -> DataFrame:
+    """band, k1, k2, doc_id (the smallest) of paragraphs whose band more than one distinct paragraph has."""
+    banded = units.select("k1", "k2", "doc_id", F.explode("bands").alias("band"))
     ends = banded.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high")
     shared = written(ends.select("band"), "bands")
-    count = shared.count()
-    members = banded.join(F.broadcast(shared) if count <= BROADCAST_BANDS else shared, "band", "left_semi").distinct()
-    members = written(members, "band-members")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_BANDS else shared
+    found = banded.join(shared, "band", "left_semi").groupBy("band", "k1")
+    return written(found.agg(F.min("k2").alias("k2"), F.min("doc_id").alias("doc_id")), "band-members")
+
+
+def _near_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) of keys k1 between distinct paragraphs that share a band and are similar."""
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
     mine = F.pmod(F.xxhash64("k1"), parts).cast("int")
     tiles = F.transform(
         F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j"))
     )
     sizes = members.groupBy("band").agg(F.count("*").alias("n"))
-    tiled = salted_lookup(members, sizes, "band", "inner", F.col("k1")).withColumn("mine", mine)
+    tiled = salted_lookup(members.select("k1", "band"), sizes, "band", "inner", F.col("k1")).withColumn("mine", mine)
     tiled = tiled.select("k1", "band", F.explode(tiles).alias("tile"))
     lists = tiled.groupBy("band", "tile").agg(F.array_sort(F.collect_set("k1")).alias("ks")).where(F.size("ks") > 1)
     # bands with the same paragraphs are compared once
     once = lists.groupBy("ks").agg(F.min(F.struct("band", "tile")).alias("list"))
-    sets = _shingle_sets(docs, units, members.select("k1").distinct())
+    sets = _shingle_sets(docs, members)
     rows = once.select("list", F.explode("ks").alias("k1"))
     rows = salted_lookup(rows, sets, "k1", "inner", F.col("list"))
     groups = rows.groupBy("list").agg(F.collect_list(F.struct("k1", "shingles")).alias("g")).select("g")
@@ -203,13 +207,12 @@ def _near_links(docs: DataFrame, units: DataFrame) -> DataFrame:
             pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return groups.mapInArrow(linked, "a bigint, b bigint")
+    return groups.mapInArrow(given_back(linked), "a bigint, b bigint")
 
 
-def _shingle_sets(docs: DataFrame, units: DataFrame, keys: DataFrame) -> DataFrame:
-    """k1, shingles of the keys, from the document of smallest doc_id that holds each."""
-    keys = written(keys, "candidates")
-    held = units.join(sized(keys), "k1", "left_semi").groupBy("k1").agg(F.min("doc_id").alias("doc_id"))
+def _shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """k1, shingles of the members, from the document of smallest doc_id that holds each."""
+    held = members.groupBy("k1").agg(F.min("doc_id").alias("doc_id"))
     wanted = written(held.groupBy("doc_id").agg(F.collect_list("k1").alias("ks")), "wanted")
     texts = docs.join(sized(wanted), "doc_id").select("ks", "text")
 
@@ -238,18 +241,16 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     cut = with_mapped(docs, "text", f"p {PARAGRAPHS}", lambda: _signed).select("doc_id", F.inline_outer("p"))
     units = written(cut, "paragraphs")
     found = units.where("k1 is not null")
-    groups = connected_components(_near_links(docs, found.where("doc_id is not null"))).withColumnRenamed("node", "k1")
-    equal = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    # equal paragraphs that are alone and near none are left out here
-    many = equal.join(sized(written(groups, "near")), "k1", "left").where("n > 1 or component is not null")
+    members = _members(found.where("doc_id is not null"))
+    groups = written(connected_components(_near_links(docs, members)).withColumnRenamed("node", "k1"), "near")
+    # equal paragraphs in several places, and those that are near others; what is alone is left out here
+    equal = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    near = members.join(groups, "k1", "left_semi").groupBy("k1", "k2").agg(F.min("doc_id").alias("low"))
+    many = equal.union(near).groupBy("k1", "k2").agg(F.min("low").alias("low")).join(groups, "k1", "left")
     many = written(many.select("k1", "k2", F.coalesce("component", "k1").alias("class"), "low"), "classes")
     lows = many.groupBy("class").agg(F.min("low").alias("keep_id"))
-    classes = written(salted_lookup(many, lows, "class", "inner", F.col("k1")).select(F.col("k1"), "k2", "class", "keep_id"), "keepers")
-    spot = found.select("doc_id", "k1", "k2", "start", "end")
-    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(8))
-    copies = classes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
-    small = classes.count() <= 200_000
-    hit = spot.join(F.broadcast(classes), ["k1", "k2"]) if small else spot.withColumn("salt", salt).join(copies, ["k1", "k2", "salt"])
+    classes = many.join(lows, "class").select("k1", "k2", "class", "keep_id")
+    hit = found.select("doc_id", "k1", "k2", "start", "end").join(classes, ["k1", "k2"])
     per = hit.groupBy("doc_id", "class").agg(
         F.min("keep_id").alias("keep_id"), F.min("start").alias("first"), F.collect_list(F.struct("start", "end")).alias("all")
     )

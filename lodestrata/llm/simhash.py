@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import connected_components, salted_lookup, with_mapped, written
+from .common import connected_components, given_back, salted_lookup, with_mapped, written
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -123,7 +123,7 @@ def links(distinct: DataFrame, bits: int = 3, blocks: int = 6, chunk: int = 20_0
             pairs = np.array(sorted(found), dtype=np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return buckets.mapInArrow(linked, "a long, b long")
+    return buckets.mapInArrow(given_back(linked), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, bits: int = 3, blocks: int = 6) -> DataFrame:
