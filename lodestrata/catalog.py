@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from .functions.paths import extension_of, is_bug_fix, module_of
 from .functions.scores import is_stale
-from .operators import callgraph, coupling, files, hotspots, lineage, ownership, risk
+from .operators import callgraph, coupling, files, hotspots, lineage, ownership, resolve, risk
 from .plans import proxy
 from .plans.graph import RepoGraph, Settings
 from .plans.materialize import materialize
+from .sources import diffs, gitlog
+from .streaming import history
 
 AS_OF, SINCE = proxy.AS_OF, "2001-01-01"
 EMAIL, OTHER = "n3", "n7"
@@ -568,6 +570,109 @@ def _call_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 _queries["call_dedupe"] = _call_dedupe
 
 
+# --- sources, resolution and streams, over texts and rows made of the tables
+
+
+def table_query(sql: str):
+    """Registers a function of (spark, sf_dir) under its name, with its SQL over the tables themselves."""
+
+    def registered(f: Query) -> Query:
+        _queries[f.__name__], _oracles[f.__name__] = f, sql
+        return f
+
+    return registered
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _log(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """History tables parsed from log text with a block for each order; every third line of an order is a rename."""
+    entry = F.expr("""concat(cast(l_quantity as int), '\t', l_linenumber, '\t', case when l_linenumber % 3 = 0
+        then concat('\\0', 'old/', l_partkey, '\\0', 'src/', l_partkey) else concat('src/', l_partkey) end, '\\0')""")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", entry.alias("e")))), lambda x: x["e"]), "")
+    lines = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(body.alias("body"))
+    orders = _read(spark, sf_dir, "orders").join(lines, "o_orderkey")
+    head = F.concat_ws(gitlog.UNIT, F.col("o_orderkey").cast("string"), F.concat(F.lit("c"), F.col("o_custkey") % 50), F.lit(""),
+                       F.col("o_orderdate").cast("string"), "o_orderpriority")
+    blocks = orders.select(F.col("o_orderkey").alias("log_pos"), F.concat(head, F.lit("\n"), "body").alias("block"))
+    return gitlog.tables(gitlog.parse_log(blocks))
+
+
+@table_query("""SELECT CAST(o_orderkey AS STRING) AS hash, 'c' || CAST(o_custkey % 50 AS STRING) || '@unknown.local' AS author_email, o_orderpriority AS message,
+  a AS additions, d AS deletions, n AS files_changed FROM orders JOIN (SELECT l_orderkey, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS a,
+  CAST(sum(l_linenumber) AS BIGINT) AS d, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def gitlog_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir)["commit"].select("hash", "author_email", "message", "additions", "deletions", "files_changed")
+
+
+@table_query("""SELECT CAST(l_orderkey AS STRING) AS hash, 'src/' || CAST(l_partkey AS STRING) AS path, CAST(arg_max(CAST(l_quantity AS INT), {'l': l_linenumber, 'q': CAST(CAST(l_quantity AS INT) AS VARCHAR)}) AS BIGINT) AS additions,
+  CAST(max(l_linenumber) AS BIGINT) AS deletions, CASE WHEN max(l_linenumber) % 3 = 0 THEN 'R' ELSE 'M' END AS change_type
+  FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey, l_partkey""")
+def gitlog_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir)["modified"]
+
+
+@table_query("""SELECT path, '' AS extension, split_part(path, '/', 1) AS module, path LIKE 'src/%' AND p IN (SELECT l_partkey FROM lineitem WHERE l_linenumber % 3 = 0) AS has_rename_history
+  FROM (SELECT DISTINCT 'src/' || CAST(l_partkey AS STRING) AS path, l_partkey AS p FROM lineitem
+  UNION SELECT 'old/' || CAST(l_partkey AS STRING), l_partkey FROM lineitem WHERE l_linenumber % 3 = 0)""")
+def gitlog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir)["file"].select("path", "extension", "module", "has_rename_history")
+
+
+@table_query("""SELECT DISTINCT 'old/' || CAST(l_partkey AS STRING) AS old_path, 'src/' || CAST(l_partkey AS STRING) AS new_path FROM lineitem WHERE l_linenumber % 3 = 0""")
+def gitlog_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir)["renamed_to"]
+
+
+@table_query("""SELECT 'd' || CAST(l_partkey % 40 AS STRING) AS path, 10 * l_linenumber AS lo, 10 * l_linenumber + CAST(l_quantity AS INT) - 1 AS hi FROM lineitem WHERE l_partkey % 40 <> 7""")
+def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line ranges parsed from one diff text for each order."""
+    part = F.expr("""concat('diff --git a b\n--- a/x\n+++ ', case when l_partkey % 40 = 7 then '/dev/null' else concat('b/d', l_partkey % 40) end,
+        '\n@@ -1,2 +', 10 * l_linenumber, ',', cast(l_quantity as int), ' @@ f()\n+x\n')""")
+    texts = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(part), "").alias("text"))
+    return diffs.diff_hunks(texts)
+
+
+_SITES = """SELECT 'f' || CAST(l_partkey % 20 AS STRING) || '::c' || CAST(l_suppkey % 5 AS STRING) AS caller_id, 'f' || CAST(l_partkey % 20 AS STRING) AS path,
+  CASE l_linenumber % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'self_attr' ELSE 'name_attr' END AS kind, 'm' || CAST(l_suppkey % 7 AS STRING) AS base,
+  'fn' || CAST(l_partkey % 90 AS STRING) AS name, l_linenumber AS line, l_orderkey * 10 + l_linenumber AS pos FROM {lineitem}"""
+_NAMED = """SELECT 'f' || CAST(k % 20 AS STRING) AS path, 'fn' || CAST(k % 60 AS STRING) AS name, 'f' || CAST(k % 20 AS STRING) || '::x' || CAST(k AS STRING) AS id
+  FROM (SELECT DISTINCT p_partkey % 75 AS k FROM {part}) x"""
+_BOUND = """SELECT 'f' || CAST(p_partkey % 20 AS STRING) AS path, CASE WHEN p_partkey % 2 = 0 THEN 'm' || CAST(p_partkey % 7 AS STRING) ELSE 'fn' || CAST(p_partkey % 90 AS STRING) END AS local,
+  'f' || CAST(p_partkey * 3 % 20 AS STRING) AS target, p_partkey AS pos FROM {part}"""
+_PLAIN = {"lineitem": "lineitem", "part": "part"}
+
+
+@table_query(f"""WITH s AS ({_SITES}), f AS ({_NAMED}), own AS (SELECT path, name, min(id) AS id FROM f GROUP BY 1, 2 HAVING count(*) = 1), every AS (SELECT name, min(id) AS id FROM f GROUP BY 1 HAVING count(*) = 1),
+  b AS (SELECT path, local, arg_max(target, pos) AS target FROM ({_BOUND}) x GROUP BY 1, 2),
+  r AS (SELECT s.*, CASE WHEN kind <> 'name_attr' THEN o.id END AS i1, CASE WHEN kind <> 'self_attr' THEN t.id END AS i2, e.id AS i3 FROM s LEFT JOIN own o ON o.path = s.path AND o.name = s.name
+  LEFT JOIN b ON b.path = s.path AND b.local = CASE kind WHEN 'name' THEN s.name WHEN 'name_attr' THEN s.base END LEFT JOIN own t ON t.path = b.target AND t.name = s.name LEFT JOIN every e ON e.name = s.name)
+  SELECT caller_id, coalesce(i1, i2, i3) AS callee_id, CASE WHEN i1 IS NULL AND i2 IS NULL THEN 'low' ELSE 'high' END AS confidence,
+  CASE WHEN i1 IS NOT NULL THEN 'same_file' WHEN i2 IS NOT NULL THEN 'import_resolved' ELSE 'name_heuristic' END AS resolution, line, pos FROM r
+  WHERE coalesce(i1, i2, i3) IS NOT NULL""".format(**_PLAIN))
+def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What call sites made of order lines mean."""
+    tables = {n: _read(spark, sf_dir, n) for n in _PLAIN}
+    sites, named, bound = (spark.sql(q, **{n: t for n, t in tables.items() if f"{{{n}}}" in q}) for q in (_SITES, _NAMED, _BOUND))
+    return resolve.resolve_calls(sites, named, bound)
+
+
+@table_query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return history.churn(events, "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@table_query("""SELECT min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", user_id, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, k""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = history.sessions(events, "user_id", "12 hours")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
