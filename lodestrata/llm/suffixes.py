@@ -6,7 +6,8 @@ hash, the leftmost of equals, so equal windows have equal anchors at equal place
 LENGTH - K bytes. Windows with the same anchor that follow each other form a segment.
 
 1. Anchor hashes are counted. Those that occur twice or more set bits in a filter of fixed size.
-2. Segments whose anchors pass the filter are sent to the task of their anchor; all others are unique.
+2. Segments whose anchors pass the filter are sent to the task of their anchor, without those that repeat what the same
+   task has sent already; all others are unique.
 3. There, the suffixes that begin at the anchors are sorted by a merge sort. Two suffixes are compared by the length of
    their common extension, which a binary search over prefix polynomial hashes finds in log2(LENGTH) steps; the
    extensions of neighbours in the result are verified byte by byte. Windows are equal where neighbours' extensions
@@ -27,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import PART_BYTES, salted_lookup, sized, with_mapped, written
+from .common import PART_BYTES, given_back, salted_lookup, with_mapped, written
 
 LENGTH, K = 100, 32
 HOT = 256
 FILTER_BITS = 1 << 26
+#: Segments that a task remembers to have sent.
+SEEN = 200_000
 #: Bytes of text that are hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -263,28 +266,43 @@ def _runs(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for batch in batches:
         column = batch.column(0)
         sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        for rows in _even(sizes, 20_000):
+        for rows in _even(sizes, 10_000):
             flat = column.slice(rows.start, rows.stop - rows.start).flatten()
             field = lambda name: flat.field(name).to_numpy(zero_copy_only=False)  # noqa: E731, B023
             doc, tag, s, w, a = (field(x) for x in ("doc_id", "tag", "s", "w", "a"))
             seg = flat.field("seg")
+            given = seg.is_null().to_numpy(zero_copy_only=False)
+            if given.any():  # known to repeat
+                yield _run_rows(doc[given], tag[given], s[given], w[given])
+                doc, tag, s, w, a = (x[~given] for x in (doc, tag, s, w, a))
+                seg = seg.filter(pa.array(~given))
             lengths = np.array([len(x) for x in seg.to_pylist()], np.int64)
             data = np.frombuffer(b"".join(seg.to_pylist()), np.uint8)
             starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            group = np.repeat(np.arange(len(sizes[rows])), sizes[rows])
+            group = np.repeat(np.arange(len(sizes[rows])), sizes[rows])[~given]
             rank = np.empty(len(doc), np.int64)
             rank[np.lexsort((s, tag, doc))] = np.arange(len(doc))
-            anchored = Anchored(group, data, starts, lengths, a.astype(np.int64), length)
-            item, window = anchored.repeated(rank, w.astype(np.int64))
+            alike, known = {}, np.zeros(len(doc), bool)  # equal segments of an anchor: all but the first repeat it whole
+            raw = data.tobytes()
+            by = np.argsort(rank)
+            for i, key in zip(by.tolist(), zip(group[by].tolist(), a[by].tolist(), starts[by].tolist(), lengths[by].tolist())):
+                known[i] = alike.setdefault((key[0], key[1], raw[key[2] : key[2] + key[3]]), i) != i
+            yield _run_rows(doc[known], tag[known], s[known], w[known])
+            kept = np.flatnonzero(~known)
+            anchored = Anchored(group[kept], data, starts[kept], lengths[kept], a[kept].astype(np.int64), length)
+            item, window = anchored.repeated(rank[kept], w[kept].astype(np.int64))
+            item = kept[item]
             by = np.lexsort((window, item))
             item, window = item[by], window[by]
             new = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(window, prepend=-2) != 1))
             count = np.diff(np.append(new, len(item)))
             i = item[new]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[i], pa.int64()), pa.array(tag[i], pa.int64()), pa.array(s[i] + window[new], pa.int64()), pa.array(count, pa.int32())],
-                ["doc_id", "tag", "s", "w"],
-            )
+            yield _run_rows(doc[i], tag[i], s[i] + window[new], count)
+
+
+def _run_rows(doc: np.ndarray, tag: np.ndarray, s: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(s, pa.int64()), pa.array(w, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "s", "w"])
 
 
 def _even(sizes: np.ndarray, most: int) -> Iterator[slice]:
@@ -319,57 +337,101 @@ def _filter(dups: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+class _Seen:
+    """The segments that a task has sent, with the first place of each: what is equal to one of them but later needs not
+    be sent, and what comes before it is sent and takes its place. Emptied when full, which only sends more."""
+
+    def __init__(self, most: int = SEEN):
+        self.most = most
+        self.first: dict[bytes, tuple[int, int, int]] = {}
+
+    def new(self, data: bytes, starts: list[int], ends: list[int], places: list[tuple[int, int, int]]) -> np.ndarray:
+        first, out = self.first, np.ones(len(starts), bool)
+        for i, (a, b, place) in enumerate(zip(starts, ends, places)):
+            key = data[a:b]
+            known = first.get(key)
+            if known is None or place < known:
+                first[key] = place
+            else:
+                out[i] = known == place
+        if len(first) > self.most:
+            first.clear()
+        return out
+
+
+def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h & np.uint64(len(bits) * 64 - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, tag, s, w): runs of w windows from byte s that also start earlier, of docs (doc_id, tag, text)."""
     spark = docs.sparkSession
     ship(spark)
-    anchors = docs.select("text").mapInArrow(lambda batches: _counted(length, k, batches), "h bigint, n bigint")
+    anchors = docs.select("text").mapInArrow(given_back(lambda batches: _counted(length, k, batches)), "h bigint, n bigint")
     counts = anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     dups = written(counts, "anchors")
     passed = spark.sparkContext.broadcast(_filter(dups, bits))  # of bits / 8 bytes
-    often = written(dups.where(F.col("n") > hot).select("h"), "hot-anchors")
+    often = spark.sparkContext.broadcast(_filter(dups.where(F.col("n") > hot), max(64, bits >> 4)))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch], want_hot: bool) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
             ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             done = 0
             for texts in _parts(batch.column(2)):
                 for data, rows, begins, places in _blocks(texts, length):
                     h, anchor, first, count, text = _within(data, begins, length, k)
-                    place = h & np.uint64(bits - 1)
-                    on = np.flatnonzero((passed.value[(place >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1))
-                    row = rows[text[on]] + done
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(h[on].view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(tags[row], pa.int64()),
-                            pa.array(first[on] - begins[text[on]] + places[text[on]], pa.int64()), pa.array(count[on], pa.int32()),
-                            pa.array(anchor[on] - first[on], pa.int32()), _gathered(data, first[on], count[on] + length - 1),
-                        ],
-                        ["h", "doc_id", "tag", "s", "w", "a", "seg"],
-                    )
+                    on = np.flatnonzero(_has(passed.value, h) & (_has(often.value, h) | (not want_hot)))
+                    h, anchor, first, count, text = (x[on] for x in (h, anchor, first, count, text))
+                    row = rows[text] + done
+                    doc, tag, s = ids[row], tags[row], first - begins[text] + places[text]
+                    where = list(zip(doc.tolist(), tag.tolist(), s.tolist()))
+                    new = seen.new(data.tobytes(), first.tolist(), (first + count + length - 1).tolist(), where)
+                    ours = _has(often.value, h) == want_hot
+                    send = np.flatnonzero(new & ours)
+                    yield _segment_rows(h[send], doc[send], tag[send], s[send], count[send], (anchor - first)[send],
+                                        _gathered(data, first[send], count[send] + length - 1))
+                    old = np.flatnonzero(~new & ours)  # runs of segments that repeat what this task has sent, as they are
+                    if len(old):
+                        d, t, a, n = doc[old], tag[old], s[old], count[old]
+                        head = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (a[1:] != a[:-1] + n[:-1]))))
+                        n = np.add.reduceat(n, head)
+                        key = _mixed((d[head] * 31 + a[head]).astype(np.uint64))
+                        yield _segment_rows(key, d[head], t[head], a[head], n, np.zeros(len(head), int), pa.nulls(len(head), pa.binary()))
                 done += len(texts)
 
-    found = docs.select("doc_id", "tag", "text").mapInArrow(cut, SEGMENT)
-    usual = found.join(sized(often), "h", "left_anti")
-    groups = usual.groupBy("h").agg(F.collect_list(F.struct("doc_id", "tag", "s", "w", "a", "seg")).alias("g")).where(F.size("g") > 1)
-    runs = groups.select("g").mapInArrow(lambda batches: _runs(length, batches), RUNS)
-    return runs.union(_hot_runs(found.join(sized(often), "h", "left_semi"), length))
+    source = docs.select("doc_id", "tag", "text")
+    usual = source.mapInArrow(given_back(lambda batches: cut(batches, False)), SEGMENT)
+    listed = F.collect_list(F.struct("doc_id", "tag", "s", "w", "a", "seg"))
+    groups = usual.groupBy("h").agg(listed.alias("g")).where((F.size("g") > 1) | F.col("g")[0]["seg"].isNull())
+    runs = groups.select("g").mapInArrow(given_back(lambda batches: _runs(length, batches)), RUNS)
+    if not often.value.any():
+        return runs
+    return runs.union(_hot_runs(source.mapInArrow(given_back(lambda batches: cut(batches, True)), SEGMENT), length))
+
+
+def _segment_rows(h, doc, tag, s, w, a, seg) -> pa.RecordBatch:
+    columns = [pa.array(h.view(np.int64)), pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(s, pa.int64()), pa.array(w, pa.int32()), pa.array(a, pa.int32()), seg]
+    return pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "tag", "s", "w", "a", "seg"])
 
 
 def _hot_runs(found: DataFrame, length: int) -> DataFrame:
     """The same for anchors that are not gathered: whole segments by digest, then windows by digest."""
     place = F.struct("doc_id", "tag", "s")
     found = written(found.withColumn("key", F.unhex(F.sha2(F.concat(F.col("a").cast("string").cast("binary"), F.lit(b"|"), "seg"), 256))), "hot-segments")
+    known = found.where("key is null").select("doc_id", "tag", "s", "w")  # repeats that a task has seen itself
+    found = found.where("key is not null")
     first = found.groupBy("key").agg(F.min(F.struct("doc_id", "tag", "s", "w", "seg")).alias("f"))
     again = salted_lookup(found.select("key", "doc_id", "tag", "s", "w"), first.select("key", F.struct("f.doc_id", "f.tag", "f.s").alias("f")), "key", "inner")
     whole = again.where(place != F.col("f")).select("doc_id", "tag", "s", "w")
     windows = first.select("f.doc_id", "f.tag", "f.s", "f.w", "f.seg").mapInArrow(
-        lambda batches: _windows(length, batches), "key binary, doc_id bigint, tag bigint, s bigint"
+        given_back(lambda batches: _windows(length, batches)), "key binary, doc_id bigint, tag bigint, s bigint"
     )
     windows = written(windows, "hot-windows")
     earliest = windows.groupBy("key").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = salted_lookup(windows, earliest, "key", "inner").where(place != F.col("f"))
-    return whole.union(later.select("doc_id", "tag", "s", F.lit(1).alias("w")))
+    return known.union(whole).union(later.select("doc_id", "tag", "s", F.lit(1).alias("w")))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, bits: int = FILTER_BITS) -> DataFrame:
@@ -380,7 +442,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     are ordered by a hash of their texts; if those are equal too, they are treated as one row and have the same result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumns({"doc_id": F.coalesce("id", F.lit(-(1 << 63))), "tag": F.xxhash64("text")})
+    docs = docs.withColumn("doc_id", F.coalesce("id", F.lit(-(1 << 63))))
+    alone = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    docs = docs.withColumn("tag", F.lit(0).cast("long") if alone else F.xxhash64("text"))
     runs = repeated_windows(docs, length, k, hot, bits)
     ends = runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("s", (F.col("s") + F.col("w") + (length - 1)).alias("e"))).alias("r"))
 
@@ -398,7 +462,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int =
 
     ranges = "array<struct<start:bigint,end:bigint>>"
     spans = written(with_mapped(ends, "r", f"removed {ranges}", lambda: united).drop("r"), "repeats")
-    out = docs.join(sized(spans), ["doc_id", "tag"], "left").select(
+    out = docs.join(spans, ["doc_id", "tag"], "left").select(
         F.col("id").alias("doc_id"), F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"),
         F.coalesce("removed", F.array().cast(ranges)).alias("removed"), F.coalesce("text", F.lit("")).alias("text"),
     )

@@ -63,11 +63,45 @@ def made(seed, alphabet):
     return docs + [(1, pool[0] * 3), (2, None), (4, ""), (5, "é" * 300), (301, docs[10][1]), (302, docs[10][1])]
 
 
+def test_blocks_hold_each_window_once(monkeypatch):
+    import pyarrow as pa
+
+    texts = [t for _, t in made(9, "ab")]
+    monkeypatch.setattr(suffixes, "PIECE", 300)
+    found = {}
+    for data, rows, begins, places in suffixes._blocks(pa.array(texts), 100):
+        for h, anchor, first, count, text in zip(*suffixes._within(data, begins, 100, 32)):
+            for j in range(first, first + count):
+                at = (int(rows[text]), int(j - begins[text] + places[text]))
+                assert at not in found
+                found[at] = (int(h), bytes(data[j : j + 100]))
+                assert j <= anchor <= j + 68
+    want = {}
+    for row, t in enumerate(texts):
+        data = (t or "").encode()
+        for j in range(len(data) - 99):
+            want[row, j] = data[j : j + 100]
+    assert {k: w for k, (_, w) in found.items()} == want
+    anchors = {}
+    for h, w in found.values():
+        assert anchors.setdefault(w, h) == h  # equal windows have equal anchors
+
+
+def test_seen_never_hides_a_first_place():
+    random.seed(4)
+    seen, sent, firsts = suffixes._Seen(3), set(), {}
+    for _ in range(500):
+        word, place = random.choice([b"ab", b"ba", b"aa", b"bb", b"cc"]), (random.randrange(100), 0, random.randrange(3))
+        if seen.new(word, [0], [2], [place])[0]:
+            sent.add((word, place))
+        firsts[word] = min(firsts.get(word, place), place)
+    assert all((w, p) in sent for w, p in firsts.items())
+
+
 @pytest.mark.parametrize("hot", [256, 2])
-def test_matches_brute_force(spark, monkeypatch, hot):
+def test_matches_brute_force(spark, hot):
     docs = made(hot, "abcdé ")
     table = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, tag string").repartition(6)
-    monkeypatch.setattr(suffixes, "PIECE", 700)
     out = suffixes.remove_repeats(table, hot=hot, bits=1 << 12).collect()
     got = {r.doc_id: ([tuple(x) for x in r.removed], bytes(r.kept)) for r in out}
     assert got == brute(docs, 100) and len(out) == len(docs)
