@@ -65,3 +65,18 @@ def test_odd_rows(spark):
     none = language.train(docs.where("false"))
     assert {r.lang_pred for r in language.identify(docs.select("doc_id", "text"), none).collect()} == {"und"}
     assert language.identify(docs.select("text").where("false"), trees).count() == 0
+
+
+def test_folds(spark):
+    import zlib
+
+    from lodestrata.llm.common import fold, hashed_sample
+
+    ids = [0, 7, 123456789, -5]
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    assert {r.doc_id: r.f for r in rows.select("doc_id", fold("doc_id", 4).alias("f")).collect()} == {i: zlib.crc32(str(i).encode()) % 4 for i in ids}
+    many = spark.range(5000).selectExpr("id as doc_id", "if(id % 10 = 0, 'a', 'b') as g")
+    got = hashed_sample(many, "g", 100).groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in got} == {"a": 100, "b": 100}
+    few = hashed_sample(many.where("doc_id < 30"), "g", 100)
+    assert few.count() == 30

@@ -97,3 +97,16 @@ def test_query(spark, sf_small):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert paragraphs.repeated_paragraphs(none).count() == 0
+
+
+def test_odd_rows(spark):
+    line = "one two three four five six seven"
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(None, line), (None, None), (7, line), (7, line), (3, f"{line}\n{line}"), (9, ""), (8, long), (5, long + " end"), (6, "too short")]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, class string")
+    out = {r.doc_id: (r.n_paragraphs, [tuple(x) for x in r.removed]) for r in paragraphs.repeated_paragraphs(docs).collect()}
+    n = len(line)
+    assert out == {
+        None: (1, [(0, n, 3)]), 7: (2, [(0, n, 3), (0, n, 3)]), 3: (2, [(n + 1, 2 * n + 1, 3)]), 9: (0, []),
+        8: (1, [(0, len(long), 5)]), 5: (1, []), 6: (0, []),
+    }
