@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What a commit message that fixes something says.
+#: What a commit message that fixes something says.
 FIX_PATTERNS = (r"\bfix(?:es|ed)?\b", r"\bbug\b", r"#\d+", r"^fix(?:\([^)]*\))?:")
 
 

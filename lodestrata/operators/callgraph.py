@@ -117,6 +117,10 @@ def file_call_nodes(g: RepoGraph, path: str) -> DataFrame:
     return own.unionByName(away)
 
 
+#: Fixed value: lines of call sites that a pair keeps.
+CALL_LINES = 20
+
+
 def dedupe_calls(sites: DataFrame) -> DataFrame:
     """One row per pair of call sites (caller_id, callee_id, confidence, resolution, line, pos).
 
@@ -129,7 +133,7 @@ def dedupe_calls(sites: DataFrame) -> DataFrame:
         F.when(F.bool_or(high), "high").otherwise("low").alias("confidence"),
         F.min_by("resolution", F.struct(F.when(high, 0).otherwise(1), F.col("pos"))).alias("resolution"),
         F.count("*").alias("call_count"),
-        F.slice(lines, 1, 20).alias("call_lines"),
+        F.slice(lines, 1, CALL_LINES).alias("call_lines"),
     )
 
 

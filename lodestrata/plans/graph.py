@@ -31,7 +31,7 @@ KEYS = {
 
 @dataclass(frozen=True)
 class Settings:
-    """Defaults that are part of the results."""
+    """Defaults that are part of the results."""
 
     min_commits: int = 8
     max_files_per_commit: int = 10

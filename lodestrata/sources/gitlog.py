@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import extension_of, module_of, shortened
 
-#: Fixed by the log format.
+#: Fixed values of the log format.
 RECORD, UNIT = "\x1e", "\x1f"
 PRETTY = "%x1e%H%x1f%aN%x1f%aE%x1f%aI%x1f%s"
 #: additions, deletions, then a path, or nothing and the old and the new path of a rename.
 ENTRY = r"(\d+|-)\t(\d+|-)\t(?:([^\x00\t\n]+)\x00|\x00([^\x00]+)\x00([^\x00]+)(?:\x00|$))"
+#: Fixed value: characters of a message that are kept.
 MESSAGE_LENGTH = 500
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import extension_of
 from ..runtime import ship
 
+#: Characters of a source that are kept, and what marks that there were more.
 SOURCE_LENGTH, SOURCE_MARK = 20_000, "\n... (truncated)"
 FUNCTION = (
     "id string, path string, name string, qualname string, language string, start_line int, end_line int, "
