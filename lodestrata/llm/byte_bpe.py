@@ -232,6 +232,11 @@ def _encoder(raw: bytes, pattern: str) -> TextEncoder:
     return _loaded[key]
 
 
+def _forget() -> None:
+    """Frees the memos: a worker that has coded pieces may next run something else."""
+    _loaded.clear()
+
+
 class ByteBPE:
     """Encodes and decodes columns. path: a .tiktoken file that the driver can read; pattern: what cuts the pieces."""
 
@@ -248,7 +253,7 @@ class ByteBPE:
             encode = _encoder(raw.value, pattern).encode
             return lambda texts: [pa.array([encode(t.as_py() or "") for t in texts], pa.binary())]
 
-        return with_mapped(docs, text, f"`{ids}` binary", make)
+        return with_mapped(docs, text, f"`{ids}` binary", make, _forget)
 
     def round_trip(self, docs: DataFrame, text: str = "text", ids: str = "ids", data: str = "decoded") -> DataFrame:
         """docs with ids and the bytes decoded from them, in one pass: each core needs one Python worker, not two."""
@@ -263,7 +268,7 @@ class ByteBPE:
 
             return both
 
-        return with_mapped(docs, text, f"`{ids}` binary, `{data}` binary", make)
+        return with_mapped(docs, text, f"`{ids}` binary, `{data}` binary", make, _forget)
 
     def decode(self, docs: DataFrame, ids: str = "ids", data: str = "decoded") -> DataFrame:
         """docs with data: the bytes that the ids stand for."""
@@ -273,4 +278,4 @@ class ByteBPE:
             decode = _encoder(raw.value, pattern).decode
             return lambda column: [pa.array([decode(i.as_py() or b"") for i in column], pa.binary())]
 
-        return with_mapped(docs, ids, f"`{data}` binary", make)
+        return with_mapped(docs, ids, f"`{data}` binary", make, _forget)
