@@ -178,7 +178,7 @@ def path_parts(g):
 # --- files
 
 
-@query(f"""SELECT f.path, f.extension, f.module, f.is_deleted, s.commit_count, s.first_ts, s.last_ts, NULL AS renamed_to
+@query(f"""SELECT f.path, f.extension, f.module, f.is_deleted, s.commit_count, s.first_ts, s.last_ts, NULL::VARCHAR AS renamed_to
   FROM file f, (SELECT count(*) AS commit_count, min(timestamp) AS first_ts, max(timestamp) AS last_ts FROM t JOIN lin USING (path) WHERE root = {_P}) s
   WHERE f.path = {_P}""")
 def file_detail(g):
