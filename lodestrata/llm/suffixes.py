@@ -12,8 +12,8 @@ LENGTH - K bytes. Windows with the same anchor that follow each other form a seg
    their common extension, which a binary search over prefix polynomial hashes finds in log2(LENGTH) steps; the
    extensions of neighbours in the result are verified byte by byte. Windows are equal where neighbours' extensions
    reach over their right part and the hashes of their left parts agree (verified too).
-4. Anchors that occur more than HOT times are not gathered: equal segments are folded to their first occurrence, and the
-   windows of what is left are folded by digest.
+4. Anchors of which more than HOT segments would be gathered (counting equal ones once for each block of text) are not:
+   equal segments are folded to their first occurrence, and the windows of what is left are folded by digest.
 5. The windows found are laid over the whole texts.
 """
 
@@ -31,7 +31,8 @@ from ..runtime import ship
 from .common import PART_BYTES, given_back, salted_lookup, with_mapped, written
 
 LENGTH, K = 100, 32
-HOT = 256
+#: Segments of one anchor that are gathered: about a megabyte. Batches that Python gets are bounded by their bytes.
+HOT = 8192
 FILTER_BITS = 1 << 26
 #: Segments that a task remembers to have sent.
 SEEN = 200_000
@@ -136,8 +137,15 @@ def _counted(length: int, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator
     for batch in batches:
         for texts in _parts(batch.column(0)):
             for data, _, begins, _ in _blocks(texts, length):
-                h, n = np.unique(_within(data, begins, length, k)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+                h, anchor, first, count, _ = _within(data, begins, length, k)
+                whole = _mixed(_hashes(_prefixes(data), first, count + length - 1) + (anchor - first).astype(np.uint64))
+                by = np.lexsort((whole, h))
+                h, whole = h[by], whole[by]
+                head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+                other = np.concatenate(([True], (whole[1:] != whole[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, bool)
+                kinds = np.add.reduceat(other.astype(np.int64), head) if len(h) else head
+                n = np.diff(np.append(head, len(h)))
+                yield pa.RecordBatch.from_arrays([pa.array(h[head].view(np.int64)), pa.array(n), pa.array(kinds)], ["h", "n", "kinds"])
 
 
 def _parts(column: pa.Array) -> Iterator[pa.Array]:
@@ -368,11 +376,11 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int
     """(doc_id, tag, s, w): runs of w windows from byte s that also start earlier, of docs (doc_id, tag, text)."""
     spark = docs.sparkSession
     ship(spark)
-    anchors = docs.select("text").mapInArrow(given_back(lambda batches: _counted(length, k, batches)), "h bigint, n bigint")
-    counts = anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    anchors = docs.select("text").mapInArrow(given_back(lambda batches: _counted(length, k, batches)), "h bigint, n bigint, kinds bigint")
+    counts = anchors.groupBy("h").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).where("n > 1")
     dups = written(counts, "anchors")
     passed = spark.sparkContext.broadcast(_filter(dups, bits))  # of bits / 8 bytes
-    often = spark.sparkContext.broadcast(_filter(dups.where(F.col("n") > hot), max(64, bits >> 4)))
+    often = spark.sparkContext.broadcast(_filter(dups.where(F.col("kinds") > hot), max(64, bits >> 4)))
 
     def cut(batches: Iterator[pa.RecordBatch], want_hot: bool) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
@@ -423,7 +431,8 @@ def _hot_runs(found: DataFrame, length: int) -> DataFrame:
     known = found.where("key is null").select("doc_id", "tag", "s", "w")  # repeats that a task has seen itself
     found = found.where("key is not null")
     first = found.groupBy("key").agg(F.min(F.struct("doc_id", "tag", "s", "w", "seg")).alias("f"))
-    again = salted_lookup(found.select("key", "doc_id", "tag", "s", "w"), first.select("key", F.struct("f.doc_id", "f.tag", "f.s").alias("f")), "key", "inner")
+    # a task has sent a segment once, so that no key has many more rows than there were tasks
+    again = found.select("key", "doc_id", "tag", "s", "w").join(first.select("key", F.struct("f.doc_id", "f.tag", "f.s").alias("f")), "key")
     whole = again.where(place != F.col("f")).select("doc_id", "tag", "s", "w")
     windows = first.select("f.doc_id", "f.tag", "f.s", "f.w", "f.seg").mapInArrow(
         given_back(lambda batches: _windows(length, batches)), "key binary, doc_id bigint, tag bigint, s bigint"
