@@ -34,14 +34,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The paragraphs of every document that repeat an earlier one."""
+    """The paragraphs of every document that repeat an earlier one, long lines cut into sentences; and the whole lines."""
     found = paragraphs.repeated_paragraphs(documents(spark, sf_dir))
     return found.select(
         "doc_id",
         "n_paragraphs",
         F.size("removed").cast("long").alias("n_removed"),
         "removed",
-        F.array_sort(F.array_distinct("removed.keep_id")).alias("keep_ids"),
+        F.array_sort(F.array_union("removed.keep_id", "removed_lines.keep_id")).alias("keep_ids"),
+        F.size("removed_lines").cast("long").alias("n_removed_lines"),
+        "removed_lines",
     )
 
 

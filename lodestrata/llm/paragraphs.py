@@ -1,7 +1,9 @@
 """Substring deduplication of paragraphs by MinHash banding.
 
 A paragraph is a line; a line of more than LONG_LINE words is cut at its sentence ends, so that a passage inside of it
-lines up wherever it stands. Words are compared in lower case (A-Z); paragraphs of fewer than five words are left alone.
+lines up wherever it stands. Besides, all lines are compared whole, whatever their length: that is a second level, with
+classes of its own, so that a line and a sentence inside of it never remove each other. What repeats is the union of both.
+Words are compared in lower case (A-Z); paragraphs of fewer than five words are left alone.
 Equal paragraphs are one class by two 64-bit hashes. Distinct ones with at least four five-word shingles are signed with
 BANDS bands of ROWS MinHashes: a pair of Jaccard similarity 0.8 shares a band with probability
 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.997. Paragraphs that share a band are linked if the exact Jaccard similarity of their
@@ -14,11 +16,11 @@ their connected group, not in all pairs, and a band that more than CHUNK share i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
@@ -27,6 +29,10 @@ from .common import connected_components, given_back, salted_lookup, sized, with
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 LONG_LINE = 50
 BANDS, ROWS = 8, 3
+#: Levels, as bits: paragraphs with long lines cut, and whole lines. What is not cut belongs to both.
+CUT, WHOLE = 1, 2
+#: Tells the node of a whole line from that of a paragraph with the same k1.
+_WHOLE_NODE = 0x5851F42D4C957F2D
 CHUNK = 2000
 #: Bands that more than one distinct paragraph has, up to which they are broadcast.
 BROADCAST_BANDS = 1_000_000
@@ -64,9 +70,12 @@ def _range_hash(values: np.ndarray, base: np.uint64, starts: np.ndarray, ends: n
 
 
 class Paragraphs:
-    """The paragraphs of several texts: document's number, byte and character ranges, words and shingles."""
+    """The paragraphs of several texts: document's number, byte and character ranges, words and shingles.
 
-    def __init__(self, texts: list[str | None]):
+    With lines, also the lines that are cut, whole, by place among them.
+    """
+
+    def __init__(self, texts: list[str | None], lines: bool = False):
         raw = [(t or "").encode() for t in texts]
         data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
         data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
@@ -83,7 +92,17 @@ class Paragraphs:
         first = np.flatnonzero(new)
         sizes = np.diff(np.append(first, n))
         sure = sizes >= SHINGLE_WORDS
+        heads = np.flatnonzero(np.diff(line, prepend=-1))
+        spans = np.diff(np.append(heads, n))
+        pieces = np.add.reduceat(new.astype(np.int64), heads) if n else spans
         self.first, self.sizes = first[sure], sizes[sure]
+        self.levels = np.where(np.repeat(pieces, spans)[self.first] > 1, CUT, CUT | WHOLE)
+        if lines:
+            whole = pieces > 1
+            self.first, self.sizes = np.append(self.first, heads[whole]), np.append(self.sizes, spans[whole])
+            self.levels = np.append(self.levels, np.full(np.count_nonzero(whole), WHOLE))
+            by = np.lexsort((self.levels, self.first))
+            self.first, self.sizes, self.levels = self.first[by], self.sizes[by], self.levels[by]
         self.words = _mixed(_range_hash(data.astype(np.uint64) + np.uint64(1), _BASE, starts, ends)) if n else np.zeros(0, np.uint64)
         begin, end = starts[self.first], ends[self.first + self.sizes - 1]
         lengths = np.array([len(r) + 1 for r in raw])
@@ -124,19 +143,21 @@ class Paragraphs:
         return signed, out
 
 
-PARAGRAPHS = "array<struct<k1:bigint,k2:bigint,start:int,end:int,bands:array<bigint>>>"
-_ROW = pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("bands", pa.list_(pa.int64()))])
+PARAGRAPHS = "array<struct<k1:bigint,k2:bigint,start:int,end:int,levels:int,bands:array<bigint>>>"
+_ROW = pa.struct(
+    [("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("levels", pa.int32()), ("bands", pa.list_(pa.int64()))]
+)
 
 
 def _signed(texts: pa.Array) -> list[pa.Array]:
-    p = Paragraphs(texts.to_pylist())
+    p = Paragraphs(texts.to_pylist(), lines=True)
     k1, k2 = (k.view(np.int64) for k in p.keys())
     signed, bands = p.bands()
     per = np.zeros(len(p.first), np.int32)
     per[signed] = BANDS
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))), pa.int32()), pa.array(bands.ravel().view(np.int64)))
     rows = pa.StructArray.from_arrays(
-        [pa.array(k1), pa.array(k2), pa.array(p.start, pa.int32()), pa.array(p.end, pa.int32()), lists], fields=list(_ROW)
+        [pa.array(k1), pa.array(k2), *(pa.array(x, pa.int32()) for x in (p.start, p.end, p.levels)), lists], fields=list(_ROW)
     )
     counts = np.bincount(p.documents, minlength=len(texts))
     return [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), rows)]
@@ -168,42 +189,64 @@ def jaccard_links(keys: list[int], sets: list[np.ndarray], least: float = SIMILA
     return links
 
 
+def _low(level: int) -> Column:
+    return F.min(F.when(F.col("levels").bitwiseAND(level) > 0, F.col("doc_id")))
+
+
+def _held(level: int) -> Column:
+    return F.col(f"low{level}").isNotNull()
+
+
+def _by_level(rows: DataFrame, holds: Callable[[int], Column]) -> DataFrame:
+    """k1, k2, level, low, node of rows with low1 and low2, the smallest doc_id at each level, for the levels that hold."""
+    levels = [F.struct(holds(x).alias("on"), F.lit(x).alias("level"), F.col(f"low{x}").alias("low")) for x in (CUT, WHOLE)]
+    rest = [c for c in rows.columns if c in ("k1", "k2", "band")]
+    each = rows.select(*rest, F.inline(F.array(*levels))).where("on").drop("on")
+    node = F.when(F.col("level") == CUT, F.col("k1")).otherwise(F.col("k1").bitwiseXOR(F.lit(_WHOLE_NODE)))
+    return each.withColumn("node", node)
+
+
 def _members(units: DataFrame) -> DataFrame:
-    """band, k1, k2, doc_id (the smallest) of paragraphs whose band more than one distinct paragraph has."""
-    banded = units.select("k1", "k2", "doc_id", F.explode("bands").alias("band"))
+    """band, k1, k2, low1, low2 (the smallest doc_id at each level) of paragraphs whose band more than one distinct one has."""
+    banded = units.select("k1", "k2", "doc_id", "levels", F.explode("bands").alias("band"))
     ends = banded.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high")
     shared = written(ends.select("band"), "bands")
     shared = F.broadcast(shared) if shared.count() <= BROADCAST_BANDS else shared
     found = banded.join(shared, "band", "left_semi").groupBy("band", "k1")
-    return written(found.agg(F.min("k2").alias("k2"), F.min("doc_id").alias("doc_id")), "band-members")
+    return written(found.agg(F.min("k2").alias("k2"), _low(CUT).alias("low1"), _low(WHOLE).alias("low2")), "band-members")
 
 
 def _near_links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (a, b) of keys k1 between distinct paragraphs that share a band and are similar."""
+    """Links (a, b) of nodes between distinct paragraphs of one level that share a band and are similar."""
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
     mine = F.pmod(F.xxhash64("k1"), parts).cast("int")
     tiles = F.transform(
         F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j"))
     )
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
-    tiled = salted_lookup(members.select("k1", "band"), sizes, "band", "inner", F.col("k1")).withColumn("mine", mine)
-    tiled = tiled.select("k1", "band", F.explode(tiles).alias("tile"))
-    lists = tiled.groupBy("band", "tile").agg(F.array_sort(F.collect_set("k1")).alias("ks")).where(F.size("ks") > 1)
-    # bands with the same paragraphs are compared once
-    once = lists.groupBy("ks").agg(F.min(F.struct("band", "tile")).alias("list"))
+    each = _by_level(members, _held).select("k1", "level", F.xxhash64("band", "level").alias("band"))
+    sizes = each.groupBy("band").agg(F.count("*").alias("n"))
+    tiled = salted_lookup(each, sizes, "band", "inner", F.col("k1")).withColumn("mine", mine)
+    tiled = tiled.select("k1", "level", "band", F.explode(tiles).alias("tile"))
+    lists = tiled.groupBy("band", "level", "tile").agg(F.array_sort(F.collect_set("k1")).alias("ks")).where(F.size("ks") > 1)
+    # bands with the same paragraphs, of both levels, are compared once
+    once = lists.groupBy("ks").agg(F.min(F.struct("band", "level", "tile")).alias("list"), F.bit_or("level").alias("levels"))
     sets = _shingle_sets(docs, members)
-    rows = once.select("list", F.explode("ks").alias("k1"))
-    rows = salted_lookup(rows, sets, "k1", "inner", F.col("list"))
-    groups = rows.groupBy("list").agg(F.collect_list(F.struct("k1", "shingles")).alias("g")).select("g")
+    rows = once.select("list", "levels", F.explode("ks").alias("k1"))
+    rows = rows.join(sets, "k1")  # a paragraph is in BANDS lists a level, and more only where bands are dealt as chunks
+    groups = rows.groupBy("list", "levels").agg(F.collect_list(F.struct("k1", "shingles")).alias("g")).select("g", "levels")
     ship(docs.sparkSession)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            for row in batch.column(0):
+            for row, levels in zip(batch.column(0), batch.column(1).to_pylist()):
                 members = row.values
                 keys, lists = members.field("k1").to_pylist(), members.field("shingles")
-                found.update(jaccard_links(keys, [lists[i].values.to_numpy() for i in range(len(keys))]))
+                links = jaccard_links(keys, [lists[i].values.to_numpy() for i in range(len(keys))])
+                if levels & CUT:
+                    found.update(links)
+                if levels & WHOLE:
+                    found.update((a ^ _WHOLE_NODE, b ^ _WHOLE_NODE) for a, b in links)
             pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -212,12 +255,12 @@ def _near_links(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def _shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """k1, shingles of the members, from the document of smallest doc_id that holds each."""
-    held = members.groupBy("k1").agg(F.min("doc_id").alias("doc_id"))
+    held = members.groupBy("k1").agg(F.min(F.least("low1", "low2")).alias("doc_id"))
     wanted = written(held.groupBy("doc_id").agg(F.collect_list("k1").alias("ks")), "wanted")
     texts = docs.join(sized(wanted), "doc_id").select("ks", "text")
 
     def cut(texts: pa.Array) -> list[pa.Array]:
-        p = Paragraphs(texts.to_pylist())
+        p = Paragraphs(texts.to_pylist(), lines=True)
         shingles, offsets = p.shingles()
         k1 = p.keys()[0].view(np.int64)
         rows = [[] for _ in range(len(texts))]
@@ -227,37 +270,45 @@ def _shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     each = with_mapped(texts, "text", "cut array<struct<k1:bigint,shingles:array<bigint>>>", lambda: cut)
     some = each.select(F.explode(F.filter("cut", lambda x: F.array_contains("ks", x["k1"]))).alias("x")).select("x.*")
-    return written(some.dropDuplicates(["k1"]), "shingle-sets")
+    return some.dropDuplicates(["k1"])
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs, removed of every row of docs (doc_id, text; other columns are ignored).
+    """doc_id, n_paragraphs, removed, removed_lines of every row of docs (doc_id, text; other columns are ignored).
 
-    n_paragraphs counts paragraphs of five words or more; removed is array<struct<start,end,keep_id>> by place, in code
-    points, end exclusive, with the document whose paragraph stays. Null and empty texts have none. Rows that repeat a
-    doc_id are one document with the paragraphs of all, of which equal ones at the same place stay together.
+    n_paragraphs counts paragraphs of five words or more, long lines cut; removed is array<struct<start,end,keep_id>> by
+    place, in code points, end exclusive, with the document whose paragraph stays. removed_lines is the same of whole
+    lines; to drop all that repeats, cut out both. Null and empty texts have none. Rows that repeat a doc_id are one
+    document with the paragraphs of all, of which equal ones at the same place stay together.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = with_mapped(docs, "text", f"p {PARAGRAPHS}", lambda: _signed).select("doc_id", F.inline_outer("p"))
     units = written(cut, "paragraphs")
     found = units.where("k1 is not null")
     members = _members(found.where("doc_id is not null"))
-    groups = written(connected_components(_near_links(docs, members)).withColumnRenamed("node", "k1"), "near")
+    groups = written(connected_components(_near_links(docs, members)), "near")
     # equal paragraphs in several places, and those that are near others; what is alone is left out here
-    equal = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = members.join(groups, "k1", "left_semi").groupBy("k1", "k2").agg(F.min("doc_id").alias("low"))
-    many = equal.union(near).groupBy("k1", "k2").agg(F.min("low").alias("low")).join(groups, "k1", "left")
-    many = written(many.select("k1", "k2", F.coalesce("component", "k1").alias("class"), "low"), "classes")
-    lows = many.groupBy("class").agg(F.min("low").alias("keep_id"))
-    classes = many.join(lows, "class").select("k1", "k2", "class", "keep_id")
-    hit = found.select("doc_id", "k1", "k2", "start", "end").join(classes, ["k1", "k2"])
-    per = hit.groupBy("doc_id", "class").agg(
+    times = lambda level: F.count_if(F.col("levels").bitwiseAND(level) > 0)
+    equal = found.groupBy("k1", "k2").agg(_low(CUT).alias("low1"), _low(WHOLE).alias("low2"), times(CUT).alias("n1"), times(WHOLE).alias("n2"))
+    equal = _by_level(equal.where("n1 > 1 or n2 > 1"), lambda level: F.col(f"n{level}") > 1)
+    near = members.groupBy("k1", "k2").agg(F.min("low1").alias("low1"), F.min("low2").alias("low2"))
+    near = _by_level(near, _held).join(groups, "node", "left_semi").select(equal.columns)
+    many = equal.union(near).groupBy("k1", "k2", "level", "node").agg(F.min("low").alias("low")).join(groups, "node", "left")
+    many = written(many.select("k1", "k2", "level", F.coalesce("component", "node").alias("class"), "low"), "classes")
+    lows = many.groupBy("level", "class").agg(F.min("low").alias("keep_id"))
+    classes = many.join(lows, ["level", "class"]).select("k1", "k2", "level", "class", "keep_id")
+    hit = found.select("doc_id", "k1", "k2", "start", "end", "levels").join(classes, ["k1", "k2"])
+    per = hit.where(F.col("levels").bitwiseAND(F.col("level")) > 0).groupBy("doc_id", "level", "class").agg(
         F.min("keep_id").alias("keep_id"), F.min("start").alias("first"), F.collect_list(F.struct("start", "end")).alias("all")
     )
     gone = F.filter("all", lambda x: (~F.col("doc_id").eqNullSafe(F.col("keep_id"))) | (x["start"] != F.col("first")))
     gone = F.transform(gone, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.col("keep_id").alias("keep_id")))
-    removed = per.select("doc_id", gone.alias("r")).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("r"))).alias("removed"))
-    counts = units.groupBy("doc_id").agg(F.count("k1").alias("n_paragraphs"))
+    listed = lambda level: F.array_sort(F.flatten(F.collect_list(F.when(F.col("level") == level, F.col("r")))))
+    removed = per.select("doc_id", "level", gone.alias("r")).groupBy("doc_id")
+    removed = removed.agg(listed(CUT).alias("removed"), listed(WHOLE).alias("removed_lines"))
+    counts = units.groupBy("doc_id").agg(F.count_if(F.col("levels").bitwiseAND(CUT) > 0).alias("n_paragraphs"))
     none = F.array().cast("array<struct<start:int,end:int,keep_id:bigint>>")
     out = counts.join(removed.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    return out.select("doc_id", "n_paragraphs", F.coalesce("removed", none).alias("removed"))
+    return out.select(
+        "doc_id", "n_paragraphs", F.coalesce("removed", none).alias("removed"), F.coalesce("removed_lines", none).alias("removed_lines")
+    )

@@ -110,3 +110,34 @@ def test_odd_rows(spark):
         None: (1, [(0, n, 3)]), 7: (2, [(0, n, 3), (0, n, 3)]), 3: (2, [(n + 1, 2 * n + 1, 3)]), 9: (0, []),
         8: (1, [(0, len(long), 5)]), 5: (1, []), 6: (0, []),
     }
+
+
+def brute_lines(docs, monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(paragraphs, "LONG_LINE", 1 << 60)
+        return brute(docs)[0]
+
+
+def test_long_lines_are_compared_whole(spark, monkeypatch):
+    random.seed(6)
+    docs, fresh = made(6), iter(range(10**6))
+    for d in range(100, 130, 3):
+        words = [f"w{next(fresh)}" + "." * (i % 9 == 8) for i in range(random.choice([50, 51, 90]))]
+        docs.append((d, " ".join(words)))
+        docs.append((d + 1, " ".join([*words[:4], "other", *words[5:]])))  # no sentence but the first is changed
+        docs.append((d + 2, "before it\n" + " ".join([*words, "more"])))  # 50 words become 51
+    same = "it goes on and on and on for long. Yes. " * 8
+    docs += [(140, same), (141, same)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    out = paragraphs.repeated_paragraphs(table).collect()
+    want = brute_lines(docs, monkeypatch)
+    assert {r.doc_id: [tuple(x) for x in r.removed_lines] for r in out} == want
+    assert {r.doc_id: [tuple(x) for x in r.removed] for r in out} == brute(docs)[0]
+    assert all(want[d + 1] and want[d + 2] for d in range(100, 130, 3)) and want[141] == [(0, len(same) - 1, 140)]
+
+
+def test_query_lines(spark, sf_small, monkeypatch):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
+    out = catalog.queries()["op3_paragraph_dedup"](spark, sf_small).collect()
+    assert {r.doc_id: [tuple(x) for x in r.removed_lines] for r in out} == brute_lines(docs, monkeypatch)
+    assert all(r.n_removed_lines == len(r.removed_lines) for r in out)
