@@ -454,7 +454,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     docs = docs.withColumn("doc_id", F.coalesce("id", F.lit(-(1 << 63))))
     alone = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     docs = docs.withColumn("tag", F.lit(0).cast("long") if alone else F.xxhash64("text"))
-    runs = repeated_windows(docs, length, k, hot, bits)
+    distinct = docs
+    if not alone and not docs.groupBy("doc_id", "tag").count().where("count > 1").isEmpty():
+        distinct = written(docs.select("doc_id", "tag", "text").distinct(), "distinct")
+    runs = repeated_windows(distinct, length, k, hot, bits)
     ends = runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("s", (F.col("s") + F.col("w") + (length - 1)).alias("e"))).alias("r"))
 
     def united(column: pa.Array) -> list[pa.Array]:

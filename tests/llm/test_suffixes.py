@@ -125,3 +125,13 @@ def test_query(spark, sf_small):
         spans, kept = want[r.doc_id]
         assert (r.n_spans, r.n_removed) == (len(spans), sum(b - a for a, b in spans))
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("hot", [256, 0])
+def test_rows_that_repeat_keep_their_text(spark, hot):
+    random.seed(7)
+    t, u, v = ("".join(random.choice("abcdefgh") for _ in range(400)) for _ in range(3))
+    rows = [(3, t), (3, t), (None, u), (None, u), (None, u), (5, v), (5, v), (9, t), (9, v[:300])]
+    out = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot=hot).collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, bytes(r.kept).decode()) for r in out)
+    assert got == [(-1, 400, u)] * 3 + [(3, 400, t)] * 2 + [(5, 400, v)] * 2 + [(9, 300, ""), (9, 400, "")]
