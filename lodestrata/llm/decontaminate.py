@@ -3,13 +3,14 @@
 Texts are compared in lower case with each run of white space as one space. An item of m characters may differ by up to
 k = floor(m * ERROR_RATE) edits. It is cut into k + 1 pieces: any passage within k edits holds one of them unchanged. An
 Aho-Corasick automaton finds the pieces in whole texts; around each hit, Myers's bit-parallel algorithm finds the
-passage with the least edit distance. No passage within the budget is missed.
+passages within the budget, nearest first. Every passage within the budget is given or overlaps one that is.
 
 The benchmark is taken in blocks of bounded size, each of which is sent to all rows; documents are not shuffled.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -94,6 +95,31 @@ def nearest(item: str, text: str, budget: int) -> tuple[int, int, int] | None:
     return best, start, end
 
 
+def passages(item: str, text: str, budget: int) -> list[tuple[int, int, int]]:
+    """(distance, start, end) of passages of text within the budget that don't overlap, taken nearest first."""
+    least = len(item) - budget  # no passage is shorter
+    ends = sorted((d, i + 1) for i, d in enumerate(distances(item, text, False)) if d <= budget)
+    taken: list[tuple[int, int, int]] = []  # start, end, distance
+    for d, end in ends:
+        at = bisect_left(taken, (end,))  # those before it start before end
+        if at and taken[at - 1][1] > end - least:
+            continue
+        start = end
+        for i, x in enumerate(distances(item[::-1], text[max(0, end - len(item) - budget) : end][::-1], True)):
+            if x == d:
+                start = end - i - 1
+                break
+        if not at or taken[at - 1][1] <= start:
+            taken.insert(at, (start, end, d))
+    found = [(d, a, b) for a, b, d in taken]
+    # what is between may hold passages that end as well where a nearer one that overlaps those taken does
+    edges = [0, *(x for a, b, _ in taken for x in (a, b)), len(text)]
+    for lo, hi in zip(edges[::2], edges[1::2]) if taken else ():
+        if any(lo + least <= end <= hi for _, end in ends):
+            found += [(d, a + lo, b + lo) for d, a, b in passages(item, text[lo:hi], budget)]
+    return found
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
         self.items = [(k, normal(t)) for k, t in items]
@@ -111,7 +137,7 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, distance) of the nearest passage to each item that text holds, by place."""
+        """(item_id, start, end, distance) of the passages near each item that text holds, by place."""
         if not text or not self.any:
             return []
         line, windows = normal(text), defaultdict(list)
@@ -128,23 +154,34 @@ class Matcher:
         found = []
         for n, spans in windows.items():
             item, budget = self.items[n][1], self.budgets[n]
-            exact = next((b for s in spans for b in s[2:] if b >= 0 and line.startswith(item, b)), None)
-            if exact is not None:
-                best = (0, exact, exact + len(item))
-            else:
-                best = None
-                for lo, hi, *_ in spans:
-                    got = nearest(item, line[max(0, lo) : hi], budget)
-                    if got and (best is None or got[0] < best[0]):
-                        best = (got[0], got[1] + max(0, lo), got[2] + max(0, lo))
-            if best:
-                found.append((self.items[n][0], best[1], best[2], best[0]))
+            begins, ends = sorted({b for s in spans for b in s[2:]}), [0]
+            for b in begins:
+                if b >= ends[-1] and line.startswith(item, b):
+                    found.append((self.items[n][0], b, b + len(item), 0))
+                    ends += [b, b + len(item)]
+            ends.append(len(line))
+            # around what is held word for word, where there are hits
+            for lo, hi in zip(ends[::2], ends[1::2]):
+                for a, b in _joined(begins, budget, len(item), lo, hi):
+                    found += [(self.items[n][0], x + a, y + a, d) for d, x, y in passages(item, line[a:b], budget)]
         if found:
             place = origins(text)
             found = [(k, place[a], place[b - 1] + 1 if b > a else place[a], d) for k, a, b, d in found]
         return sorted(found, key=lambda m: (m[1], m[2], m[0]))
 
 
+def _joined(begins: list[int], budget: int, size: int, lo: int, hi: int) -> list[list[int]]:
+    """The windows of hits, joined where they overlap, within lo and hi; those that are too short for an item are left out."""
+    joined: list[list[int]] = []
+    for b in begins[bisect_left(begins, lo - budget) : bisect_right(begins, hi - size + 2 * budget)]:
+        if joined and b - budget <= joined[-1][1]:
+            joined[-1][1] = b + size + budget
+        else:
+            joined.append([b - budget, b + size + budget])
+    cut = [[max(lo, a), min(hi, b)] for a, b in joined]
+    return [[a, b] for a, b in cut if b - a >= size - budget]
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
     rows = benchmark.where("text is not null").select("item_id", "text").distinct().orderBy("item_id", "text")
@@ -161,8 +198,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", to: str = "matches", rate: float = ERROR_RATE) -> DataFrame:
     """docs with the benchmark items (item_id, text) that each row's text holds, as array<struct<item_id,start,end,distance>>.
 
-    Places are code points of the text as it is, end exclusive; of each item the nearest passage is given. Null and
-    empty texts and items match nothing; repeated items are searched once, and rows of an item_id with several texts each.
+    Places are code points of the text as it is, end exclusive; of each item all passages within the
+    budget are given, of those that overlap the nearest. Null and empty texts and items match nothing; repeated items are searched once, and rows of an item_id with several texts each.
     """
     out = docs.withColumn(to, F.array().cast(MATCHES))
     for block in _blocks(benchmark):

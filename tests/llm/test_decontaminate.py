@@ -94,3 +94,21 @@ def brute_near(item, text):
         new = np.concatenate(([i], new))
         row = np.minimum.accumulate(new - steps) + steps
     return row.min() <= int(len(item) * decontaminate.ERROR_RATE)
+
+
+def test_all_passages_are_given():
+    random.seed(8)
+    filler = lambda n: " ".join("".join(random.choice("etaoin") for _ in range(5)) for _ in range(n))
+    items = [(k, filler(random.randint(8, 30))) for k in range(10)]
+    matcher = decontaminate.Matcher(items)
+    for _ in range(100):
+        k, item = random.choice(items)
+        budget, text, n = matcher.budgets[k], filler(3), random.randint(1, 5)
+        for _ in range(n):
+            text += " " + edited(item, random.choice([0, 0, random.randint(0, budget // 2)])) + " " + filler(random.choice([0, 1, 30]))
+        text = decontaminate.normal(text)
+        got = matcher.find(text)
+        assert len(got) == n and {m[0] for m in got} == {k} and all(x[2] <= y[1] for x, y in zip(got, got[1:]))
+        assert all(brute(item, text[a:b])[0] <= d <= budget for _, a, b, d in got)
+        rest = [0, *(x for m in got for x in m[1:3]), len(text)]  # no passage is left between them
+        assert all(brute(item, text[a:b])[0] > budget for a, b in zip(rest[::2], rest[1::2]))
