@@ -3,11 +3,13 @@
 Each stage takes what its predecessor kept, written as Parquet and read again: language identification (documents
 without a letter go), exact deduplication, SimHash near-deduplication (the smallest doc_id of each group stays),
 benchmark decontamination (documents that hold an item go), and byte-level BPE. All but the last return the columns of
-documents. SQL cannot express the first stage, so there is no oracle; a test compares with brute force.
+documents. Rows that repeat a doc_id, or have none, are decided on one by one. SQL cannot express the first stage, so there is no oracle; a test compares with brute force.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +26,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("_language") != language.UNDETERMINED).select(*docs.columns)
 
 
+def without_rows(docs: DataFrame, gone: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without the rows that gone names by their doc_id. Where doc_ids are repeated or null, rows are numbered in the
+    order of doc_id, nulls last, and the numbers serve as doc_ids, so that of each group exactly the first row stays."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return without_ids(docs, gone(docs))
+    placed = docs.withColumn("_at", F.monotonically_increasing_id())  # parts many equal rows
+    placed = placed.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"), "_at").drop("_at")
+    rows = written(placed.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = gone(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"))
+    return without_ids(rows, found, "_row").select(*docs.columns)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal but for their white space, the one with the smallest doc_id."""
-    return without_ids(docs, exact_dedup.exact_duplicates(docs).where("not kept"))
+    return without_rows(docs, lambda rows: exact_dedup.exact_duplicates(rows).where("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose fingerprints are linked, the one with the smallest doc_id."""
-    return without_ids(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
+    return without_rows(docs, lambda rows: simhash.near_duplicates(rows).where("doc_id <> component_id"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,15 @@ def test_stages_keep_columns_and_take_odd_rows(spark, sf_small):
             docs = out
         last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_small).collect()
         assert sorted(r.doc_id for r in last) == ([1, 6] if data else []) and all(r.exact for r in last)
+
+
+def test_one_row_of_each_group_stays(spark, sf_small):
+    x = "The cat sat on the mat, and the dog lay by the door of the old house near the mill."
+    y, z = "Ein anderer Text über den Hund und die Katze im Garten.", "Nobody had seen the letters that were kept in the attic for years."
+    rows = [(5, x), (1, x.replace(" ", "\n")), (5, y), (5, y), (None, x), (None, z), (None, z), (7, None), (7, "")]
+    docs = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string").repartition(3)
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        out = stage(spark, docs, sf_small)
+        assert out.columns == docs.columns
+        got = sorted((str(r.doc_id), " ".join((r.text or "").split())) for r in out.collect())
+        assert got == [("1", x), ("5", y), ("7", ""), ("None", z)]
