@@ -5,22 +5,22 @@ the same one). Strings of LENGTH bytes are windows; of its K-byte strings a wind
 hash, the leftmost of equals, so equal windows have equal anchors at equal places, and a text needs about two anchors in
 LENGTH - K bytes. Windows with the same anchor that follow each other form a segment.
 
-1. Anchor hashes are counted. Those that occur twice or more set bits in a filter of fixed size.
+1. Anchor hashes are counted. Those that occur twice or more set bits in a filter, which has BITS_PER_ANCHOR bits for each.
 2. Segments whose anchors pass the filter are sent to the task of their anchor, without those that repeat what the same
    task has sent already; all others are unique.
 3. There, the suffixes that begin at the anchors are sorted by a merge sort. Two suffixes are compared by the length of
-   their common extension, which a binary search over prefix polynomial hashes finds in log2(LENGTH) steps; the
-   extensions of neighbours in the result are verified byte by byte. Windows are equal where neighbours' extensions
-   reach over their right part and the hashes of their left parts agree (verified too).
-4. Anchors of which more than HOT segments would be gathered (counting equal ones once for each block of text) are not:
-   equal segments are folded to their first occurrence, and the windows of what is left are folded by digest.
+   their common extension, which a binary search over prefix polynomial hashes finds in log2(LENGTH) steps; the order
+   and the extensions of neighbours in the result are verified byte by byte. Windows are equal where neighbours' extensions
+   reach over their right part and the hashes of their left parts agree (verified too). If a hash turns out to be shared
+   by different bytes, the same sort is done again with extensions found byte by byte.
+4. Anchors with many segments are made longer until they are rare: see divided. Segments of any anchor, long or short, are
+   sorted alike.
 5. The windows found are laid over the whole texts.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,10 @@ from ..runtime import ship
 from .common import PART_BYTES, given_back, salted_lookup, with_mapped, written
 
 LENGTH, K = 100, 32
-#: Segments of one anchor that are gathered: about a megabyte. Batches that Python gets are bounded by their bytes.
+#: Segments of one anchor that one task sorts, about a megabyte; of more, the anchor is made longer.
 HOT = 8192
-FILTER_BITS = 1 << 26
+#: Bits of a filter for each hash in it, and in all (128 MB, which every executor gets; more hashes let more others pass).
+BITS_PER_ANCHOR, MOST_BITS = 16, 1 << 30
 #: Segments that a task remembers to have sent.
 SEEN = 200_000
 #: Bytes of text that are hashed at once.
@@ -162,19 +163,26 @@ def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Arr
 
 
 class Anchored:
-    """Segments of several anchors: their bytes in one array, and the suffixes that begin at the anchors."""
+    """Segments of several anchors: their bytes in one array, and the suffixes that begin at the anchors.
 
-    def __init__(self, group: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, length: int = LENGTH):
-        self.group, self.data, self.length = group, data, length
+    by_bytes: common extensions are found byte by byte instead of by hashes."""
+
+    def __init__(
+        self, group: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, length: int = LENGTH,
+        by_bytes: bool = False,
+    ):
+        self.group, self.data, self.length, self.by_bytes = group, data, length, by_bytes
         self.start, self.size, self.left = start, size, left
         self.at = start + left
         self.room = np.minimum(size - left, length)
         self.sums = _prefixes(data)
 
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """The lengths of the common extensions of pairs of suffixes: binary search over prefix hashes."""
+        """The lengths of the common extensions of pairs of suffixes: binary search over prefix hashes. Never too short."""
         a, b = self.at[x], self.at[y]
         low, high = np.zeros(len(x), np.int64), np.minimum(self.room[x], self.room[y])
+        if self.by_bytes:
+            return self._same(a, b, high)
         for _ in range(int(self.length).bit_length()):
             mid = (low + high + 1) >> 1
             same = _hashes(self.sums, a, mid) == _hashes(self.sums, b, mid)
@@ -221,26 +229,28 @@ class Anchored:
             order, width = new, width * 2
         return order
 
-    def bytes_equal(self, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Whether data[a : a + length] and data[b : b + length] are equal, byte by byte."""
-        out = np.ones(len(a), bool)
-        steps = np.arange(self.length)
+    def _same(self, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """How many bytes from a and b on are the same, up to lengths, byte by byte."""
+        out = np.zeros(len(a), np.int64)
+        steps = np.arange(self.length + 1)
         for lo in range(0, len(a), 20_000):
             part = slice(lo, lo + 20_000)
-            inside = steps < lengths[part, None]
             x, y = (np.minimum(z[part, None] + steps, len(self.data) - 1) for z in (a, b))
-            out[part] = ((self.data[x] == self.data[y]) | ~inside).all(axis=1)
+            out[part] = ((self.data[x] != self.data[y]) | (steps >= lengths[part, None])).argmax(axis=1)
         return out
 
-    def repeated(self, rank: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def repeated(self, rank: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """(segment, window) of all windows that a segment of the same group with a smaller rank (or the same one, before
-        it) holds too. Window j of a segment starts j bytes after the segment."""
+        it) holds too. Window j of a segment starts j bytes after the segment. None if different bytes share a hash.
+
+        Extensions that hashes give are never too short, so that an order whose neighbours are right is right as a whole,
+        and what is equal is side by side."""
         order = self.sorted()
         x, y = order[:-1], order[1:]
         near = self.group[x] == self.group[y]
         reach = np.where(near, self.extension(x, y), 0)
-        if not self.bytes_equal(self.at[x], self.at[y], reach).all():
-            raise ArithmeticError("two suffixes share a hash")
+        if not self.by_bytes and not (self._same(self.at[x], self.at[y], reach) == reach).all():
+            return None
         found_s, found_w = [], []
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
@@ -250,14 +260,18 @@ class Anchored:
             if len(held) < 2:
                 continue
             block = np.concatenate(([0], np.cumsum(reach < self.length - back)))[place[held]]
-            lefts = _hashes(self.sums, self.start[held] + j[held], back)
+            begin = self.start[held] + j[held]
+            if self.by_bytes:
+                raw = np.lib.stride_tricks.sliding_window_view(self.data, back)[begin] if back else np.zeros((len(held), 0), np.uint8)
+                lefts = np.unique(raw, axis=0, return_inverse=True)[1].reshape(-1) if back else np.zeros(len(held), np.int64)
+            else:
+                lefts = _hashes(self.sums, begin, back)
             by = np.lexsort((rank[held], lefts, block))
             b, l, h = block[by], lefts[by], held[by]
             same = (b[1:] == b[:-1]) & (l[1:] == l[:-1]) & (self.group[h[1:]] == self.group[h[:-1]])
             first, again = h[:-1][same], h[1:][same]
-            sure = self.bytes_equal(self.at[first] - back, self.at[again] - back, np.full(len(first), back))
-            if not sure.all():
-                raise ArithmeticError("two strings share a hash")
+            if not self.by_bytes and not (self._same(self.at[first] - back, self.at[again] - back, np.full(len(first), back)) == back).all():
+                return None
             found_s.append(again)
             found_w.append(j[again])
         if not found_s:
@@ -265,47 +279,77 @@ class Anchored:
         return np.concatenate(found_s), np.concatenate(found_w)
 
 
-SEGMENT = "h bigint, doc_id bigint, tag bigint, s bigint, w int, a int, seg binary"
+#: A segment: its anchor's key, its place, its windows, the anchor's begin and length in it, its bytes. Without bytes: w windows
+#: from s on that are known to repeat.
+SEGMENT = "h bigint, doc_id bigint, tag bigint, s bigint, w int, a int, k int, seg binary"
+NAMES = [c.split()[0] for c in SEGMENT.split(", ")]
 RUNS = "doc_id bigint, tag bigint, s bigint, w int"
 
 
 def _runs(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of groups of segments (one list of structs for each anchor), the runs of repeated windows."""
+    """The runs of repeated windows of segments that come in the order of their keys. Only the last key's are held back."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        column = batch.column(0)
-        sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        for rows in _even(sizes, 10_000):
-            flat = column.slice(rows.start, rows.stop - rows.start).flatten()
-            field = lambda name: flat.field(name).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            doc, tag, s, w, a = (field(x) for x in ("doc_id", "tag", "s", "w", "a"))
-            seg = flat.field("seg")
-            given = seg.is_null().to_numpy(zero_copy_only=False)
-            if given.any():  # known to repeat
-                yield _run_rows(doc[given], tag[given], s[given], w[given])
-                doc, tag, s, w, a = (x[~given] for x in (doc, tag, s, w, a))
-                seg = seg.filter(pa.array(~given))
-            lengths = np.array([len(x) for x in seg.to_pylist()], np.int64)
-            data = np.frombuffer(b"".join(seg.to_pylist()), np.uint8)
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            group = np.repeat(np.arange(len(sizes[rows])), sizes[rows])[~given]
-            rank = np.empty(len(doc), np.int64)
-            rank[np.lexsort((s, tag, doc))] = np.arange(len(doc))
-            alike, known = {}, np.zeros(len(doc), bool)  # equal segments of an anchor: all but the first repeat it whole
-            raw = data.tobytes()
-            by = np.argsort(rank)
-            for i, key in zip(by.tolist(), zip(group[by].tolist(), a[by].tolist(), starts[by].tolist(), lengths[by].tolist())):
-                known[i] = alike.setdefault((key[0], key[1], raw[key[2] : key[2] + key[3]]), i) != i
-            yield _run_rows(doc[known], tag[known], s[known], w[known])
-            kept = np.flatnonzero(~known)
-            anchored = Anchored(group[kept], data, starts[kept], lengths[kept], a[kept].astype(np.int64), length)
-            item, window = anchored.repeated(rank[kept], w[kept].astype(np.int64))
-            item = kept[item]
-            by = np.lexsort((window, item))
-            item, window = item[by], window[by]
-            new = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(window, prepend=-2) != 1))
-            count = np.diff(np.append(new, len(item)))
-            i = item[new]
-            yield _run_rows(doc[i], tag[i], s[i] + window[new], count)
+        if not batch.num_rows:
+            continue
+        given = batch.column("seg").is_null().to_numpy(zero_copy_only=False)
+        if given.any():
+            yield _run_rows(*(batch.column(c).to_numpy()[given] for c in ("doc_id", "tag", "s", "w")))
+            batch = batch.filter(pa.array(~given))
+            if not batch.num_rows:
+                continue
+        h = batch.column("h").to_numpy()
+        last = int(np.searchsorted(h, h[-1]))  # rows are in order, as signed integers
+        if held and (last or held[0].column("h")[0].as_py() != h[0]):
+            same = 0 if held[0].column("h")[0].as_py() != h[0] else int(np.searchsorted(h, h[0], "right"))
+            yield from _repeats(length, [*held, batch.slice(0, same)])
+            yield from _repeats(length, [batch.slice(same, last - same)])
+            held = [batch.slice(last)]
+        elif last:
+            yield from _repeats(length, [batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    yield from _repeats(length, held)
+
+
+def _repeats(length: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of repeated windows of whole groups of segments."""
+    rows = pa.Table.from_batches([b for b in batches if b.num_rows], schema=batches[0].schema if batches else None) if batches else None
+    if rows is None or rows.num_rows < 2:
+        return
+    h = rows.column("h").to_numpy()
+    alone = np.concatenate(([True], h[1:] != h[:-1])) & np.concatenate((h[1:] != h[:-1], [True]))
+    rows, h = rows.filter(pa.array(~alone)), h[~alone]
+    if not len(h):
+        return
+    doc, tag, s, w, a = (rows.column(c).to_numpy() for c in ("doc_id", "tag", "s", "w", "a"))
+    segs = rows.column("seg").to_pylist()
+    lengths = np.array([len(x) for x in segs], np.int64)
+    raw = b"".join(segs)
+    data = np.frombuffer(raw, np.uint8)
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    group = np.cumsum(np.concatenate(([0], h[1:] != h[:-1])))
+    by = np.lexsort((s, tag, doc))
+    rank = np.empty(len(doc), np.int64)
+    rank[by] = np.arange(len(doc))
+    alike, known = {}, np.zeros(len(doc), bool)  # equal segments of an anchor: all but the first repeat it whole
+    for i in by.tolist():
+        known[i] = alike.setdefault((group[i], a[i], segs[i]), i) != i
+    yield _run_rows(doc[known], tag[known], s[known], w[known])
+    del alike, segs
+    kept = np.flatnonzero(~known)
+    parts = (group[kept], data, starts[kept], lengths[kept], a[kept].astype(np.int64), length)
+    windows = w[kept].astype(np.int64)
+    found = Anchored(*parts).repeated(rank[kept], windows)
+    if found is None:
+        found = Anchored(*parts, by_bytes=True).repeated(rank[kept], windows)
+    item, window = kept[found[0]], found[1]
+    by = np.lexsort((window, item))
+    item, window = item[by], window[by]
+    new = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(window, prepend=-2) != 1))
+    i = item[new]
+    yield _run_rows(doc[i], tag[i], s[i] + window[new], np.diff(np.append(new, len(item))))
 
 
 def _run_rows(doc: np.ndarray, tag: np.ndarray, s: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
@@ -313,32 +357,13 @@ def _run_rows(doc: np.ndarray, tag: np.ndarray, s: np.ndarray, w: np.ndarray) ->
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "s", "w"])
 
 
-def _even(sizes: np.ndarray, most: int) -> Iterator[slice]:
-    start, total = 0, 0
-    for i, n in enumerate(sizes):
-        if total and total + n > most:
-            yield slice(start, i)
-            start, total = i, 0
-        total += n
-    if start < len(sizes):
-        yield slice(start, len(sizes))
-
-
-def _windows(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of segments (doc_id, tag, s, w, seg) with its digest."""
-    for batch in batches:
-        out: list[tuple] = []
-        for d, t, s, w, seg in zip(*(c.to_pylist() for c in batch.columns)):
-            out += [(hashlib.blake2b(seg[j : j + length], digest_size=16).digest(), d, t, s + j) for j in range(w)]
-        columns = list(zip(*out)) or [(), (), (), ()]
-        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], ["key", "doc_id", "tag", "s"])
-
-
-def _filter(dups: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each hash in dups, modulo bits: at most bits / 64 words come to the driver, whatever the table."""
+def _filter(keys: DataFrame, bits: int | None = None) -> np.ndarray:
+    """A bit for each h in keys, modulo the number of bits, which follows the number of keys. At most MOST_BITS / 64 words come
+    to the driver, whatever the table."""
+    if bits is None:
+        bits = min(MOST_BITS, max(1 << 10, 1 << (BITS_PER_ANCHOR * keys.count()).bit_length()))
     place = F.col("h").bitwiseAND(F.lit(bits - 1))
-    words = dups.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    words = keys.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[found["word"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
@@ -372,15 +397,15 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, bits: int = FILTER_BITS) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, bits: int | None = None) -> DataFrame:
     """(doc_id, tag, s, w): runs of w windows from byte s that also start earlier, of docs (doc_id, tag, text)."""
     spark = docs.sparkSession
     ship(spark)
     anchors = docs.select("text").mapInArrow(given_back(lambda batches: _counted(length, k, batches)), "h bigint, n bigint, kinds bigint")
     counts = anchors.groupBy("h").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).where("n > 1")
     dups = written(counts, "anchors")
-    passed = spark.sparkContext.broadcast(_filter(dups, bits))  # of bits / 8 bytes
-    often = spark.sparkContext.broadcast(_filter(dups.where(F.col("kinds") > hot), max(64, bits >> 4)))
+    passed = spark.sparkContext.broadcast(_filter(dups, bits))
+    often = spark.sparkContext.broadcast(_filter(dups.where(F.col("kinds") > hot), bits))
 
     def cut(batches: Iterator[pa.RecordBatch], want_hot: bool) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
@@ -390,60 +415,115 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int
             for texts in _parts(batch.column(2)):
                 for data, rows, begins, places in _blocks(texts, length):
                     h, anchor, first, count, text = _within(data, begins, length, k)
-                    on = np.flatnonzero(_has(passed.value, h) & (_has(often.value, h) | (not want_hot)))
+                    on = np.flatnonzero(_has(passed.value, h) & (_has(often.value, h) == want_hot))
                     h, anchor, first, count, text = (x[on] for x in (h, anchor, first, count, text))
                     row = rows[text] + done
                     doc, tag, s = ids[row], tags[row], first - begins[text] + places[text]
                     where = list(zip(doc.tolist(), tag.tolist(), s.tolist()))
                     new = seen.new(data.tobytes(), first.tolist(), (first + count + length - 1).tolist(), where)
-                    ours = _has(often.value, h) == want_hot
-                    send = np.flatnonzero(new & ours)
+                    send = np.flatnonzero(new)
                     yield _segment_rows(h[send], doc[send], tag[send], s[send], count[send], (anchor - first)[send],
-                                        _gathered(data, first[send], count[send] + length - 1))
-                    old = np.flatnonzero(~new & ours)  # runs of segments that repeat what this task has sent, as they are
+                                        np.full(len(send), k), _gathered(data, first[send], count[send] + length - 1))
+                    old = np.flatnonzero(~new)  # runs of segments that repeat what this task has sent, as they are
                     if len(old):
                         d, t, a, n = doc[old], tag[old], s[old], count[old]
                         head = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (a[1:] != a[:-1] + n[:-1]))))
                         n = np.add.reduceat(n, head)
                         key = _mixed((d[head] * 31 + a[head]).astype(np.uint64))
-                        yield _segment_rows(key, d[head], t[head], a[head], n, np.zeros(len(head), int), pa.nulls(len(head), pa.binary()))
+                        zero = np.zeros(len(head), int)
+                        yield _segment_rows(key, d[head], t[head], a[head], n, zero, zero, pa.nulls(len(head), pa.binary()))
                 done += len(texts)
 
     source = docs.select("doc_id", "tag", "text")
-    usual = source.mapInArrow(given_back(lambda batches: cut(batches, False)), SEGMENT)
-    listed = F.collect_list(F.struct("doc_id", "tag", "s", "w", "a", "seg"))
-    groups = usual.groupBy("h").agg(listed.alias("g")).where((F.size("g") > 1) | F.col("g")[0]["seg"].isNull())
-    runs = groups.select("g").mapInArrow(given_back(lambda batches: _runs(length, batches)), RUNS)
-    if not often.value.any():
-        return runs
-    return runs.union(_hot_runs(source.mapInArrow(given_back(lambda batches: cut(batches, True)), SEGMENT), length))
-
-
-def _segment_rows(h, doc, tag, s, w, a, seg) -> pa.RecordBatch:
-    columns = [pa.array(h.view(np.int64)), pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(s, pa.int64()), pa.array(w, pa.int32()), pa.array(a, pa.int32()), seg]
-    return pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "tag", "s", "w", "a", "seg"])
-
-
-def _hot_runs(found: DataFrame, length: int) -> DataFrame:
-    """The same for anchors that are not gathered: whole segments by digest, then windows by digest."""
-    place = F.struct("doc_id", "tag", "s")
-    found = written(found.withColumn("key", F.unhex(F.sha2(F.concat(F.col("a").cast("string").cast("binary"), F.lit(b"|"), "seg"), 256))), "hot-segments")
-    known = found.where("key is null").select("doc_id", "tag", "s", "w")  # repeats that a task has seen itself
-    found = found.where("key is not null")
-    first = found.groupBy("key").agg(F.min(F.struct("doc_id", "tag", "s", "w", "seg")).alias("f"))
-    # a task has sent a segment once, so that no key has many more rows than there were tasks
-    again = found.select("key", "doc_id", "tag", "s", "w").join(first.select("key", F.struct("f.doc_id", "f.tag", "f.s").alias("f")), "key")
-    whole = again.where(place != F.col("f")).select("doc_id", "tag", "s", "w")
-    windows = first.select("f.doc_id", "f.tag", "f.s", "f.w", "f.seg").mapInArrow(
-        given_back(lambda batches: _windows(length, batches)), "key binary, doc_id bigint, tag bigint, s bigint"
-    )
-    windows = written(windows, "hot-windows")
-    earliest = windows.groupBy("key").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = salted_lookup(windows, earliest, "key", "inner").where(place != F.col("f"))
-    return known.union(whole).union(later.select("doc_id", "tag", "s", F.lit(1).alias("w")))
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, bits: int = FILTER_BITS) -> DataFrame:
+    found = source.mapInArrow(given_back(lambda batches: cut(batches, False)), SEGMENT)
+    known = None
+    if often.value.any():
+        found_hot = source.mapInArrow(given_back(lambda batches: cut(batches, True)), SEGMENT)
+        rare, known = divided(found_hot, length, hot)
+        found = found.union(rare)
+    ordered = found.repartition("h").sortWithinPartitions("h")
+    runs = ordered.mapInArrow(given_back(lambda batches: _runs(length, batches)), RUNS)
+    return runs if known is None else runs.union(known)
+
+
+def _segment_rows(h, doc, tag, s, w, a, k, seg) -> pa.RecordBatch:
+    columns = [pa.array(h.view(np.int64)), *(pa.array(x, pa.int64()) for x in (doc, tag, s)), *(pa.array(x, pa.int32()) for x in (w, a, k)), seg]
+    return pa.RecordBatch.from_arrays(columns, NAMES)
+
+
+def divided(found: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Segments (SEGMENT) of anchors with at most hot different segments each, and runs (RUNS) that are known to repeat.
+
+    Equal segments are folded to the first. If an anchor of k bytes still has more than hot, each of its segments is cut in
+    two: the windows that begin at most half of length - k bytes before the anchor all hold more bytes after it, and the
+    others all hold more bytes before it. These are the anchors of the halves. Equal windows have equal anchors at equal
+    places again, and after log2(length - k) rounds at most an anchor is a whole window.
+    """
+    spark = found.sparkSession
+    unit, place = ["h", "a", "k", "seg"], F.struct("doc_id", "tag", "s")
+    rare, known = [], []
+    while True:
+        found = written(found, "hot-segments")
+        known.append(found.where("seg is null").select("doc_id", "tag", "s", "w"))
+        found = found.where("seg is not null")
+        first = written(found.groupBy(*unit).agg(F.min(place).alias("f"), F.count("*").alias("n"), F.first("w").alias("w")), "hot-units")
+        copies = first.where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in unit], "f", F.xxhash64(*unit).alias("_key"))
+        again = salted_lookup(found.withColumn("_key", F.xxhash64(*unit)), copies, "_key", "inner", place)
+        equal = [F.col(c) == F.col(f"_{c}") for c in unit]
+        known.append(again.where(equal[0] & equal[1] & equal[2] & equal[3] & (place != F.col("f"))).select("doc_id", "tag", "s", "w"))
+        counts = first.where(F.col("k") < length).groupBy("h").agg(F.count("*").alias("n"))
+        often = spark.sparkContext.broadcast(_filter(counts.where(F.col("n") > hot)))
+        units = first.select("h", "f.doc_id", "f.tag", "f.s", "w", "a", "k", "seg")
+        if not often.value.any():
+            rare.append(units)
+            break
+        rare.append(units.mapInArrow(given_back(_kept(often, False, length)), SEGMENT))
+        found = units.mapInArrow(given_back(_kept(often, True, length)), SEGMENT)
+    return _union(rare), _union(known)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.union(df)
+    return out
+
+
+def _kept(often, want: bool, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The segments whose anchors are not in often, or the halves of those whose are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            short = batch.column(6).to_numpy(zero_copy_only=False) < length
+            part = batch.filter(pa.array((_has(often.value, h) & short) == want))
+            yield from _halves(part, length) if want else [part]
+
+    return run
+
+
+def _halves(batch: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
+    if not batch.num_rows:
+        return
+    doc, tag, s, w, a, k = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1, 7))
+    segs = batch.column(7).to_pylist()
+    sizes = np.array([len(x) for x in segs], np.int64)
+    data = np.frombuffer(b"".join(segs), np.uint8)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    sums = _prefixes(data)
+    middle = (length - k) // 2
+    early = np.clip(a - middle, 0, w)  # so many windows begin more than middle bytes before the anchor
+    for skipped, count, left, size in ((early, w - early, a, length - middle), (np.zeros(len(w), np.int64), early, a - middle - 1, k + middle + 1)):
+        on = np.flatnonzero(count > 0)
+        if not len(on):
+            continue
+        skipped, count, left, size = (x[on] for x in (skipped, count, left, size))
+        key = _mixed(_hashes(sums, starts[on] + left, size) + size.astype(np.uint64) * np.uint64(_BASE))
+        bytes_ = _gathered(data, starts[on] + skipped, count + length - 1)
+        yield _segment_rows(key, doc[on], tag[on], s[on] + skipped, count, left - skipped, size, bytes_)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, bits: int | None = None) -> DataFrame:
     """doc_id, n_bytes, removed, kept of every row of docs (doc_id, text; other columns are ignored).
 
     removed is array<struct<start,end>> of maximal removed byte ranges, end exclusive; kept are the remaining bytes. Null

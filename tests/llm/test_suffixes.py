@@ -135,3 +135,40 @@ def test_rows_that_repeat_keep_their_text(spark, hot):
     out = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot=hot).collect()
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, bytes(r.kept).decode()) for r in out)
     assert got == [(-1, 400, u)] * 3 + [(3, 400, t)] * 2 + [(5, 400, v)] * 2 + [(9, 300, ""), (9, 400, "")]
+
+
+def _anchored_rows(n, seed):
+    """n segments that hold one anchor, and some of another, in the order of their keys."""
+    random.seed(seed)
+    anchor = "".join(random.choice("xyz") for _ in range(32))
+    rows = []
+    for d in range(n):
+        left, right = ("".join(random.choice("ab") for _ in range(random.choice((0, 2, 40, 68)))) for _ in range(2))
+        text = (left + anchor + right + "c" * 68)[: max(100, len(left) + 100)]
+        rows.append((d % 3, d, 0, 5, len(text) - 99 if len(left) >= len(text) - 100 else 1, len(left), 32, text.encode()))
+    return sorted(r for r in rows if r[5] < r[4] + 68)
+
+
+def test_shared_hashes_are_told_apart_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    rows = _anchored_rows(300, 11)
+    types = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], suffixes.NAMES)
+    runs = lambda batches: sorted(tuple(r.values()) for b in suffixes._runs(100, batches) for r in b.to_pylist())
+    want = runs([batch])
+    assert want and runs([batch.slice(i, 7) for i in range(0, len(rows), 7)]) == want
+    whole = suffixes._hashes
+    monkeypatch.setattr(suffixes, "_hashes", lambda *a: whole(*a) & np.uint64(7))
+    assert runs([batch]) == want
+
+
+@pytest.mark.parametrize("hot", [3, 20, 8192])
+def test_frequent_anchors(spark, hot):
+    random.seed(12)
+    passage = "".join(random.choice("abcdefgh ") for _ in range(260))
+    word = lambda n: "".join(random.choice("pqrst") for _ in range(n))
+    docs = [(d, word(random.randrange(150)) + passage[random.randrange(90) : 260 - random.randrange(90)] + word(random.randrange(150))) for d in range(300)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: ([tuple(x) for x in r.removed], bytes(r.kept)) for r in suffixes.remove_repeats(table, hot=hot).collect()}
+    assert got == brute(docs, 100)
