@@ -33,8 +33,8 @@ from .common import PART_BYTES, given_back, salted_lookup, with_mapped, written
 LENGTH, K = 100, 32
 #: Segments of one anchor that one task sorts, about a megabyte; of more, the anchor is made longer.
 HOT = 8192
-#: Bits of a filter for each hash in it, and in all (128 MB, which every executor gets; more hashes let more others pass).
-BITS_PER_ANCHOR, MOST_BITS = 16, 1 << 30
+#: Bits of a filter for each hash in it, and in all (64 MB, which every executor gets; more hashes let more others pass).
+BITS_PER_ANCHOR, MOST_BITS = 16, 1 << 29
 #: Segments that a task remembers to have sent.
 SEEN = 200_000
 #: Bytes of text that are hashed at once.
@@ -196,9 +196,10 @@ class Anchored:
         b = np.where(n < self.room[y], self.data[np.minimum(self.at[y] + n, len(self.data) - 1)].astype(np.int64), -1)
         return (a < b) | ((a == b) & (x < y))
 
-    def sorted(self) -> np.ndarray:
+    def sorted(self) -> np.ndarray | None:
         """The suffixes, group after group (groups are in order), by bottom-up merge sort. In each round an element's place
-        is its own plus the number of elements of the neighbouring run before it, found by binary search."""
+        is its own plus the number of elements of the neighbouring run before it, found by binary search. None if shared
+        hashes leave no order."""
         n = len(self.group)
         order = np.arange(n)
         first = np.flatnonzero(np.diff(self.group, prepend=-1))
@@ -224,8 +225,10 @@ class Anchored:
             place = np.arange(n)
             pair = base[todo] + (run[todo] // 2) * 2 * width
             place[todo] = pair + (inner[todo] % width) + low
-            new = np.empty_like(order)
+            new = np.full_like(order, -1)
             new[place] = order
+            if (new < 0).any():  # the order contradicts itself
+                return None
             order, width = new, width * 2
         return order
 
@@ -246,10 +249,12 @@ class Anchored:
         Extensions that hashes give are never too short, so that an order whose neighbours are right is right as a whole,
         and what is equal is side by side."""
         order = self.sorted()
+        if order is None:
+            return None
         x, y = order[:-1], order[1:]
         near = self.group[x] == self.group[y]
         reach = np.where(near, self.extension(x, y), 0)
-        if not self.by_bytes and not (self._same(self.at[x], self.at[y], reach) == reach).all():
+        if not self.by_bytes and not ((self._same(self.at[x], self.at[y], reach) == reach) & (self.before(x, y) | ~near)).all():
             return None
         found_s, found_w = [], []
         place = np.empty_like(order)
