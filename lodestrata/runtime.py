@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,17 +28,48 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; set here only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where it is unset, a temporary one is set if driver and
+    executors are one process; on a cluster that is an error."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-"))
         found = context.getCheckpointDir()
     return found
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def _filesystem(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()), at
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of any store that Spark reads; none if it does not exist."""
+    fs, at = _filesystem(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Makes an empty file, which either is there as a whole or not."""
+    fs, at = _filesystem(spark, path)
+    fs.create(at, True).close()
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that this application has written between steps; what was computed from them is to be saved before."""
+    fs, at = _filesystem(spark, _own_dir(spark))
+    fs.delete(at, True)
 
 
 def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
