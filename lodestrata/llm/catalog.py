@@ -83,6 +83,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts, white space folded, and whether it is the row that stays."""
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
