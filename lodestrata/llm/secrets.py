@@ -11,14 +11,18 @@ lengths of what a split by the rule leaves between them.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import children
 from .common import BROADCAST_ROWS, count_kind, fresh_path, joined_spans, salted_lookup, written
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
+#: Matches of a text that are folded together.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -59,10 +63,20 @@ EXTRA = (
 )
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once: as an element of an array, it is a variable of what use makes."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _positions(text: Column, rule: Rule) -> Column:
-    """The spans of rule's matches in text."""
+    """The spans of rule's matches in text.
+
+    Matches and the gaps before them are folded in blocks of BLOCK, whose begins come from a fold over the blocks' lengths:
+    a fold copies what it has gathered at each step, so one over all matches would take a time quadratic in them.
+    """
     hits, gaps = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
     empty = F.array().cast(SPANS)
+    long = lambda n: F.lit(n).cast("long")
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["gap"])
@@ -72,9 +86,23 @@ def _positions(text: Column, rule: Rule) -> Column:
         kept = F.when(got >= rule.least, F.concat(state["found"], span)).otherwise(state["found"])
         return F.struct(end.cast("long").alias("at"), kept.alias("found"))
 
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found"))
-    found = F.aggregate(pairs, start, step, lambda s: s["found"])
+    def begins(blocks: Column) -> Column:
+        size = lambda block: F.aggregate(block, long(0), lambda n, p: n + F.length(p["gap"]) + F.length(p["hit"]))
+        start = F.struct(long(0).alias("at"), F.array().cast("array<bigint>").alias("all"))
+        both = lambda s, b: F.struct((s["at"] + size(b)).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all"))
+        return F.aggregate(blocks, start, both, lambda s: s["all"])
+
+    def spans(blocks: Column) -> Column:
+        folded = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), empty.alias("found")), step, lambda s: s["found"])
+        return F.flatten(F.zip_with(blocks, begins(blocks), folded))
+
+    def cut(pairs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+        return F.transform(numbers, lambda i: F.slice(pairs, i * BLOCK + 1, BLOCK))
+
+    paired = lambda hits: F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+    all_spans = lambda hits: _bound(_bound(paired(hits), cut), spans)
+    found = _bound(hits, lambda h: F.when(F.size(h) > 0, all_spans(h)).otherwise(empty))
     if not rule.cues:
         return F.when(F.regexp_instr(text, F.lit(rule.pattern)) > 0, found).otherwise(empty)
     lower, cued = F.lower(text), F.lit(False)
@@ -84,17 +112,23 @@ def _positions(text: Column, rule: Rule) -> Column:
 
 
 class BlobLedger:
-    """The ledger under path: blob binary, rule string (kind@version), spans array<struct<start,end>>; append-only."""
+    """The ledger under path: blob binary, rule string (kind@version), spans array<struct<start,end>>; append-only.
+
+    Each update is a folder of its own, which counts once it is written as a whole. Updates are listed from storage, so that
+    a ledger that is opened again goes on where it was.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, rules: tuple[Rule, ...] = BASE + EXTRA):
         self.spark, self.rules = spark, rules
         self.path = path or fresh_path(spark, "blob-ledger")
-        self.updates = 0
         self.scanned = 0
 
+    def updates(self) -> list[str]:
+        names = [n for n in children(self.spark, self.path) if n.startswith("update=")]
+        return [f"{self.path}/{n}" for n in names if "_SUCCESS" in children(self.spark, f"{self.path}/{n}")]
+
     def read(self) -> DataFrame:
-        schema = f"blob binary, rule string, spans {SPANS}"
-        paths = [f"{self.path}/update={n}" for n in range(1, self.updates + 1)]
+        schema, paths = f"blob binary, rule string, spans {SPANS}", self.updates()
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     @staticmethod
@@ -108,7 +142,7 @@ class BlobLedger:
         versions = self.versions(docs)
         first = versions.groupBy("blob").agg(F.min("path").alias("path"), F.count("*").alias("n"))
         rules = F.array(*[F.lit(r.key) for r in self.rules])
-        if self.updates:
+        if self.updates():
             seen = self.read().groupBy("blob").agg(F.collect_set("rule").alias("seen"))
             none = F.array().cast("array<string>")
             todo = first.join(seen, "blob", "left").withColumn("todo", F.array_except(rules, F.coalesce("seen", none)))
@@ -130,8 +164,7 @@ class BlobLedger:
             ).alias("found"),
         )
         rows = found.select("blob", F.explode(F.filter("found", lambda x: x.isNotNull())).alias("x"))
-        self.updates += 1
-        rows.select("blob", "x.rule", "x.spans").write.mode("overwrite").parquet(f"{self.path}/update={self.updates}")
+        rows.select("blob", "x.rule", "x.spans").write.parquet(f"{self.path}/update={uuid.uuid4().hex}")
 
     def _texts(self, versions: DataFrame, blobs: DataFrame, todo: DataFrame, rules: Column) -> DataFrame:
         """blob, text and todo of one version of each blob in todo. Texts are shuffled only if both what is to be
@@ -154,7 +187,8 @@ class BlobLedger:
         return versions.join(F.broadcast(keys) if self.scanned <= BROADCAST_ROWS else keys, same)
 
     def findings(self, docs: DataFrame) -> DataFrame:
-        """docs' path with spans: array<struct<kind,start,end>> by start, then rule as listed."""
+        """docs' path with spans: array<struct<kind,start,end>> by start, then rule as listed. No rows of docs, no rows.
+        Docs whose blobs no update has scanned, and null and empty texts, have no spans."""
         kinds = F.create_map(*[F.lit(x) for i, r in enumerate(self.rules) for x in (r.key, i)])
         each = self.read().where(F.col("rule").isin([r.key for r in self.rules]) & (F.size("spans") > 0))
         each = each.select("blob", kinds[F.col("rule")].alias("k"), F.explode("spans").alias("s")).distinct()

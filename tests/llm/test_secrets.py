@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -51,3 +52,36 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert spans == {1: ["assign"], 2: ["word"]}
     ledger.update(first.where("false"))
     assert ledger.scanned == 0
+
+
+def test_a_reopened_ledger_goes_on(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    docs = spark.createDataFrame([(1, "token = abcdefgh1"), (2, "plain")], "path long, text string")
+    secrets.BlobLedger(spark, path, secrets.BASE).update(docs)
+    docs.limit(1).write.parquet(f"{path}/update=lost")  # an update that a lost driver left unfinished does not count
+    (tmp_path / "ledger" / "update=lost" / "_SUCCESS").unlink()
+    again = secrets.BlobLedger(spark, path, secrets.BASE)
+    more = docs.union(spark.createDataFrame([(3, "plain"), (4, "secret: 12345678")], "path long, text string"))
+    again.update(more)
+    assert again.scanned == 1 and again.read().count() == 3 * len(secrets.BASE)
+    found = {r.path: [tuple(s) for s in r.spans] for r in secrets.BlobLedger(spark, path, secrets.BASE).findings(more).collect()}
+    assert found == {1: [("assign", 0, 17)], 2: [], 3: [], 4: [("assign", 0, 16)]}
+
+
+def test_no_rows_and_no_updates(spark):
+    docs = spark.createDataFrame([(1, "token = abcdefgh1"), (None, None)], "path long, text string")
+    ledger = secrets.BlobLedger(spark)
+    assert [r.spans for r in ledger.findings(docs).collect()] == [[], []]
+    ledger.update(docs)
+    assert ledger.findings(docs.where("false")).count() == 0
+
+
+def test_positions_take_a_time_in_proportion_to_the_hits(spark):
+    text = "é token=abcdefgh1 " * 100_000
+    docs = spark.createDataFrame([(1, text)], "path long, text string")
+    ledger = secrets.BlobLedger(spark, rules=secrets.BASE)
+    began = time.perf_counter()
+    ledger.update(docs)
+    spans = ledger.findings(docs).first().spans
+    assert time.perf_counter() - began < 60
+    assert [(s.start, s.end) for s in spans] == [(m.start(), m.end()) for m in re.finditer(r"token=\w+", text)]
