@@ -22,8 +22,8 @@ PART_BYTES = 1 << 20
 ASCII_SPACE = r"[ \t\n\x0B\f\r]+"
 #: Rows up to which a two-column key table (at most about 100 bytes a row) is broadcast.
 BROADCAST_ROWS = 200_000
-#: Copies of the key side of a join whose other side may be skewed.
-SALTS = 8
+#: Rows of one key that one task may get in a join.
+HOT_ROWS = 10_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +96,9 @@ def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
 
 
 def fold(key: Column | str, n: int) -> Column:
-    """crc32 of the key as text, modulo n: the contract's split of rows into folds."""
-    return F.crc32((F.col(key) if isinstance(key, str) else key).cast("string").cast("binary")) % n
+    """crc32 of the key as text, modulo n: the contract's split of rows into folds; -1 for a null key."""
+    place = F.crc32((F.col(key) if isinstance(key, str) else key).cast("string").cast("binary")) % n
+    return F.coalesce(place, F.lit(-1))
 
 
 def hashed_sample(rows: DataFrame, group: str, n: int, key: str = "doc_id") -> DataFrame:
@@ -125,11 +126,24 @@ def joined_spans(spans: Column) -> Column:
     )
 
 
-def salted_lookup(rows: DataFrame, keys: DataFrame, on: str, how: str = "left", spread: Column | None = None) -> DataFrame:
-    """rows joined with keys (unique in on): each key is copied SALTS times so that a hot key is dealt to as many tasks."""
-    salt = F.pmod(F.xxhash64(spread) if spread is not None else F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS))
-    copies = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return rows.withColumn("_salt", salt.cast("long")).join(copies, [on, "_salt"], how).drop("_salt")
+def lookup(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner", n: str = "n", total: int | None = None) -> DataFrame:
+    """rows joined with keys (unique in on; their column n tells how many rows have the key).
+
+    Keys of more than HOT_ROWS rows, or so many more that at most BROADCAST_ROWS of total rows' keys can be such, are
+    broadcast, so that no task gets all rows of one. The others are joined by a shuffle.
+    """
+    total = rows.count() if total is None else total
+    often = max(HOT_ROWS, total // BROADCAST_ROWS)
+    hot, cold = F.broadcast(keys.where(F.col(n) > often)), keys.where(F.col(n) <= often)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(cold, on, how))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -142,14 +156,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     original = written(edges.select("a", "b").where("a is not null and b is not null").distinct(), "edges")
     links = original.where("a <> b")
 
-    def step(links: DataFrame, large: bool) -> DataFrame:
+    def step(links: DataFrame, large: bool, n: int) -> DataFrame:
         low, high = F.least("a", "b"), F.greatest("a", "b")
         if large:
             arcs = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
         else:
             arcs = links.select(high.alias("u"), low.alias("v"))
-        least = arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        found = salted_lookup(arcs, least, "u", "inner", F.col("v"))
+        least = arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        found = lookup(arcs, least, "u", total=2 * n)
         if large:
             new = found.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -163,7 +177,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        links = written(step(step(links, True), False), "stars")
+        links = written(step(written(step(links, True, before[0]), "large-stars"), False, before[0]), "stars")
         now = mark(links)
         if now == before:
             break

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import children, mark
-from .common import ASCII_SPACE, BROADCAST_ROWS, fresh_path, salted_lookup, sized, written
+from .common import ASCII_SPACE, BROADCAST_ROWS, fresh_path, lookup, sized, written
 
 #: Hits on one entry that one task verifies; larger groups are dealt to more copies of its text.
 HITS_PER_SALT = 256
@@ -139,7 +139,7 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
             break
         rows = _redigested(rows, wrong)
     index.store(rows, generation)
-    return salted_lookup(run, level, "digest", "inner", F.col("doc_id")).select(
+    return lookup(run, level, "digest").select(
         "doc_id",
         "keep_id",
         F.col("n").alias("group_size"),
@@ -158,7 +158,7 @@ def _unequal(rows: DataFrame, level: DataFrame, index: DigestIndex, generation:
     if some <= BROADCAST_ROWS:
         found = rows.join(shared, "digest")
     else:
-        found = salted_lookup(rows, shared, "digest", "inner", F.col("doc_id"))
+        found = lookup(rows, shared, "digest", total=shared.agg(F.sum("n")).first()[0])
     found = found.select("doc_id", "digest", "keep_id", "n", "text")
     own = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("text"))
     if generation > 1:

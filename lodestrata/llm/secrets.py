@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import children
-from .common import BROADCAST_ROWS, count_kind, fresh_path, joined_spans, salted_lookup, written
+from .common import BROADCAST_ROWS, count_kind, fresh_path, joined_spans, lookup, written
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
 #: Matches of a text that are folded together.
@@ -197,10 +197,11 @@ class BlobLedger:
             F.array_sort(F.collect_list(F.struct("s.start", "k", "s.end"))),
             lambda x: F.struct(F.element_at(names, x["k"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")),
         )
-        by_blob = each.groupBy("blob").agg(spans.alias("spans"))
+        paths = written(self.versions(docs).select("path", "blob"), "paths")
+        times = paths.groupBy("blob").agg(F.count("*").alias("n"))
+        by_blob = written(each.groupBy("blob").agg(spans.alias("spans")).join(times, "blob"), "found")
         none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-        paths = self.versions(docs).select("path", "blob")
-        return salted_lookup(paths, by_blob, "blob", "left", F.col("path")).select("path", F.coalesce("spans", none).alias("spans"))
+        return lookup(paths, by_blob, "blob", "left").select("path", F.coalesce("spans", none).alias("spans"))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

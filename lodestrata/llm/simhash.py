@@ -6,12 +6,13 @@ fingerprints are joined on these keys, and the Hamming distance of those that sh
 part; copies follow by a lookup.
 
 Within a key, close fingerprints are linked to the first of their connected group instead of in all pairs, which keeps
-the components and makes as many links as fingerprints. A key that more than `chunk` fingerprints share is dealt, as
-pairs of chunks, to many tasks.
+the components and makes as many links as fingerprints. A key that more than `chunk` fingerprints share is split by further
+blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import connected_components, given_back, salted_lookup, with_mapped, written
+from .common import connected_components, given_back, lookup, with_mapped, written
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -92,21 +93,35 @@ def close_links(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return links
 
 
+def second_keys(fp: Column, combo: Column, bits: int, blocks: int) -> Column:
+    """Keys that split a key further: of the bits that are not in the key's blocks, cut in blocks themselves, the same
+    combinations. Fingerprints that share a key and are close share such a key too."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    every = []
+    for chosen in combinations(range(blocks), blocks - bits):
+        used = [p for i in chosen for p in range(cuts[i], cuts[i + 1])]
+        rest = [p for p in range(64) if p not in used]
+        parts = [rest[len(rest) * i // blocks : len(rest) * (i + 1) // blocks] for i in range(blocks)]
+        masks = [sum(1 << p for p in [*used, *(q for i in more for q in parts[i])]) for more in combinations(range(blocks), blocks - bits)]
+        every.append(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks]))
+    masks = F.element_at(F.array(*every), combo + 1)
+    return F.transform(masks, lambda m, i: F.struct((combo * 1000 + i + 1000).alias("combo"), fp.bitwiseAND(m).alias("part")))
+
+
 def links(distinct: DataFrame, bits: int = 3, blocks: int = 6, chunk: int = 20_000) -> DataFrame:
-    """Links (a, b) between the fingerprints (column fp, distinct) whose components are those of all close pairs."""
+    """Links (a, b) between the fingerprints (column fp, distinct) whose components are those of all close pairs.
+
+    Of a key that more than chunk fingerprints share, these are told apart by further bits, which makes 20 rows of each (by
+    default) and groups of at most 2 ** 16: distinct fingerprints that share 48 bits are no more.
+    """
     keyed = distinct.select("fp", F.explode(block_keys(F.col("fp"), bits, blocks)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    tiles = F.transform(
-        F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j"))
-    )
-    tiled = (
-        salted_lookup(keyed, shared, "key", "inner", F.col("fp"))
-        .withColumn("mine", mine)
-        .select("fp", "key", F.explode(tiles).alias("tile"))
-    )
-    buckets = tiled.groupBy("key", "tile").agg(F.collect_list("fp").alias("fps")).select("fps").where(F.size("fps") > 1)
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
+    total = distinct.count() * math.comb(blocks, bits)
+    found = lookup(keyed, shared, "key", total=total)
+    rare = found.where(F.col("n") <= chunk).select("fp", "key")
+    often = found.where(F.col("n") > chunk).select("fp", F.explode(second_keys(F.col("fp"), F.col("key.combo"), bits, blocks)).alias("key"))
+    groups = rare.union(often).groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    buckets = groups.select("fps").where(F.size("fps") > 1)
     ship(distinct.sparkSession)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +149,12 @@ def near_duplicates(docs: DataFrame, bits: int = 3, blocks: int = 6) -> DataFram
     row; a null doc_id is in a component like any other, and names it only if all are null. Empty tables stay empty.
     """
     marked = written(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    groups = connected_components(links(distinct, bits, blocks))
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")), "distinct-fingerprints")
+    groups = connected_components(links(distinct.select("fp"), bits, blocks))
     named = distinct.join(groups, distinct["fp"] == groups["node"], "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component")
+        "fp", "first", "times", F.coalesce("component", "fp").alias("component")
     )
-    lows = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = salted_lookup(named, lows, "component", "inner", F.col("fp")).select("fp", "component_id")
-    return salted_lookup(marked, classes, "fp", "inner", F.col("doc_id")).select("doc_id", "fp", "component_id")
+    named = written(named, "named-fingerprints")
+    lows = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    classes = lookup(named, lows, "component").select("fp", "component_id", "times")
+    return lookup(marked, written(classes, "classes"), "fp", n="times").select("doc_id", "fp", "component_id")

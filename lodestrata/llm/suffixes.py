@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import PART_BYTES, given_back, salted_lookup, with_mapped, written
+from .common import PART_BYTES, given_back, lookup, with_mapped, written
 
 LENGTH, K = 100, 32
 #: Segments of one anchor that one task sorts, about a megabyte; of more, the anchor is made longer.
@@ -472,10 +472,9 @@ def divided(found: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFra
         known.append(found.where("seg is null").select("doc_id", "tag", "s", "w"))
         found = found.where("seg is not null")
         first = written(found.groupBy(*unit).agg(F.min(place).alias("f"), F.count("*").alias("n"), F.first("w").alias("w")), "hot-units")
-        copies = first.where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in unit], "f", F.xxhash64(*unit).alias("_key"))
-        again = salted_lookup(found.withColumn("_key", F.xxhash64(*unit)), copies, "_key", "inner", place)
-        equal = [F.col(c) == F.col(f"_{c}") for c in unit]
-        known.append(again.where(equal[0] & equal[1] & equal[2] & equal[3] & (place != F.col("f"))).select("doc_id", "tag", "s", "w"))
+        copies = first.where("n > 1").select(F.struct(*unit).alias("unit"), "f", "n")
+        again = lookup(found.select(F.struct(*unit).alias("unit"), "doc_id", "tag", "s", "w"), copies, "unit", total=found.count())
+        known.append(again.where(place != F.col("f")).select("doc_id", "tag", "s", "w"))
         counts = first.where(F.col("k") < length).groupBy("h").agg(F.count("*").alias("n"))
         often = spark.sparkContext.broadcast(_filter(counts.where(F.col("n") > hot)))
         units = first.select("h", "f.doc_id", "f.tag", "f.s", "w", "a", "k", "seg")

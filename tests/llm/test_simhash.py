@@ -37,7 +37,7 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-@pytest.mark.parametrize("chunk", [20_000, 5])
+@pytest.mark.parametrize("chunk", [20_000, 5, 1])
 def test_links_keep_components(spark, chunk):
     random.seed(3)
     centers = [random.getrandbits(64) for _ in range(15)]
