@@ -1,43 +1,51 @@
 """Substring deduplication of paragraphs by MinHash banding.
 
-A paragraph is a line; a line of more than LONG_LINE words is cut at its sentence ends, so that a passage inside of it
-lines up wherever it stands. Besides, all lines are compared whole, whatever their length: that is a second level, with
-classes of its own, so that a line and a sentence inside of it never remove each other. What repeats is the union of both.
+Paragraphs are taken at two levels with classes of their own: sentences, so that a passage inside of a line lines up wherever
+it stands, and whole lines. A line and a sentence inside of it never remove each other; what repeats is the union of both.
 Words are compared in lower case (A-Z); paragraphs of fewer than five words are left alone.
-Equal paragraphs are one class by two 64-bit hashes. Distinct ones with at least four five-word shingles are signed with
-BANDS bands of ROWS MinHashes: a pair of Jaccard similarity 0.8 shares a band with probability
-1 - (1 - 0.8 ** ROWS) ** BANDS = 0.997. Paragraphs that share a band are linked if the exact Jaccard similarity of their
-shingle sets is at least 0.8; connected components are classes. Of each class the first paragraph stays (smallest
-doc_id, then place) and the others are removed.
+
+Equal paragraphs are one class by a 128-bit BLAKE2b digest of their words. Distinct ones are signed with BANDS bands of ROWS
+MinHashes of their five-word shingles: a pair of Jaccard similarity 0.8 shares a band with probability
+1 - (1 - 0.8 ** ROWS) ** BANDS = 0.997. Those with fewer than four different shingles, which are similar only if all are the
+same, have one band that stands for all. Paragraphs that share a band are linked if the exact Jaccard similarity of their
+shingle sets is at least 0.8; connected components are classes. Of each class the first paragraph stays (smallest doc_id,
+then place) and the others are removed.
 
 Bands that only one distinct paragraph has never leave the first aggregation. Within a band paragraphs are linked to
-their connected group, not in all pairs, and a band that more than CHUNK share is dealt as pairs of chunks.
+their connected group, not in all pairs. A band of more paragraphs, or more shingles, than one task should hold is first
+measured against single pivots: see around_pivots.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import connected_components, given_back, salted_lookup, sized, with_mapped, written
+from .common import connected_components, given_back, lookup, sized, with_mapped, written
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-LONG_LINE = 50
 BANDS, ROWS = 8, 3
-#: Levels, as bits: paragraphs with long lines cut, and whole lines. What is not cut belongs to both.
+#: Levels, as bits: sentences and whole lines. What is both belongs to both.
 CUT, WHOLE = 1, 2
-#: Tells the node of a whole line from that of a paragraph with the same k1.
-_WHOLE_NODE = 0x5851F42D4C957F2D
-CHUNK = 2000
+#: Paragraphs of a band, and their shingles, that are compared in one task.
+CHUNK, CHUNK_SHINGLES = 2000, 500_000
+#: Pivots that a larger band is measured against before what is left is compared in pairs of chunks.
+PIVOTS = 4
 #: Bands that more than one distinct paragraph has, up to which they are broadcast.
 BROADCAST_BANDS = 1_000_000
+#: Bytes of a word above which it is hashed by XXH64 rather than a polynomial.
+LONG_WORD = 64
+#: Stands for a null doc_id, which sorts after all others.
+NONE = (1 << 63) - 1
 
-_BASE, _WORD1, _WORD2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(5)
 _SEEDS = _rng.integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
 _STEPS = _rng.integers(1, 1 << 63, SHINGLE_WORDS, dtype=np.uint64) | np.uint64(1)
@@ -70,12 +78,9 @@ def _range_hash(values: np.ndarray, base: np.uint64, starts: np.ndarray, ends: n
 
 
 class Paragraphs:
-    """The paragraphs of several texts: document's number, byte and character ranges, words and shingles.
-
-    With lines, also the lines that are cut, whole, by place among them.
-    """
+    """The sentences and lines of several texts, by place: document's number, levels, byte and character ranges, shingles."""
 
-    def __init__(self, texts: list[str | None], lines: bool = False):
+    def __init__(self, texts: list[str | None]):
         raw = [(t or "").encode() for t in texts]
         data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
         data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
@@ -86,25 +91,29 @@ class Paragraphs:
         line = np.searchsorted(np.flatnonzero(data == 10), starts)
         last = data[ends - 1]
         stop = (last == 46) | (last == 33) | (last == 63)
-        long = np.bincount(line, minlength=1)[line] > LONG_LINE if n else np.zeros(0, bool)
         new = np.ones(n, bool)
-        new[1:] = (line[1:] != line[:-1]) | (long[1:] & stop[:-1])
+        new[1:] = (line[1:] != line[:-1]) | stop[:-1]
         first = np.flatnonzero(new)
         sizes = np.diff(np.append(first, n))
-        sure = sizes >= SHINGLE_WORDS
         heads = np.flatnonzero(np.diff(line, prepend=-1))
         spans = np.diff(np.append(heads, n))
         pieces = np.add.reduceat(new.astype(np.int64), heads) if n else spans
-        self.first, self.sizes = first[sure], sizes[sure]
-        self.levels = np.where(np.repeat(pieces, spans)[self.first] > 1, CUT, CUT | WHOLE)
-        if lines:
-            whole = pieces > 1
-            self.first, self.sizes = np.append(self.first, heads[whole]), np.append(self.sizes, spans[whole])
-            self.levels = np.append(self.levels, np.full(np.count_nonzero(whole), WHOLE))
-            by = np.lexsort((self.levels, self.first))
-            self.first, self.sizes, self.levels = self.first[by], self.sizes[by], self.levels[by]
+        levels = np.where(np.repeat(pieces, spans)[first] > 1, CUT, CUT | WHOLE)
+        whole = pieces > 1
+        first, sizes = np.append(first, heads[whole]), np.append(sizes, spans[whole])
+        levels = np.append(levels, np.full(np.count_nonzero(whole), WHOLE))
+        by = np.lexsort((levels, first))
+        by = by[sizes[by] >= SHINGLE_WORDS]
+        self.first, self.sizes, self.levels = first[by], sizes[by], levels[by]
         self.words = _mixed(_range_hash(data.astype(np.uint64) + np.uint64(1), _BASE, starts, ends)) if n else np.zeros(0, np.uint64)
+        self._data = data.tobytes()
+        for i in np.flatnonzero(ends - starts > LONG_WORD):
+            self.words[i] = xxhash.xxh64_intdigest(self._data[starts[i] : ends[i]])
+        # words apart by other than one space, summed up
+        plain = (starts[1:] - ends[:-1] == 1) & (data[ends[:-1]] == 32) if n else np.zeros(0, bool)
+        self._odd = np.concatenate(([0, 0], np.cumsum(~plain))) if n else np.zeros(1, int)
         begin, end = starts[self.first], ends[self.first + self.sizes - 1]
+        self._begin, self._end = begin, end
         lengths = np.array([len(r) + 1 for r in raw])
         edges = np.cumsum(lengths)
         self.documents = np.searchsorted(edges, begin, "right")
@@ -113,10 +122,14 @@ class Paragraphs:
         self.start = heads[begin] - 1 - origin[self.documents]
         self.end = heads[end - 1] - origin[self.documents]
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        ends = self.first + self.sizes
-        a, b = (_range_hash(self.words, base, self.first, ends) for base in (_WORD1, _WORD2))
-        return _mixed(a + self.sizes.astype(np.uint64)), _mixed(b ^ self.sizes.astype(np.uint64))
+    def keys(self) -> np.ndarray:
+        """Two 64-bit numbers for each paragraph: the BLAKE2b digest of its words."""
+        odd = self._odd[self.first + self.sizes] > self._odd[self.first + 1]
+        digests = []
+        for a, b, x in zip(self._begin.tolist(), self._end.tolist(), odd.tolist()):
+            part = self._data[a:b]
+            digests.append(hashlib.blake2b(b" ".join(part.split()) if x else part, digest_size=16).digest())
+        return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all shingles, paragraph after paragraph, and where each paragraph's begin."""
@@ -129,35 +142,53 @@ class Paragraphs:
         return _mixed(total), offsets
 
     def bands(self) -> tuple[np.ndarray, np.ndarray]:
-        """Which paragraphs have at least four shingles, and their band hashes, one row each."""
+        """The band hashes of all paragraphs, one after another, and where each paragraph's begin."""
         shingles, offsets = self.shingles()
-        signed = np.flatnonzero(np.diff(offsets) >= 4)
-        out = np.zeros((len(signed), BANDS), np.uint64)
+        heads, counts = offsets[:-1], np.diff(offsets)
+        few, alike = counts < 4, np.zeros(len(counts), np.uint64)
+        for n in (1, 2, 3):
+            on = np.flatnonzero(counts == n)
+            alike[on] = _set_hash(shingles[heads[on][:, None] + np.arange(n)])
+        many = np.flatnonzero(~few)
+        front = np.sort(shingles[heads[many][:, None] + np.arange(4)], axis=1) if len(many) else np.zeros((0, 4), np.uint64)
+        for i in many[(front[:, 1:] == front[:, :-1]).any(axis=1)]:  # words that repeat
+            own = np.unique(shingles[offsets[i] : offsets[i + 1]])
+            few[i] = len(own) < 4
+            alike[i] = _set_hash(own[None])[0]
+        places = np.concatenate(([0], np.cumsum(np.where(few, 1, BANDS))))
+        out = np.zeros(places[-1], np.uint64)
+        out[places[:-1][few]] = _mixed(alike[few] + _BASE)
+        signed = np.flatnonzero(~few)
         if len(signed):
             for band in range(BANDS):
                 total = np.full(len(signed), band + 1, np.uint64)
                 for a, b in _SEEDS[band * ROWS : (band + 1) * ROWS]:
-                    lows = np.minimum.reduceat(shingles * a + b, offsets[:-1])[signed]
+                    lows = np.minimum.reduceat(shingles * a + b, heads)[signed]
                     total = _mixed(total * _BASE + lows)
-                out[:, band] = total
-        return signed, out
+                out[places[:-1][signed] + band] = total
+        return out, places
+
 
+def _set_hash(rows: np.ndarray) -> np.ndarray:
+    """A hash of the different values of each row, whatever their order."""
+    rows = np.sort(rows, axis=1)
+    values = _mixed(rows)
+    values[:, 1:][rows[:, 1:] == rows[:, :-1]] = 0
+    return values.sum(axis=1, dtype=np.uint64)
 
-PARAGRAPHS = "array<struct<k1:bigint,k2:bigint,start:int,end:int,levels:int,bands:array<bigint>>>"
-_ROW = pa.struct(
-    [("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("levels", pa.int32()), ("bands", pa.list_(pa.int64()))]
-)
+
+_FIELDS = {"k1": "bigint", "k2": "bigint", "start": "int", "end": "int", "levels": "int", "size": "int", "bands": "array<bigint>"}
+PARAGRAPHS = f"array<struct<{','.join(f'{n}:{k}' for n, k in _FIELDS.items())}>>"
 
 
 def _signed(texts: pa.Array) -> list[pa.Array]:
-    p = Paragraphs(texts.to_pylist(), lines=True)
-    k1, k2 = (k.view(np.int64) for k in p.keys())
-    signed, bands = p.bands()
-    per = np.zeros(len(p.first), np.int32)
-    per[signed] = BANDS
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))), pa.int32()), pa.array(bands.ravel().view(np.int64)))
+    p = Paragraphs(texts.to_pylist())
+    k = p.keys()
+    bands, places = p.bands()
+    lists = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(bands.view(np.int64)))
+    numbers = (p.start, p.end, p.levels, p.sizes - SHINGLE_WORDS + 1)
     rows = pa.StructArray.from_arrays(
-        [pa.array(k1), pa.array(k2), *(pa.array(x, pa.int32()) for x in (p.start, p.end, p.levels)), lists], fields=list(_ROW)
+        [pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), *(pa.array(x, pa.int32()) for x in numbers), lists], names=list(_FIELDS)
     )
     counts = np.bincount(p.documents, minlength=len(texts))
     return [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), rows)]
@@ -193,122 +224,172 @@ def _low(level: int) -> Column:
     return F.min(F.when(F.col("levels").bitwiseAND(level) > 0, F.col("doc_id")))
 
 
-def _held(level: int) -> Column:
-    return F.col(f"low{level}").isNotNull()
-
-
-def _by_level(rows: DataFrame, holds: Callable[[int], Column]) -> DataFrame:
-    """k1, k2, level, low, node of rows with low1 and low2, the smallest doc_id at each level, for the levels that hold."""
-    levels = [F.struct(holds(x).alias("on"), F.lit(x).alias("level"), F.col(f"low{x}").alias("low")) for x in (CUT, WHOLE)]
-    rest = [c for c in rows.columns if c in ("k1", "k2", "band")]
-    each = rows.select(*rest, F.inline(F.array(*levels))).where("on").drop("on")
-    node = F.when(F.col("level") == CUT, F.col("k1")).otherwise(F.col("k1").bitwiseXOR(F.lit(_WHOLE_NODE)))
-    return each.withColumn("node", node)
-
-
 def _members(units: DataFrame) -> DataFrame:
-    """band, k1, k2, low1, low2 (the smallest doc_id at each level) of paragraphs whose band more than one distinct one has."""
-    banded = units.select("k1", "k2", "doc_id", "levels", F.explode("bands").alias("band"))
+    """band, k1, k2, low1, low2 (the smallest doc_id at each level), size of paragraphs whose band more than one has."""
+    banded = units.select("k1", "k2", "doc_id", "levels", "size", F.explode("bands").alias("band"))
     ends = banded.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high")
     shared = written(ends.select("band"), "bands")
     shared = F.broadcast(shared) if shared.count() <= BROADCAST_BANDS else shared
-    found = banded.join(shared, "band", "left_semi").groupBy("band", "k1")
-    return written(found.agg(F.min("k2").alias("k2"), _low(CUT).alias("low1"), _low(WHOLE).alias("low2")), "band-members")
+    found = banded.join(shared, "band", "left_semi").groupBy("band", "k1", "k2")
+    return written(found.agg(_low(CUT).alias("low1"), _low(WHOLE).alias("low2"), F.max("size").alias("size")), "band-members")
+
+
+def _nodes(members: DataFrame) -> DataFrame:
+    """id, k1, k2, low1, low2, size: the paragraphs of members, numbered. 2 * id and 2 * id + 1 stand for their levels."""
+    each = members.groupBy("k1", "k2").agg(F.min("low1").alias("low1"), F.min("low2").alias("low2"), F.max("size").alias("size"))
+    return written(written(each, "unnumbered").withColumn("id", F.monotonically_increasing_id()), "nodes")
+
+
+def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, shingles of nodes, from the document of smallest doc_id that holds each; at least one row for each."""
+    held = nodes.select(F.least("low1", "low2").alias("doc_id"), F.struct("k1", "k2", "id").alias("k"))
+    wanted = written(held.groupBy("doc_id").agg(F.collect_list("k").alias("ks")), "wanted")
+    texts = docs.join(sized(wanted), "doc_id").select(F.struct("text", "ks").alias("source"))
 
+    def cut(sources: pa.Array) -> list[pa.Array]:
+        texts = sources.field("text").to_pylist()
+        wanted = [{(k["k1"], k["k2"]): k["id"] for k in ks} for ks in sources.field("ks").to_pylist()]
+        p = Paragraphs(texts)
+        shingles, offsets = p.shingles()
+        rows = [[] for _ in texts]
+        for u, (d, k) in enumerate(zip(p.documents.tolist(), p.keys().tolist())):
+            node = wanted[d].pop(tuple(k), None)
+            if node is not None:
+                rows[d].append({"id": node, "shingles": np.unique(shingles[offsets[u] : offsets[u + 1]]).view(np.int64)})
+        return [pa.array(rows, pa.list_(pa.struct([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])))]
+
+    return with_mapped(texts, "source", "cut array<struct<id:bigint,shingles:array<bigint>>>", lambda: cut).select(F.inline("cut"))
+
+
+def around_pivots(rows: DataFrame, sets: DataFrame, fits: Column, rounds: int = PIVOTS) -> tuple[DataFrame | None, DataFrame]:
+    """Of large groups (g, id, level, size), links (id, other, level), and the rows that are still to be compared.
 
-def _near_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    Each round measures a group's paragraphs against one of them. Those that are similar to it are linked to it, so that
+    they need not be compared with each other, only with those that are not. And since the Jaccard distance is a metric,
+    a similar one can only meet another one if it is at most 1 - SIMILARITY nearer to the pivot. In a group that is
+    all alike nothing is left. No row is multiplied. Groups that fit into one task, and those of the last round, are left.
+    """
+    links, left, far = None, None, 1 - SIMILARITY + 1e-9
+    for turn in range(rounds):
+        pivots = rows.groupBy("g").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("pivot"), F.count("*").alias("n"))
+        pivots = pivots.join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("p")).dropDuplicates(["pivot"]), "pivot")
+        total = rows.count()
+        placed = lookup(rows.select("g", "id", "level", "size").join(sets.dropDuplicates(["id"]), "id"), written(pivots, "pivots"), "g", total=total)
+        both = F.size(F.array_intersect("shingles", "p"))
+        placed = placed.withColumn("far", 1 - both / (F.size("shingles") + F.size("p") - both))
+        placed = written(placed.select("g", "id", "level", "size", "pivot", "far"), "measured")
+        found = placed.where((F.col("far") <= far) & (F.col("id") != F.col("pivot"))).select("id", F.col("pivot").alias("other"), "level")
+        links = found if links is None else links.union(found)
+        others = placed.groupBy("g").agg(F.min(F.when(F.col("far") > far, F.col("far"))).alias("next"), F.count("*").alias("n"))
+        open_ = lookup(placed, written(others, "nearest-others"), "g", total=total).where("next is not null")
+        open_ = open_.where((F.col("far") > far) | (F.col("far") + far >= F.col("next"))).select("g", "id", "level", "size")
+        open_ = written(open_, "open")
+        sizes = open_.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
+        rows = written(lookup(open_, written(sizes, "open-sizes"), "g", total=total), "rows")
+        ready = rows if turn == rounds - 1 else rows.where(fits)
+        left = ready if left is None else left.union(ready)
+        rows = rows.where(~fits)
+        if rows.isEmpty():
+            break
+    return links, left
+
+
+def _near_links(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (a, b) of nodes between distinct paragraphs of one level that share a band and are similar."""
-    parts = F.ceil(F.col("n") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("k1"), parts).cast("int")
+    levels = F.array(*[F.struct(F.col(f"low{x}").isNotNull().alias("on"), F.lit(x).alias("level")) for x in (CUT, WHOLE)])
+    each = members.join(nodes.select("k1", "k2", "id"), ["k1", "k2"])
+    each = each.select("id", "size", "band", F.inline(levels)).where("on").select("id", "level", "size", F.xxhash64("band", "level").alias("g"))
+    each = written(each, "band-nodes")
+    sizes = written(each.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1"), "band-sizes")
+    found = lookup(each, sizes, "g")
+    fits = (F.col("n") <= CHUNK) & (F.col("total") <= CHUNK_SHINGLES)
+    sets = written(_shingle_sets(docs, nodes), "shingle-sets")
+    links, large = None, sizes.where(~fits)
+    if not large.isEmpty():
+        links, rest = around_pivots(written(found.where(~fits), "large-bands"), sets, fits)
+        found = found.where(fits).select("g", "id", "level", "n", "total").union(rest.select("g", "id", "level", "n", "total"))
+    parts = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int")
+    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
     tiles = F.transform(
         F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j"))
     )
-    each = _by_level(members, _held).select("k1", "level", F.xxhash64("band", "level").alias("band"))
-    sizes = each.groupBy("band").agg(F.count("*").alias("n"))
-    tiled = salted_lookup(each, sizes, "band", "inner", F.col("k1")).withColumn("mine", mine)
-    tiled = tiled.select("k1", "level", "band", F.explode(tiles).alias("tile"))
-    lists = tiled.groupBy("band", "level", "tile").agg(F.array_sort(F.collect_set("k1")).alias("ks")).where(F.size("ks") > 1)
+    tiled = found.withColumn("mine", mine).select("id", "level", "g", F.explode(tiles).alias("tile"))
+    lists = tiled.groupBy("g", "level", "tile").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
     # bands with the same paragraphs, of both levels, are compared once
-    once = lists.groupBy("ks").agg(F.min(F.struct("band", "level", "tile")).alias("list"), F.bit_or("level").alias("levels"))
-    sets = _shingle_sets(docs, members)
-    rows = once.select("list", "levels", F.explode("ks").alias("k1"))
-    rows = rows.join(sets, "k1")  # a paragraph is in BANDS lists a level, and more only where bands are dealt as chunks
-    groups = rows.groupBy("list", "levels").agg(F.collect_list(F.struct("k1", "shingles")).alias("g")).select("g", "levels")
+    once = lists.groupBy("ids").agg(F.min(F.struct("g", "level", "tile")).alias("list"), F.bit_or("level").alias("levels"))
+    rows = once.select("list", "levels", F.explode("ids").alias("id"))
+    rows = rows.join(sets, "id")  # a paragraph is in BANDS lists a level, and more only where bands are dealt as chunks
+    groups = rows.groupBy("list", "levels").agg(F.collect_list(F.struct("id", "shingles")).alias("s")).select("s", "levels")
     ship(docs.sparkSession)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[int, int]] = set()
+            found: set[tuple[int, int, int]] = set()
             for row, levels in zip(batch.column(0), batch.column(1).to_pylist()):
-                members = row.values
-                keys, lists = members.field("k1").to_pylist(), members.field("shingles")
-                links = jaccard_links(keys, [lists[i].values.to_numpy() for i in range(len(keys))])
-                if levels & CUT:
-                    found.update(links)
-                if levels & WHOLE:
-                    found.update((a ^ _WHOLE_NODE, b ^ _WHOLE_NODE) for a, b in links)
-            pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return groups.mapInArrow(given_back(linked), "a bigint, b bigint")
-
-
-def _shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """k1, shingles of the members, from the document of smallest doc_id that holds each."""
-    held = members.groupBy("k1").agg(F.min(F.least("low1", "low2")).alias("doc_id"))
-    wanted = written(held.groupBy("doc_id").agg(F.collect_list("k1").alias("ks")), "wanted")
-    texts = docs.join(sized(wanted), "doc_id").select("ks", "text")
-
-    def cut(texts: pa.Array) -> list[pa.Array]:
-        p = Paragraphs(texts.to_pylist(), lines=True)
-        shingles, offsets = p.shingles()
-        k1 = p.keys()[0].view(np.int64)
-        rows = [[] for _ in range(len(texts))]
-        for u, d in enumerate(p.documents):
-            rows[d].append({"k1": int(k1[u]), "shingles": shingles[offsets[u] : offsets[u + 1]].view(np.int64)})
-        return [pa.array(rows, pa.list_(pa.struct([("k1", pa.int64()), ("shingles", pa.list_(pa.int64()))])))]
+                ids, lists = row.values.field("id").to_pylist(), row.values.field("shingles")
+                some = jaccard_links(ids, [lists[i].values.to_numpy() for i in range(len(ids))])
+                found.update((a, b, level) for level in (CUT, WHOLE) if levels & level for a, b in some)
+            rows = np.array(sorted(found), dtype=np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i].copy()) for i in range(3)], ["id", "other", "level"])
 
-    each = with_mapped(texts, "text", "cut array<struct<k1:bigint,shingles:array<bigint>>>", lambda: cut)
-    some = each.select(F.explode(F.filter("cut", lambda x: F.array_contains("ks", x["k1"]))).alias("x")).select("x.*")
-    return some.dropDuplicates(["k1"])
+    pairs = groups.mapInArrow(given_back(linked), "id bigint, other bigint, level bigint")
+    pairs = pairs if links is None else pairs.union(links.select("id", "other", F.col("level").cast("long")))
+    node = lambda c: (F.col(c) * 2 + (F.col("level") == WHOLE).cast("long"))
+    return pairs.select(node("id").alias("a"), node("other").alias("b"))
+
+
+def _classes(found: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """k1, k2, class (level first), keep_id, times of paragraphs that repeat: equal ones in several places, and near ones."""
+    times = lambda level: F.count_if(F.col("levels").bitwiseAND(level) > 0)
+    equal = found.groupBy("k1", "k2").agg(_low(CUT).alias("e1"), _low(WHOLE).alias("e2"), times(CUT).alias("n1"), times(WHOLE).alias("n2"))
+    every = equal.where("n1 > 1 or n2 > 1").join(nodes.drop("size"), ["k1", "k2"], "full_outer")
+
+    def at(level: int) -> Column:
+        known = F.col(f"low{level}").isNotNull()
+        many = F.coalesce(F.col(f"n{level}") > 1, F.lit(False))
+        node = F.when(known, F.col("id") * 2 + int(level == WHOLE))
+        return F.struct(F.lit(level).alias("level"), many.alias("many"), node.alias("node"), F.coalesce(f"e{level}", f"low{level}").alias("low"))
+
+    count = (F.coalesce("n1", F.lit(1)) + F.coalesce("n2", F.lit(1))).alias("times")
+    rows = every.select("k1", "k2", count, F.inline(F.array(at(CUT), at(WHOLE)))).join(groups, "node", "left")
+    near = F.col("component").isNotNull()
+    name = F.struct("level", near.alias("near"), F.coalesce("component", "k1").alias("x"), F.when(near, 0).otherwise(F.col("k2")).alias("y"))
+    rows = written(rows.where(F.col("many") | near).select("k1", "k2", "times", "low", name.alias("class")), "classes")
+    lows = rows.groupBy("class").agg(F.min("low").alias("keep_id"), F.count("*").alias("n"))
+    return written(lookup(rows, written(lows, "lows"), "class").select("k1", "k2", "class", "keep_id", "times"), "named-classes")
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs, removed, removed_lines of every row of docs (doc_id, text; other columns are ignored).
 
-    n_paragraphs counts paragraphs of five words or more, long lines cut; removed is array<struct<start,end,keep_id>> by
-    place, in code points, end exclusive, with the document whose paragraph stays. removed_lines is the same of whole
-    lines; to drop all that repeats, cut out both. Null and empty texts have none. Rows that repeat a doc_id are one
-    document with the paragraphs of all, of which equal ones at the same place stay together.
+    n_paragraphs counts sentences of five words or more; removed is array<struct<start,end,keep_id>> by place, in code
+    points, end exclusive, with the document whose sentence stays. removed_lines is the same of whole lines; to drop all
+    that repeats, cut out both. Null and empty texts have none. Rows that repeat a doc_id, or have none, are one document
+    with the paragraphs of all, of which equal ones at the same place stay together; a null doc_id comes after all others.
+    An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = with_mapped(docs, "text", f"p {PARAGRAPHS}", lambda: _signed).select("doc_id", F.inline_outer("p"))
     units = written(cut, "paragraphs")
     found = units.where("k1 is not null")
-    members = _members(found.where("doc_id is not null"))
-    groups = written(connected_components(_near_links(docs, members)), "near")
-    # equal paragraphs in several places, and those that are near others; what is alone is left out here
-    times = lambda level: F.count_if(F.col("levels").bitwiseAND(level) > 0)
-    equal = found.groupBy("k1", "k2").agg(_low(CUT).alias("low1"), _low(WHOLE).alias("low2"), times(CUT).alias("n1"), times(WHOLE).alias("n2"))
-    equal = _by_level(equal.where("n1 > 1 or n2 > 1"), lambda level: F.col(f"n{level}") > 1)
-    near = members.groupBy("k1", "k2").agg(F.min("low1").alias("low1"), F.min("low2").alias("low2"))
-    near = _by_level(near, _held).join(groups, "node", "left_semi").select(equal.columns)
-    many = equal.union(near).groupBy("k1", "k2", "level", "node").agg(F.min("low").alias("low")).join(groups, "node", "left")
-    many = written(many.select("k1", "k2", "level", F.coalesce("component", "node").alias("class"), "low"), "classes")
-    lows = many.groupBy("level", "class").agg(F.min("low").alias("keep_id"))
-    classes = many.join(lows, ["level", "class"]).select("k1", "k2", "level", "class", "keep_id")
-    hit = found.select("doc_id", "k1", "k2", "start", "end", "levels").join(classes, ["k1", "k2"])
-    per = hit.where(F.col("levels").bitwiseAND(F.col("level")) > 0).groupBy("doc_id", "level", "class").agg(
+    members = _members(found)
+    nodes = _nodes(members)
+    groups = written(connected_components(_near_links(docs, members, nodes)), "near")
+    classes = _classes(found, nodes, groups)
+    places = found.select(F.struct("k1", "k2").alias("k"), "doc_id", "start", "end", "levels")
+    hit = lookup(places, classes.select(F.struct("k1", "k2").alias("k"), "class", "keep_id", "times"), "k", n="times", total=units.count())
+    per = hit.where(F.col("levels").bitwiseAND(F.col("class.level")) > 0).groupBy("doc_id", "class").agg(
         F.min("keep_id").alias("keep_id"), F.min("start").alias("first"), F.collect_list(F.struct("start", "end")).alias("all")
     )
-    gone = F.filter("all", lambda x: (~F.col("doc_id").eqNullSafe(F.col("keep_id"))) | (x["start"] != F.col("first")))
-    gone = F.transform(gone, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.col("keep_id").alias("keep_id")))
+    gone = F.filter("all", lambda x: (F.col("doc_id") != F.col("keep_id")) | (x["start"] != F.col("first")))
+    keep = F.nullif("keep_id", F.lit(NONE)).alias("keep_id")
+    gone = F.transform(gone, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), keep))
     listed = lambda level: F.array_sort(F.flatten(F.collect_list(F.when(F.col("level") == level, F.col("r")))))
-    removed = per.select("doc_id", "level", gone.alias("r")).groupBy("doc_id")
+    removed = per.select("doc_id", F.col("class.level").alias("level"), gone.alias("r")).groupBy("doc_id")
     removed = removed.agg(listed(CUT).alias("removed"), listed(WHOLE).alias("removed_lines"))
     counts = units.groupBy("doc_id").agg(F.count_if(F.col("levels").bitwiseAND(CUT) > 0).alias("n_paragraphs"))
     none = F.array().cast("array<struct<start:int,end:int,keep_id:bigint>>")
-    out = counts.join(removed.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    return out.select(
-        "doc_id", "n_paragraphs", F.coalesce("removed", none).alias("removed"), F.coalesce("removed_lines", none).alias("removed_lines")
-    )
+    return counts.join(removed, "doc_id", "left").select(
+        F.nullif("doc_id", F.lit(NONE)).alias("doc_id"), "n_paragraphs",
+        F.coalesce("removed", none).alias("removed"), F.coalesce("removed_lines", none).alias("removed_lines"),
+    )
