@@ -101,16 +101,20 @@ def fold(key: Column | str, n: int) -> Column:
     return F.coalesce(place, F.lit(-1))
 
 
-def hashed_sample(rows: DataFrame, group: str, n: int, key: str = "doc_id") -> DataFrame:
-    """At most n rows of each group (of which there must be few): those whose keys have the smallest hashes.
+def hashed_sample(rows: DataFrame, group: str, n: int, key: str = "doc_id", size: str | None = None, most: int = 0) -> DataFrame:
+    """At most n rows of each group: those whose keys have the smallest hashes; with size, up to the first whose sizes sum up
+    to more than most.
 
     Rows are first thinned by a threshold on the hash that leaves about twice n of each group, so that what is ranked
     together does not grow with the table.
     """
-    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    counts = written(rows.groupBy(group).agg(F.count("*").alias("_n")), "group-sizes")
     place = F.pmod(F.xxhash64(key), F.lit(1 << 31)) / float(1 << 31)
-    thin = rows.join(F.broadcast(counts), group).where(place * F.col("_n") < 2 * n + 50).drop("_n")
-    ranked = thin.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key)))
+    thin = rows.join(sized(counts), group).where(place * F.col("_n") < 2 * n + 50).drop("_n")
+    order = Window.partitionBy(group).orderBy(F.xxhash64(key), key)
+    ranked = thin.withColumn("_rank", F.row_number().over(order))
+    if size:
+        ranked = ranked.withColumn("_sum", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= most).drop("_sum")
     return ranked.where(F.col("_rank") <= n).drop("_rank")
 
 

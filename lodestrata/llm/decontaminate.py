@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_mapped
+from .common import unused, with_mapped
 
 ERROR_RATE = 0.06
 #: Characters of items in a block.
@@ -201,6 +201,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", to: str =
     Places are code points of the text as it is, end exclusive; of each item all passages within the
     budget are given, of those that overlap the nearest. Null and empty texts and items match nothing; repeated items are searched once, and rows of an item_id with several texts each.
     """
+    if to.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {to}")
     out = docs.withColumn(to, F.array().cast(MATCHES))
     for block in _blocks(benchmark):
         out = _matched(out, block, text, to, rate)
@@ -220,4 +222,5 @@ def _matched(docs: DataFrame, block: list[tuple[int, str]], text: str, to: str,
 
         return searched
 
-    return with_mapped(docs, text, f"_found {MATCHES}", make).withColumn(to, F.concat(to, "_found")).drop("_found")
+    found = unused(docs, "found")
+    return with_mapped(docs, text, f"`{found}` {MATCHES}", make).withColumn(to, F.concat(f"`{to}`", f"`{found}`")).drop(found)

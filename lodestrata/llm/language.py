@@ -8,7 +8,8 @@ and the language with the shortest code is predicted.
 
 The trees of all languages are one array: nodes stand for the byte strings that any language has seen, and hold the
 cost of their last byte in each language. A text is scored by following children for all its bytes at once.
-Texts are lower-cased first. Learned from at most `rows_per_language` whole texts of each language.
+Texts are lower-cased first. Learned from at most ROWS_PER_LANGUAGE whole texts of each language, of BYTES_PER_LANGUAGE bytes
+together, or an equal share of BYTES if there are many languages; all languages are learned.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, hashed_sample, with_mapped, written
+from .common import fold, hashed_sample, sized, with_mapped, written
 
 UNDETERMINED = "und"
-#: Whole labelled texts that are learned from, of each language.
-ROWS_PER_LANGUAGE = 200
-#: Languages that are learned: those with the most labelled rows.
-LANGUAGES = 64
+#: Whole labelled texts that are learned from, of each language, and their bytes; and the bytes of all languages together.
+ROWS_PER_LANGUAGE, BYTES_PER_LANGUAGE, BYTES = 200, 1 << 20, 1 << 26
+#: Entries of a table of all children; beyond, children are searched for.
+TABLE = 1 << 26
 ORDER = 4
 #: Bytes times languages that are scored at once.
 BLOCK = 1 << 21
@@ -64,17 +65,27 @@ class ContextTrees:
             shorter = below_level[self._suffix(keys, length, before)] if length > 1 else np.full((len(keys), n), 8.0)
             cost = np.where(counts > 0, known, escape[parent] + shorter)
             escapes[-1][-len(before) :] = escape
-            table = np.zeros((len(before), self.width), np.int32)
-            table[parent, keys % self.width] = np.arange(first, first + len(keys))
-            children.append(table)
+            children.append((parent + first - len(before)) * self.width + keys % self.width)
             costs.append(cost)
             escapes.append(np.zeros((len(keys), n)))
             before, below_level, first = keys, cost, first + len(keys)
-        none = np.zeros((1, self.width), np.int32)
-        self.children = np.concatenate([none, *children]).ravel()
+        #: Of each node but the first two, its parent's number times width, plus its last symbol; rising.
+        self.edges = np.concatenate(children)
         self.costs = np.concatenate(costs).astype(np.float32)
         self.escapes = np.concatenate(escapes).astype(np.float32)
-        self.inner = len(self.children) // self.width
+        self.inner = first - len(before)
+        self.table = None
+        if self.inner * self.width <= TABLE:
+            self.table = np.zeros(self.inner * self.width, np.int32)
+            self.table[self.edges] = np.arange(2, 2 + len(self.edges))
+
+    def children(self, parents: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The node of each parent's string with one more byte; 0 if it was not seen."""
+        edge = np.where(parents < self.inner, parents, 0).astype(np.int64) * self.width + codes
+        if self.table is not None:
+            return self.table[edge]
+        at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+        return np.where(self.edges[at] == edge, at + 2, 0).astype(np.int32) if len(self.edges) else np.zeros(len(edge), np.int32)
 
     def _count(self, texts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
         """The strings of length in texts, as numbers, and how often each occurs."""
@@ -119,7 +130,7 @@ class ContextTrees:
             context = np.empty_like(levels[-1])
             context[1:] = levels[-1][:-1]
             context[starts] = 1 if len(levels) == 1 else 0
-            levels.append(self.children[np.where(context < self.inner, context, 0) * self.width + codes])
+            levels.append(self.children(context, codes))
         bits = self.costs[levels[-1]]
         todo = np.flatnonzero(levels[-1] == 0)
         first = np.zeros(len(codes), bool)
@@ -153,26 +164,29 @@ class ContextTrees:
         return names, scores
 
 
-def train(
-    docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES, order: int = ORDER
-) -> ContextTrees:
+def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, order: int = ORDER, bytes_per_language: int = BYTES_PER_LANGUAGE) -> ContextTrees:
     """Trees from docs (doc_id, text, lang), of which only rows with a text and a language count.
 
-    Of each language the rows with the smallest hashes of their ids are learned from; equal texts count once.
+    Of each language the rows with the smallest hashes of their ids are learned from, up to the number of rows and bytes;
+    a text of more bytes alone is passed over. Equal texts count once. No rows, no languages.
     """
-    rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    known = rows.select("doc_id", "lang").join(F.broadcast(most.select("lang")), "lang")
-    chosen = written(hashed_sample(known, "lang", rows_per_language).select("doc_id", "lang").distinct(), "labelled")
+    rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang", F.octet_length("text").alias("bytes"))
+    languages = rows.select("lang").distinct().count()
+    most = min(bytes_per_language, BYTES // max(1, languages))
+    known = rows.where(F.col("bytes") <= most).select("doc_id", "lang", "bytes")
+    chosen = hashed_sample(known, "lang", rows_per_language, size="bytes", most=most)
+    chosen = written(chosen.select("doc_id", "lang").distinct(), "labelled")
     texts: dict[str, set[str]] = {}
-    # chosen has at most languages * rows_per_language rows
-    for r in rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").toLocalIterator():
+    # chosen has at most rows_per_language rows of each language; rows that repeat an id are told apart by nothing, and few
+    some = rows.where(F.col("bytes") <= most).join(sized(chosen), ["doc_id", "lang"])
+    for r in some.select("lang", "text").toLocalIterator():
         texts.setdefault(r.lang, set()).add(r.text)
     return ContextTrees({k: sorted(v) for k, v in texts.items()}, order)
 
 
 def identify(docs: DataFrame, trees: ContextTrees, text: str = "text", to: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and its score."""
+    """docs with the predicted language and its score. Of languages whose codes are equally short, the first by name is
+    predicted; a null, empty or letterless text is `und` with a score of 0. Empty tables stay empty."""
     model = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the rows that were learned from
 
     def predicted(texts: pa.Array) -> list[pa.Array]:
@@ -183,5 +197,5 @@ def identify(docs: DataFrame, trees: ContextTrees, text: str = "text", to: str =
 
 
 def held_out() -> Column:
-    """The contract's test rows."""
+    """The contract's test rows; a row without a doc_id is none."""
     return fold("doc_id", 4) == 2

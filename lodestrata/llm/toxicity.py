@@ -26,6 +26,8 @@ from .common import fold, hashed_sample, with_mapped, written
 
 #: Labelled documents that are learned from: this many with label 1, and twice as many with label 0.
 POSITIVES = 600
+#: Bytes of a text above which it is not learned from.
+TEXT_BYTES = 1 << 16
 LANDMARKS, COMMON, LEADS = 48, 24, 300
 DECAY = 0.9
 SEGMENT_WORDS = 24
@@ -327,12 +329,13 @@ def _logistic(margins: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> ToxicityModel:
     """A model of docs (doc_id, text) with labels (doc_id, toxic): at most positives documents with label 1 and twice as
-    many with label 0, those with the smallest hashes of their ids. Null labels and texts don't count."""
+    many with label 0, those with the smallest hashes of their ids. Null labels and texts don't count, nor do texts of more
+    than TEXT_BYTES, so that what comes to the driver is bounded. Of labels that differ for an id, 1 counts."""
     marked = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = hashed_sample(marked.where("toxic = 1"), "toxic", positives).union(hashed_sample(marked.where("toxic = 0"), "toxic", 2 * positives))
     chosen = written(some.select("doc_id", "toxic"), "labelled")
     share = marked.agg(F.avg("toxic")).first()[0]
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= TEXT_BYTES).join(F.broadcast(chosen), "doc_id")
     # chosen has at most 3 * positives rows
     rows = sorted(((r.doc_id, r.text, r.toxic) for r in texts.toLocalIterator()), key=lambda r: (r[0], r[1]))
     return fit([r[1] for r in rows], [r[2] for r in rows], share)
@@ -349,5 +352,5 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", to: str = "
 
 
 def held_out() -> Column:
-    """The contract's test rows."""
+    """The contract's test rows; a row without a doc_id is none."""
     return fold("doc_id", 5) == 0

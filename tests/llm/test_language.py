@@ -40,6 +40,8 @@ def test_code_lengths_match_definition(monkeypatch):
         assert np.allclose(trees.code_lengths(texts), want, atol=1e-3)
         monkeypatch.setattr(language, "BLOCK", 12)  # texts in several parts
         assert np.allclose(trees.code_lengths(texts), want, atol=1e-3)
+        monkeypatch.setattr(language, "TABLE", 0)  # children that are searched for
+        assert np.allclose(language.ContextTrees(train, order).code_lengths(texts), want, atol=1e-3)
         monkeypatch.undo()
 
 
@@ -62,6 +64,7 @@ def test_odd_rows(spark):
     got = {(r.doc_id, r.text): r.lang_pred for r in out}
     assert len(out) == len(rows)
     assert got[100, None] == got[101, ""] == got[102, "12 !? ²"] == "und" and got[None, "the cat"] == "en"
+    assert not any(r.held_out for r in docs.where("doc_id is null").select(language.held_out().alias("held_out")).collect())
     none = language.train(docs.where("false"))
     assert {r.lang_pred for r in language.identify(docs.select("doc_id", "text"), none).collect()} == {"und"}
     assert language.identify(docs.select("text").where("false"), trees).count() == 0
@@ -80,3 +83,66 @@ def test_folds(spark):
     assert {r.g: r["count"] for r in got} == {"a": 100, "b": 100}
     few = hashed_sample(many.where("doc_id < 30"), "g", 100)
     assert few.count() == 30
+
+
+def test_query_by_definition(spark, sf_small):
+    """All predictions of short texts, by code lengths that are counted from their definition."""
+    import zlib
+
+    docs = [r.asDict() for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
+    rows = [r for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["text"] is not None and r["lang"] is not None]
+    texts = {k: sorted({r["text"] for r in rows if r["lang"] == k}) for k in sorted({r["lang"] for r in rows})}
+    assert all(sum(r["lang"] == k for r in rows) <= language.ROWS_PER_LANGUAGE for k in texts)  # so all of them are learned from
+    counts = {}
+    for k, own in texts.items():
+        for t in own:
+            data = t.lower().encode()
+            for n in range(1, language.ORDER + 2):
+                for i in range(len(data) - n + 1):
+                    after = counts.setdefault((k, data[i : i + n - 1]), {})
+                    after[data[i + n - 1]] = after.get(data[i + n - 1], 0) + 1
+
+    def bits(k, data):
+        total = 0.0
+        for i, byte in enumerate(data):
+            for n in range(min(language.ORDER, i), -1, -1):
+                after = counts.get((k, data[i - n : i]))
+                if after is None:
+                    continue
+                whole = sum(after.values()) + len(after)
+                if byte in after:
+                    total -= math.log2(after[byte] / whole)
+                    break
+                total -= math.log2(len(after) / whole)
+            else:
+                total += 8
+        return total
+
+    got = {r.doc_id: r for r in catalog.queries()["op5_language_id"](spark, sf_small).collect()}
+    assert set(got) == {r["doc_id"] for r in docs}
+    tried = 0
+    for r in docs:
+        text = r["text"] or ""
+        assert got[r["doc_id"]].held_out == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not any(map(str.isalpha, text)):
+            assert (got[r["doc_id"]].lang_pred, got[r["doc_id"]].score) == ("und", 0.0)
+        elif len(text) < 3000:
+            costs = {k: bits(k, text.lower().encode()) for k in texts}
+            best = min(costs, key=costs.get)
+            share = 1 / sum(2.0 ** (costs[best] - c) for c in costs.values())
+            assert got[r["doc_id"]].lang_pred == best and abs(got[r["doc_id"]].score - share) < 1e-2
+            tried += 1
+    assert tried > 50
+
+
+def test_many_languages_and_ties(spark, monkeypatch):
+    word = lambda k: chr(97 + k // 26) * 3 + chr(97 + k % 26) * 3
+    rows = [(k * 10 + i, f"{word(k)} {word(k)} {i}", f"l{k:02}") for k in range(70) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language.identify(docs, language.train(docs)).collect()
+    assert all(r.lang_pred == r.lang for r in out)
+    both = spark.createDataFrame([(1, "same words", "y"), (2, "same words", "x")], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in language.identify(both, language.train(both)).collect()} == {("x", 0.5)}
+    texts = spark.createDataFrame([(i, "a" * (10 + i), "x") for i in range(40)] + [(99, "b" * 500, "x")], "doc_id long, text string, lang string")
+    trees = language.train(texts, bytes_per_language=100)  # whole texts, of 100 bytes together
+    assert trees.symbols[ord("b")] == 0 and trees.symbols[ord("a")] == 1

@@ -71,3 +71,17 @@ def test_one_row_of_each_group_stays(spark, sf_small):
         assert out.columns == docs.columns
         got = sorted((str(r.doc_id), " ".join((r.text or "").split())) for r in out.collect())
         assert got == [("1", x), ("5", y), ("7", ""), ("None", z)]
+
+
+def test_columns_of_any_name(spark, sf_small):
+    x = "The cat sat on the mat, and the dog lay by the door of the old house near the mill."
+    names = "language language_score matches found at row _language _score _matches _found kept keep_id component_id fp digest sha".split()
+    rows = [(5, x, "en"), (1, x, "en"), (None, x + " More.", "en"), (5, "Nobody had seen the letters in the attic for years.", "en")]
+    docs = spark.createDataFrame([(*r, *[f"{n}{i}" for n in names]) for i, r in enumerate(rows)], ["doc_id", "text", "lang", *names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_small)
+        assert out.columns == docs.columns, name
+        docs = out
+    left = docs.collect()
+    assert sorted((str(r.doc_id), r.matches) for r in left) in ([("1", "matches1"), ("5", "matches3")], [("1", "matches1"), ("5", "matches3"), ("None", "matches2")])
+    assert all(r[n].startswith(n) for r in left for n in names)

@@ -1,3 +1,4 @@
+import math
 import random
 from itertools import combinations
 
@@ -91,3 +92,54 @@ def test_odd_rows(spark):
     assert len(out) == 62 and all(0 <= r.score <= 1 for r in out)
     none = toxicity.train(docs.where("false"), marks.where("false"))
     assert toxicity.score(docs.select("doc_id", "text"), none).count() == 62
+
+
+def test_very_long_texts_and_empty_tables(spark):
+    texts, labels = examples(90, 4)
+    long = " ".join(texts[:1]) + " plain words of no harm" * 20_000
+    docs = spark.createDataFrame([*enumerate(texts), (500, long), (501, long + " grumbo klotze snarfix")], "doc_id long, text string")
+    marks = spark.createDataFrame([*enumerate(labels), (500, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)  # the long one with label 1 is not learned from
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model, to="score").collect()}
+    assert len(got) == len(texts) + 2 and got[501] >= got[500]
+    assert toxicity.score(docs.where("false"), model).count() == 0
+    nothing = spark.createDataFrame([(None, "x")], "doc_id long, text string").select(toxicity.held_out().alias("h")).first()
+    assert nothing.h is False
+
+
+def brute_features(word):
+    found = {}
+    for at in combinations(range(len(word)), 4):
+        steps = [y - x for x, y in zip(at, at[1:])]
+        if max(steps) <= 2:
+            s = "".join(word[i] for i in at)
+            found[s] = found.get(s, 0) + toxicity.DECAY ** (sum(steps) - 3)
+    return found
+
+
+def test_scores_are_those_of_the_kernel_expansion():
+    """The folded weights give what the machine's expansion over the landmarks gives, kernel by kernel."""
+    texts, labels = examples(120, 5)
+    model = toxicity.fit(texts, labels)
+    words = model.landmarks
+    norms = [math.sqrt(sum(v * v for v in brute_features(w).values())) or 1.0 for w in words]
+    gram = np.array([[brute_kernel(a, b) / (x * y) for b, y in zip(words, norms)] for a, x in zip(words, norms)])
+    assert np.allclose(gram, gram.T) and np.allclose(np.diag(gram), 1.0)
+    spoken = {toxicity.features(w) and w for w in words}
+    assert len(spoken) == len(words)
+    # the expansion's coefficients, from the folded weights of the landmarks' own subsequences
+    strings = sorted({f for w in words for f in toxicity.features(w)})
+    phi = np.zeros((len(strings), len(words)))
+    for k, w in enumerate(words):
+        for f, v in toxicity.features(w).items():
+            phi[strings.index(f), k] = v / norms[k]
+    alpha, *_ = np.linalg.lstsq(phi, model.weights, rcond=None)
+    assert np.allclose(phi @ alpha, model.weights, atol=1e-6)
+    for text in ("grumbo", "klotze", "snarfix", "snar-fix", "therin"):
+        batch = toxicity.Batch([text])
+        place, entry, weight = batch.occurrences(model.known)
+        folded = np.bincount(batch.segments[place], weight * model.weights[entry], len(batch.documents))
+        held = "".join(c for c in text if c.isalpha())
+        if len(batch.documents) == 1 and held == text:
+            direct = sum(a * brute_kernel(text, w) / n for a, w, n in zip(alpha, words, norms))
+            assert np.isclose(folded[0], direct, atol=1e-6)
