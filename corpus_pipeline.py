@@ -15,15 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import byte_bpe, decontaminate, exact_dedup, language, simhash
-from lodestrata.llm.common import documents, table, without_ids, written
+from lodestrata.llm.common import documents, table, unused, without_ids, written
 
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; null, empty and letterless texts go. Learned from the labelled rows of docs."""
-    found = language.identify(docs, language.train(docs), to="_language", score="_score")
-    return found.where(F.col("_language") != language.UNDETERMINED).select(*docs.columns)
+    """Documents that have a language; null, empty and letterless texts go. Learned from the labelled rows of docs; without
+    any, all go. Rows are decided on one by one, whatever their doc_id; other columns may have any name. An empty table
+    stays empty, here and in all stages."""
+    to, score = unused(docs, "language"), unused(docs, "language_score")
+    found = language.identify(docs, language.train(docs), to=to, score=score)
+    return found.where(F.col(to) != language.UNDETERMINED).select(*docs.columns)
 
 
 def without_rows(docs: DataFrame, gone: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -31,31 +34,37 @@ def without_rows(docs: DataFrame, gone: Callable[[DataFrame], DataFrame]) -> Dat
     order of doc_id, nulls last, and the numbers serve as doc_ids, so that of each group exactly the first row stays."""
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return without_ids(docs, gone(docs))
-    placed = docs.withColumn("_at", F.monotonically_increasing_id())  # parts many equal rows
-    placed = placed.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"), "_at").drop("_at")
-    rows = written(placed.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
-    found = gone(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"))
-    return without_ids(rows, found, "_row").select(*docs.columns)
+    at, row = unused(docs, "at"), unused(docs, "row")
+    placed = docs.withColumn(at, F.monotonically_increasing_id())  # parts many equal rows
+    placed = placed.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"), at).drop(at)
+    rows = written(placed.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    found = gone(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row))
+    return without_ids(rows, found, row).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are equal but for their white space, the one with the smallest doc_id."""
+    """Of documents that are equal but for their white space, the one with the smallest doc_id; null texts are empty ones.
+    Of rows with that doc_id, and where all doc_ids are null, one row stays."""
     return without_rows(docs, lambda rows: exact_dedup.exact_duplicates(rows).where("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one with the smallest doc_id."""
+    """Of documents whose fingerprints are linked, the one with the smallest doc_id, and one row of those with it. Null and
+    blank texts have one fingerprint. A row that is linked to none stays, whatever its doc_id."""
     return without_rows(docs, lambda rows: simhash.near_duplicates(rows).where("doc_id <> component_id"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), to="_matches")
-    return found.where(F.size("_matches") == 0).select(*docs.columns)
+    """Documents that hold no benchmark item; null and empty texts hold none, and without items all stay. Rows are decided
+    on one by one."""
+    to = unused(docs, "matches")
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), to=to)
+    return found.where(F.size(to) == 0).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian 32-bit integers), and whether they decode to the text."""
+    """doc_id, n_tokens, ids (little-endian 32-bit integers), and whether they decode to the text, a row for each of docs.
+    Null texts are empty and have no ids."""
     bpe = byte_bpe.ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     coded = bpe.round_trip(docs.select("doc_id", "text"))
     return coded.select(
