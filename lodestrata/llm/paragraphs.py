@@ -6,7 +6,7 @@ Words are compared in lower case (A-Z); paragraphs of fewer than five words are
 
 Equal paragraphs are one class by a 128-bit BLAKE2b digest of their words. Distinct ones are signed with BANDS bands of ROWS
 MinHashes of their five-word shingles: a pair of Jaccard similarity 0.8 shares a band with probability
-1 - (1 - 0.8 ** ROWS) ** BANDS = 0.997. Those with fewer than four different shingles, which are similar only if all are the
+1 - (1 - 0.8 ** ROWS) ** BANDS = 0.998. Those with fewer than four different shingles, which are similar only if all are the
 same, have one band that stands for all. Paragraphs that share a band are linked if the exact Jaccard similarity of their
 shingle sets is at least 0.8; connected components are classes. Of each class the first paragraph stays (smallest doc_id,
 then place) and the others are removed.
@@ -31,7 +31,7 @@ from ..runtime import ship
 from .common import connected_components, given_back, lookup, sized, with_mapped, written
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 6, 2
 #: Levels, as bits: sentences and whole lines. What is both belongs to both.
 CUT, WHOLE = 1, 2
 #: Paragraphs of a band, and their shingles, that are compared in one task.
@@ -225,12 +225,14 @@ def _low(level: int) -> Column:
 
 
 def _members(units: DataFrame) -> DataFrame:
-    """band, k1, k2, low1, low2 (the smallest doc_id at each level), size of paragraphs whose band more than one has."""
+    """band, k1, k2, low1, low2 (the smallest doc_id at each level), size of paragraphs whose band more than one of a level has."""
     banded = units.select("k1", "k2", "doc_id", "levels", "size", F.explode("bands").alias("band"))
-    ends = banded.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high")
-    shared = written(ends.select("band"), "bands")
+    mine = lambda level: F.when(F.col("levels").bitwiseAND(level) > 0, F.col("k1"))
+    ends = banded.groupBy("band").agg(*[f(mine(x)).alias(f"{n}{x}") for x in (CUT, WHOLE) for n, f in (("low", F.min), ("high", F.max))])
+    many = sum(F.when(F.col(f"low{x}") != F.col(f"high{x}"), x).otherwise(0) for x in (CUT, WHOLE))
+    shared = written(ends.select("band", many.alias("shared")).where("shared > 0"), "bands")
     shared = F.broadcast(shared) if shared.count() <= BROADCAST_BANDS else shared
-    found = banded.join(shared, "band", "left_semi").groupBy("band", "k1", "k2")
+    found = banded.join(shared, "band").where(F.col("levels").bitwiseAND(F.col("shared")) > 0).groupBy("band", "k1", "k2")
     return written(found.agg(_low(CUT).alias("low1"), _low(WHOLE).alias("low2"), F.max("size").alias("size")), "band-members")
 
 
