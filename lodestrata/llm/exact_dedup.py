@@ -159,7 +159,7 @@ def _unequal(rows: DataFrame, level: DataFrame, index: DigestIndex, generation:
         found = rows.join(shared, "digest")
     else:
         found = lookup(rows, shared, "digest", total=shared.agg(F.sum("n")).first()[0])
-    found = found.select("doc_id", "digest", "keep_id", "n", "text")
+    found = written(found.select("doc_id", "digest", "keep_id", "n", "text"), "hit-texts")
     own = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("text"))
     if generation > 1:
         stored = written(index.texts(generation, shared.select("digest")), "stored-texts")
