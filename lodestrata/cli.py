@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import argparse
 import json
-import re
 import sys
 import tempfile
 from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +19,9 @@ FOLDER = ".lodestrata"
 
 
 def is_url(target: str) -> bool:
-    return bool(re.match(r"^(https?://|git@|ssh://)", target)) or target.endswith(".git")
+    """Whether target names a repository elsewhere: by its scheme, by user@host:path, or by its last letters."""
+    low = target.lower()
+    return urlsplit(low).scheme in ("http", "https", "ssh") or low.partition(":")[0].startswith("git@") or low.endswith(".git")
 
 
 def find_store(start: str = ".") -> str | None:

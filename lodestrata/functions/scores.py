@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import written
+
 
 def instant(value: Column | str) -> Column:
     """A timestamp, given as a column or as text (UTC)."""
@@ -64,14 +66,19 @@ def strength(rho: Column) -> Column:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """n, rho: correlation of average ranks; 0 for fewer than two rows or no variance.
 
-    Ranks come from counts of distinct values, so that no window spans all rows with their columns.
+    Ranks come from counts of distinct values, dealt by ranges of values: a running sum within each range, and one over the
+    ranges' sums, of which there are as many as partitions.
     """
     rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
 
     def ranks(c: str) -> DataFrame:
-        counts = rows.groupBy(c).agg(F.count("*").alias("n"))
-        below = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        return counts.select(c, (F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2.0).alias(f"r{c}"))
+        counts = rows.groupBy(c).agg(F.count("*").alias("n")).repartitionByRange(c).withColumn("part", F.spark_partition_id())
+        counts = written(counts, "counts")
+        before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        parts = counts.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("base"))
+        within = F.sum("n").over(Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
+        placed = counts.withColumn("within", F.coalesce(within, F.lit(0))).join(F.broadcast(parts), "part")  # one row a partition
+        return placed.select(c, (F.col("base") + F.col("within") + (F.col("n") + 1) / 2.0).alias(f"r{c}"))
 
     both = rows.join(ranks("x"), "x").join(ranks("y"), "y")
     spread = F.stddev_pop("rx") * F.stddev_pop("ry")

@@ -7,25 +7,20 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import canonical, lineage
+from .lineage import canonical, on_lineage
 
 if TYPE_CHECKING:
     from ..plans.graph import RepoGraph
 
 
-def _one(g: RepoGraph, path: str) -> DataFrame:
-    return g.file.where(F.col("path") == path).select("path")
-
-
 def co_changes(g: RepoGraph, path: str, min_count: int = 1, limit: int = 15, max_files: int = 10) -> DataFrame:
     """path, module, shared_commits of live files that change together with a file; also its direct blast radius.
 
     The file counts with all the paths it was renamed from, a partner under the names it has today.
     """
-    own = lineage(g, _one(g, path)).select("path")
     small = g.small_touches(max_files).select("hash", "path")
-    commits = small.join(F.broadcast(own), "path", "left_semi").select("hash").distinct()
-    others = small.join(commits, "hash", "left_semi").join(F.broadcast(own), "path", "left_anti")
+    commits = on_lineage(g, path, small).select("hash").distinct()
+    others = on_lineage(g, path, small.join(commits, "hash", "left_semi"), inside=False)
     shared = (
         others.join(canonical(g), "path")
         .groupBy(F.col("canonical").alias("path"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import contains_ci
-from .lineage import lineage
+from .lineage import on_lineage
 from .ownership import author_list
 
 if TYPE_CHECKING:
@@ -29,8 +29,7 @@ def repo_stats(g: RepoGraph) -> DataFrame:
 def file_detail(g: RepoGraph, path: str) -> DataFrame:
     """A file over its lineage; a commit that touches two of its paths counts twice. One row per outgoing rename."""
     f = g.file.where(F.col("path") == path)
-    touches = g.touches.join(F.broadcast(lineage(g, f)), "path")
-    sums = touches.groupBy("root").agg(
+    sums = on_lineage(g, path, g.touches).groupBy(F.lit(path).alias("root")).agg(
         F.count("*").alias("commit_count"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts")
     )
     out = f.join(sums, F.col("path") == F.col("root"), "left").join(
@@ -47,8 +46,7 @@ def file_detail(g: RepoGraph, path: str) -> DataFrame:
 
 def file_recent_commits(g: RepoGraph, path: str, limit: int = 15) -> DataFrame:
     """hash, message, author_name, timestamp, additions, deletions; a commit once for each path of the lineage it touched."""
-    own = F.broadcast(lineage(g, g.file.where(F.col("path") == path)).select("path"))
-    rows = g.modified.join(own, "path").select("hash", "path", "additions", "deletions")
+    rows = on_lineage(g, path, g.modified).select("hash", "path", "additions", "deletions")
     about = g.commit.select("hash", "message", "author_email", "timestamp")
     rows = rows.join(about, "hash").join(g.author.select(F.col("email").alias("author_email"), F.col("name").alias("author_name")), "author_email")
     rows = rows.orderBy(F.desc("timestamp"), "hash", "path").limit(limit)

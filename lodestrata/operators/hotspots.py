@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import base_name
 from ..functions.scores import band, decay, tier
+from ..runtime import written
 from .coupling import coupling_among
 from .lineage import canonical, lineage
 from .ownership import sole_owned
@@ -35,18 +36,21 @@ def hotspots(
     The self-join is by commit and only over commits of at most max_files_per_commit files, so it multiplies rows by that
     at most; files below min_commits are dropped before it.
     """
-    lines = lineage(g, g.live_files)
+    lines = written(lineage(g, g.live_files), "lineage")
     weight = decay(F.col("ts"), as_of, half_life_days, kind)
-    churn = (
-        lines.join(g.touches.withColumn("w", weight), "path")
+    # commits and files are joined once; three scans of the result follow
+    touches = written(g.touches.select("path", "hash", "author_email", "files_changed", weight.alias("w")), "touches")
+    churn = written(
+        lines.join(touches, "path")
         .groupBy("root", "hash")  # a commit has one author, so only authors are left to be told apart below
         .agg(F.first("author_email").alias("author_email"), F.sum("w").alias("w"))
         .groupBy("root")
         .agg(F.count("*").alias("commit_count"), F.sum("w").alias("recent"), F.countDistinct("author_email").alias("author_count"))
-        .where(F.col("commit_count") >= min_commits)
+        .where(F.col("commit_count") >= min_commits),
+        "churn",
     )
-    small = g.small_touches(max_files_per_commit)
-    ours = lines.join(churn.select("root"), "root").join(small.select("path", "hash", weight.alias("w")), "path")
+    small = touches.where(F.col("files_changed") <= max_files_per_commit)
+    ours = lines.join(churn.select("root"), "root").join(small.select("path", "hash", "w"), "path")
     others = small.select("hash", F.col("path").alias("other"))
     own = lines.select("root", F.col("path").alias("other"))
     partners = ours.select("root", "hash", "w").join(others, "hash").join(own, ["root", "other"], "left_anti")
@@ -105,7 +109,7 @@ def repo_map_nodes(g: RepoGraph, mode: str = "all-time", top_n: int = 40) -> Dat
 
     Mode recent ranks anew among the riskiest by the all-time score, max(4 * top_n, 150) of them.
     """
-    few = _selected(g, mode, top_n)
+    few = written(_selected(g, mode, top_n), "selected")  # top_n rows
     most = few.agg(F.max("score").alias("most"))
     alone = sole_owned(g, few).withColumn("sole_owned", F.lit(True))
     rows = few.join(alone, "path", "left").crossJoin(F.broadcast(most))  # one row

@@ -36,12 +36,25 @@ def lineage(g: RepoGraph, roots: DataFrame | None = None) -> DataFrame:
     """(root, path): every file with itself and each path it was ever renamed from. roots (path) limits the files."""
     roots = (g.file if roots is None else roots).select(F.col("path").alias("root"))
     behind = g.renames.select(F.col("dst").alias("root"), F.col("src").alias("path"))
-    if roots is not None:
-        behind = behind.join(roots, "root", "left_semi")
+    behind = behind.join(roots, "root", "left_semi")
     behind = behind.join(g.file.select("path"), "path", "left_semi").select("root", "path")
     return roots.select("root", F.col("root").alias("path")).union(behind).distinct()
 
 
+#: Paths of one file's lineage that become part of a filter, which reaches the scan; more are joined.
+FILTER_PATHS = 1000
+
+
+def on_lineage(g: RepoGraph, path: str, rows: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows (path) on a file's lineage, or all others."""
+    own = lineage(g, g.file.where(F.col("path") == path)).select("path")
+    few = [r.path for r in own.limit(FILTER_PATHS + 1).collect()]
+    if len(few) > FILTER_PATHS:
+        return rows.join(own, "path", "left_semi" if inside else "left_anti")
+    found = F.col("path").isin(few) if few else F.lit(False)
+    return rows.where(found if inside else ~found)
+
+
 def canonical(g: RepoGraph) -> DataFrame:
     """(path, canonical): what each file is called today: what is ahead of it, itself included, and not renamed again.
 

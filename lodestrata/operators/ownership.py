@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import contains_ci, is_stale
-from .lineage import lineage
+from .lineage import on_lineage
 
 if TYPE_CHECKING:
     from ..plans.graph import RepoGraph
@@ -21,9 +21,8 @@ def author_files(g: RepoGraph) -> DataFrame:
 
 def file_owners(g: RepoGraph, path: str, limit: int = 10) -> DataFrame:
     """author_name, author_email, commit_count, share over a file's lineage; shares are of all owners, before the limit."""
-    own = lineage(g, g.file.where(F.col("path") == path))
     counts = (
-        g.touches.join(F.broadcast(own), "path")
+        on_lineage(g, path, g.touches)
         .groupBy(F.col("author_email").alias("email"))
         .agg(F.countDistinct("hash").alias("commit_count"))
     )
@@ -163,7 +162,8 @@ def sole_owned(g: RepoGraph, files: DataFrame) -> DataFrame:
 
 def author_sole_owned_files(g: RepoGraph, email: str, limit: int = 15) -> DataFrame:
     """path, module, commit_count, last_touched of live files that only this author has touched."""
-    per = g.touches.groupBy("path").agg(
+    mine = g.touches.where(F.col("author_email") == email).select("path").distinct()
+    per = g.touches.join(mine, "path", "left_semi").groupBy("path").agg(
         F.min("author_email").alias("low"), F.max("author_email").alias("high"),
         F.countDistinct("hash").alias("commit_count"), F.max("timestamp").alias("last_touched"),
     )

@@ -34,10 +34,10 @@ def with_risk(functions: DataFrame, calls: DataFrame, history: DataFrame) -> Dat
     return rows.withColumn("risk_score", function_risk(F.col("change_count"), F.col("caller_count"), F.col("complexity")))
 
 
-def touched_functions(functions: DataFrame, hunks: DataFrame) -> DataFrame:
-    """The functions with a hunk (path, lo, hi) in their lines, once each."""
-    ids = _overlapping(functions, hunks.select("path", "lo", "hi")).select("id").distinct()
-    return functions.join(ids, "id", "left_semi")
+def touched_functions(functions: DataFrame, hunks: DataFrame, by: str | None = None) -> DataFrame:
+    """The functions with a hunk (path, lo, hi) in their lines, once each; with by, a column of hunks, once for each value."""
+    some = _overlapping(functions, hunks.select("path", "lo", "hi", *([by] if by else []))).select("id", *([by] if by else [])).distinct()
+    return functions.join(some, "id", "inner" if by else "left_semi")
 
 
 def risk_percentile(functions: DataFrame, percentile: float = 90.0) -> DataFrame:
@@ -46,18 +46,19 @@ def risk_percentile(functions: DataFrame, percentile: float = 90.0) -> DataFrame
     return functions.where("risk_score > 0").agg(F.coalesce(found, F.lit(0.0)).alias("threshold"))
 
 
-def flagged(functions: DataFrame, hunks: DataFrame, percentile: float = 90.0, min_callers: int = 5) -> DataFrame:
-    """Touched functions (with caller_count) that are riskier than the percentile or have many callers, riskiest first."""
+def flagged(functions: DataFrame, hunks: DataFrame, percentile: float = 90.0, min_callers: int = 5, by: str | None = None) -> DataFrame:
+    """Touched functions (with caller_count) that are riskier than the percentile or have many callers, riskiest first;
+    with by, for each value of that column of hunks (a set of changes)."""
     threshold = F.broadcast(risk_percentile(functions, percentile))  # one row
-    rows = touched_functions(functions, hunks).crossJoin(threshold)
+    rows = touched_functions(functions, hunks, by).crossJoin(threshold)
     risky = (F.col("risk_score") > 0) & (F.col("risk_score") >= F.col("threshold"))
     return rows.where(risky | (F.col("caller_count") >= min_callers)).orderBy(F.desc("risk_score"), "id")
 
 
-def markdown(flags: DataFrame, most: int = 1000) -> str | None:
-    """A table of flagged functions for a comment; None without any. most bounds what is collected."""
+def markdown(flags: DataFrame) -> str | None:
+    """A table of all flagged functions of one set of changes, for a comment; None without any."""
     line = F.format_string("| `%s` | %s | %.4f | %d |", F.col("qualname"), F.col("path"), F.col("risk_score"), F.col("caller_count"))
-    lines = [r.line for r in flags.limit(most).select(line.alias("line")).collect()]
+    lines = [r.line for r in flags.select(line.alias("line")).toLocalIterator()]
     head = ["| Function | File | Risk | Callers |", "| --- | --- | ---: | ---: |"]
     return "\n".join([*head, *lines]) + "\n" if lines else None
 

@@ -46,8 +46,8 @@ def function_graph(g: RepoGraph, sources: DataFrame, hunks: DataFrame | None = N
 
 
 def ingest(spark: SparkSession, repo: str, as_of: str, max_commits: int = 5000, module_depth: int = 1, settings: Settings | None = None) -> RepoGraph:
-    """The whole graph of a local repository with its derived tables. Only the log, the listing and the patches are made
-    on the driver, where the repository is; what fails in the function graph leaves the history graph whole."""
+    """The whole graph of a repository with its derived tables. The log and the listing are made on the driver, patches and
+    sources by the executors, for all of which the repository is under the same path; what fails in the function graph leaves the history graph whole."""
     commits = written(gitlog.parse_log(gitlog.blocks(spark, gitlog.log_text(repo, max_commits))), "commits")
     try:
         live = gitlog.head_paths(spark, repo)
@@ -56,8 +56,8 @@ def ingest(spark: SparkSession, repo: str, as_of: str, max_commits: int = 5000,
     g = history_graph(commits, live, module_depth, settings)
     if live is not None:
         sources = pysource.with_empty(pysource.scan(spark, repo), live).join(live, "path", "left_semi")
-        paths = [r.path for r in sources.select("path").collect()]
-        hunks = diffs.file_hunks(diffs.patch_logs(spark, repo, paths)).withColumn("hash", F.concat("path", F.lit("#"), "commit_idx"))
+        logs = written(diffs.patch_logs(spark, repo, sources.select("path")), "patches")
+        hunks = diffs.file_hunks(logs).withColumn("hash", F.concat("path", F.lit("#"), "commit_idx"))
         g = function_graph(g, sources, hunks.drop("commit_idx"))
     return materialize(g, as_of)
 

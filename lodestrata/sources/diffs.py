@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
+#: Fixed values of the patch format: a hunk's header, on its own and with both counts.
 HUNK = r"(?m)^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
+COUNTS = r"@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
 def hunk_ranges(patch: Column) -> Column:
@@ -28,24 +35,59 @@ def file_hunks(patches: DataFrame) -> DataFrame:
     return each.select("path", "commit_idx", message.alias("message"), F.inline(hunk_ranges(patch)))
 
 
+def _file_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """path, lo, hi of each hunk of a diff. Lines inside of a hunk are passed over by its counts, whatever they look like; a
+    line that can't be in it ends a hunk that is cut short."""
+    path, old, new = None, 0, 0
+    for line in text.split("\n"):
+        mark = line[:1] or " "
+        if mark == "\\":  # no line end at the file's end
+            continue
+        if (old or new) and (old and mark in "- " or new and mark in "+ "):
+            old, new = max(0, old - (mark != "+")), max(0, new - (mark != "-"))
+            continue
+        old = new = 0
+        if line.startswith("+++ "):
+            name = line[4:].split("\t")[0].rstrip()
+            path = name[2:] if name.startswith("b/") else None
+        elif (hunk := re.match(COUNTS, line)) and path is not None:
+            old, new = (1 if hunk[k] is None else int(hunk[k]) for k in (1, 3))
+            yield path, int(hunk[2]), int(hunk[2]) + max(new, 1) - 1
+
+
 def diff_hunks(diffs: DataFrame) -> DataFrame:
-    """path, lo, hi of diffs (text) of several files; deleted files have none.
+    """path, lo, hi of diffs (text) of several files; deleted files, and headers of none, have none.
 
-    The text is split at the headers of new files, so each part begins with its path.
+    What a line means depends on the counts of the hunk before it, so texts are read line by line, in Arrow batches.
     """
-    parts = diffs.select(F.explode(F.slice(F.split("text", r"(?m)^\+\+\+ "), 2, 1_000_000)).alias("part"))
-    path = F.regexp_replace(F.rtrim(F.split("part", r"[\t\r\n]").getItem(0)), "^b/", "")
-    return parts.select(path.alias("path"), F.inline(hunk_ranges(F.col("part")))).where(F.col("path") != "/dev/null")
-
-
-def patch_logs(spark: SparkSession, repo: str, paths: list[str], timeout: int = 120) -> DataFrame:
-    """path, log of the whole history of each path, without following renames; a path that fails has an empty log."""
-    rows = []
-    for path in paths:
-        command = ["git", "-C", repo, "log", "--no-merges", "-p", "--unified=0", "--format=%x01%s", "--", path]
-        try:
-            done = subprocess.run(command, capture_output=True, timeout=timeout, check=True)
-            rows.append((path, done.stdout.decode("utf-8", "replace")))
-        except (subprocess.SubprocessError, OSError):
-            rows.append((path, ""))
-    return spark.createDataFrame(rows, "path string, log string")
+    ship(diffs.sparkSession)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                found = list(_file_spans(text.as_py() or ""))
+                columns = list(zip(*found)) or [(), (), ()]
+                types = (pa.string(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["path", "lo", "hi"])
+
+    return diffs.select("text").mapInArrow(read, "path string, lo int, hi int")
+
+
+def patch_logs(spark: SparkSession, repo: str, paths: DataFrame, timeout: int = 120) -> DataFrame:
+    """path, log of the whole history of each path (path), without following renames; a path that fails has an empty log.
+
+    Each task asks for its own paths: the repository has to be where all executors see it.
+    """
+    ship(spark)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                command = ["git", "-C", repo, "log", "--no-merges", "-p", "--unified=0", "--format=%x01%s", "--", path]
+                try:
+                    log = subprocess.run(command, capture_output=True, timeout=timeout, check=True).stdout.decode("utf-8", "replace")
+                except (subprocess.SubprocessError, OSError):
+                    log = ""
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([log])], ["path", "log"])
+
+    return paths.select("path").distinct().mapInArrow(read, "path string, log string")

@@ -20,7 +20,7 @@ from ..functions.paths import extension_of, module_of, shortened
 RECORD, UNIT = "\x1e", "\x1f"
 PRETTY = "%x1e%H%x1f%aN%x1f%aE%x1f%aI%x1f%s"
 #: additions, deletions, then a path, or nothing and the old and the new path of a rename.
-ENTRY = r"(\d+|-)\t(\d+|-)\t(?:([^\x00\t\n]+)\x00|\x00([^\x00]+)\x00([^\x00]+)(?:\x00|$))"
+ENTRY = r"(\d+|-)\t(\d+|-)\t(?:([^\x00]+)\x00|\x00([^\x00]+)\x00([^\x00]+)(?:\x00|$))"
 #: Fixed value: characters of a message that are kept.
 MESSAGE_LENGTH = 500
 
@@ -55,10 +55,13 @@ def head_paths(spark: SparkSession, repo: str, timeout: int = 60) -> DataFrame:
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """log_pos, block of log text in files under path; log_pos rises within a file, in any split."""
+    """log_pos, block of log text in files under path; log_pos rises within a file, in any split, and from file to file."""
     rows = spark.read.option("lineSep", RECORD).text(path)
+    files = sorted(r.file for r in rows.select(F.col("_metadata.file_path").alias("file")).distinct().collect())  # names of files
+    numbers = spark.createDataFrame([(n, i << 44) for i, n in enumerate(files)], "file string, base long")
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.select((F.col("_metadata.file_block_start") + within).alias("log_pos"), F.col("value").alias("block"))
+    placed = rows.select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + within).alias("at"), "value")
+    return placed.join(F.broadcast(numbers), "file").select((F.col("base") + F.col("at")).alias("log_pos"), F.col("value").alias("block"))
 
 
 def blocks(spark: SparkSession, text: str) -> DataFrame:

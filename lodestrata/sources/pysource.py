@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -139,8 +141,10 @@ def _colons(ddl: str) -> str:
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """path (relative), source of the Python files under root, read by the executors; bytes that are not UTF-8 are replaced."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
-    relative = F.regexp_replace("path", "^.*?" + root.rstrip("/").split(":")[-1].replace(".", r"\.") + "/", "")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py")
+    files = files.load(re.sub(r"([\[\]{}*?\\])", r"\\\1", root))  # a name, not a pattern
+    folder = F.lit(urlsplit(root).path.rstrip("/") + "/" if "://" in root or root.startswith("file:") else root.rstrip("/") + "/")
+    relative = F.substr(F.col("path"), F.instr(F.col("path"), folder) + F.length(folder))
     return files.select(relative.alias("path"), F.decode("content", "UTF-8").alias("source")).where(extension_of(F.col("path")) == "py")
 
 

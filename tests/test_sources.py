@@ -36,6 +36,24 @@ def test_log_tables(spark, tmp_path):
     assert [r.hash for r in again.orderBy("log_pos").collect()] == ["h3", "h2", "h1"]
 
 
+def test_several_log_files_and_odd_paths(spark, tmp_path):
+    block = lambda h, name, day, path: f"\x1e{h}{U}{name}{U}a@x{U}2024-03-{day}T10:00:00+00:00{U}s\n1\t1\t{path}\x00"
+    (tmp_path / "log1").write_text(block("h3", "New", "03", "a\nb.py") + block("h2", "Mid", "02", "c.py"))
+    (tmp_path / "log2").write_text(block("h1", "Old", "01", "d.py"))
+    commits = gitlog.parse_log(gitlog.read_blocks(spark, f"file://{tmp_path}/log*"))
+    assert [r.hash for r in commits.orderBy("log_pos").collect()] == ["h3", "h2", "h1"]
+    t = gitlog.tables(commits)
+    assert [r.name for r in t["author"].collect()] == ["Old"]
+    assert {r.path for r in t["file"].collect()} == {"a\nb.py", "c.py", "d.py"}
+
+
+def test_targets():
+    from lodestrata.cli import is_url
+
+    far = ["https://h/x", "HTTP://h/x", "ssh://git@h/x", "git@h:o/x", "Git@h:o/x", "/srv/x.git", "x.GIT"]
+    assert all(map(is_url, far)) and not any(map(is_url, [".", "/srv/x", "C:/x", "httpx"]))
+
+
 def test_real_repository(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-c", "user.name=T", "-c", "user.email=t@x", "-C", str(tmp_path), *a], check=True, capture_output=True)
     run("init", "-q")
@@ -49,7 +67,7 @@ def test_real_repository(spark, tmp_path):
     t = gitlog.tables(gitlog.parse_log(gitlog.blocks(spark, gitlog.log_text(str(tmp_path)))))
     assert sorted(tuple(r) for r in t["renamed_to"].collect()) == [("a.py", "b é.py")] and t["commit"].count() == 3
     assert [r.path for r in gitlog.head_paths(spark, str(tmp_path)).collect()] == ["b é.py"]
-    hunks = diffs.file_hunks(diffs.patch_logs(spark, str(tmp_path), ["a.py", "none"])).collect()
+    hunks = diffs.file_hunks(diffs.patch_logs(spark, str(tmp_path), spark.createDataFrame([("a.py",), ("none",)], "path string"))).collect()
     assert ("fix: f", 2, 2) in {(r.message, r.lo, r.hi) for r in hunks}
     with pytest.raises(gitlog.GitError):
         gitlog.log_text(str(tmp_path / "none"))
@@ -62,6 +80,10 @@ def test_diff_hunks(spark):
     )
     got = diffs.diff_hunks(spark.createDataFrame([(diff,), ("",), (None,)], "text string")).collect()
     assert sorted(tuple(r) for r in got) == [("x.py", 3, 6), ("x.py", 12, 12), ("x.py", 15, 15), ("z z.py", 1, 2)]
+    # what is added or removed may look like a header
+    odd = "--- a/c.c\n+++ b/c.c\n@@ -1,2 +1,3 @@\n--- i\n+++ counter\n+++ b/other.c\n \n@@ -9 +10 @@\n-x\n+y\n\\ No newline at end of file\n+++ nowhere\n@@ -1 +1 @@\n"
+    got = diffs.diff_hunks(spark.createDataFrame([(odd,)], "text string")).collect()
+    assert sorted(tuple(r) for r in got) == [("c.c", 1, 3), ("c.c", 10, 10)]
 
 
 SOURCES = {
@@ -104,6 +126,8 @@ def test_python_sources(spark):
 
 
 def test_scan_reads_files(spark, tmp_path):
+    tmp_path = tmp_path / "c++ (1).[x]"
+    tmp_path.mkdir()
     for path, source in SOURCES.items():
         (tmp_path / path).parent.mkdir(exist_ok=True)
         (tmp_path / path).write_text(source)
