@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from .functions.paths import extension_of, is_bug_fix, module_of
 from .functions.scores import is_stale
-from .operators import callgraph, coupling, files, hotspots, lineage, ownership, resolve, risk
+from .operators import callgraph, client, coupling, files, hotspots, lineage, ownership, resolve, risk, views
 from .plans import proxy
 from .plans.graph import RepoGraph, Settings
 from .plans.materialize import materialize
-from .sources import diffs, gitlog
+from .sources import diffs, gitlog, pysource, tssource
 from .streaming import history
 
-AS_OF, SINCE = proxy.AS_OF, "2001-01-01"
+AS_OF = proxy.AS_OF
 EMAIL, OTHER = "n3", "n7"
 FUNCTION, FILE = "f7::fn27", "f7"
 #: Half of the proxy's authors hold no half of a file, so shares count from here.
@@ -41,17 +41,17 @@ def _with_hotspots(g: RepoGraph, min_commits: int = 8) -> RepoGraph:
     return replace(g, file_hotspot=hotspots.hotspots(g, AS_OF, min_commits))
 
 
-def query(sql: str | None = None, since: str | None = None, prepare: Callable[[RepoGraph], RepoGraph] | None = None):
+def query(sql: str | None = None, copies: bool = False, prepare: Callable[[RepoGraph], RepoGraph] | None = None):
     """Registers a function of a graph under its name, with the SQL that follows the common tables."""
 
     def registered(f: Callable[[RepoGraph], DataFrame]) -> Callable[[RepoGraph], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            g = proxy.graph(spark, sf_dir, since=since)
+            g = proxy.graph(spark, sf_dir, copies=copies)
             return _rounded(f(prepare(g) if prepare else g))
 
         _queries[f.__name__] = run
         if sql:
-            _oracles[f.__name__] = f"WITH RECURSIVE {proxy.duckdb_ctes(since)}, {_COMMON} {sql}"
+            _oracles[f.__name__] = f"WITH RECURSIVE {proxy.duckdb_ctes(copies)}, {_COMMON} {sql}"
         return f
 
     return registered
@@ -103,8 +103,18 @@ def hotspots_top(g):
     return hotspots.hotspots(g, AS_OF, limit=20)
 
 
-_queries["hotspots"] = _queries["hotspots_top"]
-_oracles["hotspots"] = _oracles["hotspots_top"]
+@query(f"{_hot()} SELECT path, module, commit_count, coupled_file_count, author_count, round(coupling_density, 3) AS coupling_density, round(hot.risk_score, 3) AS risk_score, "
+       "round(hot.risk_score_recent, 3) AS risk_score_recent FROM hot ORDER BY hot.risk_score DESC, path LIMIT 20", prepare=lambda g: materialize(g, AS_OF, ("file_hotspot",)))
+def hotspots_made(g):
+    """What was materialized, as the parameters are the same."""
+    return hotspots.hotspots_or_scored(g, AS_OF)
+
+
+@query(f"{_hot(5)} SELECT path, module, commit_count, coupled_file_count, author_count, round(coupling_density, 3) AS coupling_density, round(hot.risk_score, 3) AS risk_score, "
+       "round(hot.risk_score_recent, 3) AS risk_score_recent FROM hot ORDER BY hot.risk_score DESC, path LIMIT 20", prepare=lambda g: materialize(g, AS_OF, ("file_hotspot",)))
+def hotspots_live(g):
+    """The live query, as the parameters differ from what was materialized."""
+    return hotspots.hotspots_or_scored(g, AS_OF, max_files=5)
 
 
 @query(f"{_hot(5)} SELECT {_HOT_COLUMNS} FROM hot ORDER BY hot.risk_score DESC, path LIMIT 50")
@@ -160,7 +170,7 @@ def rename_canonical(g):
     return lineage.canonical(g)
 
 
-@query("SELECT path, path NOT IN (SELECT path FROM t) AS is_deleted FROM file", since=SINCE)
+@query("SELECT path, path NOT IN (SELECT path FROM t) AS is_deleted FROM file", copies=True)
 def mark_deleted(g):
     return lineage.mark_deleted(g.file, g.modified.select("path")).select("path", "is_deleted")
 
@@ -299,12 +309,12 @@ def author_network(g):
 
 
 @query(f"""SELECT t.path, f.module, count(DISTINCT hash) AS commit_count, max(timestamp) AS last_touched FROM t JOIN file f USING (path) WHERE NOT is_deleted GROUP BY 1, 2
-  HAVING count(DISTINCT author_email) = 1 AND min(author_email) = '{EMAIL}' ORDER BY 3 DESC, 1 LIMIT 15""", since=SINCE)
+  HAVING count(DISTINCT author_email) = 1 AND min(author_email) = '{EMAIL}' ORDER BY 3 DESC, 1 LIMIT 15""", copies=True)
 def author_sole_owned_files(g):
     return ownership.author_sole_owned_files(g, EMAIL)
 
 
-@query("SELECT path FROM t GROUP BY path HAVING count(DISTINCT author_email) = 1", since=SINCE)
+@query("SELECT path FROM t GROUP BY path HAVING count(DISTINCT author_email) = 1", copies=True)
 def sole_ownership(g):
     return ownership.sole_owned(g, g.file)
 
@@ -320,8 +330,8 @@ def author_criticality(g):
 
 
 @query(f"{_hot(10, 1)}, {_CRITICAL.format(share=0.5)} SELECT email, name, round(criticality_score, 6) AS criticality_score, sole_owned_file_count FROM critical JOIN author USING (email)",
-       since=SINCE, prepare=lambda g: _with_hotspots(g, 1))
-def author_criticality_recent(g):
+       copies=True, prepare=lambda g: _with_hotspots(g, 1))
+def author_criticality_sole(g):
     return ownership.criticality(g)
 
 
@@ -489,6 +499,90 @@ def file_call_nodes(g):
     return callgraph.file_call_nodes(g, FILE)
 
 
+# --- response graphs and what a client makes of lists
+
+
+def _view(name: str, sql: str, prepare: Callable[[RepoGraph], RepoGraph] | None = None):
+    """Registers nodes or edges of a response graph."""
+
+    def registered(f: Callable[[RepoGraph], views.GraphView]) -> Callable[[RepoGraph], views.GraphView]:
+        def run(g: RepoGraph) -> DataFrame:
+            nodes, edges = f(g).frames(g.file.sparkSession)
+            return nodes if name.endswith("nodes") else edges
+
+        run.__name__ = name
+        query(sql, prepare=prepare)(run)
+        return f
+
+    return registered
+
+
+@_view("topology_view_nodes", f""", {_STATS}, few AS (SELECT * FROM stats ORDER BY commit_count DESC, email LIMIT 10) SELECT email AS id, 'Author' AS kind, name AS label, name || ' - mostly works in ' || module AS subtitle, 1 AS hop,
+  round(commit_count / max(commit_count) OVER (), 3) AS weight, false AS sole_owned, false AS trending_worse, module AS "group" FROM few JOIN (SELECT author_email AS email, module FROM (SELECT author_email, module,
+  row_number() OVER (PARTITION BY author_email ORDER BY count(DISTINCT hash) DESC, module) AS r FROM t JOIN file USING (path) GROUP BY author_email, module) WHERE r = 1) USING (email)""")
+def _topology(g):
+    return views.topology_view(g, 10)
+
+
+@_view("author_network_view_nodes", f""", few AS (SELECT path FROM (SELECT path, count(DISTINCT hash) AS n FROM t JOIN file f USING (path) WHERE author_email = '{EMAIL}' AND NOT is_deleted GROUP BY 1 ORDER BY n DESC, path LIMIT 80)),
+  near AS (SELECT author_email AS id, name, count(DISTINCT t.path) AS n FROM t JOIN author ON email = author_email WHERE author_email <> '{EMAIL}' AND t.path IN (SELECT path FROM few) GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 15)
+  SELECT id, 'Author' AS kind, name AS label, CAST(n AS STRING) || ' shared file' || CASE WHEN n = 1 THEN '' ELSE 's' END AS subtitle, 1 AS hop, round(n / max(n) OVER (), 3) AS weight, false AS sole_owned, false AS trending_worse, '' AS "group" FROM near
+  UNION ALL SELECT email, 'Author', name, email, 0, 1.0::DOUBLE, false, false, '' FROM author WHERE email = '{EMAIL}'""")
+def _network(g):
+    return views.author_network_view(g, EMAIL)
+
+
+@_view("module_view_nodes", f""", {_MODULES.format(most=10)}, few AS (SELECT * FROM modules ORDER BY shared_commits DESC, module_a, module_b LIMIT 40), ends AS (SELECT module, sum(s) AS total FROM
+  (SELECT module_a AS module, shared_commits AS s FROM few UNION ALL SELECT module_b, shared_commits FROM few) GROUP BY 1) SELECT module AS id, 'Module' AS kind, module AS label, '' AS subtitle, 1 AS hop,
+  round(total / max(total) OVER (), 3) AS weight, false AS sole_owned, false AS trending_worse, '' AS "group" FROM ends""")
+def _modules(g):
+    return views.module_view(g)
+
+
+@_view("function_map_view_nodes", f"""SELECT id, 'Function' AS kind, name AS label, path || ' - ' || qualname || ' - ' || CAST(n AS STRING) || ' callers' AS subtitle, 1 AS hop, round(n / max(n) OVER (), 3) AS weight, false AS sole_owned,
+  false AS trending_worse, language AS "group" FROM (SELECT callee_id AS id, count(DISTINCT caller_id) AS n FROM calls GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 60) JOIN function USING (id)""")
+def _function_map(g):
+    return views.function_map(g)
+
+
+@_view("file_call_view_edges", f"""SELECT caller_id AS source, callee_id AS target, CAST(call_count AS DOUBLE) AS weight, confidence FROM calls JOIN function a ON a.id = caller_id JOIN function b ON b.id = callee_id WHERE a.path = '{FILE}'""")
+def _file_calls(g):
+    return views.file_call_view(g, FILE)
+
+
+@_view("call_graph_view_nodes", f""", near AS (SELECT * FROM (SELECT callee_id AS id, call_count AS n FROM calls WHERE caller_id = '{FUNCTION}' ORDER BY n DESC, id LIMIT 12) UNION ALL
+  SELECT * FROM (SELECT caller_id, call_count FROM calls WHERE callee_id = '{FUNCTION}' ORDER BY 2 DESC, 1 LIMIT 12)), one AS (SELECT id, n, row_number() OVER (PARTITION BY id ORDER BY (SELECT 1)) AS k FROM near)
+  SELECT id, 'Function' AS kind, name AS label, path || ' - ' || qualname AS subtitle, 1 AS hop, round((SELECT arg_min(n, o) FROM (SELECT callee_id AS i, call_count AS n, 0 AS o FROM calls WHERE caller_id = '{FUNCTION}'
+  AND callee_id IN (SELECT callee_id FROM calls WHERE caller_id = '{FUNCTION}' ORDER BY call_count DESC, callee_id LIMIT 12) UNION ALL SELECT caller_id, call_count, 1 FROM calls WHERE callee_id = '{FUNCTION}') x WHERE x.i = f.id)
+  / (SELECT max(n) FROM near), 3) AS weight, false AS sole_owned, false AS trending_worse, language AS "group" FROM function f WHERE id IN (SELECT id FROM near)
+  UNION ALL SELECT id, 'Function', name, path || ' - ' || qualname, 0, 1.0::DOUBLE, false, false, language FROM function WHERE id = '{FUNCTION}'""")
+def _call_graph(g):
+    return views.call_graph(g, FUNCTION, depth=1)
+
+
+@_view("blast_radius_view_nodes", f""", near AS ({_CO.format(least=2, limit=12)}) SELECT path AS id, 'File' AS kind, string_split(path, '/')[-1] AS label, path AS subtitle, 1 AS hop, round(shared_commits / max(shared_commits) OVER (), 3) AS weight,
+  false AS sole_owned, false AS trending_worse, '' AS "group" FROM near UNION ALL SELECT {_P}, 'File', '22', {_P}, 0, 1.0::DOUBLE, false, false, ''""")
+def _blast(g):
+    return views.blast_radius(g, _path(g), depth=1)
+
+
+@query(f"{_hot()}, x AS (SELECT path, hot.module, risk_score / max(risk_score) OVER () AS s FROM hot WHERE hot.module = 'Brand#11') SELECT path, CASE WHEN s >= 0.75 THEN 'critical' WHEN s >= 0.5 THEN 'serious' WHEN s >= 0.25 THEN 'warning' ELSE 'good' END AS tier FROM x")
+def files_in_module(g):
+    return client.in_module(hotspots.hotspots(g, AS_OF), "Brand#11").select("path", "tier")
+
+
+@query(f"{_hot()} SELECT path, CASE WHEN s >= 0.75 THEN 'critical' WHEN s >= 0.5 THEN 'serious' WHEN s >= 0.25 THEN 'warning' ELSE 'good' END AS tier FROM (SELECT f.path, hot.risk_score / (SELECT max(risk_score) FROM hot) AS s FROM file f LEFT JOIN hot USING (path))")
+def file_severity(g):
+    return client.severity(g.file.select("path"), hotspots.hotspots(g, AS_OF))
+
+
+@query(f"""SELECT id, list_sort(list(DISTINCT other)) AS neighbours FROM (SELECT caller_id AS id, callee_id AS other FROM calls WHERE caller_id IN (SELECT id FROM function WHERE is_method)
+  AND callee_id IN (SELECT id FROM function WHERE is_method) UNION ALL SELECT callee_id, caller_id FROM calls WHERE caller_id IN (SELECT id FROM function WHERE is_method) AND callee_id IN (SELECT id FROM function WHERE is_method)) GROUP BY 1""")
+def call_adjacency(g):
+    edges = g.calls.select(F.col("caller_id").alias("source"), F.col("callee_id").alias("target"))
+    return client.adjacency(client.known_edges(edges, g.function.where("is_method")))
+
+
 # --- churn and risk
 
 
@@ -512,16 +606,10 @@ def function_risk(g):
     return g.function.select("id", "risk_score")
 
 
-_TOUCHED = "hunks WHERE hash IN ('1', '2', '3', '4', '5', '6')"
-
-
-def _few_hunks(g: RepoGraph) -> DataFrame:
-    return g.hunks.where(F.col("hash").isin("1", "2", "3", "4", "5", "6"))
-
-
-@query(f"SELECT DISTINCT f.id, f.path FROM function f JOIN (SELECT * FROM {_TOUCHED}) h ON h.path = f.path AND h.lo <= f.end_line AND h.hi >= f.start_line")
+@query("SELECT DISTINCT h.hash, f.id, f.path FROM function f JOIN hunks h ON h.path = f.path AND h.lo <= f.end_line AND h.hi >= f.start_line")
 def touched_functions(g):
-    return risk.touched_functions(g.function, _few_hunks(g)).select("id", "path")
+    """Each commit as a set of changes."""
+    return risk.touched_functions(g.function, g.hunks, by="hash").select("hash", "id", "path")
 
 
 @query(f", {_HISTORY} SELECT round(quantile_cont(risk_score, 0.9), 6) AS threshold FROM scored WHERE risk_score > 0", prepare=_with_risk)
@@ -529,10 +617,10 @@ def risk_percentile(g):
     return risk.risk_percentile(g.function)
 
 
-@query(f""", {_HISTORY} SELECT DISTINCT f.id, f.risk_score, f.caller_count FROM scored f JOIN (SELECT * FROM {_TOUCHED}) h ON h.path = f.path AND h.lo <= f.end_line AND h.hi >= f.start_line
+@query(f""", {_HISTORY} SELECT DISTINCT h.hash, f.id, f.risk_score, f.caller_count FROM scored f JOIN hunks h ON h.path = f.path AND h.lo <= f.end_line AND h.hi >= f.start_line
   WHERE (risk_score > 0 AND risk_score >= (SELECT quantile_cont(risk_score, 0.9) FROM scored WHERE risk_score > 0)) OR caller_count >= 100""", prepare=_with_risk)
 def risk_flagged(g):
-    return risk.flagged(g.function, _few_hunks(g), min_callers=100).select("id", "risk_score", "caller_count")
+    return risk.flagged(g.function, g.hunks, min_callers=100, by="hash").select("hash", "id", "risk_score", "caller_count")
 
 
 @query(f""", {_HISTORY}, r AS (SELECT rank() OVER (ORDER BY risk_score) + (count(*) OVER (PARTITION BY risk_score) - 1) / 2.0 AS rx,
@@ -587,8 +675,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _log(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """History tables parsed from log text with a block for each order; every third line of an order is a rename."""
+def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits parsed from log text with a block for each order; every third line of an order is a rename."""
     entry = F.expr("""concat(cast(l_quantity as int), '\t', l_linenumber, '\t', case when l_linenumber % 3 = 0
         then concat('\\0', 'old/', l_partkey, '\\0', 'src/', l_partkey) else concat('src/', l_partkey) end, '\\0')""")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", entry.alias("e")))), lambda x: x["e"]), "")
@@ -597,7 +685,11 @@ def _log(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     head = F.concat_ws(gitlog.UNIT, F.col("o_orderkey").cast("string"), F.concat(F.lit("c"), F.col("o_custkey") % 50), F.lit(""),
                        F.col("o_orderdate").cast("string"), "o_orderpriority")
     blocks = orders.select(F.col("o_orderkey").alias("log_pos"), F.concat(head, F.lit("\n"), "body").alias("block"))
-    return gitlog.tables(gitlog.parse_log(blocks))
+    return gitlog.parse_log(blocks)
+
+
+def _log(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return gitlog.tables(_commits(spark, sf_dir))
 
 
 @table_query("""SELECT CAST(o_orderkey AS STRING) AS hash, 'c' || CAST(o_custkey % 50 AS STRING) || '@unknown.local' AS author_email, o_orderpriority AS message,
@@ -659,6 +751,106 @@ def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve_calls(sites, named, bound)
 
 
+@table_query("""SELECT 'p' || CAST(l_partkey % 40 AS STRING) AS path, CASE WHEN l_orderkey % 3 = 0 THEN 'fix it' ELSE 'work' END AS message, 5 * l_linenumber AS lo, 5 * l_linenumber + greatest(CAST(l_quantity AS INT), 1) - 1 AS hi FROM lineitem""")
+def patch_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line ranges of patch logs, a block for each order line."""
+    block = F.expr("""concat(chr(1), case when l_orderkey % 3 = 0 then 'fix it' else 'work' end, '\n\ndiff --git a/p b/p\n--- a/p\n+++ b/p\n@@ -3,2 +', 5 * l_linenumber, ',', cast(l_quantity as int), ' @@ f\n+x\n')""")
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_partkey") % 40, F.struct("l_orderkey", "l_linenumber", block.alias("b")).alias("b")).toDF("p", "b")
+    log = F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["b"]), "").alias("log")
+    return diffs.file_hunks(rows.groupBy(F.concat(F.lit("p"), F.col("p")).alias("path")).agg(log)).drop("commit_idx")
+
+
+@table_query("""SELECT CAST(o_orderkey AS STRING) AS hash, 'c' || CAST(o_custkey % 50 AS STRING) AS author_name, 'c' || CAST(o_custkey % 50 AS STRING) || '@unknown.local' AS author_email,
+  o_orderpriority AS message, a AS additions, d AS deletions, n AS files FROM orders JOIN (SELECT l_orderkey, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS a, CAST(sum(l_linenumber) AS BIGINT) AS d,
+  CAST(count(*) AS INT) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def load_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gitlog.load_records(_commits(spark, sf_dir))
+    return rows.withColumn("files", F.size("files")).drop("timestamp")
+
+
+#: A Python file for each part, with a method of p_size % 5 branches, and imports of two others.
+_PYTHON = """SELECT 'pkg/m' || CAST(p_partkey AS STRING) || '.py' AS path, 'import pkg.m' || CAST(p_partkey * 7 % 50 + 1 AS STRING) || chr(10) || 'from .m' || CAST(p_partkey * 3 % 50 + 1 AS STRING) ||
+  ' import f' || chr(10) || chr(10) || chr(10) || 'class K:' || chr(10) || '    def a(self, x):' || chr(10) || repeat('        if x and self:' || chr(10) || '            x = 1' || chr(10), CAST(p_size % 5 AS INT)) ||
+  '        return self.b() + f(x) + p' || CAST(p_partkey % 300 AS STRING) || '()' || chr(10) || chr(10) || '    def b(self):' || chr(10) || '        return 0' || chr(10) || chr(10) || chr(10) || 'def ' ||
+  CASE WHEN p_partkey % 2 = 0 THEN 'f' ELSE 'p' || CAST(p_partkey AS STRING) END || '(y):' || chr(10) || '    return [i for i in y if i]' || chr(10) AS source FROM {part}"""
+
+
+def _python(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sources = spark.sql(_PYTHON.format(part="{part}"), part=_read(spark, sf_dir, "part"))
+    return sources, pysource.parse(sources)
+
+
+@table_query("""SELECT path || '::' || q AS id, first AS start_line, last AS end_line, m AS is_method, CAST(c AS INT) AS complexity FROM (SELECT 'pkg/m' || CAST(p_partkey AS STRING) || '.py' AS path,
+  unnest([{'q': 'K.a', 'first': 6, 'last': 7 + 2 * (p_size % 5), 'm': true, 'c': 1 + 2 * (p_size % 5)}, {'q': 'K.b', 'first': 9 + 2 * (p_size % 5), 'last': 10 + 2 * (p_size % 5), 'm': true, 'c': 1},
+  {'q': CASE WHEN p_partkey % 2 = 0 THEN 'f' ELSE 'p' || CAST(p_partkey AS STRING) END, 'first': 13 + 2 * (p_size % 5), 'last': 14 + 2 * (p_size % 5), 'm': false, 'c': 3}], recursive := true) FROM part)""")
+def python_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _python(spark, sf_dir)[1].select(F.inline("functions"))
+    return found.select("id", "start_line", "end_line", "is_method", "complexity")
+
+
+@table_query("""WITH e AS (SELECT 'pkg/m' || CAST(p_partkey AS STRING) || '.py' AS a, unnest([{'t': p_partkey * 7 % 50 + 1, 'n': 'pkg.m' || CAST(p_partkey * 7 % 50 + 1 AS STRING)},
+  {'t': p_partkey * 3 % 50 + 1, 'n': 'f'}], recursive := true) FROM part) SELECT a AS from_path, 'pkg/m' || CAST(t AS STRING) || '.py' AS to_path, list_sort(list(DISTINCT n)) AS imported_names FROM e
+  WHERE a <> 'pkg/m' || CAST(t AS STRING) || '.py' GROUP BY 1, 2""")
+def python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources, parsed = _python(spark, sf_dir)
+    return resolve.import_edges(resolve.resolve_imports(parsed.select(F.inline("bindings")), sources.select("path")))
+
+
+@table_query("""WITH p AS (SELECT p_partkey AS k, 'pkg/m' || CAST(p_partkey AS STRING) || '.py' AS path, 7 + 2 * (p_size % 5) AS line, p_partkey * 3 % 50 + 1 AS t FROM part)
+  SELECT path || '::K.a' AS caller_id, path || '::K.b' AS callee_id, 'high' AS confidence, 'same_file' AS resolution, line FROM p
+  UNION ALL SELECT path || '::K.a', CASE WHEN k % 2 = 0 THEN path ELSE 'pkg/m' || CAST(t AS STRING) || '.py' END || '::f', 'high', CASE WHEN k % 2 = 0 THEN 'same_file' ELSE 'import_resolved' END, line
+  FROM p WHERE k % 2 = 0 OR t % 2 = 0
+  UNION ALL SELECT path || '::K.a', 'pkg/m' || CAST(k % 300 AS STRING) || '.py::p' || CAST(k % 300 AS STRING), CASE WHEN k < 300 THEN 'high' ELSE 'low' END, CASE WHEN k < 300 THEN 'same_file' ELSE 'name_heuristic' END, line
+  FROM p WHERE k % 300 % 2 = 1 AND k % 300 IN (SELECT k FROM p)""")
+def python_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources, parsed = _python(spark, sf_dir)
+    bound = resolve.resolve_imports(parsed.select(F.inline("bindings")), sources.select("path"))
+    return resolve.resolve_calls(parsed.select(F.inline("sites")), parsed.select(F.inline("functions")), bound).drop("pos")
+
+
+@table_query("""WITH f AS (SELECT 'm' || CAST(p_partkey % 30 AS STRING) || '/n' || CAST(p_partkey % 90 AS STRING) AS s, count(*) AS n FROM part GROUP BY 1), e AS (SELECT replace(s, '/', '.') AS module, s FROM f
+  UNION ALL SELECT split_part(s, '/', 2), s FROM f) SELECT module, min(s) || '.py' AS target FROM e GROUP BY 1 HAVING count(*) = 1""")
+def module_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.expr("concat('m', p_partkey % 30, '/n', p_partkey % 90, '.py')").alias("path")
+    return resolve.module_index(_read(spark, sf_dir, "part").select(path))
+
+
+@table_query("SELECT p_partkey, list_reduce(list_transform(string_split('0' || p_name, ''), lambda c, i: CASE WHEN i = 1 THEN 0 ELSE unicode(c) END), lambda h, c: (h * 31 + c) % 4294967296) AS hash FROM part")
+def name_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").select("p_partkey", client.string_hash(F.col("p_name")).alias("hash"))
+
+
+#: A script for each part: an exported function with p_size % 4 branches that calls an imported one, and a class.
+_SCRIPT = """SELECT 'src/s' || CAST(p_partkey AS STRING) || '.ts' AS path, 'import {{ g' || CAST(p_partkey * 3 % 50 + 1 AS STRING) || ' as h }} from "./s' || CAST(p_partkey * 3 % 50 + 1 AS STRING) || '.js";' || chr(10) ||
+  'export function g' || CAST(p_partkey AS STRING) || '(a: (x: number) => void): {{ b: string }} {{' || chr(10) || repeat('  if (a && 1) {{ a(1); }}' || chr(10), CAST(p_size % 4 AS INT)) || '  return h(a);' || chr(10) || '}}' || chr(10) ||
+  'class C {{' || chr(10) || '  run = (x) => x ? this.stop() : 0;' || chr(10) || '  stop() {{ return `}} ${{g' || CAST(p_partkey AS STRING) || '(1)}}`; }}' || chr(10) || '}}' || chr(10) AS source FROM {part}"""
+
+
+def _scripts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return tssource.analyze(spark.sql(_SCRIPT, part=_read(spark, sf_dir, "part")))
+
+
+@table_query("""SELECT path || '::' || q AS id, CAST(first AS INT) AS start_line, CAST(last AS INT) AS end_line, e AS is_exported, m AS is_method, CAST(c AS INT) AS complexity FROM (SELECT 'src/s' || CAST(p_partkey AS STRING) || '.ts' AS path,
+  unnest([{'q': 'g' || CAST(p_partkey AS STRING), 'first': 2, 'last': 4 + p_size % 4, 'e': true, 'm': false, 'c': 1 + 2 * (p_size % 4)}, {'q': 'C.run', 'first': 6 + p_size % 4, 'last': 6 + p_size % 4, 'e': false, 'm': false, 'c': 2},
+  {'q': 'C.stop', 'first': 7 + p_size % 4, 'last': 7 + p_size % 4, 'e': false, 'm': true, 'c': 1}], recursive := true) FROM part)""")
+def script_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scripts(spark, sf_dir)["functions"].select("id", "start_line", "end_line", "is_exported", "is_method", "complexity")
+
+
+@table_query("""WITH p AS (SELECT p_partkey AS k, 'src/s' || CAST(p_partkey AS STRING) || '.ts' AS path, p_size % 4 AS n, p_partkey * 3 % 50 + 1 AS t FROM part)
+  SELECT path || '::g' || CAST(k AS STRING) AS caller_id, 'src/s' || CAST(t AS STRING) || '.ts::g' || CAST(t AS STRING) AS callee_id, 'high' AS confidence, 'type_checked' AS resolution, CAST(3 + n AS INT) AS line FROM p WHERE k <> t
+  UNION ALL SELECT path || '::C.run', path || '::C.stop', 'high', 'same_file', CAST(6 + n AS INT) FROM p
+  UNION ALL SELECT path || '::C.stop', path || '::g' || CAST(k AS STRING), 'high', 'same_file', CAST(7 + n AS INT) FROM p""")
+def script_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scripts(spark, sf_dir)["calls"].drop("pos")
+
+
+@table_query("""SELECT 'src/s' || CAST(p_partkey AS STRING) || '.ts' AS from_path, 'src/s' || CAST(p_partkey * 3 % 50 + 1 AS STRING) || '.ts' AS to_path, ['g' || CAST(p_partkey * 3 % 50 + 1 AS STRING)] AS imported_names
+  FROM part WHERE p_partkey <> p_partkey * 3 % 50 + 1""")
+def script_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scripts(spark, sf_dir)["imports"]
+
+
 @table_query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

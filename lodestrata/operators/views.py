@@ -1,4 +1,4 @@
-"""Response graphs of bounded size: blast radii and call graphs with node limits.
+"""Response graphs of bounded size: blast radii, call graphs, collaboration, topology and maps, with node limits.
 
 Which second-degree nodes are shown depends on the order in which limited, ordered rows are taken, so these collect at
 most a few hundred rows and merge them on the driver.
@@ -9,60 +9,89 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field
 from typing import TYPE_CHECKING
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .callgraph import neighbours, second_neighbours
+from . import callgraph, coupling, hotspots, ownership
+from .callgraph import BRIEF, neighbours, second_neighbours
 from .coupling import blast_radius_direct, blast_radius_transitive
 
 if TYPE_CHECKING:
     from ..plans.graph import RepoGraph
 
+#: What a node has if nothing else is said.
+NODE = {"kind": "", "label": "", "subtitle": "", "hop": 0, "weight": 1.0, "sole_owned": False, "trending_worse": False, "group": ""}
+
 
 @dataclass
 class GraphView:
-    root: str
+    root: str = ""
     nodes: list[dict] = field(default_factory=list)
     edges: list[dict] = field(default_factory=list)
     truncated: bool = False
+    extra: dict = field(default_factory=dict)
 
     def dict(self) -> dict:
-        return asdict(self)
+        found = asdict(self)
+        return found | found.pop("extra")
+
+    def node(self, id: str, kind: str, **more) -> None:
+        self.nodes.append({"id": id, **NODE, "kind": kind, **more})
+
+    def edge(self, source: str, target: str, weight: float, confidence: str = "high") -> None:
+        self.edges.append({"source": source, "target": target, "weight": weight, "confidence": confidence})
+
+    def frames(self, spark) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges as tables."""
+        nodes = "id string, kind string, label string, subtitle string, hop int, weight double, sole_owned boolean, trending_worse boolean, group string"
+        edges = "source string, target string, weight double, confidence string"
+        rows = lambda ds, ddl: [[d[c.split()[0]] for c in ddl.split(", ")] for d in ds]
+        return (
+            spark.createDataFrame(rows(self.nodes, nodes), nodes),
+            spark.createDataFrame(rows([e | {"weight": float(e["weight"])} for e in self.edges], edges), edges),
+        )
+
+
+def _file(row: dict) -> dict:
+    return {"kind": "File", "label": row["id"].split("/")[-1], "subtitle": row["id"]}
+
+
+def _function(row: dict) -> dict:
+    return {"kind": "Function", "label": row["name"], "subtitle": f"{row['path']} - {row['qualname']}", "group": row["language"] or ""}
 
 
 class _Merge:
-    def __init__(self, root: str, most: int, directed: bool):
-        self.view, self.most, self.directed = GraphView(root), most, directed
+    def __init__(self, root: dict, about, most: int, directed: bool):
+        self.view, self.about, self.most, self.directed = GraphView(root["id"]), about, most, directed
         self.pairs: set = set()
-        self.seen = {root}
-        self.view.nodes.append({"id": root, "hop": 0, "weight": 1.0})
+        self.seen = {root["id"]}
+        self.view.node(id=root["id"], **about(root))
 
-    def edge(self, a: str, b: str, row) -> None:
+    def edge(self, a: str, b: str, row: dict) -> None:
         pair = (a, b) if self.directed else frozenset((a, b))
         if pair not in self.pairs:
             self.pairs.add(pair)
-            extra = {"confidence": row["confidence"]} if "confidence" in row else {}
-            self.view.edges.append({"source": a, "target": b, "weight": row["n"], **extra})
+            self.view.edge(a, b, row["n"], row.get("confidence") or "high")
 
-    def node(self, row, hop: int, most: int) -> bool:
+    def node(self, row: dict, hop: int, most: int) -> bool:
         if row["id"] in self.seen:
             return True
         if hop == 2 and len(self.view.nodes) >= self.most:
             self.view.truncated = True
             return False
         self.seen.add(row["id"])
-        more = {k: v for k, v in row.items() if k not in ("id", "n", "via", "confidence")}
-        self.view.nodes.append({"id": row["id"], "hop": hop, "weight": round(row["n"] / max(1, most), 3), **more})
+        self.view.node(row["id"], **self.about(row), hop=hop, weight=round(row["n"] / max(1, most), 3))
         return True
 
-    def first(self, rows: list[dict], turn: bool = False) -> None:
-        most = max((r["n"] for r in rows), default=1)
+    def first(self, rows: list[dict], turn: bool = False, most: int | None = None) -> None:
+        most = most or max((r["n"] for r in rows), default=1)
         for r in rows:
             self.node(r, 1, most)
             self.edge(*((r["id"], self.view.root) if turn else (self.view.root, r["id"])), r)
 
-    def second(self, rows: list[dict], turn: bool = False) -> None:
+    def second(self, rows: list[dict], turn: bool = False, most: int | None = None) -> None:
         """Rows whose via is not shown are passed over; the first node beyond the limit ends it."""
-        most = max((r["n"] for r in rows), default=1)
+        most = most or max((r["n"] for r in rows), default=1)
         for r in rows:
             if r["via"] in self.seen:
                 if not self.node(r, 2, most):
@@ -70,13 +99,13 @@ class _Merge:
                 self.edge(*((r["id"], r["via"]) if turn else (r["via"], r["id"])), r)
 
 
-def _rows(df, n: str, key: str) -> list[dict]:
-    return [r.asDict() for r in df.withColumnRenamed(n, "n").withColumnRenamed(key, "id").collect()]
+def _rows(df: DataFrame, n: str, key: str) -> list[dict]:
+    return [r.asDict() | {"n": r[n] or 1, "id": r[key]} for r in df.collect()]
 
 
 def blast_radius(g: RepoGraph, path: str, depth: int = 2, min_count: int = 2, limit: int = 12, max_files: int = 10) -> GraphView:
     """What changes together with a file, and with that; an unknown path is a lone root."""
-    merge = _Merge(path, limit * 2 + 1, directed=False)
+    merge = _Merge({"id": path}, _file, limit * 2 + 1, directed=False)
     first = _rows(blast_radius_direct(g, path, min_count, limit, max_files), "shared_commits", "path")
     merge.first(first)
     if depth == 2 and first:
@@ -84,30 +113,131 @@ def blast_radius(g: RepoGraph, path: str, depth: int = 2, min_count: int = 2, li
     return merge.view
 
 
+def _function_root(g: RepoGraph, function_id: str) -> dict | None:
+    row = g.function.where(F.col("id") == function_id).select(*BRIEF).first()
+    return row and row.asDict()
+
+
 def call_graph(g: RepoGraph, function_id: str, depth: int = 2, limit: int = 12) -> GraphView | None:
-    """Callers and callees of a function, and theirs; None for an unknown function."""
-    if g.function.where(F.col("id") == function_id).isEmpty():
+    """Callers and callees of a function, and theirs, with weights against the most calls in either direction; None for an
+    unknown function."""
+    root = _function_root(g, function_id)
+    if root is None:
         return None
-    merge = _Merge(function_id, limit * 2 + 1, directed=True)
+    merge = _Merge(root, _function, limit * 2 + 1, directed=True)
     near = {d: _rows(neighbours(g, function_id, d, limit), "call_count", "id") for d in ("callees", "callers")}
+    most = max((r["n"] for rows in near.values() for r in rows), default=1)
     for d, rows in near.items():
-        merge.first(rows, d == "callers")
-    for d, rows in near.items():
-        if depth == 2 and rows:
-            merge.second(_rows(second_neighbours(g, function_id, d, limit * 2), "call_count", "id"), d == "callers")
+        merge.first(rows, d == "callers", most)
+    if depth == 2 and any(near.values()):
+        far = {d: _rows(second_neighbours(g, function_id, d, limit * 2), "call_count", "id") for d in near}
+        most = max((r["n"] for rows in far.values() for r in rows), default=1)
+        for d, rows in far.items():
+            merge.second(rows, d == "callers", most)
     return merge.view
 
 
 def call_blast_radius(g: RepoGraph, function_id: str, depth: int = 1, fan_out: int = 30) -> GraphView | None:
-    """The command line's version: the first fan_out in each direction, then of each of those; 2 * fan_out + 1 nodes."""
-    if g.function.where(F.col("id") == function_id).isEmpty():
+    """The command line's version: the first fan_out in each direction, then of each of those; 2 * fan_out + 1 nodes.
+
+    Calls between the function's direct neighbours are not shown. The neighbours of all first ones come from one join, at
+    most fan_out of each.
+    """
+    root = _function_root(g, function_id)
+    if root is None:
         return None
-    merge = _Merge(function_id, 2 * fan_out + 1, directed=True)
-    for d in ("callees", "callers"):
-        rows = _rows(neighbours(g, function_id, d, fan_out), "call_count", "id")
+    merge = _Merge(root, _function, 2 * fan_out + 1, directed=True)
+    near = {d: _rows(neighbours(g, function_id, d, fan_out), "call_count", "id") for d in ("callees", "callers")}
+    for d, rows in near.items():
         merge.first(rows, d == "callers")
-        if depth == 2:
-            for r in rows:
-                far = _rows(neighbours(g, r["id"], d, fan_out), "call_count", "id")
-                merge.second([{**x, "via": r["id"]} for x in far if x["id"] not in merge.seen], d == "callers")
+    direct = set(merge.seen)
+    for d, rows in near.items():
+        if depth < 2 or not rows:
+            continue
+        here, there = ("callee_id", "caller_id") if d == "callers" else ("caller_id", "callee_id")
+        step = g.calls.where(F.col(here).isin([r["id"] for r in rows])).select(F.col(here).alias("via"), F.col(there).alias("id"), "confidence", "call_count")
+        step = step.join(g.function.select(*BRIEF), "id")
+        rank = F.row_number().over(Window.partitionBy("via").orderBy(F.desc("call_count"), "id"))
+        far = _rows(step.withColumn("rank", rank).where(F.col("rank") <= fan_out).orderBy("rank"), "call_count", "id")
+        order = {r["id"]: k for k, r in enumerate(rows)}
+        others = sorted((x for x in far if x["id"] not in direct), key=lambda x: (order[x["via"]], x["rank"]))  # noqa: B023
+        for x in others:
+            if len(merge.view.nodes) >= merge.most:  # nothing more of this direction, not even a call to what is shown
+                merge.view.truncated = True
+                break
+            merge.second([x], d == "callers", max(y["n"] for y in others))
     return merge.view
+
+
+def file_call_view(g: RepoGraph, path: str) -> GraphView:
+    """A file's functions and what they call elsewhere, which is shown once each at the border."""
+    view = GraphView(path)
+    for r in callgraph.file_functions(g, path).collect():
+        view.node(r.id, "Function", label=r.name, subtitle=r.qualname, hop=1, group=r.language)
+    known = {n["id"] for n in view.nodes}
+    for r in callgraph.file_call_graph(g, path).orderBy("source", "target").collect():
+        if r.target not in known:
+            known.add(r.target)
+            view.node(r.target, "Function", label=r.target_name, subtitle=f"{r.target_path} - {r.target_qualname}", hop=2, weight=0.6, group=r.target_language or "")
+        view.edge(r.source, r.target, r.call_count, r.confidence)
+    return view
+
+
+def function_map(g: RepoGraph, top_n: int = 60, edge_limit: int = 150) -> GraphView:
+    """The most called functions and the calls among them."""
+    view, few = GraphView(), callgraph.map_candidates(g, top_n)
+    for r in few.orderBy(F.desc("caller_count"), "id").collect():
+        view.node(r.id, "Function", label=r.name, subtitle=f"{r.path} - {r.qualname} - {r.caller_count} callers", hop=1, weight=r.weight, group=r.language)
+    for r in callgraph.map_edges(g, few, edge_limit).collect():
+        view.edge(r.source, r.target, r.call_count, r.confidence or "high")
+    return view
+
+
+def author_network_view(g: RepoGraph, email: str, min_shared: int = 1, limit: int = 15) -> GraphView | None:
+    """An author and those who share files with them; extra holds the files only this author has touched. None if unknown."""
+    about = ownership.author_detail(g, email).first()
+    if about is None:
+        return None
+    view = GraphView(email)
+    view.node(email, "Author", label=about.name, subtitle=email)
+    rows = ownership.author_network(g, email, min_shared, limit).collect()
+    most = max((r.shared_files for r in rows), default=1)
+    for r in rows:
+        said = f"{r.shared_files} shared file{'s' if r.shared_files != 1 else ''}"
+        view.node(r.email, "Author", label=r.name, subtitle=said, hop=1, weight=round(r.shared_files / most, 3))
+        view.edge(email, r.email, r.shared_files)
+    view.extra = {"at_risk": [r.asDict() for r in ownership.author_sole_owned_files(g, email).collect()]}
+    return view
+
+
+def topology_view(g: RepoGraph, top_n: int = 40, min_touches: int = 2, max_authors: int = 8, edge_limit: int = 120) -> GraphView:
+    """The most active authors, grouped by the module that each works in most, and the files that pairs of them share."""
+    view = GraphView()
+    for r in ownership.topology_nodes(g, top_n).orderBy(F.desc("commit_count"), "email").collect():
+        said = f"{r['name']} - mostly works in {r.primary_module or 'no single module'}"
+        view.node(r.email, "Author", label=r["name"], subtitle=said, hop=1, weight=r.weight, group=r.primary_module or "")
+    pairs = ownership.shared_file_pairs(g, ownership.author_list(g, limit=top_n), min_touches, max_authors, edge_limit)
+    for r in pairs.collect():
+        view.edge(r.email_a, r.email_b, r.shared_files)
+    return view
+
+
+def module_view(g: RepoGraph, min_count: int = 2, limit: int = 40, max_files: int = 10) -> GraphView:
+    """Modules that change together."""
+    view = GraphView()
+    edges = coupling.module_coupling_or_made(g, min_count, limit, max_files)
+    for r in coupling.module_graph_nodes(edges).orderBy(F.desc("total"), "module").collect():
+        view.node(r.module, "Module", label=r.module, hop=1, weight=r.weight)
+    for r in edges.collect():
+        view.edge(r.module_a, r.module_b, r.shared_commits)
+    return view
+
+
+def repo_map_view(g: RepoGraph, mode: str = "all-time", top_n: int = 40, max_files: int = 10, min_shared: int = 3, edge_limit: int = 120) -> GraphView:
+    """The riskiest files and how densely they are coupled."""
+    view = GraphView()
+    for r in hotspots.repo_map_nodes(g, mode, top_n).orderBy(F.desc("score"), "id").collect():
+        view.node(r.id, "File", label=r.label, subtitle=r.id, weight=r.weight or 0.0, sole_owned=r.sole_owned, trending_worse=r.trending_worse)
+    for r in hotspots.repo_map_edges(g, mode, top_n, max_files, min_shared, edge_limit).collect():
+        view.edge(r.source, r.target, r.weight)
+    return view

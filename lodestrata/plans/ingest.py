@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import extension_of
 from ..operators.callgraph import dedupe_calls, dedupe_imports
 from ..operators.lineage import mark_deleted
 from ..operators.resolve import import_edges, resolve_calls, resolve_imports
 from ..operators.risk import change_history, with_risk
 from ..runtime import written
-from ..sources import diffs, gitlog, pysource
+from ..sources import diffs, gitlog, pysource, tssource
 from .graph import KEYS, RepoGraph, Settings
 from .materialize import materialize
 
@@ -25,19 +28,43 @@ def history_graph(commits: DataFrame, live_paths: DataFrame | None = None, modul
     return RepoGraph(**tables, settings=settings or Settings())
 
 
+def _python(sources: DataFrame) -> dict[str, DataFrame]:
+    python = sources.where(extension_of(F.col("path")) == "py")
+    parsed = written(pysource.parse(python), "parsed")
+    functions, sites = parsed.select(F.inline("functions")), parsed.select(F.inline("sites"))
+    bound = resolve_imports(parsed.select(F.inline("bindings")), python.select("path"))
+    return {"functions": functions, "calls": resolve_calls(sites, functions, bound), "imports": import_edges(bound)}
+
+
+#: What reads the sources of each language, by extension; files of others are passed over.
+LANGUAGES = {("py",): _python, tuple(tssource.EXTENSIONS): tssource.analyze}
+EXTENSIONS = tuple(e for some in LANGUAGES for e in some)
+
+
+def analyze(sources: DataFrame) -> dict[str, DataFrame]:
+    """functions, calls and imports of sources (path, source) in all languages. One that fails is left out with a warning."""
+    found: dict[str, DataFrame] = {}
+    for extensions, read in LANGUAGES.items():
+        try:
+            tables = {n: written(df, n) for n, df in read(sources.where(extension_of(F.col("path")).isin(*extensions))).items()}
+        except PySparkException as e:
+            warnings.warn(f"sources with the extensions {', '.join(extensions)} are left out: {e}", stacklevel=2)
+            continue
+        found = {n: found[n].unionByName(df) if n in found else df for n, df in tables.items()}
+    if not found:
+        raise RuntimeError("no language could be read")
+    return found
+
+
 def function_graph(g: RepoGraph, sources: DataFrame, hunks: DataFrame | None = None, more: dict[str, DataFrame] | None = None) -> RepoGraph:
     """g with functions, calls and imports of sources (path, source), and of more (sources.tsjson.read).
 
     hunks (path, hash, message, lo, hi) give change counts. Risk counts callers that are no functions too.
     """
-    parsed = written(pysource.parse(sources), "parsed")
-    functions, sites = parsed.select(F.inline("functions")), parsed.select(F.inline("sites"))
-    bound = resolve_imports(parsed.select(F.inline("bindings")), sources.select("path"))
-    calls, imports = resolve_calls(sites, functions, bound), import_edges(bound)
+    found = analyze(sources)
     if more:
-        functions = functions.unionByName(more["functions"].select(*functions.columns))
-        calls = calls.unionByName(more["calls"].select(*calls.columns))
-        imports = imports.unionByName(more["imports"].select(*imports.columns))
+        found = {n: df.unionByName(more[n].select(*df.columns)) for n, df in found.items()}
+    functions, calls, imports = found["functions"], found["calls"], found["imports"]
     calls = written(dedupe_calls(calls), "calls")
     if hunks is None:
         hunks = functions.sparkSession.createDataFrame([], "path string, hash string, message string, lo int, hi int")
@@ -55,7 +82,7 @@ def ingest(spark: SparkSession, repo: str, as_of: str, max_commits: int = 5000,
         live = None
     g = history_graph(commits, live, module_depth, settings)
     if live is not None:
-        sources = pysource.with_empty(pysource.scan(spark, repo), live).join(live, "path", "left_semi")
+        sources = pysource.with_empty(pysource.scan(spark, repo, EXTENSIONS), live, EXTENSIONS).join(live, "path", "left_semi")
         logs = written(diffs.patch_logs(spark, repo, sources.select("path")), "patches")
         hunks = diffs.file_hunks(logs).withColumn("hash", F.concat("path", F.lit("#"), "commit_idx"))
         g = function_graph(g, sources, hunks.drop("commit_idx"))

@@ -51,30 +51,36 @@ SELECT 'f' || CAST(l_partkey % 20 AS STRING) AS path, CAST(l_orderkey AS STRING)
 }
 
 
-def graph(spark: SparkSession, sf_dir: str, settings: Settings | None = None, since: str | None = None) -> RepoGraph:
-    """The graph of the tables in sf_dir; since keeps only later commits."""
+#: Instead, where some files have one author: each author has an own copy of every tenth part's file, which nobody else
+#: touches, and nobody touches the part's first file. All rows are there as before.
+_COPY = "p_brand || '/' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 10 = 3 THEN '@' || CAST(c_nationkey AS STRING) ELSE '' END"
+_TOUCHED = "FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {orders} ON o_orderkey = l_orderkey JOIN {customer} ON c_custkey = o_custkey"
+COPIES = {
+    "file": f"""{TABLES["file"]} UNION ALL SELECT DISTINCT {_COPY} AS path, lower(p_type) AS extension, p_brand AS module,
+  FALSE AS is_deleted, FALSE AS has_rename_history {_TOUCHED} WHERE p_partkey % 10 = 3""",
+    "modified": f"""SELECT CAST(l_orderkey AS STRING) AS hash, {_COPY} AS path, CAST(sum(l_quantity) AS BIGINT) AS additions,
+  CAST(sum(l_linenumber) AS BIGINT) AS deletions, 'M' AS change_type {_TOUCHED} GROUP BY l_orderkey, {_COPY}""",
+}
+
+
+def graph(spark: SparkSession, sf_dir: str, settings: Settings | None = None, copies: bool = False) -> RepoGraph:
+    """The graph of the tables in sf_dir; with copies, one where some files have one author."""
     base = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in BASE}
+    queries = TABLES | (COPIES if copies else {})
 
     def table(name: str) -> DataFrame:
-        return spark.sql(TABLES[name], **{k: v for k, v in base.items() if f"{{{k}}}" in TABLES[name]})
+        return spark.sql(queries[name], **{k: v for k, v in base.items() if f"{{{k}}}" in queries[name]})
 
-    tables = {name: table(name) for name in TABLES}
-    if since:
-        tables["commit"] = tables["commit"].where(F.col("timestamp") >= since)
-        tables["modified"] = tables["modified"].join(tables["commit"].select("hash"), "hash", "left_semi")
+    tables = {name: table(name) for name in queries}
     none = {"change_count": F.lit(None).cast("long"), "risk_score": F.lit(None).cast("double")}
     tables["function"] = tables["function"].withColumns(none)
     return RepoGraph(**tables, settings=settings or Settings())
 
 
-def duckdb_ctes(since: str | None = None) -> str:
+def duckdb_ctes(copies: bool = False) -> str:
     """The same tables as common table expressions."""
     parts = []
-    for name, sql in TABLES.items():
+    for name, sql in (TABLES | (COPIES if copies else {})).items():
         sql = sql.format(**{b: b for b in BASE})
-        if since and name == "commit":
-            sql = f"SELECT * FROM ({sql}) q WHERE timestamp >= '{since}'"
-        if since and name == "modified":
-            sql = f"SELECT * FROM ({sql}) q WHERE hash IN (SELECT hash FROM commit)"
         parts.append(f"{name} AS MATERIALIZED ({sql})")
     return ", ".join(parts)

@@ -131,24 +131,26 @@ def parse(sources: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "functions", "sites", "bindings"])
 
     raw = sources.select("path", "source").mapInArrow(parsed, "path string, functions string, sites string, bindings string")
-    kinds = {n: f"array<struct<{_colons(k)}>>" for n, k in (("functions", FUNCTION), ("sites", SITE), ("bindings", BINDING))}
+    kinds = {n: structs(k) for n, k in (("functions", FUNCTION), ("sites", SITE), ("bindings", BINDING))}
     return raw.withColumns({n: F.from_json(n, k) for n, k in kinds.items()})
 
 
-def _colons(ddl: str) -> str:
-    return ", ".join(":".join(c.split(" ")) for c in ddl.split(", "))
+def structs(ddl: str) -> str:
+    """An array of structs of these columns."""
+    return f"array<struct<{', '.join(':'.join(c.split(' ')) for c in ddl.split(', '))}>>"
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), source of the Python files under root, read by the executors; bytes that are not UTF-8 are replaced."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py")
+def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("py",)) -> DataFrame:
+    """path (relative), source of the files under root with these extensions, read by the executors; bytes that are not UTF-8
+    are replaced."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(extensions)}}}")
     files = files.load(re.sub(r"([\[\]{}*?\\])", r"\\\1", root))  # a name, not a pattern
     folder = F.lit(urlsplit(root).path.rstrip("/") + "/" if "://" in root or root.startswith("file:") else root.rstrip("/") + "/")
     relative = F.substr(F.col("path"), F.instr(F.col("path"), folder) + F.length(folder))
-    return files.select(relative.alias("path"), F.decode("content", "UTF-8").alias("source")).where(extension_of(F.col("path")) == "py")
+    return files.select(relative.alias("path"), F.decode("content", "UTF-8").alias("source")).where(extension_of(F.col("path")).isin(*extensions))
 
 
-def with_empty(sources: DataFrame, paths: DataFrame) -> DataFrame:
-    """sources with the Python files of paths (path) that it lacks, as empty: Spark's readers skip files without bytes."""
-    python = paths.where(extension_of(F.col("path")) == "py").select("path").distinct()
+def with_empty(sources: DataFrame, paths: DataFrame, extensions: tuple[str, ...] = ("py",)) -> DataFrame:
+    """sources with the files of paths (path) that it lacks, as empty: Spark's readers skip files without bytes."""
+    python = paths.where(extension_of(F.col("path")).isin(*extensions)).select("path").distinct()
     return sources.select("path", "source").union(python.join(sources, "path", "left_anti").select("path", F.lit("")))
