@@ -13,9 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch, unless the session has its own value: a task holds a batch several times over, in the JVM's
+#: buffers and in Python's.
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends the package's sources with the application, once; Spark serves them to every executor."""
+    """Sends the package's sources with the application, once; Spark serves them to every executor. Bounds Arrow batches."""
     context = spark.sparkContext
+    if spark.conf.get(ARROW_BYTES) == f"{64 << 20}b":  # Spark's default
+        spark.conf.set(ARROW_BYTES, BATCH_BYTES)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
