@@ -70,6 +70,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     ranges' sums, of which there are as many as partitions.
     """
     rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
+    rows = written(rows, "pairs")  # read three times
 
     def ranks(c: str) -> DataFrame:
         counts = rows.groupBy(c).agg(F.count("*").alias("n")).repartitionByRange(c).withColumn("part", F.spark_partition_id())

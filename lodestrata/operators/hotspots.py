@@ -33,8 +33,8 @@ def hotspots(
     (a commit that touches two paths of a lineage weighs twice). Partners are counted under the names they have today,
     deleted ones included, and each weighs as the latest shared commit. A file without partners is left out.
 
-    The self-join is by commit and only over commits of at most max_files_per_commit files, so it multiplies rows by that
-    at most; files below min_commits are dropped before it.
+    Paths are paired by commit and only in commits of at most max_files_per_commit files, so rows are multiplied by that at
+    most; files below min_commits are dropped on the way. A pair's weight is its latest commit's.
     """
     lines = written(lineage(g, g.live_files), "lineage")
     weight = decay(F.col("ts"), as_of, half_life_days, kind)
@@ -49,13 +49,12 @@ def hotspots(
         .where(F.col("commit_count") >= min_commits),
         "churn",
     )
-    small = touches.where(F.col("files_changed") <= max_files_per_commit)
-    ours = lines.join(churn.select("root"), "root").join(small.select("path", "hash", "w"), "path")
-    others = small.select("hash", F.col("path").alias("other"))
+    # each commit's paths, at most max_files_per_commit of them, are paired within its row: one shuffle, no join
+    small = touches.where(F.col("files_changed") <= max_files_per_commit).groupBy("hash").agg(F.max("w").alias("w"), F.collect_set("path").alias("paths"))
+    each = small.where(F.size("paths") > 1).select("w", "paths", F.explode("paths").alias("path"))
+    pairs = each.select("path", "w", F.explode(F.array_remove("paths", F.col("path"))).alias("other"))
     own = lines.select("root", F.col("path").alias("other"))
-    partners = ours.select("root", "hash", "w").join(others, "hash").join(own, ["root", "other"], "left_anti")
-    # a pair's weight is its latest commit's: fold before names are looked up
-    partners = partners.groupBy("root", "other").agg(F.max("w").alias("w"))
+    partners = pairs.join(lines.join(churn.select("root"), "root"), "path").join(own, ["root", "other"], "left_anti")
     today = canonical(g).withColumnRenamed("path", "other")
     coupled = (
         partners.join(today, "other")
