@@ -107,7 +107,7 @@ def test_blast_radius_view(spark):
     assert [n["id"] for n in view.nodes] == ["root", "n0", "n1", "n2", "far"] and not view.truncated
     assert {(e["source"], e["target"]) for e in view.edges} == {("root", "n0"), ("root", "n1"), ("root", "n2"), ("n0", "far"), ("n0", "n1"), ("n1", "far")}
     assert views.blast_radius(g, "root", limit=1).truncated
-    assert views.blast_radius(g, "nowhere").nodes == [{"id": "nowhere", "hop": 0, "weight": 1.0}]
+    assert views.blast_radius(g, "nowhere").nodes == [{"id": "nowhere", **views.NODE, "kind": "File", "label": "nowhere", "subtitle": "nowhere"}]
 
 
 def test_call_views(spark):
