@@ -143,3 +143,19 @@ def test_scores_are_those_of_the_kernel_expansion():
         if len(batch.documents) == 1 and held == text:
             direct = sum(a * brute_kernel(text, w) / n for a, w, n in zip(alpha, words, norms))
             assert np.isclose(folded[0], direct, atol=1e-6)
+
+
+def test_query_scores_whole_texts_with_what_was_learned(spark, sf_small):
+    """Every row's score and fold, by a model that is fitted here from the rows that the contract allows."""
+    import zlib
+
+    remainder = lambda d: zlib.crc32(str(d).encode()) % 5
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_small}/labels.parquet").collect() if remainder(r.doc_id)}
+    rows = [(d, docs[d], y) for d, y in sorted(marks.items()) if docs.get(d) is not None and len(docs[d].encode()) <= toxicity.TEXT_BYTES]
+    assert sum(marks.values()) <= toxicity.POSITIVES and len(marks) - sum(marks.values()) <= 2 * toxicity.POSITIVES  # all are learned from
+    model = toxicity.fit([t for _, t, _ in rows], [y for _, _, y in rows], sum(marks.values()) / len(marks))
+    got = {r.doc_id: r for r in catalog.queries()["op2_toxicity"](spark, sf_small).collect()}
+    assert got.keys() == docs.keys()
+    for d, want in zip(docs, model.scores(list(docs.values()))):
+        assert abs(got[d].score - want) < 1e-6 and got[d].predicted == (got[d].score >= 0.5) and got[d].held_out == (remainder(d) == 0)
