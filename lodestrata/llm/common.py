@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 
@@ -83,6 +84,13 @@ def with_mapped(
     return docs.mapInArrow(given_back(mapped), schema)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files of plans that nobody holds any more, which it does when the driver collects garbage:
+    rarely, if the driver has little to do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sized(keys: DataFrame, rows: int | None = None) -> DataFrame:
     """keys (a written table), with a broadcast hint only if it is counted to be small."""
     n = keys.count() if rows is None else rows

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import connected_components, given_back, lookup, sized, with_mapped, written
+from .common import connected_components, given_back, lookup, sized, tidy, with_mapped, written
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 6, 2
@@ -375,8 +375,10 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     units = written(cut, "paragraphs")
     found = units.where("k1 is not null")
     members = _members(found)
+    tidy(docs.sparkSession)
     nodes = _nodes(members)
     groups = written(connected_components(_near_links(docs, members, nodes)), "near")
+    tidy(docs.sparkSession)
     classes = _classes(found, nodes, groups)
     places = found.select(F.struct("k1", "k2").alias("k"), "doc_id", "start", "end", "levels")
     hit = lookup(places, classes.select(F.struct("k1", "k2").alias("k"), "class", "keep_id", "times"), "k", n="times", total=units.count())

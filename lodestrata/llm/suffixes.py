@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import PART_BYTES, given_back, lookup, with_mapped, written
+from .common import PART_BYTES, given_back, lookup, tidy, with_mapped, written
 
 LENGTH, K = 100, 32
 #: Segments of one anchor that one task sorts, about a megabyte; of more, the anchor is made longer.
@@ -411,6 +411,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int
     dups = written(counts, "anchors")
     passed = spark.sparkContext.broadcast(_filter(dups, bits))
     often = spark.sparkContext.broadcast(_filter(dups.where(F.col("kinds") > hot), bits))
+    del anchors, counts
+    tidy(spark)
 
     def cut(batches: Iterator[pa.RecordBatch], want_hot: bool) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
