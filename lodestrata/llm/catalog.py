@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, language, paragraphs, pii, secrets, simhash, suffixes, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, language, lines, paragraphs, pii, secrets, simhash, suffixes, toxicity
 from .common import documents, table
 
 
@@ -99,6 +99,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines that five documents hold, which stay in the last of these."""
+    found = lines.keep_bitmaps(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_lines",
+        lines.n_dropped(F.col("keep")).alias("n_dropped"),
+        F.sha2(lines.kept_text(F.col("text"), F.col("keep")), 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -111,8 +122,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_byte_bpe": op10_byte_bpe,
+        "op12_line_dedup": op12_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_secret_scan": secrets.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op7_secret_scan": secrets.SQL, "op9_exact_dedup": exact_dedup.SQL, "op12_line_dedup": lines.SQL}
