@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, language, lines, paragraphs, pii, secrets, simhash, suffixes, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, language, lines, paragraphs, periodic, pii, secrets, simhash, suffixes, toxicity
 from .common import documents, table
 
 
@@ -99,6 +99,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document's words, some of which the contract repeats, and what is left without their copies."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return periodic.digest_columns(periodic.with_runs(docs.withColumn("text", periodic.repeated_words(F.col("text"), F.col("doc_id")))))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without lines that five documents hold, which stay in the last of these."""
     found = lines.keep_bitmaps(documents(spark, sf_dir).select("doc_id", "text"))
@@ -122,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_periodic_runs": op11_periodic_runs,
         "op12_line_dedup": op12_line_dedup,
     }
 
