@@ -250,6 +250,17 @@ def search_commits(g):
     return files.search_commits(g, "BUG #1 2")
 
 
+@query(_oracles["search_commits"].split(_COMMON)[1])
+def search_commits_indexed(g):
+    """The same rows, from the posting lists of the term's trigrams."""
+    return files.search_commits_indexed(g, files.text_index(g.commit, "hash", "message"), "BUG #1 2")
+
+
+@query(_oracles["search_files"].split(_COMMON)[1])
+def search_files_indexed(g):
+    return files.list_files_indexed(g, files.text_index(g.file, "path", "path"), "#3")
+
+
 # --- authors
 
 _STATS = """stats AS (SELECT email, name, count(DISTINCT c.hash) AS commit_count, count(DISTINCT m.path) AS file_count, min(timestamp) AS first_ts, max(timestamp) AS last_ts

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import contains_ci
+from ..runtime import fresh_path
+from . import trigrams
 from .lineage import on_lineage
 from .ownership import author_list
 
@@ -82,6 +85,23 @@ def search_commits(g: RepoGraph, q: str, limit: int = 8) -> DataFrame:
     return found.select("hash", "message", F.col("name").alias("author_name"), "timestamp")
 
 
+def text_index(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """A written search index of text by a key that is not a number, in shared storage."""
+    path = fresh_path(rows.sparkSession, "trigrams")
+    trigrams.write(trigrams.postings(rows, key, text, trigrams.hashed_bits(rows.count())), path)
+    return rows.sparkSession.read.schema(trigrams.SCHEMA).parquet(path)
+
+
+def search_commits_indexed(g: RepoGraph, index: DataFrame, q: str, limit: int = 8) -> DataFrame:
+    """search_commits, which reads only the commits that an index of hash and message names."""
+    return search_commits(replace(g, commit=trigrams.find(g.commit, index, "hash", "message", q)), q, limit)
+
+
+def list_files_indexed(g: RepoGraph, index: DataFrame, q: str, limit: int = 50, sort: str = "commits") -> DataFrame:
+    """list_files, which reads only the files that an index of path names."""
+    return list_files(replace(g, file=trigrams.find(g.file, index, "path", "path", q)), q, limit, sort)
+
+
 def search(g: RepoGraph, q: str, limit: int = 8) -> dict[str, DataFrame]:
     """Files, authors and commits that hold q."""
     return {"files": list_files(g, q, limit), "authors": author_list(g, q, limit), "commits": search_commits(g, q, limit)}

@@ -63,9 +63,12 @@ COPIES = {
 }
 
 
-def graph(spark: SparkSession, sf_dir: str, settings: Settings | None = None, copies: bool = False) -> RepoGraph:
-    """The graph of the tables in sf_dir; with copies, one where some files have one author."""
+def graph(spark: SparkSession, sf_dir: str, settings: Settings | None = None, copies: bool = False, after: int | None = None) -> RepoGraph:
+    """The graph of the tables in sf_dir; with copies, one where some files have one author; with after, one of the commits with
+    a greater number only, a filter that reaches both scans."""
     base = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in BASE}
+    if after is not None:
+        base |= {"orders": base["orders"].where(F.col("o_orderkey") > after), "lineitem": base["lineitem"].where(F.col("l_orderkey") > after)}
     queries = TABLES | (COPIES if copies else {})
 
     def table(name: str) -> DataFrame:
