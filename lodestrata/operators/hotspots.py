@@ -11,7 +11,7 @@ from ..functions.paths import base_name
 from ..functions.scores import band, decay, tier
 from ..runtime import written
 from .coupling import coupling_among
-from .lineage import canonical, lineage
+from .lineage import canonical
 from .ownership import sole_owned
 
 if TYPE_CHECKING:
@@ -34,42 +34,25 @@ def hotspots(
     deleted ones included, and each weighs as the latest shared commit. A file without partners is left out.
 
     Paths are paired by commit and only in commits of at most max_files_per_commit files, so rows are multiplied by that at
-    most; files below min_commits are dropped on the way. A pair's weight is its latest commit's.
+    most. A path comes to its commit's row with the numbers of the files whose lineage it is on and of its names of today, so a
+    row gives pairs of numbers as they are counted: no join follows, one aggregation by pair and one by file do. Files below
+    min_commits are dropped before. A pair's weight is its latest commit's.
     """
-    lines = written(lineage(g, g.live_files), "lineage")
+    numbers = written(g.file.select("path", "module", "is_deleted").withColumn("number", F.monotonically_increasing_id()), "file-numbers")
+    number = numbers.select("path", "number")
+    lines = written(_numbered_lineage(g, numbers), "lineage")
     weight = decay(F.col("ts"), as_of, half_life_days, kind)
-    # commits and files are joined once; three scans of the result follow
-    touches = written(g.touches.select("path", "hash", "author_email", "files_changed", weight.alias("w")), "touches")
-    churn = written(
-        lines.join(touches, "path")
-        .groupBy("root", "hash")  # a commit has one author, so only authors are left to be told apart below
-        .agg(F.first("author_email").alias("author_email"), F.sum("w").alias("w"))
-        .groupBy("root")
-        .agg(F.count("*").alias("commit_count"), F.sum("w").alias("recent"), F.countDistinct("author_email").alias("author_count"))
-        .where(F.col("commit_count") >= min_commits),
-        "churn",
-    )
-    # each commit's paths, at most max_files_per_commit of them, are paired within its row: one shuffle, no join
-    small = touches.where(F.col("files_changed") <= max_files_per_commit).groupBy("hash").agg(F.max("w").alias("w"), F.collect_set("path").alias("paths"))
-    each = small.where(F.size("paths") > 1).select("w", "paths", F.explode("paths").alias("path"))
-    pairs = each.select("path", "w", F.explode(F.array_remove("paths", F.col("path"))).alias("other"))
-    own = lines.select("root", F.col("path").alias("other"))
-    partners = pairs.join(lines.join(churn.select("root"), "root"), "path").join(own, ["root", "other"], "left_anti")
-    today = canonical(g).withColumnRenamed("path", "other")
-    coupled = (
-        partners.join(today, "other")
-        .groupBy("root", "canonical")
-        .agg(F.max("w").alias("w"))
-        .groupBy("root")
-        .agg(F.count("*").alias("coupled_file_count"), F.sum("w").alias("coupled_recent"))
-    )
+    # commits and files are joined once; two scans of the result follow
+    touches = written(g.touches.join(number, "path").select("number", "hash", "author_email", "files_changed", weight.alias("w")), "touches")
+    churn = written(_churn(lines, touches).where(F.col("commit_count") >= min_commits), "churn")
+    coupled = _partners(_named(g, lines, churn, number), touches.where(F.col("files_changed") <= max_files_per_commit))
     n, k, a = F.col("commit_count"), F.col("coupled_file_count"), F.col("author_count")
     density = k / n
     out = (
         churn.join(coupled, "root")
-        .join(g.file.select(F.col("path").alias("root"), "module"), "root")
+        .join(numbers.withColumnRenamed("number", "root"), "root")
         .select(
-            F.col("root").alias("path"),
+            "path",
             "module",
             n,
             k,
@@ -82,6 +65,45 @@ def hotspots(
     return out if limit is None else out.orderBy(F.desc("risk_score"), "path").limit(limit)
 
 
+def _numbered_lineage(g: RepoGraph, numbers: DataFrame) -> DataFrame:
+    """root, number, paths: live files by number, the numbers of the paths on their lineage, and how many these are."""
+    live = numbers.where(~F.col("is_deleted"))
+    own = live.select(F.col("number").alias("root"), "number")
+    behind = g.renames.where("src <> dst").join(live.select(F.col("path").alias("dst"), F.col("number").alias("root")), "dst")
+    behind = behind.join(numbers.select(F.col("path").alias("src"), "number"), "src").select("root", "number").distinct()
+    several = behind.groupBy("root").agg((F.count("*") + 1).alias("paths"))
+    return own.union(behind).join(several, "root", "left").withColumn("paths", F.coalesce("paths", F.lit(1)))
+
+
+def _churn(lines: DataFrame, touches: DataFrame) -> DataFrame:
+    """root, commit_count, recent, author_count. Commits are told apart where a lineage has several paths; else each row is one."""
+    rows = lines.join(touches, "number").select("root", "hash", "author_email", "w", "paths")
+    several = rows.where("paths > 1").groupBy("root", "hash").agg(F.first("author_email").alias("author_email"), F.sum("w").alias("w"))
+    each = rows.where("paths = 1").select("root", "author_email", "w").unionByName(several.drop("hash"))
+    by = each.groupBy("root", "author_email").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    return by.groupBy("root").agg(F.sum("n").alias("commit_count"), F.sum("w").alias("recent"), F.count("*").alias("author_count"))
+
+
+def _named(g: RepoGraph, lines: DataFrame, churn: DataFrame, number: DataFrame) -> DataFrame:
+    """number, roots, today: of each path, the counted files whose lineage it is on, and its names of today."""
+    roots = lines.join(churn.select("root"), "root").select("number", "root", F.lit(None).cast("long").alias("name"))
+    today = canonical(g).join(number, "path").select(F.col("number").alias("of"), F.col("canonical").alias("path")).join(number, "path")
+    both = roots.union(today.select("of", F.lit(None).cast("long"), "number"))
+    return both.groupBy("number").agg(F.collect_list("root").alias("roots"), F.collect_list("name").alias("today"))  # nulls are left out
+
+
+def _partners(named: DataFrame, small: DataFrame) -> DataFrame:
+    """root, coupled_file_count, coupled_recent of each file, from the touches of commits with few files."""
+    rows = small.join(named, "number").groupBy("hash").agg(F.max("w").alias("w"), F.collect_list(F.struct("roots", "today")).alias("files"))
+    each = rows.where(F.size("files") > 1).select("w", "files", F.explode("files").alias("file")).where(F.size("file.roots") > 0)
+    each = each.select("w", "files", F.explode("file.roots").alias("root"))
+    # what is on the file's own lineage is no partner, the file itself included
+    others = F.filter("files", lambda f: ~F.array_contains(f["roots"], F.col("root")))
+    pairs = each.select("root", "w", F.explode(F.flatten(F.transform(others, lambda f: f["today"]))).alias("other"))
+    by_pair = pairs.groupBy("root", "other").agg(F.max("w").alias("w"))
+    return by_pair.groupBy("root").agg(F.count("*").alias("coupled_file_count"), F.sum("w").alias("coupled_recent"))
+
+
 def scored(g: RepoGraph, limit: int | None = None) -> DataFrame:
     """The materialized hotspots, riskiest first."""
     found = g.file_hotspot.where(F.col("risk_score").isNotNull()).orderBy(F.desc("risk_score"), "path")
