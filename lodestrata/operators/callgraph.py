@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import contains_ci
+from ..runtime import written
 
 if TYPE_CHECKING:
     from ..plans.graph import RepoGraph
@@ -127,14 +128,18 @@ def dedupe_calls(sites: DataFrame) -> DataFrame:
     call_count counts sites; call_lines are the first 20 by pos; any high site makes the pair high, and resolution is
     that of the first high site, else of the first site.
     """
+    sites, pair = written(sites, "call-sites"), ("caller_id", "callee_id")
     high = F.col("confidence") == "high"
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
-    return sites.groupBy("caller_id", "callee_id").agg(
+    totals = sites.groupBy(*pair).agg(
         F.when(F.bool_or(high), "high").otherwise("low").alias("confidence"),
         F.min_by("resolution", F.struct(F.when(high, 0).otherwise(1), F.col("pos"))).alias("resolution"),
         F.count("*").alias("call_count"),
-        F.slice(lines, 1, CALL_LINES).alias("call_lines"),
     )
+    # a limit on ranks, which tasks apply to what they have before they send it: a pair's list never has more lines
+    rank = F.row_number().over(Window.partitionBy(*pair).orderBy("pos", "line"))
+    first = sites.select(*pair, "pos", "line", rank.alias("rank")).where(F.col("rank") <= CALL_LINES)
+    lines = first.groupBy(*pair).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]).alias("call_lines"))
+    return totals.join(lines, list(pair))
 
 
 def dedupe_imports(imports: DataFrame) -> DataFrame:

@@ -112,7 +112,8 @@ def scored(g: RepoGraph, limit: int | None = None) -> DataFrame:
 
 def hotspots_or_scored(g: RepoGraph, as_of: str, limit: int = 20, min_commits: int | None = None, max_files: int | None = None) -> DataFrame:
     """The materialized table if it was made with these parameters, else the live query; scores to three places."""
-    least, most = min_commits or g.settings.min_commits, max_files or g.settings.max_files_per_commit
+    least = g.settings.min_commits if min_commits is None else min_commits
+    most = g.settings.max_files_per_commit if max_files is None else max_files
     made = g.file_hotspot is not None and (least, most) == (g.settings.min_commits, g.settings.max_files_per_commit)
     found = scored(g, limit) if made else hotspots(g, as_of, least, most, g.settings.half_life_days, limit)
     names = ("coupling_density", "risk_score", "risk_score_recent")

@@ -147,8 +147,8 @@ def author_path(g: RepoGraph, email_a: str, email_b: str) -> dict:
 def author_network(g: RepoGraph, email: str, min_shared: int = 1, limit: int = 15, anchors: int | None = None) -> DataFrame:
     """email, name, shared_files of others on the author's most touched live files, of which at most anchors count."""
     mine = author_files(g).where(F.col("email") == email).join(g.live_files.select("path"), "path", "left_semi")
-    few = mine.orderBy(F.desc("commits"), "path").limit(anchors or g.settings.anchor_files).select("path")
-    others = g.touches.join(F.broadcast(few), "path", "left_semi").where(F.col("author_email") != email)
+    few = mine.orderBy(F.desc("commits"), "path").limit(g.settings.anchor_files if anchors is None else anchors).select("path")
+    others = g.touches.join(few, "path", "left_semi").where(F.col("author_email") != email)
     found = others.groupBy(F.col("author_email").alias("email")).agg(F.countDistinct("path").alias("shared_files"))
     found = found.where(F.col("shared_files") >= min_shared).join(g.author, "email").select("email", "name", "shared_files")
     return found.orderBy(F.desc("shared_files"), "email").limit(limit)

@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_bug_fix
+from ..functions.quantiles import quantile
 from ..functions.scores import function_risk, spearman, strength
 from .callgraph import caller_counts
+from .ranges import overlapping
 
 
 def _overlapping(functions: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Functions with the hunks (path, lo, hi and more) that overlap their lines: an equi-join on path, ranges beside it."""
-    own = functions.select("id", "path", "start_line", "end_line")
-    return own.join(hunks, "path").where((F.col("lo") <= F.col("end_line")) & (F.col("hi") >= F.col("start_line")))
+    """Functions with the hunks (path, lo, hi and more) that overlap their lines."""
+    return overlapping(functions.select("id", "path", "start_line", "end_line"), hunks)
 
 
 def change_history(functions: DataFrame, hunks: DataFrame) -> DataFrame:
     """id, change_count, bug_fix_count of every function: distinct commits with a hunk (path, hash, message, lo, hi) in
-    its lines, and those among them whose message says that they fix something."""
-    seen = _overlapping(functions, hunks).select("id", "hash", F.when(is_bug_fix(F.col("message")), F.col("hash")).alias("fix"))
-    counts = seen.groupBy("id").agg(F.countDistinct("hash").alias("change_count"), F.countDistinct("fix").alias("bug_fix_count"))
+    its lines, and those among them whose message says that they fix something. A commit has one message."""
+    fixes = hunks.select("path", "hash", "lo", "hi", is_bug_fix(F.col("message")).cast("int").alias("fix"))
+    seen = _overlapping(functions, fixes).groupBy("id", "hash").agg(F.max("fix").alias("fix"))
+    counts = seen.groupBy("id").agg(F.count("*").alias("change_count"), F.sum("fix").alias("bug_fix_count"))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("change_count", "bug_fix_count")]
     return functions.select("id").join(counts, "id", "left").select("id", *zero)
 
@@ -42,8 +44,8 @@ def touched_functions(functions: DataFrame, hunks: DataFrame, by: str | None = N
 
 def risk_percentile(functions: DataFrame, percentile: float = 90.0) -> DataFrame:
     """threshold: the interpolated percentile of the scores above 0; 0 if there are none."""
-    found = F.percentile("risk_score", percentile / 100.0)
-    return functions.where("risk_score > 0").agg(F.coalesce(found, F.lit(0.0)).alias("threshold"))
+    found = quantile(functions.where("risk_score > 0"), "risk_score", percentile / 100.0)
+    return functions.sparkSession.createDataFrame([(found or 0.0,)], "threshold double")
 
 
 def flagged(functions: DataFrame, hunks: DataFrame, percentile: float = 90.0, min_callers: int = 5, by: str | None = None) -> DataFrame:
