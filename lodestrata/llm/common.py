@@ -109,21 +109,26 @@ def fold(key: Column | str, n: int) -> Column:
     return F.coalesce(place, F.lit(-1))
 
 
-def hashed_sample(rows: DataFrame, group: str, n: int, key: str = "doc_id", size: str | None = None, most: int = 0) -> DataFrame:
-    """At most n rows of each group: those whose keys have the smallest hashes; with size, up to the first whose sizes sum up
-    to more than most.
+def hashed_sample(rows: DataFrame, group: str, n: int, size: str | None = None, most: int = 0, once: bool = False) -> DataFrame:
+    """At most n rows of each group: those with the smallest hashes of all their columns; with size, up to the first whose sizes
+    sum up to more than most; with once, equal rows count as one. rows should be narrow: keys and hashes of what they stand for.
 
-    Rows are first thinned by a threshold on the hash that leaves about twice n of each group, so that what is ranked
-    together does not grow with the table.
+    Equal rows are folded first. What is left has different hashes, so a threshold that leaves about twice n of them bounds
+    what is ranked together, however large the table is and however often its keys are repeated.
     """
-    counts = written(rows.groupBy(group).agg(F.count("*").alias("_n")), "group-sizes")
-    place = F.pmod(F.xxhash64(key), F.lit(1 << 31)) / float(1 << 31)
-    thin = rows.join(sized(counts), group).where(place * F.col("_n") < 2 * n + 50).drop("_n")
-    order = Window.partitionBy(group).orderBy(F.xxhash64(key), key)
-    ranked = thin.withColumn("_rank", F.row_number().over(order))
+    folded = rows.groupBy(*rows.columns).agg((F.lit(1) if once else F.count("*")).cast("long").alias("_times"))
+    folded = written(folded.withColumn("_hash", F.xxhash64(*rows.columns)), "sample-rows")
+    counts = written(folded.groupBy(group).agg(F.count("*").alias("_n")), "group-sizes")
+    place = F.pmod(F.col("_hash"), F.lit(1 << 31)) / float(1 << 31)
+    thin = folded.join(sized(counts), folded[group].eqNullSafe(counts[group])).drop(counts[group]).where(place * F.col("_n") < 2 * n + 50).drop("_n")
+    order = Window.partitionBy(group).orderBy(place, "_hash", *[c for c in rows.columns if c != group])
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = thin.withColumn("_take", F.least("_times", F.lit(n) - F.coalesce(F.sum("_times").over(before), F.lit(0))))
     if size:
-        ranked = ranked.withColumn("_sum", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= most).drop("_sum")
-    return ranked.where(F.col("_rank") <= n).drop("_rank")
+        sums = F.sum(F.col(size) * F.col("_times")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        ranked = ranked.withColumn("_sum", sums).where(F.col("_sum") <= most)
+    taken = ranked.where(F.col("_take") > 0).withColumn("_take", F.explode(F.sequence(F.lit(1).cast("long"), "_take")))
+    return taken.select(*rows.columns)
 
 
 def count_kind(spans: Column, kind: str) -> Column:

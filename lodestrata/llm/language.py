@@ -167,20 +167,22 @@ class ContextTrees:
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, order: int = ORDER, bytes_per_language: int = BYTES_PER_LANGUAGE) -> ContextTrees:
     """Trees from docs (doc_id, text, lang), of which only rows with a text and a language count.
 
-    Of each language the rows with the smallest hashes of their ids are learned from, up to the number of rows and bytes;
-    a text of more bytes alone is passed over. Equal texts count once. No rows, no languages.
+    Of each language the texts with the smallest hashes are learned from, up to the number of rows and bytes; a text of more
+    bytes alone is passed over, but if a language has no other, its smallest text counts with its first characters, as many as
+    bytes are allowed. Equal texts of a language count once; doc_ids don't matter, be they repeated or null. No rows, no
+    languages.
     """
-    rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang", F.octet_length("text").alias("bytes"))
-    languages = rows.select("lang").distinct().count()
-    most = min(bytes_per_language, BYTES // max(1, languages))
-    known = rows.where(F.col("bytes") <= most).select("doc_id", "lang", "bytes")
-    chosen = hashed_sample(known, "lang", rows_per_language, size="bytes", most=most)
-    chosen = written(chosen.select("doc_id", "lang").distinct(), "labelled")
-    texts: dict[str, set[str]] = {}
-    # chosen has at most rows_per_language rows of each language; rows that repeat an id are told apart by nothing, and few
-    some = rows.where(F.col("bytes") <= most).join(sized(chosen), ["doc_id", "lang"])
-    for r in some.select("lang", "text").toLocalIterator():
-        texts.setdefault(r.lang, set()).add(r.text)
+    rows = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"), F.octet_length("text").alias("bytes"))
+    sizes = written(rows.groupBy("lang").agg(F.min_by(F.struct("h", "bytes"), F.struct("bytes", "h")).alias("least")), "languages")
+    most = min(bytes_per_language, BYTES // max(1, sizes.count()))
+    known = rows.where(F.col("bytes") <= most).select("lang", "h", "bytes")
+    chosen = hashed_sample(known, "lang", rows_per_language, size="bytes", most=most, once=True).select("lang", "h")
+    only = sizes.where(F.col("least.bytes") > most).select("lang", "least.h")
+    chosen = written(chosen.union(only), "labelled")
+    some = rows.join(sized(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # one of equal ones
+    texts: dict[str, list[str]] = {}
+    for r in some.select("lang", F.left("text", F.lit(most)).alias("text")).toLocalIterator():  # whole, but for those in only
+        texts.setdefault(r.lang, []).append(r.text)
     return ContextTrees({k: sorted(v) for k, v in texts.items()}, order)
 
 

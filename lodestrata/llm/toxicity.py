@@ -328,17 +328,19 @@ def _logistic(margins: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> ToxicityModel:
-    """A model of docs (doc_id, text) with labels (doc_id, toxic): at most positives documents with label 1 and twice as
-    many with label 0, those with the smallest hashes of their ids. Null labels and texts don't count, nor do texts of more
-    than TEXT_BYTES, so that what comes to the driver is bounded. Of labels that differ for an id, 1 counts."""
+    """A model of docs (doc_id, text) with labels (doc_id, toxic): at most positives rows with label 1 and twice as many
+    with label 0, those with the smallest hashes of id and text. Null labels and texts don't count, nor do texts of more
+    than TEXT_BYTES, so that what comes to the driver is bounded: rows are drawn from those that have a label and such a text.
+    Rows that repeat an id count each, as do equal rows. Of labels that differ for an id, 1 counts."""
     marked = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    some = hashed_sample(marked.where("toxic = 1"), "toxic", positives).union(hashed_sample(marked.where("toxic = 0"), "toxic", 2 * positives))
-    chosen = written(some.select("doc_id", "toxic"), "labelled")
+    rows = docs.where(F.octet_length("text") <= TEXT_BYTES).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    known = written(rows.drop("text").join(marked, "doc_id").select("doc_id", "h", "toxic"), "known-labels")
+    some = hashed_sample(known.where("toxic = 1"), "toxic", positives).union(hashed_sample(known.where("toxic = 0"), "toxic", 2 * positives))
+    chosen = written(some.groupBy("doc_id", "h", "toxic").agg(F.count("*").alias("times")), "labelled")  # 3 * positives rows at most
     share = marked.agg(F.avg("toxic")).first()[0]
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= TEXT_BYTES).join(F.broadcast(chosen), "doc_id")
-    # chosen has at most 3 * positives rows
-    rows = sorted(((r.doc_id, r.text, r.toxic) for r in texts.toLocalIterator()), key=lambda r: (r[0], r[1]))
-    return fit([r[1] for r in rows], [r[2] for r in rows], share)
+    texts = rows.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id", "h", "toxic", "times").agg(F.min("text").alias("text"))
+    found = sorted(((r.doc_id, r.text, r.toxic) for r in texts.toLocalIterator() for _ in range(r.times)), key=lambda r: (r[0], r[1]))
+    return fit([r[1] for r in found], [r[2] for r in found], share)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", to: str = "score") -> DataFrame:

@@ -1,4 +1,6 @@
 import math
+
+import pytest
 import random
 
 import numpy as np
@@ -85,6 +87,39 @@ def test_folds(spark):
     assert few.count() == 30
 
 
+def test_samples_are_of_rows(spark):
+    """Repeated and null ids neither lose a row's group nor lift the bound."""
+    from lodestrata.llm.common import hashed_sample
+
+    same = spark.range(3000).selectExpr("'a' as g", "7L as doc_id", "1 as bytes")
+    none = spark.range(200).selectExpr("'b' as g", "cast(null as long) as doc_id", "cast(id as int) as bytes")
+    got = {r.g: r["count"] for r in hashed_sample(same.union(none), "g", 50).groupBy("g").count().collect()}
+    assert got == {"a": 50, "b": 50}
+    assert hashed_sample(same, "g", 50, once=True).count() == 1
+    assert hashed_sample(same, "g", 50, size="bytes", most=2).count() == 0  # equal rows are taken or left together
+    assert hashed_sample(none.where("bytes < 3"), "g", 50, size="bytes", most=3).count() == 3
+    assert hashed_sample(none.where("false"), "g", 50).count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [1, 2, 3, 7, 11, 42, 1000, None])
+def test_no_language_is_lost_to_ids(spark, doc_id):
+    english = spark.range(3000).selectExpr(f"cast({'null' if doc_id is None else doc_id} as long) as doc_id", "concat('the dog and the cat ', id) as text", "'en' as lang")
+    german = spark.range(300).selectExpr("id as doc_id", "concat('der hund und die katze ', id) as text", "'de' as lang")
+    trees = language.train(english.union(german), rows_per_language=100)
+    assert trees.languages == ["de", "en"]
+    out = language.identify(spark.createDataFrame([(1, "the cat"), (2, "die katze")], "doc_id long, text string"), trees).collect()
+    assert [r.lang_pred for r in out] == ["en", "de"]
+
+
+def test_long_texts_are_learned_from(spark):
+    """A language all of whose texts are longer than the bound has the beginning of its smallest."""
+    rows = [(i, "the dog and the cat " * (100 + i), "en") for i in range(4)] + [(9 + i, f"der hund und die katze {i}", "de") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = language.train(docs, bytes_per_language=300)
+    assert trees.languages == ["de", "en"]
+    assert {(r.lang, r.lang_pred) for r in language.identify(docs, trees).collect()} == {("en", "en"), ("de", "de")}
+
+
 def test_query_by_definition(spark, sf_small):
     """All predictions of short texts, by code lengths that are counted from their definition."""
     import zlib

@@ -107,6 +107,21 @@ def test_very_long_texts_and_empty_tables(spark):
     assert nothing.h is False
 
 
+def test_repeated_ids_are_rows(spark, monkeypatch):
+    """One id for all rows, labels without a text, and texts over the bound: what is drawn fills the bound with what can be read."""
+    texts, labels = examples(120, 6)
+    toxic = [t for t, y in zip(texts, labels) if y]
+    rows = [(7, t) for t in toxic] + [(100 + i, t) for i, (t, y) in enumerate(zip(texts, labels)) if not y] + [(900 + i, "x" * 70_000) for i in range(50)]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
+    marks = spark.createDataFrame([(7, 1)] + [(100 + i, 0) for i in range(120)] + [(900 + i, 1) for i in range(50)] + [(5000 + i, 1) for i in range(500)], "doc_id long, toxic int")
+    drawn = []
+    monkeypatch.setattr(toxicity, "fit", lambda t, y, share: drawn.append((t, y)))
+    toxicity.train(docs, marks, positives=20)
+    assert (drawn[0][1].count(1), drawn[0][1].count(0)) == (20, 40) and set(drawn[0][0]) <= {t for _, t in rows}
+    toxicity.train(docs, marks, positives=1000)
+    assert sorted(t for t, y in zip(*drawn[1]) if y) == sorted([*toxic, toxic[0]])
+
+
 def brute_features(word):
     found = {}
     for at in combinations(range(len(word)), 4):
