@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.paths import extension_of, is_bug_fix, module_of
 from .functions.scores import is_stale
-from .operators import callgraph, client, coupling, files, hotspots, lineage, ownership, resolve, risk, views
+from .operators import callgraph, client, coupling, files, hotspots, lineage, ownership, paths, resolve, risk, views
 from .plans import proxy
 from .plans.graph import RepoGraph, Settings
 from .plans.materialize import materialize
@@ -261,6 +261,16 @@ def search_files_indexed(g):
     return files.list_files_indexed(g, files.text_index(g.file, "path", "path"), "#3")
 
 
+# --- paths between authors
+
+_NEAR = f"""SELECT min(a.path) AS f FROM t a JOIN t b USING (path) WHERE a.author_email = '{EMAIL}' AND b.author_email = '{OTHER}' HAVING min(a.path) IS NOT NULL"""
+
+
+@query(f"""SELECT 0 AS step, 'Author' AS kind, '{EMAIL}' AS id FROM ({_NEAR}) UNION ALL SELECT 1, 'File', f FROM ({_NEAR}) UNION ALL SELECT 2, 'Author', '{OTHER}' FROM ({_NEAR})""")
+def author_path_steps(g):
+    return paths.steps(g.touches.select(F.col("author_email").alias("email"), "path"), EMAIL, OTHER)
+
+
 # --- authors
 
 _STATS = """stats AS (SELECT email, name, count(DISTINCT c.hash) AS commit_count, count(DISTINCT m.path) AS file_count, min(timestamp) AS first_ts, max(timestamp) AS last_ts
@@ -849,7 +859,7 @@ def script_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @table_query("""WITH p AS (SELECT p_partkey AS k, 'src/s' || CAST(p_partkey AS STRING) || '.ts' AS path, p_size % 4 AS n, p_partkey * 3 % 50 + 1 AS t FROM part)
-  SELECT path || '::g' || CAST(k AS STRING) AS caller_id, 'src/s' || CAST(t AS STRING) || '.ts::g' || CAST(t AS STRING) AS callee_id, 'high' AS confidence, 'type_checked' AS resolution, CAST(3 + n AS INT) AS line FROM p WHERE k <> t
+  SELECT path || '::g' || CAST(k AS STRING) AS caller_id, 'src/s' || CAST(t AS STRING) || '.ts::g' || CAST(t AS STRING) AS callee_id, 'high' AS confidence, 'import_resolved' AS resolution, CAST(3 + n AS INT) AS line FROM p WHERE k <> t
   UNION ALL SELECT path || '::C.run', path || '::C.stop', 'high', 'same_file', CAST(6 + n AS INT) FROM p
   UNION ALL SELECT path || '::C.stop', path || '::g' || CAST(k AS STRING), 'high', 'same_file', CAST(7 + n AS INT) FROM p""")
 def script_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -862,6 +872,21 @@ def script_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scripts(spark, sf_dir)["imports"]
 
 
+#: Parts as authors and orders as files: a graph in which most pairs are several files apart.
+_ENDS = "(SELECT min(l_partkey) FROM lineitem)", "(SELECT max(l_partkey) FROM lineitem)"
+
+
+@table_query(f"""WITH RECURSIVE e AS (SELECT DISTINCT a.l_partkey AS x, b.l_partkey AS y FROM lineitem a JOIN lineitem b USING (l_orderkey)),
+  r(id, d) AS (SELECT {_ENDS[0]}, 0 UNION SELECT y, d + 1 FROM r JOIN e ON x = id WHERE d < 6 AND NOT EXISTS (SELECT 1 FROM r s WHERE s.id = {_ENDS[1]}))
+  SELECT CAST(2 * min(d) AS INT) AS hops FROM r WHERE id = {_ENDS[1]} HAVING count(*) > 0""")
+def part_path_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the shortest path between the first and the last part over the orders that parts share."""
+    lines = _read(spark, sf_dir, "lineitem")
+    ends = lines.agg(F.min("l_partkey").cast("string"), F.max("l_partkey").cast("string")).first()
+    touched = lines.select(F.col("l_partkey").cast("string").alias("email"), F.col("l_orderkey").cast("string").alias("path"))
+    return paths.steps(touched, *ends).groupBy().agg(F.max("step").alias("hops")).where("hops is not null")
+
+
 @table_query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -10,6 +10,7 @@ from pathlib import Path
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import callgraph, risk, views
 from .plans import graph, ingest
@@ -67,7 +68,9 @@ def _answer(spark: SparkSession, args: argparse.Namespace) -> dict | list:
         store = args.store or str(Path(repo if not is_url(args.target) else ".") / FOLDER)
         g = ingest.ingest(spark, repo, args.as_of, args.max_commits, args.module_depth)
         graph.save(g, store)
-        return {"store": store, "files": g.file.count(), "commits": g.commit.count(), "functions": g.function.count()}
+        counts = {"files": g.file.count(), "commits": g.commit.count(), "functions": g.function.count() if g.function else 0}
+        unread = _rows(g.unread.groupBy("reason").count().orderBy(F.desc("count"), "reason").limit(20)) if g.unread else []
+        return {"store": store, **counts, "unread": unread}
     store = args.store or find_store()
     if store is None:
         raise LookupError("no store here or above; run ingest first")

@@ -22,6 +22,7 @@ SCHEMAS = {
     "is_exported boolean, is_method boolean, source string, complexity int, change_count long, risk_score double",
     "calls": "caller_id string, callee_id string, confidence string, resolution string, call_count long, call_lines array<int>",
     "imports": "from_path string, to_path string, imported_names array<string>",
+    "unread": "path string, reason string",
 }
 KEYS = {
     "author": ["email"], "commit": ["hash"], "file": ["path"], "modified": ["hash", "path"], "renamed_to": ["old_path", "new_path"],
@@ -58,6 +59,7 @@ class RepoGraph:
     calls: DataFrame | None = None
     imports: DataFrame | None = None
     hunks: DataFrame | None = None
+    unread: DataFrame | None = None
     file_hotspot: DataFrame | None = None
     author_stats: DataFrame | None = None
     author_criticality: DataFrame | None = None

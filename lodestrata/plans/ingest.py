@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,8 @@ def _python(sources: DataFrame) -> dict[str, DataFrame]:
     parsed = written(pysource.parse(python), "parsed")
     functions, sites = parsed.select(F.inline("functions")), parsed.select(F.inline("sites"))
     bound = resolve_imports(parsed.select(F.inline("bindings")), python.select("path"))
-    return {"functions": functions, "calls": resolve_calls(sites, functions, bound), "imports": import_edges(bound)}
+    unread = parsed.where("reason is not null").select("path", "reason")
+    return {"functions": functions, "calls": resolve_calls(sites, functions, bound), "imports": import_edges(bound), "unread": unread}
 
 
 #: What reads the sources of each language, by extension; files of others are passed over.
@@ -42,18 +44,23 @@ EXTENSIONS = tuple(e for some in LANGUAGES for e in some)
 
 
 def analyze(sources: DataFrame) -> dict[str, DataFrame]:
-    """functions, calls and imports of sources (path, source) in all languages. One that fails is left out with a warning."""
+    """functions, calls and imports of sources (path, source) in all languages, and unread: path and reason of each file that was
+    not read, or not as it is. A language that fails is left out with a warning, and all its files are listed."""
     found: dict[str, DataFrame] = {}
+    unread = [sources.where("reason is not null").select("path", "reason")] if "reason" in sources.columns else []
     for extensions, read in LANGUAGES.items():
+        own = sources.where(extension_of(F.col("path")).isin(*extensions))
         try:
-            tables = {n: written(df, n) for n, df in read(sources.where(extension_of(F.col("path")).isin(*extensions))).items()}
+            tables = {n: written(df, n) for n, df in read(own).items()}
         except PySparkException as e:
             warnings.warn(f"sources with the extensions {', '.join(extensions)} are left out: {e}", stacklevel=2)
+            unread.append(own.select("path", F.lit(f"its language failed: {type(e).__name__}").alias("reason")))
             continue
+        unread.append(tables.pop("unread"))
         found = {n: found[n].unionByName(df) if n in found else df for n, df in tables.items()}
     if not found:
         raise RuntimeError("no language could be read")
-    return found
+    return found | {"unread": reduce(DataFrame.unionByName, unread)}
 
 
 def function_graph(g: RepoGraph, sources: DataFrame, hunks: DataFrame | None = None, more: dict[str, DataFrame] | None = None) -> RepoGraph:
@@ -63,13 +70,13 @@ def function_graph(g: RepoGraph, sources: DataFrame, hunks: DataFrame | None = N
     """
     found = analyze(sources)
     if more:
-        found = {n: df.unionByName(more[n].select(*df.columns)) for n, df in found.items()}
+        found = {n: df.unionByName(more[n].select(*df.columns)) if n in more else df for n, df in found.items()}
     functions, calls, imports = found["functions"], found["calls"], found["imports"]
     calls = written(dedupe_calls(calls), "calls")
     if hunks is None:
         hunks = functions.sparkSession.createDataFrame([], "path string, hash string, message string, lo int, hi int")
     functions = with_risk(functions, calls, change_history(functions, hunks))
-    return replace(g, function=functions, calls=calls, imports=dedupe_imports(imports), hunks=hunks)
+    return replace(g, function=functions, calls=calls, imports=dedupe_imports(imports), hunks=hunks, unread=found["unread"])
 
 
 def ingest(spark: SparkSession, repo: str, as_of: str, max_commits: int = 5000, module_depth: int = 1, settings: Settings | None = None) -> RepoGraph:
@@ -86,6 +93,7 @@ def ingest(spark: SparkSession, repo: str, as_of: str, max_commits: int = 5000,
         logs = written(diffs.patch_logs(spark, repo, sources.select("path")), "patches")
         hunks = diffs.file_hunks(logs).withColumn("hash", F.concat("path", F.lit("#"), "commit_idx"))
         g = function_graph(g, sources, hunks.drop("commit_idx"))
+        g = replace(g, unread=written(g.unread.unionByName(logs.where("reason is not null").select("path", "reason")), "unread"))
     return materialize(g, as_of)
 
 

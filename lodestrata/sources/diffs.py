@@ -74,7 +74,8 @@ def diff_hunks(diffs: DataFrame) -> DataFrame:
 
 
 def patch_logs(spark: SparkSession, repo: str, paths: DataFrame, timeout: int = 120) -> DataFrame:
-    """path, log of the whole history of each path (path), without following renames; a path that fails has an empty log.
+    """path, log of the whole history of each path (path), without following renames; a path that fails has an empty log
+    and a reason, which is null otherwise.
 
     Each task asks for its own paths: the repository has to be where all executors see it.
     """
@@ -84,10 +85,13 @@ def patch_logs(spark: SparkSession, repo: str, paths: DataFrame, timeout: int =
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 command = ["git", "-C", repo, "log", "--no-merges", "-p", "--unified=0", "--format=%x01%s", "--", path]
+                log, reason = "", None
                 try:
                     log = subprocess.run(command, capture_output=True, timeout=timeout, check=True).stdout.decode("utf-8", "replace")
-                except (subprocess.SubprocessError, OSError):
-                    log = ""
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([log])], ["path", "log"])
+                except subprocess.TimeoutExpired:
+                    reason = f"no history: more than {timeout} seconds"
+                except (subprocess.SubprocessError, OSError) as e:
+                    reason = f"no history: {type(e).__name__}"
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.string()) for c in (path, log, reason)], ["path", "log", "reason"])
 
-    return paths.select("path").distinct().mapInArrow(read, "path string, log string")
+    return paths.select("path").distinct().mapInArrow(read, "path string, log string, reason string")

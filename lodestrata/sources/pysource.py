@@ -105,32 +105,43 @@ class _Reader(ast.NodeVisitor):
             self._bound(a.asname or a.name, node.module, a.name, node.level)
 
 
-def read(path: str, source: str) -> _Reader | None:
+def read(path: str, source: str) -> _Reader | str:
+    """What a file holds, or why it can't be read."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
-        return None
-    reader = _Reader(path, source)
-    try:
+        reader = _Reader(path, source)
         reader.visit(tree)
+    except SyntaxError as e:
+        return f"syntax error in line {e.lineno}: {e.msg}"
+    except ValueError as e:
+        return f"not a source text: {e}"
     except RecursionError:
-        return None
+        return "nested too deeply"
     return reader
 
 
 def parse(sources: DataFrame) -> DataFrame:
-    """functions, sites and bindings (arrays of structs) of sources (path, source); unparseable files are left out."""
+    """functions, sites and bindings (arrays of structs) of sources (path, source), and reason: null, or why the file could not be
+    read; the arrays are empty then."""
     ship(sources.sparkSession)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, source in zip(*(c.to_pylist() for c in batch.columns)):
                 got = read(path, source or "")
-                if got:
-                    columns = [[path], *([json.dumps(x)] for x in (got.functions, got.sites, got.bindings))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "functions", "sites", "bindings"])
+                failed = isinstance(got, str)
+                columns = [path, *(["[]"] * 3 if failed else map(json.dumps, (got.functions, got.sites, got.bindings))), got if failed else None]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.string()) for c in columns], PARSED)
+
+    raw = sources.select("path", "source").mapInArrow(parsed, ", ".join(f"{c} string" for c in PARSED))
+    return unpacked(raw)
+
+
+PARSED = ["path", "functions", "sites", "bindings", "reason"]
 
-    raw = sources.select("path", "source").mapInArrow(parsed, "path string, functions string, sites string, bindings string")
+
+def unpacked(raw: DataFrame) -> DataFrame:
+    """raw with its texts of functions, sites and bindings as arrays of structs."""
     kinds = {n: structs(k) for n, k in (("functions", FUNCTION), ("sites", SITE), ("bindings", BINDING))}
     return raw.withColumns({n: F.from_json(n, k) for n, k in kinds.items()})
 
@@ -140,17 +151,23 @@ def structs(ddl: str) -> str:
     return f"array<struct<{', '.join(':'.join(c.split(' ')) for c in ddl.split(', '))}>>"
 
 
+#: Of a file that is read all the same.
+REPLACED = "not UTF-8: bytes were replaced"
+
+
 def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("py",)) -> DataFrame:
     """path (relative), source of the files under root with these extensions, read by the executors; bytes that are not UTF-8
-    are replaced."""
+    are replaced, and noted as such in reason, which is null for all other files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(extensions)}}}")
     files = files.load(re.sub(r"([\[\]{}*?\\])", r"\\\1", root))  # a name, not a pattern
     folder = F.lit(urlsplit(root).path.rstrip("/") + "/" if "://" in root or root.startswith("file:") else root.rstrip("/") + "/")
     relative = F.substr(F.col("path"), F.instr(F.col("path"), folder) + F.length(folder))
-    return files.select(relative.alias("path"), F.decode("content", "UTF-8").alias("source")).where(extension_of(F.col("path")).isin(*extensions))
+    reason = F.when(~F.is_valid_utf8(F.col("content").cast("string")), REPLACED)
+    return files.select(relative.alias("path"), F.decode("content", "UTF-8").alias("source"), reason.alias("reason")).where(extension_of(F.col("path")).isin(*extensions))
 
 
 def with_empty(sources: DataFrame, paths: DataFrame, extensions: tuple[str, ...] = ("py",)) -> DataFrame:
     """sources with the files of paths (path) that it lacks, as empty: Spark's readers skip files without bytes."""
     python = paths.where(extension_of(F.col("path")).isin(*extensions)).select("path").distinct()
-    return sources.select("path", "source").union(python.join(sources, "path", "left_anti").select("path", F.lit("")))
+    empty = python.join(sources, "path", "left_anti").select("path", F.lit("").alias("source"))
+    return sources.unionByName(empty, allowMissingColumns=True)

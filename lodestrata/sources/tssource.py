@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.resolve import resolve_calls
 from ..runtime import ship, written
-from .pysource import BINDING, FUNCTION, SITE, SOURCE_LENGTH, SOURCE_MARK, structs
+from .pysource import BINDING, FUNCTION, PARSED, SITE, SOURCE_LENGTH, SOURCE_MARK, unpacked
 
 EXTENSIONS = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript"}
 
@@ -406,26 +406,41 @@ def read(path: str, text: str) -> dict[str, list[dict]]:
     return {"functions": list(functions.values()), "sites": sites, "bindings": bindings}
 
 
+#: Two closing tags in a line, the slashes of which may look like a regular expression's ends; and text between tags and braces with two
+#: quotes in a line, which may look like a string; and a closing tag that ends a statement without a semicolon, the last sign of which looks
+#: like an operator.
+MARKUP = r"</[A-Za-z>]"
+MARKUP_TEXT = r"""</[\w.]*>[^\n]*</|[>}][^<>{}()=;\n]*(['"`])[^\n;]*\1[^<>{}()=;\n]*(?:</|\{)|</[\w.]*>\s*\n(?:export|function|const|let|var|class|import|async|type|interface)\b"""
+
+
+def unreadable(path: str, source: str) -> str | None:
+    """Why a file is not read although it could be: text in markup would be taken for code."""
+    if not path.lower().endswith(".ts") and re.search(MARKUP, source) and re.search(MARKUP_TEXT, source):
+        return "text inside of markup is not read"
+    return None
+
+
 def parse(sources: DataFrame) -> DataFrame:
-    """functions, sites and bindings (arrays of structs) of sources (path, source) in these languages; what can't be read is
-    left out."""
+    """functions, sites and bindings (arrays of structs) of sources (path, source) in these languages, and reason: null, or why a
+    file is not read; the arrays are empty then."""
     ship(sources.sparkSession)
     extension = F.lower(F.element_at(F.split("path", r"\."), -1))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, source in zip(*(c.to_pylist() for c in batch.columns)):
+                got, reason = {}, unreadable(path, source or "")
                 try:
-                    got = read(path, source or "")
-                except (IndexError, RecursionError):
-                    continue
-                columns = [[path], *([json.dumps(got[k])] for k in ("functions", "sites", "bindings"))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "functions", "sites", "bindings"])
+                    got = {} if reason else read(path, source or "")
+                except IndexError:
+                    reason = "ends too early"
+                except RecursionError:
+                    reason = "nested too deeply"
+                columns = [path, *(json.dumps(got.get(k, [])) for k in ("functions", "sites", "bindings")), reason]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.string()) for c in columns], PARSED)
 
     some = sources.where(extension.isin(*EXTENSIONS)).select("path", "source")
-    raw = some.mapInArrow(parsed, "path string, functions string, sites string, bindings string")
-    kinds = {n: structs(k) for n, k in (("functions", FUNCTION), ("sites", SITE), ("bindings", BINDING))}
-    return raw.withColumns({n: F.from_json(n, k) for n, k in kinds.items()})
+    return unpacked(some.mapInArrow(parsed, ", ".join(f"{c} string" for c in PARSED)))
 
 
 def resolve_modules(bindings: DataFrame, files: DataFrame) -> DataFrame:
@@ -446,12 +461,12 @@ def resolve_modules(bindings: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def analyze(sources: DataFrame) -> dict[str, DataFrame]:
-    """functions, call sites (resolved) and imports of sources (path, source): what sources.tsjson reads from an analyzer."""
+    """functions, call sites (resolved) and imports of sources (path, source), as sources.tsjson reads them from an analyzer, and
+    unread (path, reason). Nothing is type-checked here, so no call says so: that is the analyzer's word."""
     parsed = written(parse(sources), "parsed-scripts")
     functions = parsed.select(F.inline("functions"))
-    bound = resolve_modules(parsed.select(F.inline("bindings")), parsed.select("path"))
+    bound = resolve_modules(parsed.select(F.inline("bindings")), parsed.where("reason is null").select("path"))
     calls = resolve_calls(parsed.select(F.inline("sites")), functions, bound)
-    how = F.when(F.col("resolution") == "import_resolved", "type_checked").otherwise(F.col("resolution"))
     edges = bound.where("target is not null and target <> path").groupBy(F.col("path").alias("from_path"), F.col("target").alias("to_path"))
     imports = edges.agg(F.array_sort(F.collect_set("name")).alias("imported_names"))
-    return {"functions": functions, "calls": calls.withColumn("resolution", how), "imports": imports}
+    return {"functions": functions, "calls": calls, "imports": imports, "unread": parsed.where("reason is not null").select("path", "reason")}

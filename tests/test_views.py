@@ -100,7 +100,7 @@ def test_scripts(spark):
     assert rows["src/a.tsx::arrow"].source.startswith("export const arrow") and rows["src/a.tsx::Klass.run"].source.startswith("@Dec")
     assert rows["src/a.tsx::outer"].language == "typescript" and rows["x.js::twice"].language == "javascript"
     calls = {(r.caller_id.split("/")[-1], r.callee_id.split("/")[-1]): (r.confidence, r.resolution) for r in got["calls"].collect()}
-    same, checked, low = ("high", "same_file"), ("high", "type_checked"), ("low", "name_heuristic")
+    same, checked, low = ("high", "same_file"), ("high", "import_resolved"), ("low", "name_heuristic")
     assert calls == {
         ("a.tsx::outer", "a.tsx::outer.inner"): same, ("a.tsx::outer.inner", "util.ts::bar"): checked, ("a.tsx::outer", "util.ts::foo"): checked,
         ("a.tsx::outer", "ns.ts::go"): checked, ("a.tsx::arrow", "a.tsx::outer"): same, ("a.tsx::arrow", "a.tsx::method"): low, ("a.tsx::other", "a.tsx::single"): same,
