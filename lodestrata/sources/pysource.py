@@ -163,7 +163,7 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("py",))
     folder = F.lit(urlsplit(root).path.rstrip("/") + "/" if "://" in root or root.startswith("file:") else root.rstrip("/") + "/")
     relative = F.substr(F.col("path"), F.instr(F.col("path"), folder) + F.length(folder))
     reason = F.when(~F.is_valid_utf8(F.col("content").cast("string")), REPLACED)
-    return files.select(relative.alias("path"), F.decode("content", "UTF-8").alias("source"), reason.alias("reason")).where(extension_of(F.col("path")).isin(*extensions))
+    return files.select(relative.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("source"), reason.alias("reason")).where(extension_of(F.col("path")).isin(*extensions))
 
 
 def with_empty(sources: DataFrame, paths: DataFrame, extensions: tuple[str, ...] = ("py",)) -> DataFrame:
