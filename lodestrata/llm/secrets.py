@@ -59,7 +59,8 @@ BASE = (
 #: Found besides the base kinds: private key headers and signed web tokens.
 EXTRA = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("private key-----",)),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyj",)),
+    # a header of at most 512 characters, so that a start in a run without a dot is given up after as many
+    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{8,509}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyj",)),
 )
 
 

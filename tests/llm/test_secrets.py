@@ -85,3 +85,23 @@ def test_positions_take_a_time_in_proportion_to_the_hits(spark):
     spans = ledger.findings(docs).first().spans
     assert time.perf_counter() - began < 60
     assert [(s.start, s.end) for s in spans] == [(m.start(), m.end()) for m in re.finditer(r"token=\w+", text)]
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJ-", "eyJabcdefgh.", "eyJabcdefgh.eyJ", "AKIA", "password", "password = ", "secret:", "token   ", "-----BEGIN ", "-----BEGIN A", "0f", "api_key'"])
+def test_long_runs_take_a_time_in_proportion_to_their_length(spark, unit):
+    """A million characters that begin matches everywhere and end none, or one: seconds, for every rule."""
+    text = unit * (1_000_000 // len(unit))
+    docs = spark.createDataFrame([(1, text), (2, text + ".")], "path long, text string")
+    ledger = secrets.BlobLedger(spark)
+    began = time.perf_counter()
+    ledger.update(docs)
+    assert time.perf_counter() - began < 40 and ledger.read().count() == 2 * len(ledger.rules)
+
+
+def test_tokens_have_headers_of_bounded_length(spark):
+    rest = ".eyJ" + "b" * 3000 + "." + "c" * 9
+    docs = spark.createDataFrame([(1, "x eyJ" + "a" * 509 + rest), (2, "x eyJ" + "a" * 510 + rest), (3, "eyJ" + "a" * 8 + rest)], "path long, text string")
+    ledger = secrets.BlobLedger(spark)
+    ledger.update(docs)
+    found = {r.path: [tuple(s) for s in r.spans if s.kind == "jwt"] for r in ledger.findings(docs).collect()}
+    assert found == {1: [("jwt", 2, 2 + 512 + len(rest))], 2: [], 3: [("jwt", 0, 11 + len(rest))]}
