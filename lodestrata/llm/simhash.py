@@ -142,9 +142,10 @@ def links(distinct: DataFrame, bits: int = 3, blocks: int = 6, chunk: int = 20_0
 
 
 def near_duplicates(docs: DataFrame, bits: int = 3, blocks: int = 6) -> DataFrame:
-    """doc_id, fp, component_id of every row of docs (doc_id, text; other columns are ignored).
+    """doc_id, fp, component_id, component of every row of docs (doc_id, text; other columns are ignored).
 
-    component_id is the smallest doc_id that is reachable over fingerprints that differ in at most bits bits. Null,
+    component_id is the smallest doc_id that is reachable over fingerprints that differ in at most bits bits, component the
+    smallest such fingerprint, which names components without a doc_id too. Null,
     empty and blank texts have fingerprint 0, and link like any other. Rows that repeat a doc_id are one document per
     row; a null doc_id is in a component like any other, and names it only if all are null. Empty tables stay empty.
     """
@@ -156,5 +157,5 @@ def near_duplicates(docs: DataFrame, bits: int = 3, blocks: int = 6) -> DataFram
     )
     named = written(named, "named-fingerprints")
     lows = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
-    classes = lookup(named, lows, "component").select("fp", "component_id", "times")
-    return lookup(marked, written(classes, "classes"), "fp", n="times").select("doc_id", "fp", "component_id")
+    classes = lookup(named, lows, "component").select("fp", "component_id", "component", "times")
+    return lookup(marked, written(classes, "classes"), "fp", n="times").select("doc_id", "fp", "component_id", "component")

@@ -85,3 +85,33 @@ def test_columns_of_any_name(spark, sf_small):
     left = docs.collect()
     assert sorted((str(r.doc_id), r.matches) for r in left) in ([("1", "matches1"), ("5", "matches3")], [("1", "matches1"), ("5", "matches3"), ("None", "matches2")])
     assert all(r[n].startswith(n) for r in left for n in names)
+
+
+def test_only_odd_rows_are_numbered(spark, sf_small, monkeypatch):
+    """Rows with a doc_id of their own are neither sorted nor written again, whatever else the table holds."""
+    x = "The cat sat on the mat, and the dog lay by the door of the old house near the mill."
+    rows = [(i, f"{x} {i * i}") for i in range(20)] + [(None, "alone here"), (3, "another text of row three"), (3, x)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tables, write = {}, corpus_pipeline.written
+    monkeypatch.setattr(corpus_pipeline, "written", lambda df, tag: tables.setdefault(tag, write(df, tag)))
+    out = corpus_pipeline.exact(spark, docs, sf_small)
+    assert tables["pipeline-rows"].count() == 4 and out.count() == 23
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Sort [" not in plan
+
+
+def test_odd_rows_by_brute_force(spark, sf_small):
+    import random
+
+    rng = random.Random(4)
+    texts = [f"word{i} stands in a row of its own with number {i * 7919}" for i in range(6)] + [None, ""]
+    for _ in range(3):
+        rows = [(rng.choice([None, 1, 2, 3, 4, 5, 6, 7]), rng.choice(texts)) for _ in range(40)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        lows = {}
+        for d, t in rows:
+            k = " ".join((t or "").split())
+            lows[k] = min(lows.get(k, (True, 0)), (d is None, d or 0))
+        for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+            got = sorted((r.doc_id is None, r.doc_id or 0, " ".join((r.text or "").split())) for r in stage(spark, docs, sf_small).collect())
+            assert got == sorted((*low, k) for k, low in lows.items())
