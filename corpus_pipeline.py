@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import byte_bpe, decontaminate, exact_dedup, language, simhash
-from lodestrata.llm.common import documents, table, unused, without_ids, written
+from lodestrata.llm.common import documents, sized, table, unused, without_ids, written
 
 ORACLE_SQL = None
 
@@ -29,29 +29,42 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col(to) != language.UNDETERMINED).select(*docs.columns)
 
 
-def without_rows(docs: DataFrame, gone: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """docs without the rows that gone names by their doc_id. Where doc_ids are repeated or null, rows are numbered in the
-    order of doc_id, nulls last, and the numbers serve as doc_ids, so that of each group exactly the first row stays."""
-    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        return without_ids(docs, gone(docs))
-    at, row = unused(docs, "at"), unused(docs, "row")
-    placed = docs.withColumn(at, F.monotonically_increasing_id())  # parts many equal rows
-    placed = placed.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"), at).drop(at)
-    rows = written(placed.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
-    found = gone(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row))
-    return without_ids(rows, found, row).select(*docs.columns)
+def first_rows(docs: DataFrame, found: DataFrame, key: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The rows of docs that stay by found (doc_id, key, group, stays), which has a row for each of docs.
+
+    A doc_id that one row has decides for it. Of rows that share a doc_id or have none, the ones to stay are found by doc_id
+    and key (docs, name -> docs with its key), and of those of a group the first one stays. Only these rows are numbered.
+    """
+    found = written(found, "pipeline-found")
+    many = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
+    many = sized(many)
+    out = without_ids(docs, found.where("not stays")).where("doc_id is not null").join(many, "doc_id", "left_anti").select(*docs.columns)
+    odd = docs.where("doc_id is null").unionByName(docs.join(many, "doc_id", "left_semi").select(*docs.columns))
+    to, row = unused(docs, "key"), unused(docs, "row")
+    odd = written(key(odd, to).withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    decided = found.where("stays").select(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key"), F.col("group").alias("_group")).distinct()
+    same = odd["doc_id"].eqNullSafe(decided["_doc_id"]) & (odd[to] == decided["_key"])
+    first = odd.select("doc_id", to, row).join(decided, same).groupBy("_group").agg(F.min(row).alias("_first"))
+    first = written(first.select("_first"), "pipeline-first")
+    return out.unionByName(odd.join(sized(first), odd[row] == first["_first"], "left_semi").select(*docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal but for their white space, the one with the smallest doc_id; null texts are empty ones.
     Of rows with that doc_id, and where all doc_ids are null, one row stays."""
-    return without_rows(docs, lambda rows: exact_dedup.exact_duplicates(rows).where("not kept"))
+    found = exact_dedup.exact_duplicates(docs.select("doc_id", "text"))
+    sha = lambda rows, to: rows.withColumn(to, F.sha2(exact_dedup.normalised(rows["text"].cast("string")), 256))
+    return first_rows(docs, found.select("doc_id", F.col("text_sha256").alias("key"), F.col("text_sha256").alias("group"), F.col("kept").alias("stays")), sha)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose fingerprints are linked, the one with the smallest doc_id, and one row of those with it. Null and
     blank texts have one fingerprint. A row that is linked to none stays, whatever its doc_id."""
-    return without_rows(docs, lambda rows: simhash.near_duplicates(rows).where("doc_id <> component_id"))
+    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")
+    return first_rows(
+        docs, found.select("doc_id", F.col("fp").alias("key"), F.col("component").alias("group"), stays), lambda rows, to: simhash.fingerprints(rows, to=to)
+    )
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
