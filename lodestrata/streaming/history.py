@@ -54,16 +54,33 @@ def allowed(times: list[float], kept: list[float], most: int, seconds: float) ->
     return out, kept
 
 
-def limited(hits: DataFrame, most: int, seconds: float) -> DataFrame:
-    """key, time, allowed of a stream of hits (key, time in seconds), with the hits of the last window as state."""
+#: Seconds that times are moved by: a watermark begins at 0, and what is not above it is dropped.
+SHIFT = 86_400
+
+
+def limited(hits: DataFrame, most: int, seconds: float, late: str = "1 minute") -> DataFrame:
+    """key, time, allowed of a stream of hits (key, time in seconds), with the allowed hits of the last window as state.
+
+    A key's state goes once the watermark, which is late behind the greatest time, has passed the window of its last allowed hit:
+    no later hit can meet it. Hits that are themselves behind the watermark are dropped.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
         times = sorted(t for f in frames for t in f["time"])
         ok, kept = allowed(times, kept, most, seconds)
-        state.update((kept,))
+        until = int((kept[-1] + seconds + SHIFT) * 1000) + 1 if kept else 0
+        if until > state.getCurrentWatermarkMs():
+            state.update((kept,))
+            state.setTimeoutTimestamp(until)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"key": [key[0]] * len(times), "time": times, "allowed": ok})
 
-    return hits.groupBy("key").applyInPandasWithState(
-        step, "key string, time double, allowed boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout
+    timed = hits.withColumn("at", F.timestamp_seconds(F.col("time") + SHIFT)).withWatermark("at", late)
+    return timed.groupBy("key").applyInPandasWithState(
+        step, "key string, time double, allowed boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
