@@ -554,7 +554,7 @@ def _network(g):
 
 
 @_view("module_view_nodes", f""", {_MODULES.format(most=10)}, few AS (SELECT * FROM modules ORDER BY shared_commits DESC, module_a, module_b LIMIT 40), ends AS (SELECT module, sum(s) AS total FROM
-  (SELECT module_a AS module, shared_commits AS s FROM few UNION ALL SELECT module_b, shared_commits FROM few) GROUP BY 1) SELECT module AS id, 'Module' AS kind, module AS label, '' AS subtitle, 1 AS hop,
+  (SELECT module_a AS module, shared_commits AS s FROM few UNION ALL SELECT module_b, shared_commits FROM few) GROUP BY 1) SELECT module AS id, 'Module' AS kind, module AS label, module AS subtitle, 1 AS hop,
   round(total / max(total) OVER (), 3) AS weight, false AS sole_owned, false AS trending_worse, '' AS "group" FROM ends""")
 def _modules(g):
     return views.module_view(g)
@@ -587,6 +587,69 @@ def _blast(g):
     return views.blast_radius(g, _path(g), depth=1)
 
 
+_PLAIN = "false AS sole_owned, false AS trending_worse"
+
+
+def _folded(root: str, most: int, turned: int = -1, directed: bool = False) -> str:
+    """Second-degree rows (second: i, side, via, id, n) taken in their order: what is seen, added and drawn after each."""
+    a, b = f"CASE WHEN side = {turned} THEN id ELSE via END", f"CASE WHEN side = {turned} THEN via ELSE id END"
+    pair = f"{a} || ' ' || {b}" if directed else f"least({a}, {b}) || ' ' || greatest({a}, {b})"
+    return f"""st(i, seen, added, pairs, edges, ended, cut) AS (SELECT 0::BIGINT, list_append((SELECT list(DISTINCT id) FROM near), {root}), []::STRUCT(id VARCHAR, n BIGINT)[],
+    (SELECT list({pair.replace("via", root)}) FROM near), []::STRUCT(source VARCHAR, target VARCHAR, n BIGINT)[], []::INT[], false
+  UNION ALL SELECT j, CASE WHEN new THEN list_append(seen, id) ELSE seen END, CASE WHEN new THEN list_append(added, {{'id': id, 'n': n}}) ELSE added END,
+    CASE WHEN drawn THEN list_append(pairs, pair) ELSE pairs END, CASE WHEN drawn THEN list_append(edges, {{'source': {a}, 'target': {b}, 'n': n}}) ELSE edges END,
+    CASE WHEN ends THEN list_append(ended, side) ELSE ended END, cut OR ends FROM (SELECT *, reach AND NOT known AND NOT over AS new, reach AND NOT known AND over AS ends,
+      reach AND NOT (NOT known AND over) AND NOT list_contains(pairs, pair) AS drawn FROM (SELECT st.*, s.i AS j, s.side, s.via, s.id, s.n, list_contains(seen, s.via) AND NOT list_contains(ended, s.side) AS reach,
+      list_contains(seen, s.id) AS known, len(seen) >= {most} AS over, {pair} AS pair FROM st JOIN second s ON s.i = st.i + 1))),
+  fin AS (SELECT * FROM st WHERE i = (SELECT max(i) FROM st))"""
+
+
+_DEEP_FILE = f""", near AS (SELECT path AS id, shared_commits AS n, 0 AS side FROM ({_CO.format(least=1, limit=50)})),
+  second AS (SELECT row_number() OVER (ORDER BY n DESC, via, id) AS i, 0 AS side, * FROM (SELECT via, f.path AS id, n FROM (SELECT c.path AS via, d.path, count(DISTINCT c.hash) AS n FROM t c JOIN t d ON c.hash = d.hash
+    WHERE c.files_changed <= 10 AND d.path NOT IN (c.path, {_P}) AND c.path IN (SELECT b.path FROM t a JOIN t b ON a.hash = b.hash JOIN file g ON g.path = b.path
+      WHERE a.path = {_P} AND b.path <> a.path AND a.files_changed <= 10 AND NOT g.is_deleted) GROUP BY 1, 2) JOIN file f USING (path)
+    WHERE NOT f.is_deleted ORDER BY n DESC, via, id LIMIT 100) WHERE EXISTS (SELECT 1 FROM near)), {_folded(_P, 101)}"""
+
+
+@_view("blast_radius_deep_nodes", f"""{_DEEP_FILE} SELECT id, 'File' AS kind, string_split(id, '/')[-1] AS label, id AS subtitle, hop, round(w, 3) AS weight, {_PLAIN}, '' AS "group" FROM (
+  SELECT {_P} AS id, 0 AS hop, 1.0::DOUBLE AS w UNION ALL SELECT id, 1, n / max(n) OVER () FROM near
+  UNION ALL SELECT x.id, 2, x.n / (SELECT max(n) FROM second) FROM (SELECT unnest(added) AS x FROM fin))""")
+@_view("blast_radius_deep_edges", f"""{_DEEP_FILE} SELECT source, target, CAST(n AS DOUBLE) AS weight, 'high' AS confidence FROM (SELECT {_P} AS source, id AS target, n FROM near
+  UNION ALL SELECT x.source, x.target, x.n FROM (SELECT unnest(edges) AS x FROM fin))""")
+def _blast_deep(g):
+    return views.blast_radius(g, _path(g), min_count=1, limit=50)
+
+
+_DEEP_CALLS = f""", near AS (SELECT * FROM (SELECT callee_id AS id, call_count AS n, 0 AS side FROM calls WHERE caller_id = '{FUNCTION}' ORDER BY n DESC, id LIMIT 50) UNION ALL
+    SELECT * FROM (SELECT caller_id, call_count, 1 FROM calls WHERE callee_id = '{FUNCTION}' ORDER BY 2 DESC, 1 LIMIT 50)),
+  second AS (SELECT row_number() OVER (ORDER BY side, n DESC, via, id) AS i, * FROM (
+    SELECT * FROM (SELECT 0 AS side, caller_id AS via, callee_id AS id, call_count AS n FROM calls WHERE caller_id IN (SELECT callee_id FROM calls WHERE caller_id = '{FUNCTION}')
+      AND callee_id NOT IN (caller_id, '{FUNCTION}') ORDER BY n DESC, via, id LIMIT 100) UNION ALL
+    SELECT * FROM (SELECT 1, callee_id AS via, caller_id AS id, call_count AS n FROM calls WHERE callee_id IN (SELECT caller_id FROM calls WHERE callee_id = '{FUNCTION}')
+      AND caller_id NOT IN (callee_id, '{FUNCTION}') ORDER BY n DESC, via, id LIMIT 100)) WHERE EXISTS (SELECT 1 FROM near)), {_folded(f"'{FUNCTION}'", 101, 1, True)}"""
+
+
+@_view("call_graph_deep_nodes", f"""{_DEEP_CALLS} SELECT id, 'Function' AS kind, name AS label, path || ' - ' || qualname AS subtitle, hop, round(w, 3) AS weight, {_PLAIN}, language AS "group" FROM (
+  SELECT '{FUNCTION}' AS id, 0 AS hop, 1.0::DOUBLE AS w UNION ALL SELECT id, 1, arg_min(n, side) / (SELECT max(n) FROM near) FROM near GROUP BY id
+  UNION ALL SELECT x.id, 2, x.n / (SELECT max(n) FROM second) FROM (SELECT unnest(added) AS x FROM fin)) JOIN function USING (id)""")
+@_view("call_graph_deep_edges", f"""{_DEEP_CALLS} SELECT source, target, CAST(call_count AS DOUBLE) AS weight, confidence FROM (
+  SELECT CASE WHEN side = 1 THEN id ELSE '{FUNCTION}' END AS source, CASE WHEN side = 1 THEN '{FUNCTION}' ELSE id END AS target FROM near
+  UNION ALL SELECT x.source, x.target FROM (SELECT unnest(edges) AS x FROM fin)) JOIN calls ON caller_id = source AND callee_id = target""")
+def _calls_deep(g):
+    return views.call_graph(g, FUNCTION, limit=50)
+
+
+_MAP = _hot() + _FEW.format(score="risk_score") + """, shown AS (SELECT path, risk_score, (SELECT count(DISTINCT author_email) FROM t WHERE t.path = few.path) = 1 AS alone,
+  risk_score_recent > risk_score * 1.1 AS up FROM few)"""
+
+
+@_view("repo_map_view_nodes", f"""{_MAP} SELECT path AS id, 'File' AS kind, string_split(path, '/')[-1] AS label, path || ' - risk ' || CAST(round(risk_score, 2) AS STRING)
+  || CASE WHEN alone THEN ' - sole-owned' ELSE '' END || CASE WHEN up THEN ' - trending up' ELSE '' END AS subtitle, 1 AS hop, round(risk_score / max(risk_score) OVER (), 3) AS weight,
+  alone AS sole_owned, up AS trending_worse, '' AS "group" FROM shown""", prepare=_with_hotspots)
+def _repo_map(g):
+    return views.repo_map_view(g)
+
+
 @query(f"{_hot()}, x AS (SELECT path, hot.module, risk_score / max(risk_score) OVER () AS s FROM hot WHERE hot.module = 'Brand#11') SELECT path, CASE WHEN s >= 0.75 THEN 'critical' WHEN s >= 0.5 THEN 'serious' WHEN s >= 0.25 THEN 'warning' ELSE 'good' END AS tier FROM x")
 def files_in_module(g):
     return client.in_module(hotspots.hotspots(g, AS_OF), "Brand#11").select("path", "tier")

@@ -33,9 +33,12 @@ def severity(files: DataFrame, scored: DataFrame, score: str = "risk_score") ->
 
 
 def string_hash(text: Column) -> Column:
-    """An unsigned 32-bit hash: each character's code is added to HASH_FACTOR times what was before."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: F.pmod(h * HASH_FACTOR + c, F.lit(1 << 32)))
+    """An unsigned 32-bit hash: each UTF-16 unit is added to HASH_FACTOR times what was before. A character above U+FFFF is two units."""
+    high = lambda c: F.lit(0xD800) + F.shiftright(c - 0x10000, 10)
+    low = lambda c: F.lit(0xDC00) + (c - 0x10000).bitwiseAND(F.lit(0x3FF))
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    units = F.flatten(F.transform(points, lambda c: F.when(c > 0xFFFF, F.array(high(c), low(c))).otherwise(F.array(c))))
+    return F.aggregate(units, F.lit(0).cast("long"), lambda h, c: F.pmod(h * HASH_FACTOR + c, F.lit(1 << 32)))
 
 
 def colour(text: Column) -> Column:

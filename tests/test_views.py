@@ -128,3 +128,30 @@ def test_languages_by_extension(spark, monkeypatch):
     monkeypatch.setattr(ingest, "LANGUAGES", {("py",): broken})
     with pytest.warns(UserWarning), pytest.raises(RuntimeError):
         ingest.analyze(sources)
+
+
+def test_name_hashes_are_of_utf16_units(spark):
+    def plain(name):
+        h, raw = 0, name.encode("utf-16-le")
+        for i in range(0, len(raw), 2):
+            h = (h * 31 + int.from_bytes(raw[i : i + 2], "little")) % (1 << 32)
+        return h
+
+    names = ["", "a", "src/é", "x\U0001f600y", "\U0001f600" * 20, "\uffff\U00010000\U0010ffff"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [r.h for r in rows.select(client.string_hash(F.col("name")).alias("h")).collect()] == [plain(n) for n in names]
+
+
+def test_views_are_plans(spark, sf_small):
+    """Nodes and edges of every view are tables that nothing was collected for but whether the root is there."""
+    from lodestrata.plans import proxy
+
+    g = proxy.graph(spark, sf_small)
+    g.file_hotspot = spark.createDataFrame([], "path string, module string, commit_count long, risk_score double, risk_score_recent double")
+    some = [views.topology_view(g), views.author_network_view(g, "n3"), views.module_view(g), views.function_map(g), views.file_call_view(g, "f7"),
+            views.call_graph(g, "f7::fn27"), views.blast_radius(g, "none")]
+    for view in some:
+        for df, ddl in zip(view.frames(), (views.NODES, views.EDGES)):
+            assert [c.split()[0] for c in ddl.split(", ")] == df.columns
+            assert "LocalTableScan" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert view.dict()["nodes"] == view.nodes
