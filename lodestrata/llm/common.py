@@ -155,6 +155,29 @@ def lookup(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner", n: str
     return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(cold, on, how))
 
 
+def salted(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner", n: str = "n", total: int | None = None) -> DataFrame:
+    """rows joined with keys as by lookup, whatever keys carry: only the hot ones' keys and numbers of parts are broadcast. Their
+    rows are dealt to as many parts, which all get what the key carries, in one join by a shuffle."""
+    total = rows.count() if total is None else total
+    often = max(HOT_ROWS, total // BROADCAST_ROWS)
+    parts = F.ceil(F.col(n) / often).cast("long")
+    hot = keys.where(F.col(n) > often).select(on, parts.alias("_parts"))
+    salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")), F.lit(0)).cast("long")
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_parts")
+    wide = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1).cast("long")) - 1)))
+    return dealt.join(wide, [on, "_salt"], how).drop("_salt")
+
+
+#: Bytes of lists that are broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def sized_lists(keys: DataFrame, column: str, item: int) -> DataFrame:
+    """keys (a written table) with lists of items of so many bytes, with a broadcast hint only if all of them are counted to be small."""
+    n, items = keys.agg(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
+    return F.broadcast(keys) if 64 * n + item * items <= BROADCAST_BYTES else keys
+
+
 def unused(docs: DataFrame, name: str) -> str:
     """name, or a longer one that no column of docs has."""
     taken = {c.lower() for c in docs.columns}

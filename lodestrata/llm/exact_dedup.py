@@ -184,7 +184,7 @@ def _redigested(rows: DataFrame, wrong: DataFrame) -> DataFrame:
     other = wrong.select(F.col("digest").alias("_digest"), F.col("text").alias("_text"))
     same = (F.col("digest") == F.col("_digest")) & (F.col("text") == F.col("_text"))
     again = F.unhex(F.sha2(F.concat(F.lit("differs ").cast("binary"), F.col("digest"), F.col("text").cast("binary")), 256))
-    out = rows.join(sized(other), same, "left").withColumn("digest", F.when(F.col("_digest").isNotNull(), again).otherwise(F.col("digest")))
+    out = rows.join(other, same, "left").withColumn("digest", F.when(F.col("_digest").isNotNull(), again).otherwise(F.col("digest")))
     return out.select("doc_id", "text", "sha", "digest")
 
 

@@ -19,11 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, HOT_ROWS, unused, written
+from .common import BROADCAST_ROWS, HOT_ROWS, sized_lists, unused, written
 
 MIN_DOCS, MIN_CHARS = 5, 40
-#: Bytes of bitmaps up to which they are broadcast to the documents.
-BROADCAST_BYTES = 16 << 20
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -99,10 +97,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     that share a doc_id are one document, each with its own bitmap; null doc_ids are one document, the smallest. An empty table
     gives an empty result. Other columns are given as they are.
     """
-    dropped = dropped_lines(docs, min_docs, min_chars, hot)
-    n, runs = dropped.agg(F.count("*"), F.coalesce(F.sum(F.size("dropped")), F.lit(0))).first()
-    if 64 * n + 16 * runs <= BROADCAST_BYTES:
-        dropped = F.broadcast(dropped)
+    dropped = sized_lists(dropped_lines(docs, min_docs, min_chars, hot), "dropped", 16)
     doc, tag, gone = (unused(docs, f"_{c}") for c in dropped.columns)
     dropped = dropped.toDF(doc, tag, gone)
     same = docs["doc_id"].cast("long").eqNullSafe(dropped[doc]) & (F.xxhash64(_text(docs)) == dropped[tag])

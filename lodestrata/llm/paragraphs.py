@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import connected_components, given_back, lookup, sized, tidy, with_mapped, written
+from .common import connected_components, given_back, lookup, salted, sized_lists, tidy, with_mapped, written
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 6, 2
@@ -246,7 +246,7 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, shingles of nodes, from the document of smallest doc_id that holds each; at least one row for each."""
     held = nodes.select(F.least("low1", "low2").alias("doc_id"), F.struct("k1", "k2", "id").alias("k"))
     wanted = written(held.groupBy("doc_id").agg(F.collect_list("k").alias("ks")), "wanted")
-    texts = docs.join(sized(wanted), "doc_id").select(F.struct("text", "ks").alias("source"))
+    texts = docs.join(sized_lists(wanted, "ks", 48), "doc_id").select(F.struct("text", "ks").alias("source"))
 
     def cut(sources: pa.Array) -> list[pa.Array]:
         texts = sources.field("text").to_pylist()
@@ -276,7 +276,7 @@ def around_pivots(rows: DataFrame, sets: DataFrame, fits: Column, rounds: int =
         pivots = rows.groupBy("g").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("pivot"), F.count("*").alias("n"))
         pivots = pivots.join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("p")).dropDuplicates(["pivot"]), "pivot")
         total = rows.count()
-        placed = lookup(rows.select("g", "id", "level", "size").join(sets.dropDuplicates(["id"]), "id"), written(pivots, "pivots"), "g", total=total)
+        placed = salted(rows.select("g", "id", "level", "size").join(sets.dropDuplicates(["id"]), "id"), written(pivots, "pivots"), "g", total=total)
         both = F.size(F.array_intersect("shingles", "p"))
         placed = placed.withColumn("far", 1 - both / (F.size("shingles") + F.size("p") - both))
         placed = written(placed.select("g", "id", "level", "size", "pivot", "far"), "measured")

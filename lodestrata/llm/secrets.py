@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import children
-from .common import BROADCAST_ROWS, count_kind, fresh_path, joined_spans, lookup, written
+from .common import BROADCAST_ROWS, count_kind, fresh_path, joined_spans, salted, written
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
 #: Matches of a text that are folded together.
@@ -202,7 +202,7 @@ class BlobLedger:
         times = paths.groupBy("blob").agg(F.count("*").alias("n"))
         by_blob = written(each.groupBy("blob").agg(spans.alias("spans")).join(times, "blob"), "found")
         none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-        return lookup(paths, by_blob, "blob", "left").select("path", F.coalesce("spans", none).alias("spans"))
+        return salted(paths, by_blob, "blob", "left").select("path", F.coalesce("spans", none).alias("spans"))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
