@@ -16,7 +16,7 @@ from ..operators.lineage import mark_deleted
 from ..operators.resolve import import_edges, resolve_calls, resolve_imports
 from ..operators.risk import change_history, with_risk
 from ..runtime import written
-from ..sources import diffs, gitlog, pysource, tssource
+from ..sources import diffs, gitlog, gitsource, pysource, tssource
 from .graph import KEYS, RepoGraph, Settings
 from .materialize import materialize
 
@@ -79,13 +79,30 @@ def function_graph(g: RepoGraph, sources: DataFrame, hunks: DataFrame | None = N
     return replace(g, function=functions, calls=calls, imports=dedupe_imports(imports), hunks=hunks, unread=found["unread"])
 
 
+#: What an ingest takes at most, and the schemes of public repositories.
+MAX_COMMITS, SCHEMES = 5000, ("http://", "https://")
+
+
+def validated(repo_url: str, max_commits: int = MAX_COMMITS) -> tuple[str, int]:
+    """A request's address and number of commits: white space is cut off, the number brought into its bounds. ValueError for what is no
+    public address."""
+    url = repo_url.strip()
+    if not url.startswith(SCHEMES):
+        raise ValueError(f"a public repository's address begins with {' or '.join(SCHEMES)}")
+    return url, min(max(max_commits, 1), MAX_COMMITS)
+
+
 def ingest(spark: SparkSession, repo: str, as_of: str, max_commits: int = 5000, module_depth: int = 1, settings: Settings | None = None) -> RepoGraph:
-    """The whole graph of a repository with its derived tables. The log and the listing are made on the driver, patches and
-    sources by the executors, for all of which the repository is under the same path; what fails in the function graph leaves the history graph whole."""
-    commits = written(gitlog.parse_log(gitlog.blocks(spark, gitlog.log_text(repo, max_commits))), "commits")
+    """The whole graph of a repository with its derived tables. Log, listing, patches and sources are
+    read by the executors, for all of which the repository is under the same path; what fails in the function graph leaves the history graph whole."""
+    gitsource.git(repo, "rev-parse", "HEAD")  # a GitError here, where there is no history, rather than in a task
+    gitsource.register(spark)
+    log = spark.read.format("git_log").option("path", repo).option("maxCommits", max_commits).load()
+    commits = written(gitlog.parse_log(log), "commits")
     try:
-        live = gitlog.head_paths(spark, repo)
-    except gitlog.GitError:
+        live = written(spark.read.format("git_tree").option("path", repo).load(), "live-paths")
+    except PySparkException as e:
+        warnings.warn(f"no listing of live files: {e}", stacklevel=2)
         live = None
     g = history_graph(commits, live, module_depth, settings)
     if live is not None:
