@@ -169,7 +169,7 @@ def salted(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner", n: str
 
 
 #: Bytes of lists that are broadcast.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def sized_lists(keys: DataFrame, column: str, item: int) -> DataFrame:
