@@ -174,3 +174,125 @@ def test_query_scores_whole_texts_with_what_was_learned(spark, sf_small):
     assert got.keys() == docs.keys()
     for d, want in zip(docs, model.scores(list(docs.values()))):
         assert abs(got[d].score - want) < 1e-6 and got[d].predicted == (got[d].score >= 0.5) and got[d].held_out == (remainder(d) == 0)
+
+
+def plain_segments(text):
+    """The words of each segment, as lists of symbols in which 0 is no letter, with the space between letters that stand alone."""
+    import unicodedata
+
+    def symbol(c):
+        cp = ord(c)
+        if cp >= 0x250:
+            return 27 + cp % 5
+        c = toxicity._LEET.get(c, unicodedata.normalize("NFD", c.lower())[0])
+        return ord(c) - 96 if "a" <= c <= "z" else 27 + cp % 5 if c.isalpha() else 0
+
+    space = lambda c: ord(c) < 0x250 and c.isspace()
+    tokens, at = [], 0
+    while at < len(text):
+        if space(text[at]):
+            at += 1
+            continue
+        end = at
+        while end < len(text) and not space(text[end]):
+            end += 1
+        tokens.append((at, end))
+        at = end
+    alone = lambda t: t[1] - t[0] == 1 and symbol(text[t[0]]) > 0
+    segments, count, closed = [], 0, True
+    for k, (a, b) in enumerate(tokens):
+        former = tokens[k - 1] if k else None
+        follows = bool(former) and alone(former) and alone((a, b)) and a - former[1] == 1 and text[former[1]] != "\n"
+        if closed:
+            count = 0
+        if closed or (count % toxicity.SEGMENT_WORDS == 0 and not follows):
+            segments.append([])
+        word = [symbol(c) for c in text[a:b]]
+        if follows:
+            segments[-1][-1] += [0, *word]
+        else:
+            segments[-1].append(word)
+        count += 1
+        after = tokens[k + 1] if k + 1 < len(tokens) else None
+        joins = bool(after) and alone((a, b)) and alone(after) and after[0] - b == 1 and text[b] != "\n"
+        closed = (text[b - 1] in ".!?" or b == len(text) or text[b] == "\n") and not joins
+    return segments
+
+
+def plain_features(symbols):
+    found = {}
+    for i in range(len(symbols)):
+        for a in (1, 2):
+            for b in (1, 2):
+                for c in (1, 2):
+                    if i + a + b + c < len(symbols):
+                        four = symbols[i], symbols[i + a], symbols[i + a + b], symbols[i + a + b + c]
+                        if all(four):
+                            found[four] = found.get(four, 0) + toxicity.DECAY ** (a + b + c - 3)
+    return found
+
+
+def plain_machine(z, y, cost, penalty):
+    """The least of penalty and squared hinge losses, by Newton steps that are halved until they lessen it, to a vanishing gradient."""
+    x = np.c_[z, np.ones(len(z))]
+    ridge = penalty * cost.sum() * np.r_[np.ones(z.shape[1]), 1e-3]
+    value = lambda w: (ridge * w * w).sum() / 2 + (cost * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() / 2
+    w = np.zeros(x.shape[1])
+    for _ in range(200):
+        on = y * (x @ w) < 1
+        slope = ridge * w - x[on].T @ (cost[on] * (y[on] - x[on] @ w))
+        if np.abs(slope).max() < 1e-8 * cost.sum():
+            break
+        step = np.linalg.solve(np.diag(ridge) + (x[on].T * cost[on]) @ x[on], slope)
+        size = 1.0
+        while value(w - size * step) > value(w) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+    return w
+
+
+def test_margins_of_a_plain_machine(spark, sf_small):
+    """The whole model by its definition: Gram matrices over all words and landmarks, their inverse root, the machine and its rounds."""
+    docs, marks = (spark.read.parquet(f"{sf_small}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, marks)
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    toxic = {r.doc_id: r.toxic for r in marks.where("toxic in (0, 1)").collect()}
+    ids = [d for d in sorted(toxic) if d in texts]
+    learned = [texts[d] for d in ids] + [toxicity.stretched(texts[d], k) for k, d in enumerate(ids)]
+    label = np.array([toxic[d] for d in ids] * 2, float)
+    marks_of = [plain_features([ord(c) - 96 for c in w]) for w in model.landmarks]
+    norms = [math.sqrt(sum(v * v for v in m.values())) or 1.0 for m in marks_of]
+    dot = lambda f, g: sum(v * g[s] for s, v in f.items() if s in g)
+    known = {}
+
+    def kernels(symbols):
+        key = tuple(symbols)
+        if key not in known:
+            f = plain_features(symbols)
+            known[key] = np.array([dot(f, m) / n for m, n in zip(marks_of, norms)])
+        return known[key]
+
+    def mapped(text):
+        return [sum((kernels(w) for w in {tuple(w): w for w in s}.values()), np.zeros(len(norms))) for s in plain_segments(text)]
+
+    gram = np.array([[dot(f, g) / (m * n) for g, n in zip(marks_of, norms)] for f, m in zip(marks_of, norms)])
+    values, vectors = np.linalg.eigh(gram)
+    root = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
+    rows = [mapped(t) for t in learned]
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    z = np.array([s for r in rows for s in r]) @ root
+    sure = label[owner] > 0
+    for _ in range(toxicity.ROUNDS):
+        clean = label[owner] == 0
+        cost = (sure / max(1, sure.sum()) + clean / max(1, clean.sum())) * len(z) / 2
+        w = plain_machine(z[cost > 0], np.where(sure, 1.0, -1.0)[cost > 0], cost[cost > 0], toxicity.PENALTY)
+        got = z @ w[:-1] + w[-1]
+        best = [max((g for g, o in zip(got[lo:hi], owner[lo:hi])), default=0) for lo, hi in zip(np.searchsorted(owner, range(len(rows))), np.searchsorted(owner, range(len(rows)), "right"))]
+        sure = (label[owner] > 0) & ((got >= np.array(best)[owner]) | (got > 0.5))
+    want = []
+    for text in texts.values():
+        sums = sorted((float(s @ root @ w[:-1] + w[-1]) for s in mapped(text)), reverse=True)
+        want.append([*sums, w[-1], w[-1]][:2] if len(sums) < 2 else sums[:2])
+    have = model.margins(list(texts.values()))
+    assert len(texts) > 100 and np.abs(have - np.array(want)).max() < 0.05
+    assert np.corrcoef(have[:, 0], np.array(want)[:, 0])[0, 1] > 0.9999
