@@ -13,7 +13,7 @@ LENGTH - K bytes. Windows with the same anchor that follow each other form a seg
    and the extensions of neighbours in the result are verified byte by byte. Windows are equal where neighbours' extensions
    reach over their right part and the hashes of their left parts agree (verified too). If a hash turns out to be shared
    by different bytes, the same sort is done again with extensions found byte by byte.
-4. Anchors with many segments are made longer until they are rare: see divided. Segments of any anchor, long or short, are
+4. Anchors with many segments or copies are made longer until they are rare, and their equal segments folded: see divided. Segments of any anchor, long or short, are
    sorted alike.
 5. The windows found are laid over the whole texts.
 """
@@ -33,6 +33,9 @@ from .common import PART_BYTES, given_back, lookup, tidy, with_mapped, written
 LENGTH, K = 100, 32
 #: Segments of one anchor that one task sorts, about a megabyte; of more, the anchor is made longer.
 HOT = 8192
+#: Occurrences of an anchor above which it is treated so too, however alike its segments are: where documents come in descending
+#: order, a task sends each copy, as each comes before the one that it has sent.
+HOT_COPIES = 1 << 16
 #: Bits of a filter for each hash in it, and in all (64 MB, which every executor gets; more hashes let more others pass).
 BITS_PER_ANCHOR, MOST_BITS = 16, 1 << 29
 #: Segments that a task remembers to have sent.
@@ -410,7 +413,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int
     counts = anchors.groupBy("h").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).where("n > 1")
     dups = written(counts, "anchors")
     passed = spark.sparkContext.broadcast(_filter(dups, bits))
-    often = spark.sparkContext.broadcast(_filter(dups.where(F.col("kinds") > hot), bits))
+    often = spark.sparkContext.broadcast(_filter(dups.where((F.col("kinds") > hot) | (F.col("n") > HOT_COPIES)), bits))
     del anchors, counts
     tidy(spark)
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import catalog, suffixes
 
@@ -172,3 +173,26 @@ def test_frequent_anchors(spark, hot):
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
     got = {r.doc_id: ([tuple(x) for x in r.removed], bytes(r.kept)) for r in suffixes.remove_repeats(table, hot=hot).collect()}
     assert got == brute(docs, 100)
+
+
+@pytest.mark.parametrize("copies", [5, 1 << 16])
+def test_copies_in_descending_order(spark, monkeypatch, copies):
+    """Each copy comes before the one that its task has sent. Above HOT_COPIES none goes to the one task of its anchor: equal
+    segments are folded by a partial aggregate first."""
+    monkeypatch.setattr(suffixes, "HOT_COPIES", copies)
+    folded, divided = [], suffixes.divided
+
+    def counted(found, length, hot):
+        rare, known = divided(found, length, hot)
+        folded.append(rare.groupBy("h").count().agg(F.max("count")).first()[0])
+        return rare, known
+
+    monkeypatch.setattr(suffixes, "divided", counted)
+    random.seed(3)
+    line = "".join(random.choice("abcdefgh ") for _ in range(180))
+    word = lambda n: "".join(random.choice("pqrst") for _ in range(n))
+    docs = [(d, word(20) + line + word(d % 30)) for d in range(200, 0, -1)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: ([tuple(x) for x in r.removed], bytes(r.kept)) for r in suffixes.remove_repeats(table).collect()}
+    assert got == brute(docs, 100)
+    assert len(folded) == (copies == 5) and all(n <= 200 for n in folded)
