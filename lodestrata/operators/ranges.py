@@ -30,14 +30,18 @@ def overlapping(spans: DataFrame, hunks: DataFrame, hot: int = HOT) -> DataFrame
     """Each pair of spans (path, start_line, end_line and more) and hunks (path, lo, hi and more) of a path with a line in common, once:
     all columns of both. Rows with a null path or line, and empty ranges, meet nothing. hot: for tests."""
     cut = hunks.withColumn("_bin", _bins(F.col("lo"), F.col("hi"))).where("path is not null")
-    cut = written(cut.withColumn("_deal", F.monotonically_increasing_id()), "cut-hunks")
-    counts = written(cut.groupBy("path", "_bin").agg(F.count("*").alias("_n")), "bin-sizes")
-    often = max(hot, (counts.agg(F.sum("_n")).first()[0] or 0) // HOT_BINS)
-    parts = counts.where(F.col("_n") > often).select("path", "_bin", F.ceil(F.col("_n") / often).alias("_parts"))
-    part = lambda rows: rows.join(F.broadcast(parts), ["path", "_bin"], "left")
-    dealt = part(cut).withColumn("_part", F.coalesce(F.pmod("_deal", "_parts"), F.lit(0))).drop("_parts", "_deal")
-    own = part(spans.withColumn("_bin", _bins(F.col("start_line"), F.col("end_line"))))
-    own = own.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    meet = own.join(dealt, ["path", "_bin", "_part"]).where((F.col("lo") <= F.col("end_line")) & (F.col("hi") >= F.col("start_line")))
+    own = spans.withColumn("_bin", _bins(F.col("start_line"), F.col("end_line")))
+    counts = written(cut.groupBy("path", "_bin").agg(F.count("*").alias("_n")).where(F.col("_n") > hot), "full-bins")
+    n = counts.agg(F.sum("_n")).first()[0]
+    if n:
+        often = max(hot, n // HOT_BINS)
+        parts = counts.where(F.col("_n") > often).select("path", "_bin", F.ceil(F.col("_n") / often).alias("_parts"))
+        part = lambda rows: rows.join(F.broadcast(parts), ["path", "_bin"], "left")
+        deal = F.pmod(F.monotonically_increasing_id(), F.col("_parts"))
+        cut = part(cut).withColumn("_part", F.coalesce(deal, F.lit(0))).drop("_parts")
+        own = part(own).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    else:
+        cut, own = (rows.withColumn("_part", F.lit(0).cast("long")) for rows in (cut, own))
+    meet = own.join(cut, ["path", "_bin", "_part"]).where((F.col("lo") <= F.col("end_line")) & (F.col("hi") >= F.col("start_line")))
     begins = F.floor(F.greatest("lo", "start_line") / WIDTH)
     return meet.where(begins == F.col("_bin")).drop("_bin", "_part")

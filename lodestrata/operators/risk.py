@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import is_bug_fix
 from ..functions.quantiles import quantile
 from ..functions.scores import function_risk, spearman, strength
+from ..runtime import written
 from .callgraph import caller_counts
 from .ranges import overlapping
 
@@ -51,6 +52,7 @@ def risk_percentile(functions: DataFrame, percentile: float = 90.0) -> DataFrame
 def flagged(functions: DataFrame, hunks: DataFrame, percentile: float = 90.0, min_callers: int = 5, by: str | None = None) -> DataFrame:
     """Touched functions (with caller_count) that are riskier than the percentile or have many callers, riskiest first;
     with by, for each value of that column of hunks (a set of changes)."""
+    functions = written(functions, "scored-functions")  # read for the percentile, the lines and the flags
     threshold = F.broadcast(risk_percentile(functions, percentile))  # one row
     rows = touched_functions(functions, hunks, by).crossJoin(threshold)
     risky = (F.col("risk_score") > 0) & (F.col("risk_score") >= F.col("threshold"))
