@@ -46,8 +46,8 @@ def resolve_imports(bindings: DataFrame, files: DataFrame) -> DataFrame:
     each = bindings.select("path", "pos", F.explode(tries).alias("t")).where("t.value is not null").select("path", "pos", "t.*")
     index = module_index(files).select(F.lit("module").alias("kind"), F.col("module").alias("value"), "target")
     known = index.union(files.select(F.lit("file"), "path", "path").distinct())
-    best = each.join(known, ["kind", "value"]).groupBy("path", "pos").agg(F.min_by("target", "rank").alias("target"), F.max("rank").alias("last"))
-    return bindings.join(best.where("last > 0").drop("last"), ["path", "pos"], "left")
+    best = each.join(known.hint("merge"), ["kind", "value"]).groupBy("path", "pos").agg(F.min_by("target", "rank").alias("target"), F.max("rank").alias("last"))
+    return bindings.join(best.where("last > 0").drop("last").hint("merge"), ["path", "pos"], "left")
 
 
 def import_edges(resolved: DataFrame) -> DataFrame:
@@ -63,17 +63,22 @@ def resolve_calls(sites: DataFrame, functions: DataFrame, resolved: DataFrame) -
     A name or self.name means the file's own function of that name; a name or base.name that was imported means that
     function in the imported file; else the repository's only function of that name, with low confidence. Names that
     several functions have are not used; nor are calls of a function by itself.
+
+    No side is broadcast, as all grow with the repository and a plan guesses them from compressed files. Sites that look
+    for nothing in a join get a key of their own file's, so that they do not meet in one task.
     """
     unique = lambda df, *keys: df.groupBy(*keys).agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").drop("n")
     own = unique(functions.select("path", "name", "id"), "path", "name")
     all_ = unique(functions.select("name", "id"), "name").withColumnRenamed("id", "any_id")
     bound = resolved.where("target is not null").groupBy("path", "local").agg(F.max_by("target", "pos").alias("target"))
     local = F.when(F.col("kind") == "name", F.col("name")).when(F.col("kind") == "name_attr", F.col("base"))
-    rows = sites.withColumn("local", local).join(own.withColumnRenamed("id", "own_id"), ["path", "name"], "left")
-    rows = rows.join(bound, ["path", "local"], "left")
-    there = own.select(F.col("path").alias("target"), "name", F.col("id").alias("there_id"))
-    rows = rows.join(there, ["target", "name"], "left").join(all_, "name", "left")
+    rows = sites.withColumn("local", local).join(own.withColumnRenamed("id", "own_id").hint("merge"), ["path", "name"], "left")
     own_id = F.when(F.col("kind") != "name_attr", F.col("own_id"))
+    nothing = F.concat(F.lit("\0"), "path")  # no path, and no name
+    rows = rows.join(bound.hint("merge"), ["path", "local"], "left").withColumn("target", F.when(own_id.isNull() & F.col("target").isNotNull(), F.col("target")).otherwise(nothing))
+    there = own.select(F.col("path").alias("target"), "name", F.col("id").alias("there_id"))
+    rows = rows.join(there.hint("merge"), ["target", "name"], "left")
+    rows = rows.withColumn("name", F.when(own_id.isNull() & F.col("there_id").isNull(), F.col("name")).otherwise(nothing)).join(all_.hint("merge"), "name", "left")
     callee = F.coalesce(own_id, "there_id", "any_id")
     how = F.when(own_id.isNotNull(), "same_file").when(F.col("there_id").isNotNull(), "import_resolved").otherwise("name_heuristic")
     out = rows.select("caller_id", callee.alias("callee_id"), F.when(how == "name_heuristic", "low").otherwise("high").alias("confidence"), how.alias("resolution"), "line", "pos")
