@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import batched, ship
 
 #: Fixed values of the patch format: a hunk's header, on its own and with both counts.
 HUNK = r"(?m)^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
@@ -63,12 +63,8 @@ def diff_hunks(diffs: DataFrame) -> DataFrame:
     ship(diffs.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                found = list(_file_spans(text.as_py() or ""))
-                columns = list(zip(*found)) or [(), (), ()]
-                types = (pa.string(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["path", "lo", "hi"])
+        spans = (span for batch in batches for text in batch.column(0) for span in _file_spans(text.as_py() or ""))
+        return batched(spans, pa.schema([("path", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())]))
 
     return diffs.select("text").mapInArrow(read, "path string, lo int, hi int")
 
