@@ -127,11 +127,13 @@ def tables(commits: DataFrame, module_depth: int = 1) -> dict[str, DataFrame]:
         *[F.max_by(c, "pos").alias(c) for c in ("additions", "deletions", "change_type")]
     )
     renamed = entry.where("old_path is not null").select("old_path", F.col("path").alias("new_path")).distinct()
-    paths = entry.select("path").union(renamed.select("old_path")).distinct()
-    new = renamed.select(F.col("new_path").alias("path")).distinct().withColumn("has_rename_history", F.lit(True))
-    file = paths.join(new, "path", "left").select(
+    # in one pass: each entry has its path and, if it was renamed, the old one
+    own = F.struct("path", F.col("old_path").isNotNull().alias("renamed"))
+    old = F.struct(F.col("old_path").alias("path"), F.lit(False).alias("renamed"))
+    names = entry.select(F.inline(F.when(F.col("old_path").isNull(), F.array(own)).otherwise(F.array(own, old))))
+    file = names.groupBy("path").agg(F.bool_or("renamed").alias("has_rename_history")).select(
         "path", extension_of(F.col("path")).alias("extension"), module_of(F.col("path"), module_depth).alias("module"),
-        F.lit(False).alias("is_deleted"), F.coalesce("has_rename_history", F.lit(False)).alias("has_rename_history"),
+        F.lit(False).alias("is_deleted"), "has_rename_history",
     )
     commit = commit.withColumn("ts", F.to_timestamp("timestamp"))
     return {"author": author, "commit": commit, "file": file, "modified": modified, "renamed_to": renamed}
