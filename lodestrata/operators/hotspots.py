@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import base_name
 from ..functions.scores import band, decay, tier
-from ..runtime import written
+from ..runtime import spread, written
 from .coupling import coupling_among
 from .lineage import canonical
 from .ownership import sole_owned
@@ -99,7 +99,8 @@ def _partners(named: DataFrame, small: DataFrame) -> DataFrame:
     each = each.select("w", "files", F.explode("file.roots").alias("root"))
     # what is on the file's own lineage is no partner, the file itself included
     others = F.filter("files", lambda f: ~F.array_contains(f["roots"], F.col("root")))
-    pairs = each.select("root", "w", F.explode(F.flatten(F.transform(others, lambda f: f["today"]))).alias("other"))
+    lists = each.select("root", "w", F.flatten(F.transform(others, lambda f: f["today"])).alias("others"))
+    pairs = spread(lists, "root").select("root", "w", F.explode("others").alias("other"))  # lists are sent, a third of their pairs
     by_pair = pairs.groupBy("root", "other").agg(F.max("w").alias("w"))
     return by_pair.groupBy("root").agg(F.count("*").alias("coupled_file_count"), F.sum("w").alias("coupled_recent"))
 

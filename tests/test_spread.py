@@ -44,3 +44,24 @@ def test_modules_are_not_broadcast(spark):
     found = tssource.resolve_modules(bindings, spark.createDataFrame([("src/a.ts",), ("src/b.ts",)], "path string"))
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert [r.target for r in found.collect()] == ["src/b.ts"]
+
+
+def test_files_of_a_log_need_no_join(spark):
+    from lodestrata.sources import gitlog
+
+    U = gitlog.UNIT
+    blocks = [(0, f"h1{U}a{U}a@x{U}2020-01-01{U}m\n1\t1\tq.py\0" "2\t2\t\0p.py\0q.py\0"), (1, f"h2{U}a{U}a@x{U}2020-01-02{U}m\n1\t1\tp.py\0" "1\t0\tr/s.py\0")]
+    file = gitlog.tables(gitlog.parse_log(spark.createDataFrame(blocks, "log_pos long, block string")))["file"]
+    assert "Join" not in file._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.path, r.has_rename_history) for r in file.collect()) == [("p.py", False), ("q.py", True), ("r/s.py", False)]
+
+
+def test_partners_are_sent_as_lists(spark):
+    from lodestrata.operators import hotspots
+
+    named = spark.createDataFrame([(n, [n], [n]) for n in range(3)], "number long, roots array<long>, today array<long>")
+    small = spark.createDataFrame([(0, "h", 1.0), (1, "h", 1.0), (2, "h", 1.0), (0, "i", 0.5), (1, "i", 0.5)], "number long, hash string, w double")
+    found = hotspots._partners(named, small)
+    sent = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(" in line]
+    assert sent and not any("other" in line for line in sent)
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 2, 2.0), (1, 2, 2.0), (2, 2, 2.0)]
