@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import contains_ci
-from ..runtime import fresh_path
+from ..runtime import fresh_path, spread
 from . import trigrams
 from .lineage import on_lineage
 from .ownership import author_list
@@ -60,7 +60,7 @@ def module_list(g: RepoGraph) -> DataFrame:
     """name, file_count, commit_count, author_count of modules with live files, files without commits included."""
     live = g.live_files.select("path", F.col("module").alias("name"))
     files = live.groupBy("name").agg(F.count("*").alias("file_count"))
-    seen = live.join(g.touches, "path").select("name", "hash", "author_email").distinct()  # a commit touches many files of a module
+    seen = live.join(spread(g.touches.select("path", "hash", "author_email"), "path"), "path").select("name", "hash", "author_email").distinct()  # a commit touches many files of a module
     sums = seen.groupBy("name").agg(F.count("*").alias("commit_count"), F.countDistinct("author_email").alias("author_count"))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("commit_count", "author_count")]
     return files.join(sums, "name", "left").select("name", "file_count", *zero).orderBy(F.desc("commit_count"), "name")

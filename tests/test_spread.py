@@ -65,3 +65,12 @@ def test_partners_are_sent_as_lists(spark):
     sent = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(" in line]
     assert sent and not any("other" in line for line in sent)
     assert sorted(tuple(r) for r in found.collect()) == [(0, 2, 2.0), (1, 2, 2.0), (2, 2, 2.0)]
+
+
+def test_touches_are_dealt_by_path(spark, sf_small):
+    from lodestrata.operators import files, ownership
+    from lodestrata.plans import proxy
+
+    g = proxy.graph(spark, sf_small)
+    for df in (ownership.author_files(g), ownership.sole_owned(g, g.file), ownership.author_sole_owned_files(g, "n3"), ownership.primary_modules(g, g.author), files.module_list(g)):
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
