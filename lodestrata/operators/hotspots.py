@@ -100,7 +100,7 @@ def _partners(named: DataFrame, small: DataFrame) -> DataFrame:
     # what is on the file's own lineage is no partner, the file itself included
     others = F.filter("files", lambda f: ~F.array_contains(f["roots"], F.col("root")))
     lists = each.select("root", "w", F.flatten(F.transform(others, lambda f: f["today"])).alias("others"))
-    pairs = spread(lists, "root").select("root", "w", F.explode("others").alias("other"))  # lists are sent, a third of their pairs
+    pairs = spread(lists, "root").select("root", "w", F.explode("others").alias("other"))  # lists are sent, not pairs
     by_pair = pairs.groupBy("root", "other").agg(F.max("w").alias("w"))
     return by_pair.groupBy("root").agg(F.count("*").alias("coupled_file_count"), F.sum("w").alias("coupled_recent"))
 
